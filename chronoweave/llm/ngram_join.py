@@ -175,7 +175,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(width: int, salt: int):
-    """text -> node, size, count vector and the set, as bytes."""
+    """text -> node, size, count vector, the same over FINE groups in sparse form (a sorted group number per shingle), and the set, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,14 +185,17 @@ def _contents(width: int, salt: int):
                 vectors = np.bincount(at * DIMS + (h % np.uint64(DIMS)).astype(np.int64), minlength=part.rows * DIMS).astype("<u4").reshape(-1, DIMS)
                 cut = np.append(0, np.cumsum(n))
                 own = h.astype("<u8")
+                fine = np.sort((at << 16 | (h >> np.uint64(48)).astype(np.int64))) & 0xFFFF
+                fine = fine.astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(_node(at, h, part.rows, salt)),
                         pa.array(n, pa.int64()),
                         pa.array([v.tobytes() for v in vectors], pa.binary()),
+                        pa.array([fine[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                         pa.array([own[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                     ],
-                    names=["node", "n", "vec", "members"],
+                    names=["node", "n", "vec", "fine", "members"],
                 )
 
     return run
@@ -219,18 +222,27 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bounded(percent), "a long, b long")
 
 
-def _compare(percent: int):
-    """Rows sorted by a, salt and role: the set of a, then those of its partners."""
+def _distinct(sorted_values: np.ndarray) -> np.ndarray:
+    """Equal values told apart by their rank, so that sets of these intersect as often as the multisets do."""
+    v = sorted_values.astype(np.int64)
+    first = np.append(True, v[1:] != v[:-1])
+    rank = np.arange(len(v)) - np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))
+    return v << 32 | rank
+
+
+def _compare(percent: int, kind: str):
+    """Rows sorted by a, salt and role: the content of a, then those of its partners. Passes pairs on whose overlap, or bound of it, is enough."""
+    read = (lambda b: _distinct(np.frombuffer(b, "<u2"))) if kind == "fine" else (lambda b: np.frombuffer(b, "<u8"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
             out_a, out_b = [], []
-            for a, role, b, members in zip(*(batch[c].to_pylist() for c in ("a", "role", "b", "members")), strict=True):
-                own = np.frombuffer(members, "<u8")
+            for a, role, b, content in zip(*(batch[c].to_pylist() for c in ("a", "role", "b", kind)), strict=True):
+                own = read(content)
                 if role == 0:
                     head = own
-                elif (n := len(np.intersect1d(head, own, assume_unique=True))) * 100 >= percent * (len(head) + len(own) - n):
+                elif len(np.intersect1d(head, own, assume_unique=True)) >= least_overlap(len(head), len(own), percent):
                     out_a.append(a)
                     out_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
@@ -238,15 +250,21 @@ def _compare(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that link. A node with many partners is dealt into salts of about SALT partners, each with the node's own set."""
+def _held(pairs: DataFrame, nodes: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Pairs that pass on one kind of content. A node with many partners is dealt into salts of about SALT partners, each with the node's own content."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
     dealt = store.written(pairs.join(many, "a").select("a", F.expr("pmod(xxhash64(b), salts)").alias("salt"), "b"), "pairs")
-    content = nodes.select("node", "members")
-    partner = dealt.join(content.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "members")
-    head = dealt.select("a", "salt").distinct().join(content.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "members")
+    used = store.written(dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct(), "used")
+    content = store.semi(nodes.select("node", kind), used, "node")
+    partner = dealt.join(content.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", kind)
+    head = dealt.select("a", "salt").distinct().join(content.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), kind)
     rows = head.union(partner).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return rows.mapInArrow(_compare(percent), "a long, b long")
+    return rows.mapInArrow(_compare(percent, kind), "a long, b long")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that link: the bound over fine groups takes two bytes a shingle, and only what survives it is compared on the sets."""
+    return _held(store.written(_held(pairs, nodes, percent, "fine"), "bounded"), nodes, percent, "members")
 
 
 def tree_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +346,7 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     members = store.written(shards.mapInArrow(_members, "shard long, node long, leader long"), "shards")
     involved = members.select("node").distinct().join(classes, "node").where("first is not null").select(F.col("first").alias("doc_id")).distinct()
     content = store.semi(rows, store.written(involved, "involved"), "doc_id").select("text")
-    nodes = store.written(content.mapInArrow(_contents(width, salt), "node long, n long, vec binary, members binary"), "nodes")
+    nodes = store.written(content.mapInArrow(_contents(width, salt), "node long, n long, vec binary, fine binary, members binary"), "nodes")
     stars = members.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = store.written(verified(bounded(stars, nodes, percent), nodes, percent), "star-links")
     comps = store.written(graph.components(links), "components")
