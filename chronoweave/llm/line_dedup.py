@@ -30,7 +30,7 @@ from .ngram_join import _members
 MIN_BYTES = 20
 EDITS = 2
 BYTES_PER_EDIT = 20
-TILE = 2048
+TILE = 512
 
 
 def threshold(n, edits: int = EDITS, per: int = BYTES_PER_EDIT):
@@ -175,32 +175,55 @@ def _linked(pairs: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFra
     return both.select("a", "b", "x", "y").mapInArrow(_verify(edits, per), "a long, b long")
 
 
-def _cross(edits: int):
+def _cross(edits: int, per: int):
+    """Sorted (shard, i, j, ...) -> links across classes within a tile (i = j) or between two. Byte counts bound the distance first: an edit moves them by two at most."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in kernel.sorted_groups(batches, 3):
-            node, comp, n, tile = (group[c].to_numpy() for c in ("node", "comp", "n", "tile"))
+            node, comp, tile = (group[c].to_numpy() for c in ("node", "comp", "tile"))
+            lines = group["line"].to_pylist()
+            n = np.array([len(x) for x in lines])
+            data = np.frombuffer(b"".join(lines), np.uint8) & 31
+            counts = np.bincount(np.repeat(np.arange(len(n)), n) * 32 + data, minlength=len(n) * 32).reshape(-1, 32).astype(np.int32)
             two = group["i"][0] != group["j"][0]
-            for k in range(0, len(node), 256):
-                a = slice(k, k + 256)
+            root = {c: c for c in comp.tolist()}
+
+            def top(c: int) -> int:
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            found = []
+            for k in range(0, len(node), 64):
+                a = slice(k, k + 64)
                 ok = (comp[a][:, None] != comp[None]) & (np.abs(n[a][:, None] - n[None]) <= edits) & (node[a][:, None] < node[None])
                 if two:
                     ok &= tile[a][:, None] != tile[None]
                 x, y = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(node[a][x]), pa.array(node[y])], names=["a", "b"])
+                for p in range(0, len(x), 1 << 16):
+                    u, v = x[p : p + (1 << 16)] + k, y[p : p + (1 << 16)]
+                    near = np.abs(counts[u] - counts[v]).sum(1) <= 2 * edits
+                    for q, r in zip(u[near].tolist(), v[near].tolist(), strict=True):
+                        c, d = top(int(comp[q])), top(int(comp[r]))
+                        if c != d and within(lines[q], lines[r], int(threshold(min(n[q], n[r]), edits, per))):
+                            root[c] = d
+                            found.append((node[q], node[r]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _across(members: DataFrame, comps: DataFrame, lines: DataFrame, edits: int) -> DataFrame:
+def _across(members: DataFrame, comps: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
+    """Links across classes in index entries that hold several; lines travel with their entries, so pairs that don't link are never rows."""
     placed = members.join(comps, "node", "left").select("shard", "node", F.coalesce("component", "node").alias("comp"))
     # Two members are one pair, and that pair was held against the other already.
     mixed = placed.groupBy("shard").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x != y and size > 2")
     mixed = mixed.select("shard", F.ceil(F.col("size") / TILE).cast("int").alias("t"))
     rows = placed.join(mixed, "shard").withColumn("tile", F.expr("cast(pmod(xxhash64(node), t) as int)"))
-    rows = rows.select("shard", "tile", "node", "comp", F.explode(F.expr("sequence(0, t - 1)")).alias("other")).join(lines.select("node", "n"), "node")
-    rows = rows.select("shard", F.least("tile", "other").cast("long").alias("i"), F.greatest("tile", "other").cast("long").alias("j"), "tile", "node", "comp", "n")
+    rows = rows.select("shard", "tile", "node", "comp", F.explode(F.expr("sequence(0, t - 1)")).alias("other")).join(lines.select("node", "line"), "node")
+    rows = rows.select("shard", F.least("tile", "other").cast("long").alias("i"), F.greatest("tile", "other").cast("long").alias("j"), "tile", "node", "comp", "line")
     rows = rows.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
-    return rows.mapInArrow(_cross(edits), "a long, b long").distinct()
+    return rows.mapInArrow(_cross(edits, per), "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, min_bytes: int = MIN_BYTES, edits: int = EDITS, per: int = BYTES_PER_EDIT, salt: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -219,7 +242,7 @@ def classes(docs: DataFrame, min_bytes: int = MIN_BYTES, edits: int = EDITS, per
     stars = members.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     links = store.written(_linked(stars, lines, edits, per), "star-links")
     comps = store.written(graph.components(links), "components")
-    more = store.written(_linked(_across(members, comps, lines, edits), lines, edits, per), "more-links")
+    more = store.written(_across(members, comps, lines, edits, per), "more-links")
     if more.limit(1).count():
         comps = store.written(graph.components(links.union(more)), "components")
     return seen, nodes, comps
