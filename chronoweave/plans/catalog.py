@@ -1,4 +1,506 @@
-"""Registered queries of the core operators, and their SQL."""
+"""Registered queries of the core operators over the driver's tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Times are microseconds (longs), so both engines compare whole numbers; doubles come from counts, exact extremes and
+percentiles only, or are turned into whole numbers the same way on both sides.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from chronoweave.functions import scalar
+from chronoweave.operators import aggregates, intervals, matching, rules, selection, sets, similarity
+from chronoweave.sources import manifest
+from chronoweave.streaming import sessions as streaming
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+HOUR = 3_600_000_000
+
+_E = "e as (select event_id, user_id, event_type, value, epoch_us(ts) as t from events)"
+_ISLANDS = f"""with {_E}, r as (select *, row_number() over (partition by user_id order by t) - row_number() over (partition by user_id, value > 60 order by t) as g from e),
+    i as (select user_id, min(t) as start, max(t) as "end", count(*) as n from r where value > 60 group by user_id, g),
+    m as (select *, case when start - max("end") over (partition by user_id order by start rows between unbounded preceding and 1 preceding) < {6 * HOUR} then 0 else 1 end as new from i),
+    k as (select *, sum(new) over (partition by user_id order by start rows unbounded preceding) as grp from m)"""
+_SESS = f"""with {_E}, s as (select *, case when t - lag(t) over (partition by user_id order by t) <= {12 * HOUR} then 0 else 1 end as new from e),
+    k as (select *, sum(new) over (partition by user_id order by t rows unbounded preceding) as grp from s),
+    sess as (select user_id, min(t) as start, max(t) as "end", count(*) as n from k group by user_id, grp)"""
+
+
+def query(sql: str | None = None):
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", scalar.micros("ts").alias("t"))
+
+
+def _sessions(e: DataFrame, hours: int = 12) -> DataFrame:
+    return intervals.merge(e.select("user_id", F.col("t").alias("start"), F.col("t").alias("end")), ["user_id"], "start", "end", hours * HOUR)
+
+
+@query(_ISLANDS + f""" select user_id, min(start) as start, max("end") as "end", sum(n)::bigint as n from k group by user_id, grp having max("end") - min(start) >= {HOUR}""")
+def islands_value_runs(spark, sf):
+    """Runs of high values per user, gaps under six hours closed, an hour at least."""
+    return intervals.islands(_events(spark, sf), ["user_id"], "t", F.col("value") > 60, 0, 6 * HOUR, HOUR)
+
+
+@query(f"""with {_E}, r as (select *, row_number() over (partition by user_id order by t) as i from e), f as (select *, i - lag(i) over (partition by user_id order by i) as d from r where value > 100),
+    g as (select *, sum(case when d is null or d > 3 then 1 else 0 end) over (partition by user_id order by i rows unbounded preceding) as grp from f)
+    select user_id, min(i) as first, max(i) as last, max(i) - min(i) + 1 as n from g group by user_id, grp having max(i) - min(i) + 1 >= 4""")
+def closed_runs_by_count(spark, sf):
+    """Runs by sample count with bridged gaps."""
+    return intervals.closed_runs(_events(spark, sf), ["user_id"], "t", F.col("value") > 100, 2, 4)
+
+
+@query(_SESS + ' select user_id, start, "end", n from sess')
+def gap_merge_sessions(spark, sf):
+    """Events joined over gaps of up to twelve hours."""
+    return _sessions(_events(spark, sf))
+
+
+@query(_SESS + """, b as (select min(t) as lo, max(t) as hi from e),
+    g as (select user_id, "end" as gap_start, lead(start) over (partition by user_id order by start) as gap_end from sess
+          union all select user_id, lo, min(start) from sess, b group by user_id, lo union all select user_id, max("end"), hi from sess, b group by user_id, hi)
+    select user_id, gap_start, gap_end from g where gap_end > gap_start""")
+def complement_gaps(spark, sf):
+    """Time without a session, from the first to the last event of all."""
+    e = _events(spark, sf)
+    low, high = e.agg(F.min("t"), F.max("t")).first()
+    return intervals.complement(_sessions(e), ["user_id"], "start", "end", F.min(F.lit(low)), F.max(F.lit(high)))
+
+
+@query(f"""with {_E}, s as (select *, case when value > 150 then true when value <= 40 then false end as x from e)
+    select event_id, coalesce(last_value(x ignore nulls) over (partition by user_id order by t rows unbounded preceding), false) as active from s""")
+def hysteresis_active(spark, sf):
+    """On over 150, off at 40 or below."""
+    return intervals.hysteresis(_events(spark, sf), ["user_id"], ["t"], "value", 150, 40).select("event_id", "active")
+
+
+@query(f"""with {_E} select event_id, bool_or(value > 300) over (partition by user_id order by t rows between 2 preceding and 2 following) as dilated from e""")
+def dilated_flags(spark, sf):
+    """W12."""
+    return intervals.dilate(_events(spark, sf), ["user_id"], ["t"], F.col("value") > 300, 2).select("event_id", "dilated")
+
+
+@query(f"""with {_E}, w as (select event_id, value, max(value) over (partition by user_id order by t rows between 3 preceding and 1 preceding) as b,
+    max(value) over (partition by user_id order by t rows between 1 following and 3 following) as a from e)
+    select event_id from w where value > 100 and coalesce(b, -1e308) < 0.5 * value and coalesce(a, -1e308) < 0.5 * value""")
+def isolated_jumps(spark, sf):
+    """W18."""
+    return intervals.isolated_jumps(_events(spark, sf), ["user_id"], ["t"], "value", 100).where("jump").select("event_id")
+
+
+@query(f"""with {_E}, w as (select event_id, value, lag(value) over (partition by user_id order by t) as p, lead(value) over (partition by user_id order by t) as n from e)
+    select event_id from w where value >= 100 and value > p and value >= n""")
+def local_peaks(spark, sf):
+    """W16, first half: local maxima of a height."""
+    return intervals.peaks(_events(spark, sf), ["user_id"], ["t"], "value", 100).select("event_id")
+
+
+@query(f"""with {_E} select event_id, sum(case when event_type = 'click' then 0 else 1 end) over (partition by user_id order by t rows unbounded preceding)::bigint as scene from e""")
+def scene_number(spark, sf):
+    """W21, A22."""
+    return intervals.numbered_scenes(_events(spark, sf), ["user_id"], ["t"], F.col("event_type") == "click").select("event_id", "scene")
+
+
+@query(f"""with {_E}, r as (select *, row_number() over (partition by user_id order by t) - row_number() over (partition by user_id, event_type order by t) as g from e),
+    x as (select user_id, event_type, min(t) as start, max(t) as "end", count(*) as n from r group by user_id, event_type, g) select * from x where n > 1""")
+def label_runs(spark, sf):
+    """Consecutive events of one type, two at least."""
+    e = intervals.run_ids(_events(spark, sf), ["user_id"], ["t"], F.col("event_type"))
+    return e.groupBy("user_id", "event_type", "run").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count("*").alias("n")).where("n > 1").drop("run")
+
+
+@query("""with r as (select *, row_number() over (partition by conv_id order by turn) - row_number() over (partition by conv_id, role order by turn) as g from conversations)
+    select conv_id, role, min(turn) as first_turn, max(turn) as last_turn, count(*) as n from r group by conv_id, role, g""")
+def role_runs(spark, sf):
+    """W22 on conversations."""
+    c = intervals.run_ids(_read(spark, sf, "conversations"), ["conv_id"], ["turn"], F.col("role"))
+    return c.groupBy("conv_id", "role", "run").agg(F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.count("*").alias("n")).drop("run")
+
+
+@query(f"""with {_E}, f as (select user_id, event_type, min(t) as first from e group by user_id, event_type)
+    select user_id, event_type, first, row_number() over (partition by user_id order by first, event_type) as rank from f""")
+def first_label_rank(spark, sf):
+    """W23."""
+    return intervals.first_appearance(_events(spark, sf), ["user_id"], "event_type", "t")
+
+
+@query("""select l_orderkey, l_linenumber, l_partkey, l_quantity::bigint as q, coalesce(sum(l_quantity) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice rows between unbounded preceding and 1 preceding), 0)::bigint as start from lineitem""")
+def running_start(spark, sf):
+    """Quantity before each line of an order."""
+    df = intervals.running_start(_read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], "l_quantity")
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("long").alias("q"), F.col("start").cast("long").alias("start"))
+
+
+@query("""with c as (select user_id, (epoch_us(ts) // 86400000000) as day, count(*) as n from events group by all), b as (select user_id, min(day) as a, max(day) as z from c group by user_id),
+    x as (select user_id, unnest(range(a, z + 1)) as day from b) select x.user_id, x.day, coalesce(c.n, 0) as n from x left join c on x.user_id = c.user_id and x.day = c.day""")
+def dense_day_axis(spark, sf):
+    """Events per day with the empty days between."""
+    c = _events(spark, sf).withColumn("day", F.expr("t div 86400000000")).groupBy("user_id", "day").agg(F.count("*").alias("n"))
+    return intervals.dense_axis(c.withColumn("lo", F.col("day")).withColumn("hi", F.col("day")), ["user_id"], "day", "n", "lo", "hi", 0)
+
+
+@query(f"""with {_E}, s as (select user_id, event_id, t as start, t + {3 * HOUR} as "end" from e where event_type = 'purchase'),
+    w as (select *, max("end") over (partition by user_id order by start rows between unbounded preceding and 1 preceding) as r from s) select user_id, event_id from w where start < r""")
+def overlap_conflicts(spark, sf):
+    """Purchase windows that begin inside an earlier one."""
+    s = _events(spark, sf).where("event_type = 'purchase'").select("user_id", "event_id", F.col("t").alias("start"), (F.col("t") + 3 * HOUR).alias("end"))
+    return intervals.self_overlaps(s, ["user_id"], "start", "end").select("user_id", "event_id")
+
+
+@query(f"""with {_E}, v as (select user_id, event_id as w, t as a, t + {4 * HOUR} as z from e where event_type = 'view')
+    select e.event_id, v.w from e join v on e.user_id = v.user_id and e.t >= v.a and e.t <= v.z where e.event_type = 'click'""")
+def points_in_intervals(spark, sf):
+    """Clicks within four hours after a view."""
+    e = _events(spark, sf)
+    v = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("w"), F.col("t").alias("a"), (F.col("t") + 4 * HOUR).alias("z"))
+    return matching.points_in_intervals(e.where("event_type = 'click'").select("user_id", "event_id", "t"), v, ["user_id"], "t", "a", "z", 8 * HOUR).select("event_id", "w")
+
+
+@query(f"""with {_E}, x as (select event_type, user_id, min(t) as s, max(t) as z from (select *, t // {24 * HOUR} as d from e) group by event_type, user_id, d),
+    a as (select user_id, s, z from x where event_type = 'click'), b as (select user_id, s, z from x where event_type = 'view')
+    select a.user_id, a.s as start, a.z as "end", b.s as r_start, b.z as r_end, least(a.z, b.z) - greatest(a.s, b.s) as shared from a join b on a.user_id = b.user_id and least(a.z, b.z) - greatest(a.s, b.s) > 0""")
+def interval_overlaps(spark, sf):
+    """W8, J5 first half: shared time of daily click and view spans."""
+    x = _events(spark, sf).groupBy("event_type", "user_id", F.expr(f"t div {24 * HOUR}")).agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    a, b = (x.where(F.col("event_type") == k).select("user_id", "start", "end") for k in ("click", "view"))
+    return matching.overlaps(a, b, ["user_id"], "start", "end", 12 * HOUR)
+
+
+@query(f"""with {_E}, x as (select event_type, user_id, t // {24 * HOUR} as d, min(t) as s, max(t) as z from e group by all),
+    p as (select user_id, d as item, min(s) as s, max(z) as z from x group by user_id, d), o as (select p.user_id, p.item, p.s, p.z, x.event_type, sum(least(p.z, x.z) - greatest(p.s, x.s)) as c
+      from p join x on p.user_id = x.user_id and least(p.z, x.z) - greatest(p.s, x.s) > 0 group by all),
+    g as (select user_id, item, s, z, sum(c) as total, max(c) as best from o group by all)
+    select g.user_id, g.item, (select max(event_type) from o where o.user_id = g.user_id and o.item = g.item and o.c = g.best) as guess, 10 * best >= 7 * total as sure from g where 10 * total >= 4 * (z - s)""")
+def overlap_weighted_assign(spark, sf):
+    """The event type whose span covers most of a user's day."""
+    x = _events(spark, sf).withColumn("item", F.expr(f"t div {24 * HOUR}")).groupBy("event_type", "user_id", "item").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    p = x.groupBy("user_id", "item").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return matching.assign_by_overlap(p, x.drop("item"), ["user_id"], "item", "event_type", "start", "end", 12 * HOUR).select("user_id", "item", "guess", "sure")
+
+
+@query(f"""with {_E}, p as (select * from e where event_type = 'purchase'), v as (select * from e where event_type = 'view'),
+    c as (select p.event_id, v.event_id as near, abs(v.t - p.t) as d, row_number() over (partition by p.event_id order by abs(v.t - p.t), v.t) as r from p join v on p.user_id = v.user_id and abs(v.t - p.t) <= {12 * HOUR})
+    select p.event_id, c.near from p left join c on p.event_id = c.event_id and c.r = 1""")
+def nearest_tolerance(spark, sf):
+    """Nearest view of each purchase within twelve hours, the earlier on a tie."""
+    e = _events(spark, sf).select("event_id", "user_id", "event_type", "t")
+    p, v = (e.where(F.col("event_type") == k) for k in ("purchase", "view"))
+    return matching.nearest(p, v, ["user_id"], "t", ["event_id"], 12 * HOUR).select("event_id", F.col("match.event_id").alias("near"))
+
+
+@query(f"""with {_E} select p.event_id, v.event_id as last_view from (select * from e where event_type = 'purchase') p asof left join (select * from e where event_type = 'view') v on p.user_id = v.user_id and p.t >= v.t""")
+def as_of_backward(spark, sf):
+    """Last view at or before each purchase."""
+    e = _events(spark, sf).select("event_id", "user_id", "event_type", "t")
+    return matching.as_of(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), ["user_id"], "t", ["event_id"]).select("event_id", F.col("match.event_id").alias("last_view"))
+
+
+@query(f"""with {_E} select event_id from e where event_type = 'purchase' and not exists (select 1 from e c where c.user_id = e.user_id and c.event_type = 'click' and c.t between e.t - {6 * HOUR} and e.t + {6 * HOUR})""")
+def anti_tolerance(spark, sf):
+    """Purchases without a click within six hours."""
+    e = _events(spark, sf).select("event_id", "user_id", "event_type", "t")
+    c = e.where("event_type = 'click'").select("user_id", (F.col("t") - 6 * HOUR).alias("a"), (F.col("t") + 6 * HOUR).alias("z"))
+    return matching.points_in_intervals(e.where("event_type = 'purchase'"), c, ["user_id"], "t", "a", "z", 12 * HOUR, how="left_anti").select("event_id")
+
+
+@query("""with x as (select event_id, (epoch_us(ts) // 1000000) as s from events) select event_id, (s - 300 * round_even(s / 300.0, 0))::bigint as away from x where abs(s - 300 * round_even(s / 300.0, 0)) <= 35""")
+def grid_snap(spark, sf):
+    """Events within 35 seconds of a five-minute grid, with the signed distance."""
+    x = _events(spark, sf).select("event_id", scalar.snap(F.expr("t div 1000000"), 300).cast("long").alias("away"))
+    return x.where(F.abs("away") <= 35)
+
+
+@query("""with d as (select doc_id, string_split(lower(text), ' ') as w from documents), x as (select doc_id, w, unnest(range(1, len(w))) as i from d)
+    select doc_id, min(i) - 1 as place from x where w[i] = 'of' and w[i + 1] = 'the' group by doc_id""")
+def phrase_match(spark, sf):
+    """First place of a phrase."""
+    d = _read(spark, sf, "documents")
+    return matching.phrase_matches(d, "doc_id", F.split(F.lower("text"), " "), ["of", "the"])
+
+
+@query("""with k as (select distinct item_id, unnest(list_filter(list_distinct(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}_ ]', '', 'g'), ' ')), lambda w: length(w) >= 6)) as w from benchmark),
+    c as (select conv_id, turn, unnest(list_distinct(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}_ ]', '', 'g'), ' '))) as w from conversations)
+    select conv_id, turn, item_id, count(*) as hits from c join k on c.w = k.w group by all""")
+def keyword_match(spark, sf):
+    """J15, P13, T8 scores: distinct long benchmark words in each turn."""
+    tokens = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_ ]", ""), " ")
+    k = _read(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(tokens)).alias("w")).where(F.length("w") >= 6)
+    return matching.keyword_scores(_read(spark, sf, "conversations"), ["conv_id", "turn"], tokens, k, "item_id", "w")
+
+
+@query("""with s as (select distinct user_id, event_type || '/' || (epoch_us(ts) // 172800000000)::varchar as x from events), n as (select user_id, count(*) as n from s group by user_id),
+    o as (select a.user_id as a, b.user_id as b, count(*) as c from s a join s b on a.x = b.x and a.user_id < b.user_id group by all)
+    select a, b, c / (p.n + q.n - c) as jaccard from o join n p on p.user_id = a join n q on q.user_id = b where c / (p.n + q.n - c) >= 0.45""")
+def jaccard_pairs(spark, sf):
+    """Users alike in event types by two-day spans."""
+    s = _events(spark, sf).select("user_id", F.concat_ws("/", "event_type", F.expr("t div 172800000000").cast("string")).alias("x"))
+    return matching.jaccard_pairs(s, "user_id", "x", 0.45)
+
+
+@query("""with p as (select p_partkey as id, p_size as n, (p_partkey * 2654435761) & 4294967295 as h, p_size / 10.0 as len from part where p_partkey <= 100000000),
+    x as (select a.id as a, b.id as b, 64 - bit_count(xor(a.h, b.h)) as equal_bits from p a join p b on a.id < b.id and abs(a.len - b.len) <= greatest(0.3, 0.03 * greatest(a.len, b.len)))
+    select a, b, equal_bits::bigint as equal_bits from x where equal_bits >= 52""")
+def bit_agreement(spark, sf):
+    """Parts of like size whose derived 64-bit codes agree in 52 bits."""
+    p = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * F.lit(2654435761)).bitwiseAND(F.lit(4294967295)).alias("h"), (F.col("p_size") / 10.0).alias("len"))
+    return matching.hash_duplicates(p, "id", "len", "h", 52 / 64).select("a", "b", F.col("equal_bits").cast("long").alias("equal_bits"))
+
+
+@query("""with k as (select c_custkey, c_custkey % 100 as key from customer), n as (select distinct 'c' || (c_custkey % 1000)::varchar as name from customer),
+    w as (select distinct key::varchar as key from k), e as (select w.key, n.name from w join n on ends_with(n.name, w.key)) select key, min(name) as name, count(distinct name) as candidates from e group by key""")
+def fuzzy_keys(spark, sf):
+    """Names that end in a key, with the number of candidates."""
+    c = _read(spark, sf, "customer")
+    wanted = c.select((F.col("c_custkey") % 100).cast("string").alias("key")).distinct()
+    known = c.select(F.concat(F.lit("c"), (F.col("c_custkey") % 1000).cast("string")).alias("name")).distinct()
+    return matching.resolve_keys(wanted, known, "key", "name").select("key", "name", "candidates")
+
+
+@query("""select event_type, count(value) as n, min(value) as least, max(value) as greatest, quantile_cont(value, 0.5) as p50, quantile_cont(value, 0.9) as p90 from events group by event_type""")
+def percentile_bands(spark, sf):
+    """Exact percentiles by type."""
+    return aggregates.series_stats(_read(spark, sf, "events"), ["event_type"], "value").select("event_type", "n", "least", "greatest", "p50", "p90")
+
+
+@query("""with c as (select l_returnflag, median(l_quantity) as centre from lineitem group by l_returnflag)
+    select l.l_returnflag, centre, median(abs(l_quantity - centre)) as spread from lineitem l join c on l.l_returnflag = c.l_returnflag group by l.l_returnflag, centre""")
+def robust_mad(spark, sf):
+    """A16."""
+    return aggregates.robust(_read(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity", 1.0)
+
+
+@query("""select o_orderstatus, count(*) as n, round(regr_slope(o_custkey % 1000, o_orderkey % 1000) * 1e6)::bigint as slope_ppm from orders group by o_orderstatus""")
+def regression(spark, sf):
+    """A17, one round, in millionths."""
+    o = _read(spark, sf, "orders").select("o_orderstatus", (F.col("o_orderkey") % 1000).cast("double").alias("x"), (F.col("o_custkey") % 1000).cast("double").alias("y"))
+    return aggregates.fit_line(o, ["o_orderstatus"], "x", "y", 1).select("o_orderstatus", "n", F.round(F.col("slope") * 1e6).cast("long").alias("slope_ppm"))
+
+
+@query("""with l as (select l_orderkey as k, l_linenumber as x, l_quantity as y from lineitem)
+    select a.k as l_orderkey, count(*) as pairs, median((b.y - a.y) / (b.x - a.x)) as slope from l a join l b on a.k = b.k and a.x < b.x group by a.k""")
+def theil_sen(spark, sf):
+    """A18, first step: median slope of quantity over line number per order."""
+    l = _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"))
+    return aggregates.theil_sen(l, ["l_orderkey"], "l_linenumber", "q").select("l_orderkey", "pairs", "slope")
+
+
+@query("select md5(text) as text, count(*) as n, min(doc_id) as first, max(doc_id) as last from documents group by text having count(*) > 1")
+def duplicate_keys(spark, sf):
+    """A2: texts found more than once."""
+    return aggregates.duplicate_keys(_read(spark, sf, "documents").select(F.md5("text").alias("text"), "doc_id"), "text", "doc_id")
+
+
+@query("""with x as (select event_type, hour(ts) as bin, count(*) as n from events group by all), b as (select event_type, unnest(range(0, 26)) as bin from (select distinct event_type from events))
+    select b.event_type, b.bin, coalesce(n, 0) as n from b left join x on b.event_type = x.event_type and b.bin = x.bin""")
+def time_bins(spark, sf):
+    """A5: samples per hour of day, empty bins with 0."""
+    e = _read(spark, sf, "events").select("event_type", F.hour("ts").alias("h"), "value")
+    return aggregates.binned_means(e, ["event_type"], "h", "value", 1, 0, 26).select("event_type", "bin", "n")
+
+
+@query("""with p as (select l_returnflag, l_linenumber % 4 as phase, avg(l_quantity) as m from lineitem group by all) select l_returnflag, (list(phase order by m desc, phase))[1] as phase from p group by l_returnflag""")
+def best_phase(spark, sf):
+    """A7, A8."""
+    l = _read(spark, sf, "lineitem").select("l_returnflag", "l_linenumber", "l_quantity")
+    return aggregates.best_phase(l, ["l_returnflag"], "l_linenumber", "l_quantity", 4)
+
+
+@query("""with w as (select user_id, event_type, sum(case when value > 100 then 10 else 6 end) as w from events group by all), r as (select *, row_number() over (partition by user_id order by w desc, event_type) as r from w) select user_id, event_type as winner from r where r = 1""")
+def weighted_vote(spark, sf):
+    """Sure votes count 10, guessed ones 6."""
+    return aggregates.weighted_vote(_read(spark, sf, "events"), ["user_id"], "event_type", F.when(F.col("value") > 100, 10).otherwise(6)).select("user_id", "winner")
+
+
+@query("""with c as (select user_id, event_type, count(*) as c from events group by all), r as (select *, row_number() over (partition by user_id order by c desc, event_type) as r from c) select user_id, event_type as mode, c as n from r where r = 1""")
+def mode_tie(spark, sf):
+    """A12 with a stated tie rule."""
+    return aggregates.mode(_read(spark, sf, "events"), ["user_id"], "event_type")
+
+
+@query("select l_partkey, count(distinct l_suppkey) as groups from lineitem group by l_partkey having count(distinct l_suppkey) > 1")
+def items_in_groups(spark, sf):
+    """Parts of several suppliers."""
+    return aggregates.distinct_by_group(_read(spark, sf, "lineitem").select("l_partkey", "l_suppkey"), "l_suppkey", "l_partkey")
+
+
+@query("""with r as (select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by l_quantity desc, l_discount, l_orderkey, l_linenumber) as rank from lineitem) select * from r where rank <= 3""")
+def priority_topk(spark, sf):
+    """Three best lines of a supplier."""
+    l = _read(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+    return selection.first_by_priority(l, ["l_suppkey"], [F.desc("l_quantity"), F.col("l_discount"), F.col("l_orderkey"), F.col("l_linenumber")], 3).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
+
+
+@query(f"""with {_E}, x as (select *, case when event_type = 'purchase' and value > 50 then 0 when event_type = 'purchase' then 1 when value > 200 then 2 end as level from e),
+    r as (select *, row_number() over (partition by user_id order by level, value desc, event_id) as k from x where level is not null) select user_id, event_id, level from r where k = 1""")
+def fallback_levels(spark, sf):
+    """The best event of the first level that has any."""
+    p = F.col("event_type") == "purchase"
+    return selection.first_level(_events(spark, sf), ["user_id"], [p & (F.col("value") > 50), p, F.col("value") > 200], [F.desc("value"), F.col("event_id")]).select("user_id", "event_id", "level")
+
+
+@query("""with r as (select *, row_number() over (partition by lang, source order by doc_id) as f from documents) select lang, source, doc_id, n_chars from r where f = 1""")
+def first_wins_dedupe(spark, sf):
+    """First document per language and source."""
+    return sets.one_per_key(_read(spark, sf, "documents").select("lang", "source", "doc_id", "n_chars"), ["lang", "source"], F.col("doc_id"))
+
+
+@query("""with r as (select *, row_number() over (partition by lang, source order by doc_id desc) as f from documents) select lang, source, doc_id, n_chars from r where f = 1""")
+def last_wins(spark, sf):
+    """S1, N7."""
+    return sets.one_per_key(_read(spark, sf, "documents").select("lang", "source", "doc_id", "n_chars"), ["lang", "source"], F.col("doc_id"), last=True)
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def set_difference(spark, sf):
+    """Documents without labels."""
+    return sets.difference(_read(spark, sf, "documents").select("doc_id"), _read(spark, sf, "labels"), "doc_id")
+
+
+@query("""with f as (select o_orderkey as ord, 'id' || (o_orderkey % 5000)::varchar as id, 's' || (o_custkey % 300)::varchar as stem, o_orderkey % 7 as bytes from orders),
+    a as (select * from f qualify row_number() over (partition by id order by ord) = 1), b as (select * from a qualify row_number() over (partition by stem, bytes order by ord) = 1)
+    select ord, id, stem, bytes, case when row_number() over (partition by stem order by ord) = 1 then stem else stem || '~' || substring(id, 1, 6) end as name from b""")
+def manifest_union(spark, sf):
+    """Ids once, then stem and size once, and a new name where a stem returns with another size."""
+    f = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("id"), F.col("o_orderkey") % 5000).alias("id"), F.concat(F.lit("s"), F.col("o_custkey") % 300).alias("stem"), (F.col("o_orderkey") % 7).alias("bytes"))
+    return sets.manifest_union(f)
+
+
+@query("""with x as (select o_orderkey, case when o_orderdate is null then 1 else 0 end as d, o_totalprice, o_custkey from orders), l as (select l_orderkey, count(*) as n, sum(l_quantity) as q from lineitem group by l_orderkey)
+    select 'no_lines' as rule, 'ERROR' as status, o_orderkey::varchar as subject, null::varchar as detail from x where o_orderkey not in (select l_orderkey from l)
+    union all select 'many_lines', 'WARNING', l_orderkey::varchar, n::varchar from l where n > 6
+    union all select 'price_nothing', 'ERROR', o_orderkey::varchar, o_custkey::varchar from x where o_totalprice <= 0""")
+def rule_rows(spark, sf):
+    """V1 to V10 pattern: findings of three rules over orders and lines."""
+    o, l = _read(spark, sf, "orders"), _read(spark, sf, "lineitem").select("l_orderkey")
+    none = sets.difference(o.select(F.col("o_orderkey").alias("l_orderkey")), l, "l_orderkey").select(F.col("l_orderkey").alias("subject"), F.lit(None).cast("string").alias("detail"))
+    return rules.findings([
+        rules.Rule("no_lines", "ERROR", none),
+        rules.having("many_lines", "WARNING", l, ["l_orderkey"], F.count("*"), F.col("measure") > 6),
+        rules.where("price_nothing", "ERROR", o, F.col("o_totalprice") <= 0, F.col("o_orderkey"), F.col("o_custkey")),
+    ])
+
+
+@query("""select page_id, case when regexp_matches(lower(url), '\\.(jpg|jpeg|png|heic)$') then 'photo' when regexp_matches(lower(url), '\\.(mp4|mov|m4v|avi|mkv)$') then 'video' when regexp_matches(lower(url), '\\.(mp3|wav|m4a|flac)$') then 'audio' else 'document' end as kind from pages""")
+def file_kind(spark, sf):
+    """Kind of a page by type, then extension."""
+    return _read(spark, sf, "pages").select("page_id", scalar.file_kind(F.lit("text/html"), F.col("url")).alias("kind"))
+
+
+@query("""select conv_id, turn, len(regexp_extract_all(text, '[.!?…](\\s|$)')) as ends from conversations""")
+def sentence_ends(spark, sf):
+    """Terminators per turn."""
+    return _read(spark, sf, "conversations").select("conv_id", "turn", F.size(F.regexp_extract_all("text", F.lit(r"([.!?…])(\s|$)"), F.lit(0))).alias("ends"))
+
+
+@query("""with t as (select conv_id, turn, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from conversations),
+    s as (select *, coalesce(sum(case when regexp_matches(w, '[.!?…]["\\'')\\]]*$') then 1 else 0 end) over (partition by conv_id order by turn, i rows between unbounded preceding and 1 preceding), 0) as sentence from t)
+    select conv_id, sentence::bigint as sentence, count(*) as n_words from s group by conv_id, sentence""")
+def sentence_assembly(spark, sf):
+    """Sentences across the turns of a conversation."""
+    t = _read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    w = Window.partitionBy("conv_id").orderBy("turn", "i").rowsBetween(Window.unboundedPreceding, -1)
+    s = t.withColumn("sentence", F.coalesce(F.sum(scalar.sentence_end(F.col("w")).cast("int")).over(w), F.lit(0)).cast("long"))
+    return s.groupBy("conv_id", "sentence").agg(F.count("*").alias("n_words"))
+
+
+@query("""select user_id, event_type, count(*) as n, grouping(user_id) as g from events group by grouping sets ((user_id, event_type), (event_type), ())""")
+def grouping_extension(spark, sf):
+    """Beyond the reference: grouping sets."""
+    e = _read(spark, sf, "events")
+    return e.groupingSets([["user_id", "event_type"], ["event_type"], []], "user_id", "event_type").agg(F.count("*").alias("n"), F.grouping("user_id").cast("long").alias("g"))
+
+
+@query(f"""with {_E}, s as (select *, case when t - lag(t) over (partition by user_id order by t) < {HOUR // 2} then 0 else 1 end as new from e),
+    k as (select *, sum(new) over (partition by user_id order by t rows unbounded preceding) as grp from s) select user_id, count(*) as n, min(t) as start from k group by user_id, grp""")
+def session_extension(spark, sf):
+    """Beyond the reference: session windows, the same on a stream."""
+    s = streaming.sessions(_read(spark, sf, "events"), ["user_id"], "ts")
+    return s.select("user_id", "n", scalar.micros("start").alias("start"))
+
+
+@query()
+def greedy_topn_spaced(spark, sf):
+    """Best events of a user six hours apart."""
+    return selection.spaced_top(_events(spark, sf).withColumn("hours", F.col("t") / HOUR), ["user_id"], "hours", "value", 6.0, 5)
+
+
+@query()
+def merged_cuts(spark, sf):
+    """The cut fold."""
+    c = _events(spark, sf).select("user_id", (F.col("t") / HOUR).alias("start"), ((F.col("t") / HOUR) + F.col("value") / 1000).alias("end"), F.col("event_type").alias("why"))
+    return selection.merged_cuts(c, ["user_id"], "start", "end", "why")
+
+
+@query()
+def limiter_curve(spark, sf):
+    """W29."""
+    e = _events(spark, sf).select("user_id", "event_id", "t", (F.least(F.col("value"), F.lit(100.0)) / 100).alias("target"))
+    return selection.along(e, ["user_id"], ["t"], ["target"], "level", "double", lambda x: selection.limiter(x, 0.2, 0.05))
+
+
+@query()
+def dead_zone_follow(spark, sf):
+    """W30."""
+    e = _events(spark, sf).select("user_id", "event_id", "t", "value")
+    return selection.along(e, ["user_id"], ["t"], ["value"], "position", "double", lambda x: selection.follow(x, 20.0, 15.0))
+
+
+@query()
+def viterbi_labels(spark, sf):
+    """Two labels by distance to 20 and 200 with a price per change."""
+    import numpy as np
+
+    e = _events(spark, sf).select("user_id", "event_id", "t", "value")
+    return selection.along(e, ["user_id"], ["t"], ["value"], "label", "long", lambda x: selection.label_path(-np.abs(x[:, None] - np.array([[20.0, 200.0]])), 60.0))
+
+
+@query()
+def min_cost_groups(spark, sf):
+    """Words of the first document lines by the least-cost grouping."""
+    t = _read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("width", F.length("w").cast("double")).withColumn("stop", scalar.sentence_end(F.col("w")))
+    return selection.along(t, ["conv_id", "turn"], ["i"], ["width", "stop"], "line", "long", lambda a, b: selection.word_groups(list(a), list(b)))
+
+
+@query()
+def cosine_assign(spark, sf):
+    """Nearest label centroid of every vector."""
+    e = _read(spark, sf, "embeddings")
+    return similarity.assign(e, "vec_id", "embedding", similarity.centroids(e, "label", "embedding"), "label")
+
+
+@query()
+def average_linkage(spark, sf):
+    """Groups within a label."""
+    return similarity.grouped(_read(spark, sf, "embeddings"), ["label"], "vec_id", "embedding", 0.7)
+
+
+@query()
+def resampled_signal(spark, sf):
+    """Hourly values between the events of a user."""
+    e = _events(spark, sf)
+    grid = e.groupBy("user_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).select("user_id", F.explode(F.expr(f"sequence(a, b, {6 * HOUR}L)")).alias("t"))
+    return intervals.interpolate(e, grid, ["user_id"], "t", "value")
+
+
+@query()
+def timeline_marks(spark, sf):
+    """K5: coverage of sessions as text."""
+    e = _events(spark, sf)
+    low, high = e.agg(F.min("t"), F.max("t")).first()
+    return manifest.timeline(_sessions(e), "user_id", "start", "end", low, high)
