@@ -57,7 +57,9 @@ def automaton(items: list[tuple[int, str]], width: int = WIDTH) -> ahocorasick.A
     return found
 
 
-def _scan(shared, block: str, width: int):
+def _scan(shared, block: str, width: int, judge: bool):
+    """Add the spans of one block; the last scan also judges, so that a task has one Python worker."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if block not in _built:
             _built.clear()  # a worker holds one automaton at a time
@@ -79,6 +81,9 @@ def _scan(shared, block: str, width: int):
                             end = int(gaps[last]) - 1  # words before the closing space
                             own.extend({"start": end - n, "end": end, "item": i} for i in ids)
                 spans.append(own)
+            if judge:
+                yield _judged(batch["doc_id"], counts, spans)
+                continue
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["text"], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.int64())])))],
                 names=["doc_id", "text", "n_words", "spans"],
@@ -87,8 +92,8 @@ def _scan(shared, block: str, width: int):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, n_words and spans (word numbers [start, end) and item) of every document."""
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", judge: bool = False) -> DataFrame:
+    """doc_id, text, n_words and spans (word numbers [start, end) and item) of every document; if judged, the counts instead of text and spans."""
     spark = docs.sparkSession
     kernel.small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
@@ -97,25 +102,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_byt
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int,item:long>>").alias("spans"))
     for b in range(blocks):
         own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(own), uuid.uuid4().hex, width), f"doc_id long, text string, n_words long, {_SPANS}")
+        last = judge and b == blocks - 1
+        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(own), uuid.uuid4().hex, width, last), JUDGED if last else f"doc_id long, text string, n_words long, {_SPANS}")
     return out
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_hit, n_items, sha = [], [], []
-        for n, spans in zip(batch["n_words"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-            if spans:
-                step = np.zeros(n + 1, np.int32)
-                np.add.at(step, [s["start"] for s in spans], 1)
-                np.add.at(step, [s["end"] for s in spans], -1)
-                n_hit.append(int((np.cumsum(step[:-1]) > 0).sum()))
-            else:
-                n_hit.append(0)
-            ids = sorted({str(s["item"]) for s in spans or ()})
-            n_items.append(len(ids))
-            sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_words"], pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+JUDGED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
+
+
+def _judged(doc_ids: pa.Array, counts: list[int], found: list[list[dict]]) -> pa.RecordBatch:
+    n_hit, n_items, sha = [], [], []
+    for n, spans in zip(counts, found, strict=True):
+        if spans:
+            step = np.zeros(n + 1, np.int32)
+            np.add.at(step, [s["start"] for s in spans], 1)
+            np.add.at(step, [s["end"] for s in spans], -1)
+            n_hit.append(int((np.cumsum(step[:-1]) > 0).sum()))
+        else:
+            n_hit.append(0)
+        ids = sorted({str(s["item"]) for s in spans})
+        n_items.append(len(ids))
+        sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
+    return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
 
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -129,5 +137,5 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a hit, and hit words are a twentieth of all at least) of every document."""
-    judged = matches(docs, benchmark, width, **options).mapInArrow(_judge, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string")
+    judged = matches(docs, benchmark, width, judge=True, **options)
     return judged.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))

@@ -13,6 +13,7 @@ of their own; an empty table gives no piece. sequence_id is unique: the partitio
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -39,15 +40,22 @@ def encoder(name: str):
     if name not in _encoders:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(public_tokenizers.path(name))
-        special = [t.content for t in whole.get_added_tokens_decoder().values()]
+        with open(public_tokenizers.path(name)) as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
+        whole = []
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb"))}  # noqa: SIM115
         fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
         def encode(texts: list[str]) -> list[list[int]]:
-            return [whole.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
+            return [exact(t) if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
+
+        def exact(text: str) -> list[int]:
+            if not whole:
+                from tokenizers import Tokenizer
+
+                whole.append(Tokenizer.from_file(public_tokenizers.path(name)))
+            return whole[0].encode(text, add_special_tokens=False).ids
 
         _encoders[name] = encode
     return _encoders[name]
