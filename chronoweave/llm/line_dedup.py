@@ -215,9 +215,9 @@ def _cross(edits: int, per: int):
 
 def _across(members: DataFrame, comps: DataFrame, lines: DataFrame, edits: int, per: int) -> DataFrame:
     """Links across classes in index entries that hold several; lines travel with their entries, so pairs that don't link are never rows."""
-    placed = members.join(comps, "node", "left").select("shard", "node", F.coalesce("component", "node").alias("comp"))
-    # Two members are one pair, and that pair was held against the other already.
-    mixed = placed.groupBy("shard").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x != y and size > 2")
+    # An entry's leader was held against all its members already.
+    placed = members.where("node != leader").join(comps, "node", "left").select("shard", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = placed.groupBy("shard").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x != y")
     mixed = mixed.select("shard", F.ceil(F.col("size") / TILE).cast("int").alias("t"))
     rows = placed.join(mixed, "shard").withColumn("tile", F.expr("cast(pmod(xxhash64(node), t) as int)"))
     rows = rows.select("shard", "tile", "node", "comp", F.explode(F.expr("sequence(0, t - 1)")).alias("other")).join(lines.select("node", "line"), "node")

@@ -6,9 +6,9 @@ some group holds the very same shingles in both. The index is therefore sharded
 the tree: size class, group number, hash of the group's shingles), and inside a shard an R-tree over count vectors bounds the overlap
 of a pair by the sum of the smaller coordinates; what survives the bound is verified on the sets themselves.
 
-Equal sets are one node from the start. Inside a shard, members are first held against the shard's first and last member;
-only shards whose members still lie in several components go through the tree, and there only pairs across components
-are compared. That leaves no link between different texts out and makes no pairs within a group of copies.
+Equal sets are one node from the start. Inside a shard, members are first held against the shard's leader, then those apart from it against a drawn one;
+only the shards of a leader whose members still lie in several components go through the tree, and there only pairs
+across components are compared. That leaves no link between different texts out and makes no pairs within a group of copies.
 
 Memory: a shard of over ``tile`` members is dealt into tiles by a hash, and each pair of tiles is one group of rows.
 
@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 from . import graph, kernel, store
 
 RATIO = 1.5
-DIMS = 64
+LEAST_BITS, MOST_BITS, PER_DIM = 6, 15, 2
 LEAF = 32
 TILE = 2048
 SALT = 4096
+PIVOTS = 2
 
 
 def least_overlap(a, b, percent: int):
@@ -182,7 +183,11 @@ def _contents(width: int, salt: int):
             for part in kernel.chunks(batch["text"]):
                 at, h = sets(part, width)
                 n = np.bincount(at, minlength=part.rows)
-                vectors = np.bincount(at * DIMS + (h % np.uint64(DIMS)).astype(np.int64), minlength=part.rows * DIMS).astype("<u4").reshape(-1, DIMS)
+                bits = vector_bits(n)
+                base = np.append(0, np.cumsum(1 << bits))
+                slot = base[at] + (h >> (64 - bits[at]).astype(np.uint64)).astype(np.int64)
+                vectors = np.bincount(slot, minlength=base[-1])
+                vectors = np.minimum(vectors, 255).astype(np.uint8)
                 cut = np.append(0, np.cumsum(n))
                 own = h.astype("<u8")
                 fine = np.sort((at << 16 | (h >> np.uint64(48)).astype(np.int64))) & 0xFFFF
@@ -191,7 +196,7 @@ def _contents(width: int, salt: int):
                     [
                         pa.array(_node(at, h, part.rows, salt)),
                         pa.array(n, pa.int64()),
-                        pa.array([v.tobytes() for v in vectors], pa.binary()),
+                        pa.array([vectors[a:b].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)], pa.binary()),
                         pa.array([fine[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                         pa.array([own[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                     ],
@@ -201,14 +206,40 @@ def _contents(width: int, salt: int):
     return run
 
 
+def vector_bits(n: np.ndarray) -> np.ndarray:
+    """Dimensions of a set's count vector, as a power of two: about one to PER_DIM members, so that chance overlap stays below the bound at any size."""
+    return np.clip(np.ceil(np.log2(np.maximum(n, 1) / PER_DIM)), LEAST_BITS, MOST_BITS).astype(np.int64)
+
+
+def _points(column, width: int | None = None) -> np.ndarray:
+    """Count vectors of a binary column, folded to the narrowest (groups are leading bits of hashes, so neighbours add up).
+
+    Counts stop at 255; what a set has beyond that is its size less the sum, and counts as overlap in bounds.
+    """
+    raw = column.to_pylist()
+    sizes = np.array([len(b) for b in raw])
+    width = width or int(sizes.min())
+    out = np.empty((len(raw), width), np.uint16)
+    for size in np.unique(sizes):
+        where = np.flatnonzero(sizes == size)
+        own = np.frombuffer(b"".join([raw[k] for k in where]), np.uint8).reshape(len(where), width, -1)
+        out[where] = own.sum(2, dtype=np.uint16)
+    return out
+
+
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            va, vb = (np.frombuffer(b"".join(batch[c].to_pylist()), "<u4").reshape(-1, DIMS) for c in ("va", "vb"))
-            need = least_overlap(batch["na"].to_numpy(), batch["nb"].to_numpy(), percent)
-            keep = np.minimum(va, vb).sum(1) >= need
+            na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
+            bits = vector_bits(np.minimum(na, nb))
+            keep = np.zeros(len(na), bool)
+            for w in np.unique(bits):
+                where = np.flatnonzero(bits == w)
+                va, vb = (_points(batch[c].take(pa.array(where)), 1 << int(w)) for c in ("va", "vb"))
+                bound = np.minimum(va, vb).sum(1, dtype=np.int64) + np.minimum(na[where] - va.sum(1, dtype=np.int64), nb[where] - vb.sum(1, dtype=np.int64))
+                keep[where] = bound >= least_overlap(na[where], nb[where], percent)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(pa.array(keep)), batch["b"].filter(pa.array(keep))], names=["a", "b"])
 
     return run
@@ -274,14 +305,15 @@ def tree_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarra
     """
     wide = np.argsort(-vec.var(0))[:2] if len(vec) else [0, 0]
     order = np.lexsort((vec[:, wide[1]], vec[:, wide[0]] // 4, n))
-    node, comp, n, vec = node[order], comp[order], n[order], vec[order].astype(np.int64)
+    node, comp, n, vec = node[order], comp[order], n[order], vec[order]
+    beyond = n - vec.sum(1, dtype=np.int64)
     side = side[order] if side is not None else None
     cuts = np.arange(0, len(node), LEAF)
-    top, low, high = np.maximum.reduceat(vec, cuts), np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts)
+    top, low, high, most = np.maximum.reduceat(vec, cuts), np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts), np.maximum.reduceat(beyond, cuts)
     found = []
     for i, start in enumerate(cuts):
         a = slice(start, start + LEAF)
-        bound = np.minimum(top[i], top[i:]).sum(1)
+        bound = np.minimum(top[i], top[i:]).sum(1, dtype=np.int64) + np.minimum(most[i], most[i:])
         near = i + np.flatnonzero((bound >= least_overlap(low[i], low[i:], percent)) & (percent * low[i:] <= 100 * high[i]))
         for j in near:
             b = slice(cuts[j], cuts[j] + LEAF)
@@ -294,7 +326,7 @@ def tree_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarra
             if not len(x):
                 continue
             x, y = x + start, y + cuts[j]
-            fits = np.minimum(vec[x], vec[y]).sum(1) >= least_overlap(n[x], n[y], percent)
+            fits = np.minimum(vec[x], vec[y]).sum(1, dtype=np.int64) + np.minimum(beyond[x], beyond[y]) >= least_overlap(n[x], n[y], percent)
             found.append((node[x[fits]], node[y[fits]]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -303,27 +335,41 @@ def tree_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarra
 
 
 def _tiles(percent: int):
-    """Sorted (shard, i, j, tile, node, comp, n, vec) -> surviving pairs within a tile (i = j) or between two."""
+    """Sorted (leader, i, j, tile, node, comp, n, vec) -> surviving pairs within a tile (i = j) or between two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in kernel.sorted_groups(batches, 3):
             col = {c: group[c].to_numpy() for c in ("i", "j", "tile", "node", "comp", "n")}
-            vec = np.frombuffer(b"".join(group["vec"].to_pylist()), "<u4").reshape(-1, DIMS)
+            vec = _points(group["vec"])
             a, b = tree_pairs(col["node"], col["comp"], col["n"], vec, percent, None if col["i"][0] == col["j"][0] else col["tile"])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
 
-def _across(members: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Surviving pairs across components in shards that hold several."""
-    placed = members.join(comps, "node", "left").select("shard", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = placed.groupBy("shard").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x != y")
-    mixed = mixed.select("shard", F.ceil(F.col("size") / TILE).cast("int").alias("t"))
-    rows = placed.join(mixed, "shard").withColumn("tile", F.expr("cast(pmod(xxhash64(node), t) as int)"))
-    rows = rows.select("shard", "tile", "node", "comp", F.explode(F.expr("sequence(0, t - 1)")).alias("other"))
-    rows = rows.select("shard", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp").join(nodes.select("node", "n", "vec"), "node")
-    rows = rows.select("shard", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "tile", "node", "comp", "n", "vec").repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+def _pivots(stars: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
+    """A further star per leader: one of the members outside the leader's component, drawn by a hash, with those outside the drawn one's component too."""
+    own = stars.join(comps, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("comp"))
+    of_leader = comps.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
+    out = own.join(of_leader, "leader", "left").where(F.col("comp") != F.coalesce("lead", "leader")).select("leader", "node", "comp")
+    drawn = out.groupBy("leader").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("p"), F.count("*").alias("n")).where("n > 1")
+    pairs = out.join(drawn, "leader").where("comp != p.comp")
+    return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def _across(stars: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Surviving pairs across components among the nodes that share a shard with one leader.
+
+    Shards with the same leader are one group here: near copies share many shards, and a pair is then met once, not once a
+    shard. Pairs with the leader itself were held already.
+    """
+    placed = stars.join(comps, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("comp"))
+    mixed = placed.groupBy("leader").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x != y")
+    mixed = mixed.select("leader", F.ceil(F.col("size") / TILE).cast("int").alias("t"))
+    rows = placed.join(mixed, "leader").withColumn("tile", F.expr("cast(pmod(xxhash64(node), t) as int)"))
+    rows = rows.select("leader", "tile", "node", "comp", F.explode(F.expr("sequence(0, t - 1)")).alias("other"))
+    rows = rows.select("leader", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "node", "comp").join(nodes.select("node", "n", "vec"), "node")
+    rows = rows.select("leader", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "tile", "node", "comp", "n", "vec").repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
     return rows.mapInArrow(_tiles(percent), "a long, b long").distinct()
 
 
@@ -347,10 +393,13 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     involved = members.select("node").distinct().join(classes, "node").where("first is not null").select(F.col("first").alias("doc_id")).distinct()
     content = store.semi(rows, store.written(involved, "involved"), "doc_id").select("text")
     nodes = store.written(content.mapInArrow(_contents(width, salt), "node long, n long, vec binary, fine binary, members binary"), "nodes")
-    stars = members.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    links = store.written(verified(bounded(stars, nodes, percent), nodes, percent), "star-links")
+    stars = store.written(members.where("node != leader").select("leader", "node").distinct(), "stars")
+    links = store.written(verified(bounded(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), nodes, percent), nodes, percent), "star-links")
     comps = store.written(graph.components(links), "components")
-    more = store.written(verified(_across(members, comps, nodes, percent), nodes, percent), "tree-links")
+    for turn in range(PIVOTS):
+        links = links.union(store.written(verified(bounded(_pivots(stars, comps, turn), nodes, percent), nodes, percent), "pivot-links"))
+        comps = store.written(graph.components(links), "components")
+    more = store.written(verified(_across(stars, comps, nodes, percent), nodes, percent), "tree-links")
     if more.limit(1).count():
         comps = store.written(graph.components(links.union(more)), "components")
     placed = classes.select("node", "first").join(comps, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
