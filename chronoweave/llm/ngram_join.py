@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from . import graph, kernel, store
 
 RATIO = 1.5
-LEAST_BITS, MOST_BITS, PER_DIM = 6, 15, 2
+LEAST_BITS, MOST_BITS, PER_DIM = 9, 15, 2
 LEAF = 32
 TILE = 2048
 SALT = 4096
