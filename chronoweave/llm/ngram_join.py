@@ -6,7 +6,7 @@ some group holds the very same shingles in both. The index is therefore sharded
 the tree: size class, group number, hash of the group's shingles), and inside a shard an R-tree over count vectors bounds the overlap
 of a pair by the sum of the smaller coordinates; what survives the bound is verified on the sets themselves.
 
-Equal sets are one node from the start. Inside a shard, members are first held against the shard's leader, then those apart from it against a drawn one;
+Equal sets are one node from the start. Inside a shard, members are first held against the shard's leader, then those apart from it against a few drawn ones;
 only the shards of a leader whose members still lie in several components go through the tree, and there only pairs
 across components are compared. That leaves no link between different texts out and makes no pairs within a group of copies.
 
@@ -33,7 +33,7 @@ LEAST_BITS, MOST_BITS, PER_DIM = 9, 15, 2
 LEAF = 32
 TILE = 2048
 SALT = 4096
-PIVOTS = 2
+PIVOTS = 4
 
 
 def least_overlap(a, b, percent: int):
@@ -176,7 +176,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(width: int, salt: int):
-    """text -> node, size, count vector, the same over FINE groups in sparse form (a sorted group number per shingle), and the set, as bytes."""
+    """text -> node, size, count vector and the set, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,17 +190,14 @@ def _contents(width: int, salt: int):
                 vectors = np.minimum(vectors, 255).astype(np.uint8)
                 cut = np.append(0, np.cumsum(n))
                 own = h.astype("<u8")
-                fine = np.sort((at << 16 | (h >> np.uint64(48)).astype(np.int64))) & 0xFFFF
-                fine = fine.astype("<u2")
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(_node(at, h, part.rows, salt)),
                         pa.array(n, pa.int64()),
                         pa.array([vectors[a:b].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)], pa.binary()),
-                        pa.array([fine[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                         pa.array([own[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                     ],
-                    names=["node", "n", "vec", "fine", "members"],
+                    names=["node", "n", "vec", "members"],
                 )
 
     return run
@@ -253,24 +250,15 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_bounded(percent), "a long, b long")
 
 
-def _distinct(sorted_values: np.ndarray) -> np.ndarray:
-    """Equal values told apart by their rank, so that sets of these intersect as often as the multisets do."""
-    v = sorted_values.astype(np.int64)
-    first = np.append(True, v[1:] != v[:-1])
-    rank = np.arange(len(v)) - np.maximum.accumulate(np.where(first, np.arange(len(v)), 0))
-    return v << 32 | rank
-
-
-def _compare(percent: int, kind: str):
-    """Rows sorted by a, salt and role: the content of a, then those of its partners. Passes pairs on whose overlap, or bound of it, is enough."""
-    read = (lambda b: _distinct(np.frombuffer(b, "<u2"))) if kind == "fine" else (lambda b: np.frombuffer(b, "<u8"))
+def _compare(percent: int):
+    """Rows sorted by a, salt and role: the set of a, then those of its partners. Passes pairs on that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = None
         for batch in batches:
             out_a, out_b = [], []
-            for a, role, b, content in zip(*(batch[c].to_pylist() for c in ("a", "role", "b", kind)), strict=True):
-                own = read(content)
+            for a, role, b, members in zip(*(batch[c].to_pylist() for c in ("a", "role", "b", "members")), strict=True):
+                own = np.frombuffer(members, "<u8")
                 if role == 0:
                     head = own
                 elif len(np.intersect1d(head, own, assume_unique=True)) >= least_overlap(len(head), len(own), percent):
@@ -281,21 +269,17 @@ def _compare(percent: int, kind: str):
     return run
 
 
-def _held(pairs: DataFrame, nodes: DataFrame, percent: int, kind: str) -> DataFrame:
-    """Pairs that pass on one kind of content. A node with many partners is dealt into salts of about SALT partners, each with the node's own content."""
+def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that link. A node with many partners is dealt into salts of about SALT partners, each with the node's own set."""
+    pairs = store.written(pairs, "pairs")  # used twice, and dear to make
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).alias("salts"))
-    dealt = store.written(pairs.join(many, "a").select("a", F.expr("pmod(xxhash64(b), salts)").alias("salt"), "b"), "pairs")
+    dealt = store.written(pairs.join(many, "a").select("a", F.expr("pmod(xxhash64(b), salts)").alias("salt"), "b"), "dealt")
     used = store.written(dealt.select(F.col("a").alias("node")).union(dealt.select("b")).distinct(), "used")
-    content = store.semi(nodes.select("node", kind), used, "node")
-    partner = dealt.join(content.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", kind)
-    head = dealt.select("a", "salt").distinct().join(content.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), kind)
+    content = store.semi(nodes.select("node", "members"), used, "node")
+    partner = dealt.join(content.withColumnRenamed("node", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "members")
+    head = dealt.select("a", "salt").distinct().join(content.withColumnRenamed("node", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "members")
     rows = head.union(partner).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return rows.mapInArrow(_compare(percent, kind), "a long, b long")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that link: the bound over fine groups takes two bytes a shingle, and only what survives it is compared on the sets."""
-    return _held(store.written(_held(pairs, nodes, percent, "fine"), "bounded"), nodes, percent, "members")
+    return rows.mapInArrow(_compare(percent), "a long, b long")
 
 
 def tree_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -347,12 +331,13 @@ def _tiles(percent: int):
     return run
 
 
-def _pivots(stars: DataFrame, comps: DataFrame, turn: int) -> DataFrame:
-    """A further star per leader: one of the members outside the leader's component, drawn by a hash, with those outside the drawn one's component too."""
+def _pivots(stars: DataFrame, comps: DataFrame) -> DataFrame:
+    """Further stars per leader: PIVOTS members outside the leader's component, drawn by hashes, each with those outside the leader's and its own component."""
     own = stars.join(comps, "node", "left").select("leader", "node", F.coalesce("component", "node").alias("comp"))
     of_leader = comps.select(F.col("node").alias("leader"), F.col("component").alias("lead"))
     out = own.join(of_leader, "leader", "left").where(F.col("comp") != F.coalesce("lead", "leader")).select("leader", "node", "comp")
-    drawn = out.groupBy("leader").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("p"), F.count("*").alias("n")).where("n > 1")
+    draws = [F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))) for turn in range(PIVOTS)]
+    drawn = out.groupBy("leader").agg(F.array_distinct(F.array(*draws)).alias("drawn"), F.count("*").alias("n")).where("n > 1").select("leader", F.explode("drawn").alias("p"))
     pairs = out.join(drawn, "leader").where("comp != p.comp")
     return pairs.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
 
@@ -392,12 +377,13 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
     members = store.written(shards.mapInArrow(_members, "shard long, node long, leader long"), "shards")
     involved = members.select("node").distinct().join(classes, "node").where("first is not null").select(F.col("first").alias("doc_id")).distinct()
     content = store.semi(rows, store.written(involved, "involved"), "doc_id").select("text")
-    nodes = store.written(content.mapInArrow(_contents(width, salt), "node long, n long, vec binary, fine binary, members binary"), "nodes")
+    nodes = store.written(content.mapInArrow(_contents(width, salt), "node long, n long, vec binary, members binary"), "nodes")
     stars = store.written(members.where("node != leader").select("leader", "node").distinct(), "stars")
     links = store.written(verified(bounded(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), nodes, percent), nodes, percent), "star-links")
     comps = store.written(graph.components(links), "components")
-    for turn in range(PIVOTS):
-        links = links.union(store.written(verified(bounded(_pivots(stars, comps, turn), nodes, percent), nodes, percent), "pivot-links"))
+    drawn = store.written(verified(bounded(_pivots(stars, comps), nodes, percent), nodes, percent), "pivot-links")
+    if drawn.limit(1).count():
+        links = links.union(drawn)
         comps = store.written(graph.components(links), "components")
     more = store.written(verified(_across(stars, comps, nodes, percent), nodes, percent), "tree-links")
     if more.limit(1).count():
