@@ -1,14 +1,20 @@
 """Main text of pages by deduced templates.
 
-Tokens of a page are its structural tags, told apart by their path of containers, and its blocks of text outside the
-article. The occurrence vector of a token over the pages of its host is folded into an order-free sum of hashes, so
-that vectors of any length meet in partial sums; tokens of one host with the same vector form an equivalence class.
-A class is valid when it is found on two pages or more and its tokens nest in the same order; valid classes, from the one
-on most pages down, form the host's template. A page is then read against the template: template text is left out, and
-what stands in the remaining slots is kept if the slot lies in the article (or, without an article, in no container of
-menus, headers, footers, sidebars, notices, adverts, forms or comments).
-
-Text inside an article is never template text, so pages of a host that are copies keep their article.
+Tokens of a page are its structural tags, told apart by their path of containers, and its blocks of text. The occurrence
+vector of a token over the pages of its host is folded into an order-free sum of hashes, so that vectors of any length
+meet in partial sums; tokens of one host with the same vector form an equivalence class. Pages of a host with the same
+main text are one page there. A class is laid over the pages, from the class on most pages down. It is valid if
+
+* it has two tokens or more, one of them text, and is found on two pages or more, be they all pages of the host or not;
+  on half of the host's pages or fewer it must hold a tag too, as sentences that two pages share are no template;
+* it is ordered: each page repeats its tokens in whole rounds, in one order that is the same on all pages;
+* it is nested: each round lies in one slot between the tokens of the classes laid before;
+* its text is not that of near copies: where its pages hold less text of their own than they hold of the class, its
+  text stays. This is asked of text inside articles, and of text elsewhere if the class is not on most pages of the host.
+
+Valid classes form the host's template. A page is then read against the template: template text is left out, inside
+articles too, and what stands in the remaining slots is kept if the slot lies in the article (or, on a page without text in
+an article, in no container of menus, headers, footers, sidebars, notices, adverts, forms or comments).
 
 Defined results: null html is an empty page with empty text; a page of no host (null or odd URL) shares its template
 with all pages of no host; unclosed and misplaced tags end with the container around them; equal rows get equal texts.
@@ -16,6 +22,8 @@ with all pages of no host; unclosed and misplaced tags end with the container ar
 
 from __future__ import annotations
 
+import bisect
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -102,19 +110,77 @@ def scan(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     yield from flush()
 
 
+def _id(path: str, text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{path}\t{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, token, page, times on the page, first place on the page."""
+    """host, page (a hash of its main text), token, whether it is text, times on the page."""
+    for batch in batches:
+        host, page, token, is_text, times = [], [], [], [], []
+        for h, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
+            # the root, on every page, counts the pages of the host
+            seen: dict[tuple[str, str], int] = {("", ""): 1}
+            body = []
+            for path, text, outside, _ in scan(html):
+                seen[path, text] = seen.get((path, text), 0) + 1
+                if text and not outside:
+                    body.append(text)
+            own = _id("", "\n".join(body))
+            for (path, text), n in seen.items():
+                host.append(h), page.append(own), token.append(_id(path, text)), is_text.append(bool(text)), times.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.int64()), pa.array(is_text, pa.bool_()), pa.array(times, pa.int64())], names=["host", "page", "token", "is_text", "times"])
+
+
+def _make_room(known: dict) -> None:
+    """Forget all hosts before there are too many tokens; they are read again where they come up."""
+    if sum(len(first) for first, _ in known.values()) > 200_000 or len(known) > 1000:
+        known.clear()
+
+
+def _order(places: list[tuple[int, int]], tokens: int) -> tuple[int, ...] | None:
+    """The order of a class's tokens on a page, if the page repeats it in whole rounds; ``places`` are (place, token), sorted."""
+    order = tuple(t for _, t in places)
+    first = order[:tokens]
+    return first if len(set(first)) == tokens and order == first * (len(order) // tokens) else None
+
+
+def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For every page and class on it: host, class, hash of the order, whether ordered and nested, characters of the class and of no class, in articles and elsewhere."""
+    names = ["host", "class", "order", "fits", "class_in", "class_out", "own_in", "own_out"]
+    known: dict[str, tuple[dict, list]] = {}
     for batch in batches:
-        host, token, page, times, place = [], [], [], [], []
-        for h, p, html in zip(batch["host"].to_pylist(), batch["page"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            seen: dict[str, list[int]] = {}
-            for k, (path, text, _, article) in enumerate(scan(html)):
-                if text and article:
-                    continue
-                seen.setdefault(f"{path}\t{text}" if text else path, [0, k])[0] += 1
-            for t, (n, k) in seen.items():
-                host.append(h), token.append(t), page.append(p), times.append(n), place.append(k)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(token, pa.string()), pa.array(page, pa.int64()), pa.array(times, pa.int64()), pa.array(place, pa.int64())], names=["host", "token", "page", "times", "place"])
+        rows: list[tuple] = []
+        for k, (h, html) in enumerate(zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True)):
+            if h not in known:
+                _make_room(known)
+                found = batch["classes"][k].as_py()
+                known[h] = ({t: c for c, x in enumerate(found) for t in x["members"]}, found)
+            of, found = known[h]
+            places: dict[int, list[tuple[int, int]]] = {}
+            chars: dict[int, list[int]] = {}
+            own = [0, 0]
+            for at, (path, text, outside, article) in enumerate(scan(html)):
+                token = _id(path, text)
+                c = of.get(token)
+                if c is not None:
+                    places.setdefault(c, []).append((at, token))
+                if text and not outside:
+                    (own if c is None else chars.setdefault(c, [0, 0]))[0 if article else 1] += len(text)
+            laid: list[int] = []
+            # classes come from the one on most pages down
+            for c in sorted(places):
+                size = len(found[c]["members"])
+                order = _order(places[c], size)
+                fits = order is not None
+                if fits:
+                    for r in range(0, len(places[c]), size):
+                        fits = fits and bisect.bisect(laid, places[c][r][0]) == bisect.bisect(laid, places[c][r + size - 1][0])
+                if fits:
+                    laid = sorted(laid + [at for at, _ in places[c]])
+                rows.append((h, found[c]["class"], _id("", repr(order)), fits, *chars.get(c, (0, 0)), *own))
+        types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
 def _inputs(pages: DataFrame) -> DataFrame:
@@ -123,41 +189,53 @@ def _inputs(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and template: the text tokens of its valid classes, sorted; a host without any has no row."""
+    """host and template: the text tokens (hashes) of its valid classes in articles and elsewhere; a host without any has no row."""
     kernel.small_batches(pages.sparkSession, 256)
-    rows = _inputs(pages).select("host", F.xxhash64("page_id", "url").alias("page"), "html")
-    found = rows.mapInArrow(_tokens, "host string, token string, page long, times long, place long")
+    rows = _inputs(pages).select("host", "html")
+    found = rows.mapInArrow(_tokens, "host string, page long, token long, is_text boolean, times long")
+    found = found.groupBy("host", "token", "page").agg(F.max("times").alias("times"), F.first("is_text").alias("is_text"))
     vector = F.xxhash64("page", "times")
     token = found.groupBy("host", "token").agg(
         F.count("*").alias("pages"),
         F.sum("times").alias("times"),
         F.sum(F.shiftright(vector, 24)).alias("v1"),
         F.sum(vector.bitwiseAND(F.lit((1 << 24) - 1))).alias("v2"),
-        F.min("place").alias("first"),
-        F.max("place").alias("last"),
+        F.first("is_text").alias("is_text"),
     ).where("pages > 1")
-    host_pages = rows.groupBy("host").agg(F.count("*").alias("host_pages"))
-    # A class nests if its tokens' first places can be put in one order that every page keeps: their spread is the same.
-    classes = token.groupBy("host", "pages", "times", "v1", "v2").agg(
-        F.count("*").alias("tokens"), F.collect_list(F.when(F.col("token").contains("\t"), F.col("token"))).alias("texts"), F.max(F.expr("last - first")).alias("spread")
+    token = store.written(token, "tokens")
+    root = F.col("token") == _id("", "")
+    classes = token.where(~root).groupBy("host", "pages", "times", "v1", "v2").agg(F.array_sort(F.collect_list("token")).alias("members"), F.max("is_text").alias("texts"), F.min("is_text").alias("no_tag"))
+    classes = classes.where("texts and size(members) > 1").select("host", F.xxhash64("pages", "times", "v1", "v2").alias("class"), "pages", "no_tag", "members")
+    classes = store.written(classes, "classes")
+    # Sorted by pages, then class: the order in which they are laid over a page.
+    laid = classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("less"), "class", "members"))).alias("classes"))
+    judged = rows.join(laid, "host").mapInArrow(_laid, "host string, class long, order long, fits boolean, class_in long, class_out long, own_in long, own_out long")
+    judged = judged.groupBy("host", "class").agg(
+        F.min("order").alias("o1"), F.max("order").alias("o2"), F.min("fits").alias("fits"), F.expr("sum(own_in) >= sum(class_in)").alias("own_in"), F.expr("sum(own_out) >= sum(class_out)").alias("own_out")
+    ).where("fits and o1 = o2")
+    host_pages = token.where(root).select("host", F.col("pages").alias("host_pages"))
+    valid = classes.join(judged, ["host", "class"]).join(host_pages, "host")
+    common = F.col("pages") * 2 > F.col("host_pages")
+    valid = valid.where(common | ~F.col("no_tag"))
+    return valid.groupBy("host").agg(
+        F.array_sort(F.flatten(F.collect_list(F.when(F.col("own_in"), F.col("members"))))).alias("inside"),
+        F.array_sort(F.flatten(F.collect_list(F.when(F.col("own_out") | common, F.col("members"))))).alias("elsewhere"),
     )
-    valid = classes.where("size(texts) > 0").join(host_pages, "host").where((F.col("pages") == F.col("host_pages")) & (F.col("tokens") > 1))
-    return valid.groupBy("host").agg(F.array_sort(F.flatten(F.collect_list("texts"))).alias("template"))
 
 
 def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[int, frozenset] = {}
+    known: dict[str, tuple[frozenset, frozenset]] = {}
     for batch in batches:
         texts = []
-        for html, template in zip(batch["html"].to_pylist(), batch["template"].to_pylist(), strict=True):
-            key = hash(tuple(template or ()))
-            if key not in known:
-                known.clear()
-                known[key] = frozenset(template or ())
-            fixed = known[key]
+        for k, (host, html) in enumerate(zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True)):
+            if host not in known:
+                _make_room(known)
+                known[host] = (frozenset(batch["inside"][k].as_py() or ()), frozenset(batch["elsewhere"][k].as_py() or ()))
+            inside, elsewhere = known[host]
             blocks = [(path, text, article) for path, text, outside, article in scan(html) if text and not outside]
-            inside = [text for _, text, article in blocks if article]
-            texts.append(" ".join(inside if inside else [t for p, t, _ in blocks if f"{p}\t{t}" not in fixed]))
+            has_article = any(article for _, _, article in blocks)
+            fixed = inside if has_article else elsewhere
+            texts.append(" ".join(text for path, text, article in blocks if article == has_article and not (fixed and _id(path, text) in fixed)))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -165,7 +243,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     kernel.small_batches(pages.sparkSession, 256)
     template = store.written(templates(pages), "templates")
-    joined = _inputs(pages).join(template, "host", "left").select("page_id", "url", "html", "template")
+    joined = _inputs(pages).join(template, "host", "left").select("page_id", "url", "host", "html", "inside", "elsewhere")
     return joined.mapInArrow(_main, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
 
 

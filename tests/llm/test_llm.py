@@ -130,6 +130,20 @@ def test_html(spark):
     assert got == {1: "A & B xy z", 2: "", 3: "Own 1 text", 4: "Own 2 text"}
 
 
+def test_html_template_of_part_of_the_pages(spark):
+    own = [" ".join(f"own{i}word{j}" for j in range(12)) for i in range(5)]
+    plain = [(i, f"http://g/{i}", f"<body><div><div>Same bar</div></div><p>{own[i]}</body>") for i in range(3)] + [(3, "http://g/3", None)]
+    shared = [(10 + i, f"http://h/{i}", f"<article><h1>{own[i]}</h1><div class=x>Sent from <hr> our desk</div></article>") for i in range(3)]
+    swapped = [(20 + i, f"http://s/{i}", f"<article><h1>{own[i]}</h1><table>{'one<hr>two' if i else 'two<hr>one'}</table></article>") for i in range(3)]
+    copies = [(30 + i, f"http://c/{i}", f"<article><div>{own[0]}<hr>{own[1]}</div><p>{i}</article>") for i in range(2)] + [(32, "http://c/2", f"<article>{own[2]}</article>")]
+    rows = spark.createDataFrame(plain + shared + swapped + copies, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_template.extract(rows).collect()}
+    assert [got[i] for i in range(4)] == [*own[:3], ""]
+    assert [got[10 + i] for i in range(3)] == own[:3]
+    assert [got[20 + i] for i in range(3)] == [f"{own[0]} two one", f"{own[1]} one two", f"{own[2]} one two"]
+    assert [got[30 + i] for i in range(3)] == [f"{own[0]} {own[1]} 0", f"{own[0]} {own[1]} 1", own[2]]
+
+
 def test_quality_rules(spark):
     texts = [None, "", "a b c a b c", "the word is one of many " * 12 + "\nx\nx", " ".join(f"the w{i} of" for i in range(40))]
     got = {r.doc_id: r for r in quality_rules.apply_rules(table(spark, texts)).collect()}
