@@ -296,7 +296,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_b
 
 
 def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_bytes: int = MIN_BYTES, **options) -> DataFrame:
-    """The documents, all columns in place, with removed lines cut from the text and emptied documents left out."""
+    """The documents, all columns in place, with removed lines cut from the text; a document is left out only if that takes all its text (white space aside)."""
     kernel.small_batches(docs.sparkSession, 512)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
     gone = store.written(removed_lines(keyed, min_bytes=min_bytes, **options).withColumnRenamed("doc_id", "_d").withColumnRenamed("version", "_v"), "removed")
@@ -310,9 +310,9 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         for batch in batches:
             texts, stay = [], []
             for text, lines in zip(batch["_text"].to_pylist(), batch["_gone"].to_pylist(), strict=True):
-                new, empty = cut(text, lines, min_bytes)
+                new, _ = cut(text, lines, min_bytes)
                 texts.append(new)
-                stay.append(not empty)
+                stay.append(not lines or text is None or bool(new.strip()))
             columns = [pa.array(texts, batch["_text"].type) if c == text_col else batch.column(k) for k, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(stay, pa.bool_())) for c in columns], names=names)
 

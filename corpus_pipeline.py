@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that near-repeat an earlier one; those left without any line of weight are dropped."""
+    """Documents without lines that near-repeat an earlier one; those left without any text are dropped, all others are judged as documents by the next stage."""
     kept = line_dedup.rewritten(docs)
     return kept.withColumn("n_chars", F.length("text").cast("long"))
 

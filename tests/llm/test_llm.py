@@ -79,6 +79,13 @@ def test_line_dedup(spark):
     assert sorted(r.doc_id for r in line_dedup.rewritten(table(spark, texts)).collect()) == [0, 1, 3, 4, 5]
 
 
+def test_line_dedup_keeps_documents_with_text_left(spark):
+    a, b = ("first long line that stands in several documents", "another long line, not near to the one before it")
+    texts = [a, b, f"{a}\nown", f"{a}\n{b}", f"{a}\n \n{b}\n-"]
+    got = {r.doc_id: r.text for r in line_dedup.rewritten(table(spark, texts)).collect()}
+    assert got == {0: a, 1: b, 2: "own", 4: " \n-"}
+
+
 def test_packing_round_trip(spark):
     from public_tokenizers import path
     from tokenizers import Tokenizer
