@@ -1,10 +1,13 @@
-"""Licence scan with built-in functions only: sparse TF-IDF cosine of header lines and licence files to templates, then
+"""Licence scan with built-in functions only: sparse TF-IDF cosine of header blocks and licence files to templates, then
 inheritance from the nearest directory above by path joins.
 
 The vocabulary is the templates' own. A term's weight is its inverse document frequency over all files, counted in one
-pass. A line is scored if it holds a key term: the key terms are chosen so that no line without one can reach the
-threshold (the rest of any template's weight is too small), which is checked on the weights, not sampled. A file is a
-licence file if its name says so or if its text as a whole reaches the threshold; it speaks for its directory.
+pass. Notices are compared with every window of one to ``WINDOW`` adjacent lines, with every block of lines between
+lines without words and with the whole text, whatever its length; comment marks are no terms. A candidate is scored if
+it holds a key term: the key terms are chosen so that none without one can reach the threshold (the rest of any
+template's weight is too small), which is checked on the weights, not sampled. Licence texts are compared with the whole
+text, scored if it holds as many of their terms as the heaviest ones that reach the threshold. A file that is named as a
+licence file speaks for its directory.
 
 Every file gets one row: its own licence (origin header or file), else that of the nearest directory above with a
 licence file (inherited), else none. Paths are joined with the licensed directories through one row per directory
@@ -18,19 +21,21 @@ from __future__ import annotations
 
 import math
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import store
 
-#: Short notices by licence id.
+#: Short notices by licence id: one, or several wordings.
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
 TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     "MIT": "Released under the MIT License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This library is licensed under the GNU Lesser General Public License, version 3.",
-    "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", _GNU.format("General")),
+    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", _GNU.format("Lesser General")),
+    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", _GNU.format("Affero General")),
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style three clause license.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
@@ -39,39 +44,66 @@ TEMPLATES = {
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Added to the text of the GPL, these make the terms of the AGPL.
+_AFFERO = """specifically designed to ensure cooperation with the community in the case of network server software. Remote Network Interaction; Use with the GNU General Public
+License. if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports
+such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through
+some standard or customary means of facilitating copying of software."""
+#: The clause that the BSD licence of two clauses lacks.
+_THIRD = r"(?s)3\. Neither the name.*?permission\."
+#: Most lines of a wrapped notice.
+WINDOW = 4
 THRESHOLD = 0.8
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)(\.[a-z]+)?$"
 GAP = r"[^0-9a-z\x80-\x{10FFFF}]+"
 
 
+def texts() -> dict[str, str]:
+    """Full licence texts by licence id, read on the driver."""
+    found = {f.name.removesuffix(".txt"): f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    return found | {"AGPL-3.0": f"{found['GPL-3.0']}\n{_AFFERO}", "BSD-2-Clause": re.sub(_THIRD, "", found["BSD-3-Clause"])}
+
+
 def terms(text: Column) -> Column:
     """Distinct lower-case words of letters and digits."""
     return F.array_distinct(F.filter(F.split(F.lower(text), GAP), lambda w: w != ""))
 
 
-def _model(files: DataFrame, templates: dict[str, str], threshold: float) -> tuple[dict[str, list[str]], dict[str, float], list[str]]:
-    """Terms of each template, inverse document frequency by term, and the key terms. Templates are a parameter of the program, so this is small whatever the input."""
-    words = {name: sorted({w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", text.lower()) if w}) for name, text in templates.items()}
-    vocabulary = sorted({w for ws in words.values() for w in ws})
+def _words(text: str) -> list[str]:
+    return sorted({w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", text.lower()) if w})
+
+
+def _model(files: DataFrame, notices: list[tuple[str, list[str]]], full: list[tuple[str, list[str]]], threshold: float) -> tuple[dict[str, float], list[str], list[int]]:
+    """Inverse document frequency by term, the key terms of notices, and how many terms of each full text a text must hold. Templates are a parameter of the program, so this is small whatever the input."""
+    vocabulary = sorted({w for _, ws in notices + full for w in ws})
     counted = files.select(F.explode(F.array_intersect(terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))).alias("w")).groupBy("w").count()
     have = {r["w"]: r["count"] for r in counted.collect()}
     total = files.count()
     idf = {w: math.log((1 + total) / (1 + have.get(w, 0))) + 1 for w in vocabulary}
     keys: set[str] = set()
-    for ws in words.values():
+    for _, ws in notices:
         norm = sum(idf[w] ** 2 for w in ws)
-        # A line without key terms scores at most the norm of the other weights.
+        # A candidate without key terms scores at most the norm of the other weights.
         for w in sorted(ws, key=lambda w: (-idf[w], w)):
             if sum(idf[u] ** 2 for u in ws if u not in keys) < norm * (threshold * 0.999) ** 2:
                 break
             keys.add(w)
-    return words, idf, sorted(keys)
+    least = []
+    for _, ws in full:
+        heavy, norm, n = sorted((idf[w] ** 2 for w in ws), reverse=True), sum(idf[w] ** 2 for w in ws), 0
+        while n < len(heavy) and sum(heavy[:n]) < norm * (threshold * 0.999) ** 2:
+            n += 1
+        least.append(n)
+    return idf, sorted(keys), least
 
 
-def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(files: DataFrame, templates: dict[str, str | tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, path, license_id, score (thousandths), origin (header, file, inherited or null) and source_dir of every file."""
     base = files.select(*keep, F.col(path_col).alias("path"), F.col(text_col).alias("text"))
-    words, idf, keys = _model(base, templates, threshold)
+    notices = [(name, _words(t)) for name, ts in sorted(templates.items()) for t in ((ts,) if isinstance(ts, str) else ts)]
+    # Licence texts of ids that the caller's templates don't know are left out, but for the one that would be taken for another.
+    full = [(name, _words(t)) for name, t in sorted(texts().items()) if name in templates or (name == "BSD-2-Clause" and "BSD-3-Clause" in templates)]
+    idf, keys, least = _model(base, notices, full, threshold)
     rarest = max(idf.values(), default=1.0)
 
     def table(of: dict[str, float]) -> Column:
@@ -84,20 +116,32 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: flo
         """The highest score, then the first name."""
         return F.element_at(F.array_sort(scored, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), 1)
 
-    def cosine(bag: Column) -> Column:
+    def cosine(bag: Column, words: list[tuple[str, list[str]]] = notices) -> Column:
         """Best template of a bag of terms; a term of no template weighs as much as the rarest of the vocabulary."""
         own = F.sqrt(summed(bag, table({w: v * v for w, v in idf.items()}), rarest * rarest))
         scores = []
-        for name, ws in sorted(words.items()):
+        for name, ws in words:
             norm = math.sqrt(sum(idf[w] ** 2 for w in ws))
             scores.append(F.struct((summed(bag, table({w: idf[w] ** 2 / norm for w in ws}), 0.0) / own).alias("score"), F.lit(name).alias("id")))
         return first(F.array(*scores))
 
     any_key = r"(?i)(?<![0-9a-z])(" + "|".join(keys) + r")(?![0-9a-z])"
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(any_key))
-    whole = F.when(F.col("text").rlike(any_key) & (F.col("path").rlike(LICENSE_FILE) | (F.length("text") < 4000)), F.array(F.col("text")))
-    candidates = F.array_union(lines, F.coalesce(whole, F.array().cast("array<string>")))
-    scored = F.filter(F.transform(F.filter(F.transform(candidates, terms), lambda bag: F.size(bag) > 0), cosine), lambda c: c["score"] >= threshold)
+    text = F.coalesce("text", F.lit(""))
+    lines = F.split(text, "\n")
+
+    def windows(n: int) -> Column:
+        return F.transform(lines, lambda _, i: F.array_join(F.slice(lines, i + 1, n), " "))
+
+    blocks = F.split(text, r"(?i)\n[^0-9a-z\x80-\x{10FFFF}\n]*(?=\n)")
+    candidates = F.when(text.rlike(any_key), F.filter(F.array_distinct(F.concat(lines, *map(windows, range(2, WINDOW + 1)), blocks, F.array(text))), lambda x: x.rlike(any_key))).otherwise(F.array().cast("array<string>"))
+    scored = F.filter(F.transform(F.filter(F.transform(candidates, terms), lambda bag: F.size(bag) > 0), lambda bag: cosine(bag)), lambda c: c["score"] >= threshold)
+    if full:
+        base = base.withColumn("bag", terms(text))
+        shared = F.size(F.array_intersect("bag", F.array(*map(F.lit, sorted({w for _, ws in full for w in ws})))))
+        near = F.filter(F.when(shared >= min(least), F.array(cosine(F.col("bag"), full))).otherwise(F.array().cast("array<struct<score:double,id:string>>")), lambda c: c["score"] >= threshold)
+        # A licence text holds notices, of other licences too; what the whole is says more.
+        base = base.withColumn("near", near)
+        scored = F.when(F.size("near") > 0, F.col("near")).otherwise(scored)
     judged = base.select(
         *keep, "path", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("is_file"), F.element_at(F.transform(F.array(scored), lambda c: F.when(F.size(c) > 0, first(c))), 1).alias("own")
     )

@@ -165,6 +165,18 @@ def test_licenses(spark):
     assert got["c/z.py"] == got[None] == (None, None, None)
 
 
+def test_licenses_of_wrapped_headers_and_full_texts(spark):
+    whole = licenses.texts()
+    gpl = "# x.py: some code\n#\n# This work is licensed under the GNU General\n# Public License, version 3.\nimport x"
+    rows = [("w/x.py", gpl), ("w/y.c", "/* Licensed under the Apache License,\n * Version 2.0 (the License); */\nint x;")]
+    rows += [(f"{k}/LICENSE", f"Copyright (c) 2024 Some One\n\n{t}") for k, t in whole.items()] + [(f"{k}/src/a.py", "code") for k in whole]
+    got = {r.path: (r.license_id, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["w/x.py"] == ("GPL-3.0", "header") and got["w/y.c"] == ("Apache-2.0", "header")
+    assert len(whole) == 10 and max(map(len, whole.values())) > 4000
+    for k in whole:
+        assert got[f"{k}/LICENSE"] == (k, "file") and got[f"{k}/src/a.py"] == (k, "inherited")
+
+
 def test_classifiers_on_held_out_rows(spark):
     rng = random.Random(4)
     words = [f"word{i}" for i in range(300)]
