@@ -129,11 +129,14 @@ def scan(files: DataFrame, templates: dict[str, str | tuple[str, ...]] = TEMPLAT
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "\n")
 
-    def windows(n: int) -> Column:
+    def windows(lines: Column, n: int) -> Column:
         return F.transform(lines, lambda _, i: F.array_join(F.slice(lines, i + 1, n), " "))
 
+    # Bound in a lambda, lines are split once and not once a line.
+    adjacent = F.element_at(F.transform(F.array(lines), lambda x: F.concat(x, *(windows(x, n) for n in range(2, WINDOW + 1)))), 1)
+
     blocks = F.split(text, r"(?i)\n[^0-9a-z\x80-\x{10FFFF}\n]*(?=\n)")
-    candidates = F.when(text.rlike(any_key), F.filter(F.array_distinct(F.concat(lines, *map(windows, range(2, WINDOW + 1)), blocks, F.array(text))), lambda x: x.rlike(any_key))).otherwise(F.array().cast("array<string>"))
+    candidates = F.when(text.rlike(any_key), F.filter(F.array_distinct(F.concat(adjacent, blocks, F.array(text))), lambda x: x.rlike(any_key))).otherwise(F.array().cast("array<string>"))
     scored = F.filter(F.transform(F.filter(F.transform(candidates, terms), lambda bag: F.size(bag) > 0), lambda bag: cosine(bag)), lambda c: c["score"] >= threshold)
     if full:
         base = base.withColumn("bag", terms(text))
