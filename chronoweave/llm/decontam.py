@@ -1,21 +1,25 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test windows, one scan of every text.
 
-Normalised: A-Z in lower case, every other ASCII character that is not a letter or digit taken as a gap, words joined
-by one space. A window is ``width`` consecutive words of an item, or the whole of a shorter item with words. Matches
-are mapped back from the normalised text to word numbers and to offsets of the original text.
+Normalised: A-Z in lower case, every other ASCII character that is not a letter or digit taken as a gap. A window is
+``width`` consecutive words of an item, or the whole of a shorter item with words. The automaton's symbols are words,
+numbered as they come up in the items (a word of no item is 0, which no window holds), so that it has one node a word and
+not one a letter. Matches are spans of word numbers, which ``original_spans`` maps back to offsets of the original text.
 
-The automaton is broadcast. Its texts are bounded by ``block_bytes``: a larger benchmark is cut by a hash of the window's
-item into blocks of about that size, and the scans of the blocks follow each other, each adding its spans to the row.
+The automaton is built in the executors from the items, which are broadcast. Its size is bounded by ``block_words``
+(about 900 bytes a word of an item): a larger benchmark is cut by a hash of the item and its text into blocks of about that
+size. Each block is a scan of its own that passes on only rows with matches, and those meet by id and text, so
+no task holds two automata.
 
 Defined results: a null text has no words; a text or an item without words has no window; equal windows of several items count for each
-item; repeated rows are judged alike; null item ids are ignored. Other columns of the inputs are not read.
+item; repeated rows are judged alike; null item ids are ignored; an empty benchmark contaminates nothing. Other columns of
+the inputs are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -23,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import kernel
+from . import kernel, store
 
 WIDTH = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_WORDS = 1 << 18
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_SPANS = "spans array<struct<start:int,end:int,item:long>>"
 _built: dict[str, object] = {}
 
 
@@ -36,94 +39,107 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-def windows_of(text: str | None, width: int = WIDTH) -> list[str]:
-    """Distinct windows in normalised form."""
-    w = words_of(text)
-    return list(dict.fromkeys(b" ".join(w[i : i + width]).decode() for i in range(max(1, len(w) - width + 1)))) if w else []
+def windows_of(words: list, width: int = WIDTH) -> list[tuple]:
+    """Distinct windows of a list of words."""
+    return list(dict.fromkeys(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))) if words else []
 
 
-def automaton(items: list[tuple[int, str]], width: int = WIDTH) -> ahocorasick.Automaton | None:
-    """Keys are windows between two spaces; a value is (number of words, items)."""
-    of: dict[str, set[int]] = {}
+def automaton(items: list[tuple[int, str]], width: int = WIDTH) -> tuple[dict[bytes, int], ahocorasick.Automaton | None]:
+    """The numbers of words, and an automaton whose keys are windows of such numbers and whose values are (number of words, items)."""
+    numbers: dict[bytes, int] = {}
+    of: dict[tuple, set[int]] = {}
     for item, text in items:
-        for window in windows_of(text, width):
+        for window in windows_of([numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)], width):
             of.setdefault(window, set()).add(item)
     if not of:
-        return None
-    found = ahocorasick.Automaton()
+        return {}, None
+    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for window, ids in of.items():
-        found.add_word(f" {window} ", (window.count(" ") + 1, len(window), tuple(sorted(ids))))
+        found.add_word(window, (len(window), tuple(sorted(ids))))
     found.make_automaton()
-    return found
+    return numbers, found
 
 
-def _scan(shared, block: str, width: int, judge: bool):
-    """Add the spans of one block; the last scan also judges, so that a task has one Python worker."""
+def _spans(shared, block: str, width: int) -> Callable[[str | None], tuple[int, list[tuple[int, int, int]]]]:
+    """text -> number of words and its (start, end, item); a worker holds one automaton at a time."""
+    if block not in _built:
+        _built.clear()
+        _built[block] = automaton(shared.value, width)
+    numbers, found = _built[block]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if block not in _built:
-            _built.clear()  # a worker holds one automaton at a time
-            _built[block] = automaton(shared.value, width)
-        found = _built[block]
-        for batch in batches:
-            spans, counts = [], []
-            before = batch["spans"].to_pylist()
-            for k, text in enumerate(batch["text"].to_pylist()):
-                w = words_of(text)
-                counts.append(len(w))
-                own = before[k] or []
-                if found is not None and w:
-                    plain = f" {b' '.join(w).decode()} "
-                    hits = list(found.iter(plain))
-                    if hits:
-                        gaps = np.cumsum(np.frombuffer(plain.encode("utf-32-le"), np.uint32) == 32)
-                        for last, (n, _, ids) in hits:
-                            end = int(gaps[last]) - 1  # words before the closing space
-                            own.extend({"start": end - n, "end": end, "item": i} for i in ids)
-                spans.append(own)
-            if judge:
-                yield _judged(batch["doc_id"], counts, spans)
-                continue
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["text"], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.int64())])))],
-                names=["doc_id", "text", "n_words", "spans"],
-            )
+    def of(text: str | None) -> tuple[int, list[tuple[int, int, int]]]:
+        words = words_of(text)
+        if found is None or not words:
+            return len(words), []
+        known = tuple([numbers.get(w, 0) for w in words])
+        return len(words), [(last + 1 - n, last + 1, item) for last, (n, ids) in found.iter(known) for item in ids]
+
+    return of
+
+
+SPANS = "array<struct<start:int,end:int,item:long>>"
+_SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.int64())]))
 
-    return run
 
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
+    """The items, each block of them on the driver for itself; there is one block at least."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null").distinct()
+    # Of n bytes, (n + 1) / 2 are words at most.
+    total = items.agg(F.sum((F.octet_length("text") + 1) / 2)).first()[0] or 0
+    n = max(1, int(-(-total // block_words)))
+    for b in range(n):
+        yield [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).collect()]
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", judge: bool = False) -> DataFrame:
-    """doc_id, text, n_words and spans (word numbers [start, end) and item) of every document; if judged, the counts instead of text and spans."""
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, version (a hash of the text) and spans (word numbers [start, end) and item, distinct) of the documents that hold a window."""
     spark = docs.sparkSession
     kernel.small_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<struct<start:int,end:int,item:long>>").alias("spans"))
-    for b in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        last = judge and b == blocks - 1
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(own), uuid.uuid4().hex, width, last), JUDGED if last else f"doc_id long, text string, n_words long, {_SPANS}")
-    return out
-
-
-JUDGED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
-
-
-def _judged(doc_ids: pa.Array, counts: list[int], found: list[list[dict]]) -> pa.RecordBatch:
-    n_hit, n_items, sha = [], [], []
-    for n, spans in zip(counts, found, strict=True):
-        if spans:
-            step = np.zeros(n + 1, np.int32)
-            np.add.at(step, [s["start"] for s in spans], 1)
-            np.add.at(step, [s["end"] for s in spans], -1)
-            n_hit.append(int((np.cumsum(step[:-1]) > 0).sum()))
-        else:
-            n_hit.append(0)
-        ids = sorted({str(s["item"]) for s in spans})
-        n_items.append(len(ids))
-        sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+    parts = []
+    for items in _blocks(benchmark, block_words):
+        shared, block = spark.sparkContext.broadcast(items), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, block=block) -> Iterator[pa.RecordBatch]:
+            of = _spans(shared, block, width)
+            for batch in batches:
+                found = [of(t)[1] for t in batch["text"].to_pylist()]
+                hit = pa.array([bool(f) for f in found], pa.bool_())
+                spans = pa.array([[{"start": a, "end": b, "item": i} for a, b, i in f] for f in found if f], _SPANS_ARROW)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].filter(hit), batch["version"].filter(hit), spans], names=["doc_id", "version", "spans"])
+
+        parts.append(store.written(_rows(docs, id_col, text_col).mapInArrow(run, f"doc_id long, version long, spans {SPANS}"), "spans"))
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"))
+
+
+JUDGED = "doc_id long, version long, n_words long, n_hit long, n_items long, items_sha256 string"
+
+
+def _judged(n: int, spans: list[tuple[int, int, int]]) -> tuple[int, int, int, str]:
+    hit = 0
+    if spans:
+        step = np.zeros(n + 1, np.int32)
+        np.add.at(step, [s[0] for s in spans], 1)
+        np.add.at(step, [s[1] for s in spans], -1)
+        hit = int((np.cumsum(step[:-1]) > 0).sum())
+    ids = sorted({str(s[2]) for s in spans})
+    return n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
+
+
+def _judging(find: Callable[[pa.RecordBatch], Iterator[tuple[int, list]]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(zip(*(_judged(n, spans) for n, spans in find(batch)), strict=True)) or [[]] * 4
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["version"], *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=[c.split()[0] for c in JUDGED.split(", ")])
+
+    return run
 
 
 def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,7 +151,25 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(len(data[: start[a]].decode()), len(data[: end[b - 1]].decode())) for a, b in spans]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, **options) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated (a hit, and hit words are a twentieth of all at least) of every document."""
-    judged = matches(docs, benchmark, width, judge=True, **options)
-    return judged.withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, version, n_words, n_hit, n_items, items_sha256, contaminated (a hit, and hit words are a twentieth of all at least) of every document."""
+    spark = docs.sparkSession
+    kernel.small_batches(spark)
+    rows = _rows(docs, id_col, text_col)
+    blocks = _blocks(benchmark, block_words)
+    first, more = next(blocks), next(blocks, None)
+    if more is None:  # one automaton: found and judged in one scan
+        shared, block = spark.sparkContext.broadcast(first), uuid.uuid4().hex
+
+        def find(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
+            return map(_spans(shared, block, width), batch["text"].to_pylist())
+    else:
+        found = matches(docs, benchmark, width, block_words, id_col, text_col)
+        found = found.select(F.col("doc_id").alias("d"), F.col("version").alias("v"), "spans")
+        rows = rows.join(found, F.expr("doc_id <=> d and version = v"), "left").select("doc_id", "version", "text", "spans")
+
+        def find(batch: pa.RecordBatch) -> Iterator[tuple[int, list]]:
+            for text, spans in zip(batch["text"].to_pylist(), batch["spans"].to_pylist(), strict=True):
+                yield len(words_of(text)), [(s["start"], s["end"], s["item"]) for s in spans or ()]
+
+    return rows.mapInArrow(_judging(find), JUDGED).withColumn("contaminated", F.expr("n_hit > 0 and 20 * n_hit >= n_words"))

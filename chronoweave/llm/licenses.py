@@ -4,17 +4,19 @@ inheritance from the nearest directory above by path joins.
 The vocabulary is the templates' own. A term's weight is its inverse document frequency over all files, counted in one
 pass. Notices are compared with every window of one to ``WINDOW`` adjacent lines, with every block of lines between
 lines without words and with the whole text, whatever its length; comment marks are no terms. A candidate is scored if
-it holds a key term: the key terms are chosen so that none without one can reach the threshold (the rest of any
+few enough of its terms are of no template to let it reach the threshold, and if it holds a key term: the key terms are chosen so that none without one can reach the threshold (the rest of any
 template's weight is too small), which is checked on the weights, not sampled. Licence texts are compared with the whole
-text, scored if it holds as many of their terms as the heaviest ones that reach the threshold. A file that is named as a
+text, by the same test. A file that is named as a
 licence file speaks for its directory.
 
 Every file gets one row: its own licence (origin header or file), else that of the nearest directory above with a
 licence file (inherited), else none. Paths are joined with the licensed directories through one row per directory
-above, so a directory that holds a third of all files is resolved once, not once a file.
+above, so a directory that holds a third of all files is resolved once, not once a file; files take over the result by a
+broadcast of counted size, or dealt by path.
 
 Defined results: null paths have no directory and inherit nothing; null and empty texts have no header; of equal scores the
-licence first by name wins; two licence files of a directory: the higher score, then the name; repeated rows get a row each.
+licence first by name wins; two licence files of a directory: the higher score, then the name; repeated rows get a row each;
+an empty table gives no row; kept columns may have any name.
 """
 
 from __future__ import annotations
@@ -66,97 +68,153 @@ def texts() -> dict[str, str]:
 
 def terms(text: Column) -> Column:
     """Distinct lower-case words of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), GAP), lambda w: w != ""))
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), GAP)), "")
 
 
 def _words(text: str) -> list[str]:
     return sorted({w for w in re.split(r"[^0-9a-z\x80-\U0010ffff]+", text.lower()) if w})
 
 
-def _model(files: DataFrame, notices: list[tuple[str, list[str]]], full: list[tuple[str, list[str]]], threshold: float) -> tuple[dict[str, float], list[str], list[int]]:
-    """Inverse document frequency by term, the key terms of notices, and how many terms of each full text a text must hold. Templates are a parameter of the program, so this is small whatever the input."""
-    vocabulary = sorted({w for _, ws in notices + full for w in ws})
-    counted = files.select(F.explode(F.array_intersect(terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))).alias("w")).groupBy("w").count()
-    have = {r["w"]: r["count"] for r in counted.collect()}
-    total = files.count()
-    idf = {w: math.log((1 + total) / (1 + have.get(w, 0))) + 1 for w in vocabulary}
+def _key_terms(words: list[tuple[str, list[str]]], idf: dict[str, float], threshold: float) -> set[str]:
+    """Terms of which a bag must hold one to reach the threshold with any of these templates: without them it scores at most the norm of the other weights."""
     keys: set[str] = set()
-    for _, ws in notices:
+    for _, ws in words:
+        heavy = sorted(ws, key=lambda w: (-idf[w], w))
         norm = sum(idf[w] ** 2 for w in ws)
-        # A candidate without key terms scores at most the norm of the other weights.
-        for w in sorted(ws, key=lambda w: (-idf[w], w)):
-            if sum(idf[u] ** 2 for u in ws if u not in keys) < norm * (threshold * 0.999) ** 2:
+        rest = sum(idf[w] ** 2 for w in ws if w not in keys)
+        for w in heavy:
+            if rest < norm * (threshold * 0.999) ** 2:
                 break
-            keys.add(w)
-    least = []
-    for _, ws in full:
-        heavy, norm, n = sorted((idf[w] ** 2 for w in ws), reverse=True), sum(idf[w] ** 2 for w in ws), 0
-        while n < len(heavy) and sum(heavy[:n]) < norm * (threshold * 0.999) ** 2:
-            n += 1
-        least.append(n)
-    return idf, sorted(keys), least
+            if w not in keys:
+                keys.add(w)
+                rest -= idf[w] ** 2
+    return keys
+
+
+def _model(files: DataFrame, words: list[tuple[str, list[str]]]) -> dict[str, float]:
+    """Inverse document frequency by term. Templates are a parameter of the program, so the vocabulary is small whatever the input."""
+    vocabulary = sorted({w for _, ws in words for w in ws})
+    spark = files.sparkSession
+    table = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "w string"))
+    counted = files.select(F.explode(terms(F.col("text"))).alias("w")).join(table, "w").groupBy("w").count()
+    have = {r["w"]: r["count"] for r in counted.collect()}
+    total = files.count()
+    return {w: math.log((1 + total) / (1 + have.get(w, 0))) + 1 for w in vocabulary}
+
+
+def _least_shared(ws: list[str], idf: dict[str, float], threshold: float) -> int:
+    """How many of a template's terms a bag must hold: as many as the heaviest ones that reach the threshold."""
+    heavy, norm, n = sorted((idf[w] ** 2 for w in ws), reverse=True), sum(idf[w] ** 2 for w in ws), 0
+    while n < len(heavy) and sum(heavy[:n]) < norm * (threshold * 0.999) ** 2:
+        n += 1
+    return n
+
+
+def _with(value: Column, then) -> Column:
+    """``then(x)`` with x evaluated once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _first(scored: Column) -> Column:
+    """The highest score, then the first name."""
+    return F.element_at(F.array_sort(scored, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), 1)
+
+
+def _table(of: dict[str, float]) -> Column:
+    """A literal map; terms hold letters and digits only, so they need no quoting."""
+    return F.expr("map(" + ", ".join(f"'{w}', {v!r}D" for w, v in of.items()) + ")")
+
+
+def _list(words) -> Column:
+    return F.expr("array(" + ", ".join(f"'{w}'" for w in words) + ")")
+
+
+def _summed(bag: Column, of: dict[str, float]) -> Column:
+    table = _table(of)
+    return F.aggregate(bag, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(table, w), F.lit(0.0)))
+
+
+def _cosine(bag: Column, words: list[tuple[str, list[str]]], idf: dict[str, float], threshold: float) -> Column:
+    """(score, id) of the best template of a bag of terms, null where none can reach the threshold; a term of no template weighs as much as the rarest of the vocabulary."""
+    square = {w: v * v for w, v in idf.items()}
+    other = max(square.values())
+    norms = {k: math.sqrt(sum(square[w] for w in ws)) for k, (_, ws) in enumerate(words)}
+    # A score is at most the template's norm over the bag's, and terms of no template alone may make that too large.
+    most_unknown = int((max(norms.values()) / threshold) ** 2 * 1.001 / other)
+
+    def best(known: Column, own: Column) -> Column:
+        return _first(F.array(*(F.struct((_summed(known, {w: square[w] / norms[k] for w in ws}) / own).alias("score"), F.lit(name).alias("id")) for k, (name, ws) in enumerate(words))))
+
+    def of_known(known: Column) -> Column:
+        unknown = F.size(bag) - F.size(known)
+        return F.when((F.size(known) > 0) & (unknown <= most_unknown), _with(F.sqrt(_summed(known, square) + unknown * other), lambda own: best(known, own)))
+
+    return _with(F.array_intersect(bag, _list(idf)), of_known)
 
 
 def scan(files: DataFrame, templates: dict[str, str | tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` columns, path, license_id, score (thousandths), origin (header, file, inherited or null) and source_dir of every file."""
-    base = files.select(*keep, F.col(path_col).alias("path"), F.col(text_col).alias("text"))
+    # Columns that pass through are fields of one column, so that their names can't clash.
+    base = files.select(F.struct(F.lit(True).alias("_"), *keep).alias("kept"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     notices = [(name, _words(t)) for name, ts in sorted(templates.items()) for t in ((ts,) if isinstance(ts, str) else ts)]
     # Licence texts of ids that the caller's templates don't know are left out, but for the one that would be taken for another.
     full = [(name, _words(t)) for name, t in sorted(texts().items()) if name in templates or (name == "BSD-2-Clause" and "BSD-3-Clause" in templates)]
-    idf, keys, least = _model(base, notices, full, threshold)
-    rarest = max(idf.values(), default=1.0)
-
-    def table(of: dict[str, float]) -> Column:
-        return F.create_map(*(x for w, v in of.items() for x in (F.lit(w), F.lit(v))))
-
-    def summed(bag: Column, of: Column, other: float) -> Column:
-        return F.aggregate(bag, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(of, w), F.lit(other)))
+    idf = _model(base, notices + full)
+    keys, full_keys = _key_terms(notices, idf, threshold), _key_terms(full, idf, threshold)
+    scores = "array<struct<score:double,id:string>>"
+    none = F.array().cast(scores)
 
-    def first(scored: Column) -> Column:
-        """The highest score, then the first name."""
-        return F.element_at(F.array_sort(scored, lambda x, y: F.when(x["score"] > y["score"], -1).when(x["score"] < y["score"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0)), 1)
+    def has_key(bag: Column, keys: set[str] = keys) -> Column:
+        return F.arrays_overlap(bag, _list(sorted(keys)))
 
-    def cosine(bag: Column, words: list[tuple[str, list[str]]] = notices) -> Column:
-        """Best template of a bag of terms; a term of no template weighs as much as the rarest of the vocabulary."""
-        own = F.sqrt(summed(bag, table({w: v * v for w, v in idf.items()}), rarest * rarest))
-        scores = []
-        for name, ws in words:
-            norm = math.sqrt(sum(idf[w] ** 2 for w in ws))
-            scores.append(F.struct((summed(bag, table({w: idf[w] ** 2 / norm for w in ws}), 0.0) / own).alias("score"), F.lit(name).alias("id")))
-        return first(F.array(*scores))
+    def windows(lines: Column) -> Column:
+        """Bags of one to WINDOW adjacent lines, from places with a key term that near."""
+        hot = F.transform(lines, lambda x: has_key(x))
+        starts = _with(hot, lambda h: F.filter(F.sequence(F.lit(1), F.size(lines)), lambda i: F.exists(F.slice(h, i, WINDOW), lambda x: x)))
 
-    any_key = r"(?i)(?<![0-9a-z])(" + "|".join(keys) + r")(?![0-9a-z])"
-    text = F.coalesce("text", F.lit(""))
-    lines = F.split(text, "\n")
+        def of_size(at: Column, n: int) -> Column:
+            return F.transform(at, lambda i: F.array_distinct(F.flatten(F.slice(lines, i, n))))
 
-    def windows(lines: Column, n: int) -> Column:
-        return F.transform(lines, lambda _, i: F.array_join(F.slice(lines, i + 1, n), " "))
+        return _with(starts, lambda at: F.concat(*(of_size(at, n) for n in range(1, WINDOW + 1))))
 
-    # Bound in a lambda, lines are split once and not once a line.
-    adjacent = F.element_at(F.transform(F.array(lines), lambda x: F.concat(x, *(windows(x, n) for n in range(2, WINDOW + 1)))), 1)
-
-    blocks = F.split(text, r"(?i)\n[^0-9a-z\x80-\x{10FFFF}\n]*(?=\n)")
-    candidates = F.when(text.rlike(any_key), F.filter(F.array_distinct(F.concat(adjacent, blocks, F.array(text))), lambda x: x.rlike(any_key))).otherwise(F.array().cast("array<string>"))
-    scored = F.filter(F.transform(F.filter(F.transform(candidates, terms), lambda bag: F.size(bag) > 0), lambda bag: cosine(bag)), lambda c: c["score"] >= threshold)
+    blocks = F.transform(F.split("text", r"(?i)\n[^0-9a-z\x80-\x{10FFFF}\n]*(?=\n)"), terms)
+    candidates = F.concat(_with(F.transform(F.split("text", "\n"), terms), windows), blocks, F.array(F.col("bag")))
+    scored = F.transform(F.filter(F.array_distinct(candidates), lambda x: has_key(x)), lambda bag: _cosine(bag, notices, idf, threshold))
+    found = F.when(has_key(F.col("bag")), F.filter(scored, lambda c: c["score"] >= threshold)).otherwise(none)
     if full:
-        base = base.withColumn("bag", terms(text))
-        shared = F.size(F.array_intersect("bag", F.array(*map(F.lit, sorted({w for _, ws in full for w in ws})))))
-        near = F.filter(F.when(shared >= min(least), F.array(cosine(F.col("bag"), full))).otherwise(F.array().cast("array<struct<score:double,id:string>>")), lambda c: c["score"] >= threshold)
+        shared = F.size(F.array_intersect("bag", _list(sorted({w for _, ws in full for w in ws}))))
+        least = min(_least_shared(ws, idf, threshold) for _, ws in full)
+        near = F.when(has_key(F.col("bag"), full_keys) & (shared >= least), F.array(_cosine(F.col("bag"), full, idf, threshold))).otherwise(none)
         # A licence text holds notices, of other licences too; what the whole is says more.
-        base = base.withColumn("near", near)
-        scored = F.when(F.size("near") > 0, F.col("near")).otherwise(scored)
+        found = _with(F.filter(near, lambda c: c["score"] >= threshold), lambda n: F.when(F.size(n) > 0, n).otherwise(found))
+    base = base.withColumn("bag", terms(F.col("text")))
     judged = base.select(
-        *keep, "path", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("is_file"), F.element_at(F.transform(F.array(scored), lambda c: F.when(F.size(c) > 0, first(c))), 1).alias("own")
+        "kept", "path", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("is_file"),
+        F.when(has_key(F.col("bag"), keys | full_keys), _with(found, lambda c: F.when(F.size(c) > 0, _first(c)))).alias("own"),
     )
-    judged = store.written(judged.select(*keep, "path", "dir", "is_file", F.col("own.id").alias("own_id"), F.col("own.score").alias("own_score")), "licences")
-    speaks = judged.where("is_file and own_id is not null and dir is not null")
-    spoken = speaks.groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_id").alias("i"))).alias("best"))
-    dirs = judged.where("dir is not null").select("dir").distinct()
-    ups = dirs.select("dir", F.explode(F.expr("transform(sequence(0, if(dir = '', 0, size(split(dir, '/')))), k -> array_join(slice(split(dir, '/'), 1, k), '/'))")).alias("above"))
-    inherited = ups.join(spoken, "above").groupBy("dir").agg(F.max_by(F.struct("above", "best"), F.length("above")).alias("up")).select(F.col("dir").alias("d"), F.col("up.above").alias("above"), F.col("up.best").alias("best"))
-    out = judged.join(inherited, judged["dir"] == inherited["d"], "left")
+    judged = store.written(judged.select("kept", "path", "dir", "is_file", F.col("own.id").alias("own_id"), F.col("own.score").alias("own_score")), "licences")
+    out = _inherited(judged)
     origin = F.when(F.col("own_id").isNotNull(), F.when(F.col("is_file"), "file").otherwise("header")).when(F.col("best").isNotNull(), "inherited")
     return out.select(
-        *keep, "path", F.coalesce("own_id", "best.i").alias("license_id"), F.round(F.coalesce(F.col("own_score"), -F.col("best.s")) * 1000).cast("long").alias("score"), origin.alias("origin"),
+        *(F.col(f"kept.`{c}`").alias(c) for c in keep), "path", F.coalesce("own_id", "best.i").alias("license_id"), F.round(F.coalesce(F.col("own_score"), -F.col("best.s")) * 1000).cast("long").alias("score"), origin.alias("origin"),
         F.when(F.col("own_id").isNotNull(), F.col("dir")).otherwise(F.col("above")).alias("source_dir"),
     )
+
+
+#: Directories (some 200 bytes each) that may be broadcast, and the parts into which files of a directory are dealt beyond it.
+BROADCAST_DIRS, SALTS = 100_000, 32
+
+
+def _inherited(judged: DataFrame) -> DataFrame:
+    """Each file with ``above`` and ``best``, the nearest directory at or above its own that holds a licence file, and that licence."""
+    speaks = judged.where("is_file and own_id is not null and dir is not null")
+    spoken = speaks.groupBy(F.col("dir").alias("above")).agg(F.min(F.struct((-F.col("own_score")).alias("s"), F.col("own_id").alias("i"))).alias("best"))
+    dirs = judged.where("dir is not null").select("dir").distinct()
+    ups = dirs.select("dir", F.explode(F.expr("transform(sequence(0, if(dir = '', 0, size(split(dir, '/')))), k -> array_join(slice(split(dir, '/'), 1, k), '/'))")).alias("above"))
+    nearest = ups.join(spoken, "above").groupBy("dir").agg(F.max_by(F.struct("above", "best"), F.length("above")).alias("up")).select("dir", "up.above", "up.best")
+    nearest = store.written(nearest, "licensed-dirs")
+    if nearest.count() <= BROADCAST_DIRS:
+        return judged.join(F.broadcast(nearest), "dir", "left")
+    # A directory may hold a third of all files, so its files are dealt by path.
+    salted = judged.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)))
+    return salted.join(nearest.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)"))), ["dir", "salt"], "left")

@@ -10,8 +10,9 @@ A class is what such pairs connect. Its first line, by (doc_id, text, line numbe
 lines of fewer than ``min_bytes`` are never removed. Members of an index entry are first held against one of them, and only
 entries whose members still lie in several classes are compared pair by pair across classes.
 
-Defined results: a null text stays null; an empty one has one empty line; lines end at \\n only; equal rows keep the same
-lines; a null id sorts before all others; a document without eligible lines is never emptied.
+Defined results: a null text stays null; an empty one has one empty line; lines end at \\n only; rows equal in id and text
+keep the same lines; a null id sorts before all others; a document without eligible lines is never emptied; columns beside
+the id and the text pass through ``rewritten`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -299,21 +300,23 @@ def rewritten(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     """The documents, all columns in place, with removed lines cut from the text; a document is left out only if that takes all its text (white space aside)."""
     kernel.small_batches(docs.sparkSession, 512)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("version"), F.col(text_col).alias("text"))
-    gone = store.written(removed_lines(keyed, min_bytes=min_bytes, **options).withColumnRenamed("doc_id", "_d").withColumnRenamed("version", "_v"), "removed")
+    gone = store.written(removed_lines(keyed, min_bytes=min_bytes, **options), "removed")
     size = gone.agg(F.coalesce(F.sum(F.size("gone") * 4 + 64), F.lit(0))).first()[0]
     side = F.broadcast(gone) if size <= 32 << 20 else gone
-    hit = docs.join(side, docs[id_col].cast("long").eqNullSafe(side["_d"]) & (F.xxhash64(docs[text_col]) == side["_v"]), "left")
-    plan = T.StructType([*docs.schema.fields])
-    names = docs.columns
+    names, plan = docs.columns, T.StructType([*docs.schema.fields])
+    # Columns go by place here, whatever their names.
+    placed = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    i, t, places = f"c{names.index(id_col)}", f"c{names.index(text_col)}", placed.columns
+    hit = placed.join(side, F.col(i).cast("long").eqNullSafe(F.col("doc_id")) & (F.xxhash64(t) == F.col("version")), "left").select(*places, "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stay = [], []
-            for text, lines in zip(batch["_text"].to_pylist(), batch["_gone"].to_pylist(), strict=True):
+            for text, lines in zip(batch[t].to_pylist(), batch["gone"].to_pylist(), strict=True):
                 new, _ = cut(text, lines, min_bytes)
                 texts.append(new)
                 stay.append(not lines or text is None or bool(new.strip()))
-            columns = [pa.array(texts, batch["_text"].type) if c == text_col else batch.column(k) for k, c in enumerate(names)]
+            columns = [pa.array(texts, batch[t].type) if c == t else batch[c] for c in places]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(stay, pa.bool_())) for c in columns], names=names)
 
-    return hit.select(*[docs[c] for c in names], docs[text_col].alias("_text"), side["gone"].alias("_gone")).mapInArrow(run, plan)
+    return hit.mapInArrow(run, plan)

@@ -1,10 +1,10 @@
 """Quality classifier: n-gram indicators scaled by class log-count ratios, then a linear hinge-loss model fitted by dual
 coordinate descent.
 
-The n-grams are hashed words and sequences of one to three word shapes (repeats the word before, upper case, kind of
-last character, no letter or digit). The model is fitted on the driver from at most ``max_rows`` labelled rows, drawn
-by a hash of the id, half of them from each class; a quarter of them only calibrates margins to chances. Scoring is one
-pass without a shuffle.
+The n-grams are hashed sequences of one to three words, and of one to three word shapes (repeats the word before, upper
+case, kind of last character, no letter or digit), which tell junk whose words are new. The model is fitted on the driver
+from at most ``max_rows`` labelled rows, drawn by a hash of the id, half of them from each class; a quarter of them, by
+that hash too, only calibrates margins to chances. Scoring is one pass without a shuffle.
 
 Defined results: as for ``toxicity``: null and empty texts are scored as texts without n-grams, a null id isn't held
 out, unusable labels are ignored, and with one class only every score is that class.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from . import kernel
 from .toxicity import held_out, training_rows
 
-WORD_BITS = 17
-DIMS = (1 << WORD_BITS) + (1 << 5) + (1 << 10) + (1 << 15)
+WORD_BITS, SEQUENCE_BITS = 17, 18
+DIMS = (1 << WORD_BITS) + (1 << 5) + (1 << 10) + (1 << 15) + (1 << SEQUENCE_BITS)
 MAX_ROWS = 4000
 UPPER, LOWERCASE, ALNUM = (np.zeros(256, bool) for _ in range(3))
 UPPER[65:91] = True
@@ -56,7 +56,13 @@ def _features(part: kernel.Chunk) -> np.ndarray:
     two = rows[1:] == rows[:-1]
     three = two[1:] & two[:-1]
     pair, triple = shape[:-1] << 5 | shape[1:], shape[:-2] << 10 | shape[1:-1] << 5 | shape[2:]
+    with np.errstate(over="ignore"):
+        word_pair = kernel.mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+        word_triple = kernel.mix(word_pair[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[2:])
+    sequences = base + 32 + 1024 + (1 << 15)
     found = [
+        (rows[1:] * DIMS + sequences + (word_pair >> np.uint64(64 - SEQUENCE_BITS)).astype(np.int64))[two],
+        (rows[2:] * DIMS + sequences + (word_triple >> np.uint64(64 - SEQUENCE_BITS)).astype(np.int64))[three],
         rows * DIMS + (words >> np.uint64(64 - WORD_BITS)).astype(np.int64),
         rows * DIMS + base + shape,
         (rows[1:] * DIMS + base + 32 + pair)[two],
@@ -71,8 +77,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs = _features(part)
             cut = np.searchsorted(pairs, np.arange(part.rows + 1) * DIMS)
             yield pa.RecordBatch.from_arrays(
-                [batch["label"].slice(part.first, part.rows), batch["weight"].slice(part.first, part.rows), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(pairs % DIMS, pa.int32()))],
-                names=["label", "weight", "features"],
+                [*(batch[c].slice(part.first, part.rows) for c in ("o1", "o2", "label", "weight")), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(pairs % DIMS, pa.int32()))],
+                names=["o1", "o2", "label", "weight", "features"],
             )
 
 
@@ -119,15 +125,17 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, mass: np.ndarray) -> tuple[flo
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable=lambda i: F.lit(True), max_rows: int = MAX_ROWS, cost: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights by n-gram (already times the ratios and the calibration's slope) and the intercept."""
     kernel.small_batches(docs.sparkSession)
-    table = training_rows(docs, labels, label, usable, max_rows).mapInArrow(_extract, "label int, weight double, features array<int>").toArrow()
+    table = training_rows(docs, labels, label, usable, max_rows).mapInArrow(_extract, "o1 long, o2 long, label int, weight double, features array<int>").toArrow()
+    # An order of its own, so that neither the layout of the tables nor a repeated task changes the model.
+    table = table.sort_by([("o1", "ascending"), ("o2", "ascending"), ("label", "ascending")])
     y = table["label"].to_numpy()
     weight = np.zeros(DIMS)
     if not len(y) or y.min() == y.max():
         return weight, float(30 if len(y) and y[0] else -30)
     lists = table["features"].combine_chunks()
     counts = np.diff(lists.offsets.to_numpy())
-    rows, feats = np.repeat(np.arange(len(y)), counts), lists.values.to_numpy()
-    check = np.arange(len(y)) % 4 == 3 if min((y == 1).sum(), (y == 0).sum()) >= 20 else np.zeros(len(y), bool)
+    rows, feats = np.repeat(np.arange(len(y)), counts), lists.flatten().to_numpy()
+    check = table["o1"].to_numpy() % 4 == 3 if min((y == 1).sum(), (y == 0).sum()) >= 20 else np.zeros(len(y), bool)
     check &= len(set(y[check])) == 2
     learn = ~check[rows]
     often = np.bincount(feats[learn], minlength=DIMS) >= 2
@@ -165,7 +173,7 @@ def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text"
                 margin = intercept + np.bincount(rows, pull[feats], part.rows) / np.maximum(length, 1e-9)
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(part.first, part.rows), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))))], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:

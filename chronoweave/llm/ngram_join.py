@@ -10,11 +10,12 @@ Equal sets are one node from the start. Inside a shard, members are first held a
 only the shards of a leader whose members still lie in several components go through the tree, and there only pairs
 across components are compared. That leaves no link between different texts out and makes no pairs within a group of copies.
 
-Memory: a shard of over ``tile`` members is dealt into tiles by a hash, and each pair of tiles is one group of rows.
+Memory: the members of a leader are dealt into tiles of about ``TILE`` by a hash, and each pair of tiles is one group of rows.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing (its component is
-its own id); a null id has a null component unless others of its class have ids; rows that repeat an id each get a row; with
-fewer words than ``width`` the whole sequence is the one shingle. Shingles are compared by 64-bit hashes.
+its own id); a row without an id links like any other, so it can tie others together, and its component is null only if no
+row of it has an id; rows that repeat an id each get a row; repeated texts are one node, however often they stand; with
+fewer words than ``width`` the whole sequence is the one shingle. Shingles are compared by 64-bit hashes. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from . import graph, kernel, store
 RATIO = 1.5
 LEAST_BITS, MOST_BITS, PER_DIM = 9, 15, 2
 LEAF = 32
-TILE = 2048
+TILE = 512
 SALT = 4096
 PIVOTS = 4
 
@@ -92,16 +93,17 @@ def _node(at: np.ndarray, h: np.ndarray, rows: int, salt: int) -> np.ndarray:
 
 
 def _describe(width: int, salt: int):
-    """doc_id, size, identity of the set, and a second one to tell collisions."""
+    """doc_id, version (a hash of the text), size, identity of the set, and a second one to tell collisions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kernel.chunks(batch["text"]):
                 at, h = sets(part, width)
                 n = np.bincount(at, minlength=part.rows)
+                own = (batch[c].slice(part.first, part.rows) for c in ("doc_id", "version"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"].slice(part.first, part.rows), pa.array(n, pa.int64()), pa.array(_node(at, h, part.rows, salt)), pa.array(_node(at, h, part.rows, salt + 101))],
-                    names=["doc_id", "n", "node", "check"],
+                    [*own, pa.array(n, pa.int64()), pa.array(_node(at, h, part.rows, salt)), pa.array(_node(at, h, part.rows, salt + 101))],
+                    names=["doc_id", "version", "n", "node", "check"],
                 )
 
     return run
@@ -358,26 +360,33 @@ def _across(stars: DataFrame, comps: DataFrame, nodes: DataFrame, percent: int)
     return rows.mapInArrow(_tiles(percent), "a long, b long").distinct()
 
 
-def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", salt: int = 1) -> DataFrame:
+def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", salt: int = 1, details: bool = False) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id that links reach, itself included) of every document.
 
-    Two documents link when 100 * intersection >= percent * union of their sets; percent is over 100 / RATIO.
+    Two documents link when 100 * intersection >= percent * union of their sets; percent is over 100 / RATIO. With
+    ``details`` also the component's own number and the version (a hash of the text) of each row.
     """
     if not 100 / RATIO < percent <= 100:
         raise ValueError("percent must be over 66 and at most 100")
     spark = docs.sparkSession
     kernel.small_batches(spark, 512)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    told = store.written(rows.mapInArrow(_describe(width, salt), "doc_id long, n long, node long, check long"), "sets")
-    classes = told.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("check").alias("c1"), F.max("check").alias("c2"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("version"))
+    told = store.written(rows.mapInArrow(_describe(width, salt), "doc_id long, version long, n long, node long, check long"), "sets")
+    # ``source`` names the row that a node's set is read from again: the smallest id, or none, and there one text.
+    source = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version"))
+    classes = told.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), source.alias("source"), F.min("check").alias("c1"), F.max("check").alias("c2"))
     classes = store.written(classes, "classes")
     if classes.where("c1 != c2").limit(1).count():
-        return link(docs, width, percent, id_col, text_col, salt + 1)
-    shards = rows.mapInArrow(_shards(width, percent, salt), "shard long, node long").repartition("shard").sortWithinPartitions("shard", "node")
+        return link(docs, width, percent, id_col, text_col, salt + 1, details)
+    shards = rows.select("text").mapInArrow(_shards(width, percent, salt), "shard long, node long").repartition("shard").sortWithinPartitions("shard", "node")
     members = store.written(shards.mapInArrow(_members, "shard long, node long, leader long"), "shards")
-    involved = members.select("node").distinct().join(classes, "node").where("first is not null").select(F.col("first").alias("doc_id")).distinct()
-    content = store.semi(rows, store.written(involved, "involved"), "doc_id").select("text")
-    nodes = store.written(content.mapInArrow(_contents(width, salt), "node long, n long, vec binary, members binary"), "nodes")
+    involved = members.select("node").distinct().join(classes, "node").select(F.xxhash64("source.doc_id", "source.version").alias("row")).distinct()
+    content = store.semi(rows.withColumn("row", F.xxhash64("doc_id", "version")), store.written(involved, "involved"), "row").select("text")
+    nodes = content.mapInArrow(_contents(width, salt), "node long, n long, vec binary, members binary")
+    # Only rows that repeat both id and text are read more than once; a node stays one row.
+    if told.groupBy("doc_id", "version").count().where("count > 1").limit(1).count():
+        nodes = nodes.dropDuplicates(["node"])
+    nodes = store.written(nodes, "nodes")
     stars = store.written(members.where("node != leader").select("leader", "node").distinct(), "stars")
     links = store.written(verified(bounded(stars.select(F.col("leader").alias("a"), F.col("node").alias("b")), nodes, percent), nodes, percent), "star-links")
     comps = store.written(graph.components(links), "components")
@@ -390,17 +399,25 @@ def link(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_
         comps = store.written(graph.components(links.union(more)), "components")
     placed = classes.select("node", "first").join(comps, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = placed.join(least, "component").select("node", "component_id")
+    of_node = placed.join(least, "component").select("node", "component", "component_id")
     out = told.join(of_node, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(n = 0, doc_id, component_id)").alias("component_id"))
+    more_columns = ("component", "version") if details else ()
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(n = 0, doc_id, component_id)").alias("component_id"), *more_columns)
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns; of equal rows one stays, rows without an id all stay."""
-    linked = store.written(link(docs, **options), "linked")
-    gone = linked.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows")).where("doc_id is not null")
-    gone = store.written(gone.where("not stays or rows > 1").select("doc_id", "stays"), "gone")
-    kept = store.anti(docs, gone.where("not stays").select("doc_id"), "doc_id")
-    if gone.where("stays").limit(1).count():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(kept.where("doc_id is null"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component, with all its columns: the smallest id, among equal ids the text whose hash is first, and one of equal rows.
+
+    A row without an id stays only if no row of its component has one. Rows without words link with nothing and all stay.
+    """
+    linked = link(docs, id_col=id_col, text_col=text_col, details=True, **options).where("n_shingles > 0")
+    rows = linked.groupBy("component", "doc_id", "version").agg(F.count("*").alias("n"))
+    rows = store.written(rows.withColumn("place", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "version")), "places")
+    best = rows.groupBy("component").agg(F.min("place").alias("best"))
+    judged = rows.join(best, "component").select("doc_id", "version", "n", (F.col("place") == F.col("best")).alias("stays"))
+    judged = store.written(judged.where("not stays or n > 1"), "judged")
+    kept = store.anti_row(docs, judged.where("not stays"), id_col, text_col)
+    tied = judged.where("stays")
+    if tied.limit(1).count():
+        kept = store.anti_row(kept, tied, id_col, text_col).unionByName(store.semi_row(kept, tied, id_col, text_col).dropDuplicates([id_col, text_col]))
     return kept

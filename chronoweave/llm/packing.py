@@ -1,13 +1,15 @@
 """Sum-of-squares online packing of token pieces into windows.
 
 Every document becomes its ids plus one end id. Full windows are cut off a document as they come; the rest is placed
-online into the open window whose fill level makes the sum of squared level counts smallest (a new window counts as
-level 0), tracked in an array with one counter per level. What is still open at the end of a partition is laid end to
-end into full windows, and the very last rest is cut into windows whose lengths are powers of two, which need no
-padding. A partition is packed by itself, so there is no shuffle and a lost task is repeated alone.
-
-Defined results: a null text is empty, and an empty text is its end id alone; null and repeated ids are packed as rows
-of their own; an empty table gives no piece. sequence_id is unique: the partition's number times 2**33 plus a count.
+online into the open window whose fill level makes the sum of squared level counts smallest (or into a new window),
+tracked in an array with one counter per level. A level is ``STEP`` tokens of fill; a piece that fills a window with less
+than a step too many is cut there, and what is over is placed as a piece of its own. So some ``WINDOW / STEP`` windows
+are open at a time, whatever the partition's size. Those still open at a partition's end are laid end to end into full windows, and
+the very last rest is cut into windows whose lengths are powers of two, which need no padding. A partition is packed by
+itself, so there is no shuffle and a lost task is repeated alone.
+
+Defined results: a null text is empty, and an empty text is its end id alone; rows with null or repeated ids and repeated
+rows are packed each by itself; a text of any length is cut into windows as a whole; an empty table gives no piece; other columns are not read. sequence_id is unique: the partition's number times 2**33 plus a count.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from . import kernel
 
 WINDOW = 1024
+STEP = 64
 END_ID = 0
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _encoders: dict[str, object] = {}
@@ -62,37 +65,61 @@ def encoder(name: str):
 
 
 class SumOfSquares:
-    """Online packer; ``place`` takes (row, start, length) pieces shorter than a window, ``closed`` gets finished windows."""
+    """Online packer; ``place`` takes (row, start, length) pieces shorter than a window, ``closed`` gets finished windows.
+
+    ``counts`` has the number of open windows by fill level, a level being ``step`` tokens of fill.
+    """
 
-    def __init__(self, window: int = WINDOW):
-        self.window, self.counts, self.open, self.closed = window, np.zeros(window + 1, np.int64), {}, []
+    def __init__(self, window: int = WINDOW, step: int = STEP):
+        self.window, self.step, self.closed = window, step, []
+        self.counts = [0] * (-(-window // step))
+        self.open: list[list[tuple[int, list]]] = [[] for _ in self.counts]
+
+    def choice(self, size: int) -> int | None:
+        """The level whose last window takes a piece of this size so that the sum of squared counts becomes smallest, the lowest on a tie; None for a new window.
+
+        A window is full with less than ``step`` tokens too many; those are cut off.
+        """
+        counts, step, best = self.counts, self.step, None
+        least = 2 * counts[size // step] + 1
+        for level, n in enumerate(counts):
+            if not n:
+                continue
+            fill = self.open[level][-1][0] + size
+            if fill >= self.window + step:
+                break
+            if fill >= self.window:
+                change = 1 - 2 * n
+            else:
+                after = fill // step
+                change = 0 if after == level else 2 * (counts[after] - n) + 2
+            if change < least:
+                least, best = change, level
+        return best
 
     def place(self, piece: tuple) -> None:
-        size = piece[2]
-        # Moving a window from level h to h + size changes the sum of squares by 2 * (count[h + size] - count[h]) + 2;
-        # opening one adds 2 * count[size] + 1, closing one takes 2 * count[h] - 1 off.
-        change = 2 * (self.counts[size:] - self.counts[: self.window + 1 - size]) + 2
-        change[self.counts[: self.window + 1 - size] == 0] = np.iinfo(np.int64).max
-        change[0] = 2 * self.counts[size] + 1
-        full = self.window - size
-        if self.counts[full]:
-            change[full] = 1 - 2 * self.counts[full]
-        level = int(change.argmin())
-        held = self.open[level].pop() if level else []
-        if level:
+        row, start, size = piece
+        level = self.choice(size)
+        fill, held = 0, []
+        if level is not None:
+            fill, held = self.open[level].pop()
             self.counts[level] -= 1
-        held.append(piece)
-        if level + size == self.window:
+        fits = min(size, self.window - fill)
+        held.append((row, start, fits))
+        fill += fits
+        if fill == self.window:
             self.closed.append(held)
         else:
-            self.counts[level + size] += 1
-            self.open.setdefault(level + size, []).append(held)
+            self.counts[fill // self.step] += 1
+            self.open[fill // self.step].append((fill, held))
+        if fits < size:
+            self.place((row, start + fits, size - fits))
 
     def finish(self) -> None:
         """Close what is open without padding."""
-        rest = [p for level in sorted(self.open, reverse=True) for held in self.open[level] for p in held]
+        rest = [p for windows in reversed(self.open) for _, held in windows for p in held]
         left = sum(p[2] for p in rest)
-        self.open, self.counts[:] = {}, 0
+        self.counts, self.open = [0] * len(self.counts), [[] for _ in self.open]
         room, held = 0, []
         for row, start, length in rest:
             while length:
@@ -107,12 +134,12 @@ class SumOfSquares:
                     held = []
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", batch: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", window: int = WINDOW, step: int = STEP, id_col: str = "doc_id", text_col: str = "text", batch: int = 256) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     kernel.small_batches(docs.sparkSession, batch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer), SumOfSquares(window)
+        encode, packer = encoder(tokenizer), SumOfSquares(window, step)
         sequence = TaskContext.get().partitionId() << 33
         ids: dict[int, tuple] = {}  # of rows with an open piece: doc_id, the ids left, their start, doc_tokens
         left: dict[int, int] = {}

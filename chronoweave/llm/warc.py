@@ -2,13 +2,15 @@
 coalesced byte ranges in offset order.
 
 A record is a gzip member of its own. Records with equal payloads of ``min_revisit`` bytes or more become revisits of
-the one with the largest id; only ids and digests are shuffled to find those, not payloads. Every task writes one
+the one with the largest id; ids and digests are shuffled to find those, not payloads, unless more digests repeat than
+may be broadcast: then rows are joined by id and digest, so that copies of one payload are dealt apart. Every task writes one
 archive under a name of its own to the shared folder, and the index table, itself written there, names only archives of
 tasks that ended well; an archive of a lost or repeated task is never read.
 
 Defined results: a null payload is empty; a null URL is an empty field and read back as null, and line ends in a URL
 are written percent-encoded; a null id is written but never the target of a revisit and reads back as null; rows that
-repeat an id are records of their own; an empty table gives no archive.
+repeat an id are records of their own; of several rows with the largest id of an equal payload, one (the first by URL) is
+the response and the others revisit it; an empty table gives no archive; other columns are not read.
 """
 
 from __future__ import annotations
@@ -88,16 +90,36 @@ def parse(data: bytes) -> dict:
     }
 
 
+def _tagged(rows: DataFrame, min_revisit: int) -> DataFrame:
+    """page_id, url, html, sha1 and refers_to, the id of the response that a row revisits."""
+    ids = rows.where(F.col("bytes") >= min_revisit).groupBy("sha1", "page_id").agg(F.count("*").alias("n"))
+    twice = ids.groupBy(F.col("sha1").alias("digest")).agg(F.max("page_id").alias("original"), F.sum("n").alias("all"), F.max_by("n", "page_id").alias("ties"))
+    twice = store.written(twice.where("`all` > 1 and original is not null").select("digest", "original", "ties"), "warc-digests")
+    if twice.count() <= store.BROADCAST_KEYS:
+        side, on = F.broadcast(twice), (rows["sha1"] == twice["digest"]) & (rows["bytes"] >= min_revisit)
+    else:
+        side = ids.join(twice, ids["sha1"] == twice["digest"]).select(F.col("page_id").alias("id"), "digest", "original", "ties")
+        on = rows["page_id"].eqNullSafe(side["id"]) & (rows["sha1"] == side["digest"])
+    joined = rows.join(side, on, "left").select("page_id", "url", "html", "sha1", "original", "ties")
+    is_original = F.col("page_id").eqNullSafe(F.col("original"))
+    tagged = joined.select("page_id", "url", "html", "sha1", F.when(~is_original, F.col("original")).alias("refers_to"), F.coalesce(is_original & (F.col("ties") > 1), F.lit(False)).alias("tied"))
+    if not twice.where("ties > 1").limit(1).count():
+        return tagged.drop("tied")
+    # Rows that share the largest id: equal rows are counted as one, so that no group of them is gathered.
+    tied = tagged.where("tied").groupBy("page_id", "sha1", "url").agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    first = tied.groupBy("page_id", "sha1").agg(F.min(F.struct(F.col("url").isNotNull().alias("has_url"), "url")).alias("first"))
+    tied = tied.join(first, ["page_id", "sha1"]).withColumn("k", F.explode(F.expr("sequence(1L, n)")))
+    tied = tied.select("page_id", "url", "html", "sha1", F.when(~(F.col("url").eqNullSafe(F.col("first.url")) & (F.col("k") == 1)), F.col("page_id")).alias("refers_to"))
+    return tagged.where("not tied").drop("tied").unionByName(tied)
+
+
 def write(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
     """The index of archives written to the shared folder; its columns are INDEX."""
     spark = pages.sparkSession
     kernel.small_batches(spark)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "utf-8"))).withColumn("bytes", F.octet_length("html").cast("long"))
-    twice = rows.where(F.col("bytes") >= min_revisit).groupBy(F.col("sha1").alias("digest")).agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").drop("n")
-    twice = store.written(twice, "warc-digests")
-    tagged = rows.join(twice, (rows["sha1"] == twice["digest"]) & (rows["bytes"] >= min_revisit), "left")
-    tagged = tagged.select("page_id", "url", "html", "sha1", F.expr("if(page_id <=> original, null, original)").alias("refers_to"))
+    tagged = _tagged(rows, min_revisit)
     root = store.new_path(spark, "warc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +145,6 @@ def write(pages: DataFrame, min_revisit: int = 1000) -> DataFrame:
                 out.close()
 
     index = store.written(tagged.mapInArrow(run, INDEX), "warc-index")
-    store.drop(twice)
     return index.withColumn("archive", F.concat(F.lit(root.split("://", 1)[0] + "://" if "://" in root else ""), "archive"))
 
 
@@ -132,12 +153,19 @@ def _schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])
 
 
-def read(index: DataFrame, gap: int = 64 << 10, span: int = 4 << 20, block: int = 64 << 20) -> DataFrame:
+def read(index: DataFrame, gap: int = 64 << 10, span: int = 4 << 20, block: int = 4 << 20, task_bytes: int = 64 << 20) -> DataFrame:
     """The selected records: rows of the index are dealt by archive and block of offsets, sorted, and ranges with at most
-    ``gap`` unused bytes between them are read at once, ``span`` bytes at most."""
-    kernel.small_batches(index.sparkSession)
+    ``gap`` unused bytes between them are read at once, ``span`` bytes at most.
+
+    A task gets about ``task_bytes`` of records (less while there are fewer tasks than cores); their number follows from the
+    sum of the lengths, as the index itself is too small to tell.
+    """
+    spark = index.sparkSession
+    kernel.small_batches(spark)
     wanted = index.select("archive", "offset", "length").withColumn("block", F.expr(f"offset div {block}"))
-    wanted = wanted.repartition("archive", "block").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-total // task_bytes), min(spark.sparkContext.defaultParallelism, -(-total // block)), 1)
+    wanted = wanted.repartition(tasks, "archive", "block").sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, source = None, None

@@ -16,11 +16,11 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on all usable labels of these documents, doesn't find toxic; a null id is kept, as it can't be named."""
+    """Documents that the classifier, fitted on all usable labels of these documents, doesn't find toxic; rows without an id are judged by their text."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = toxicity.score(docs, toxicity.fit(docs, labels))
-    toxic = store.written(scored.where((F.col("score") >= TOXIC) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "toxic")
-    return store.anti(docs, toxic, "doc_id")
+    toxic = store.written(scored.where(F.col("score") >= TOXIC).select("doc_id", "version").distinct(), "toxic")
+    return store.anti_row(docs, toxic)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +35,10 @@ def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover less than a twentieth."""
+    """Documents of which benchmark windows cover less than a twentieth; rows without an id are judged by their text."""
     judged = decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    found = store.written(judged.where("contaminated and doc_id is not null").select("doc_id").distinct(), "contaminated")
-    return store.anti(docs, found, "doc_id")
+    found = store.written(judged.where("contaminated").select("doc_id", "version").distinct(), "contaminated")
+    return store.anti_row(docs, found)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

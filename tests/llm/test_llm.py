@@ -114,7 +114,7 @@ def test_decontamination(spark):
     item = " ".join(f"t{i}" for i in range(15))
     bench = spark.createDataFrame([(1, item), (2, "short one"), (3, None), (4, "...")], "item_id long, text string")
     texts = [f"x, {item.upper()}! y", "a short, one", None, "nothing here"]
-    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(table(spark, texts), bench, block_bytes=40).collect()}
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontam.contamination(table(spark, texts), bench, block_words=20).collect()}
     assert got == {0: (17, 15, 1, True), 1: (3, 2, 1, True), 2: (0, 0, 0, False), 3: (2, 0, 0, False)}
     assert decontam.original_spans("ä, Bc d", [(1, 3)]) == [(3, 7)]
 
