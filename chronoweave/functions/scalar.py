@@ -81,10 +81,11 @@ def snap(t: Column, period: float, phase: float = 0.0) -> Column:
 
 
 def file_kind(mime: Column, name: Column) -> Column:
-    """folder, video, photo, audio, document or other: by MIME type first, then by extension."""
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    """folder, google (a document of the drive itself), video, photo, audio or other: for each kind in turn by MIME type or by ending. The endings are fixed values."""
+    ext, mime = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)), F.lower(F.coalesce(mime, F.lit("")))
     return (
-        F.when(mime.endswith(".folder"), "folder").when(mime.startswith("video/"), "video").when(mime.startswith("image/"), "photo").when(mime.startswith("audio/"), "audio")
-        .when(ext.isin("mp4", "mov", "m4v", "avi", "mkv"), "video").when(ext.isin("jpg", "jpeg", "png", "heic"), "photo").when(ext.isin("mp3", "wav", "m4a", "flac"), "audio")
-        .when(mime.startswith("application/") | mime.startswith("text/"), "document").otherwise("other")
+        F.when(mime == "application/vnd.google-apps.folder", "folder").when(mime.startswith("application/vnd.google-apps."), "google")
+        .when(mime.startswith("video/") | ext.isin("mov", "mp4", "m4v"), "video")
+        .when(mime.startswith("image/") | ext.isin("heic", "heif", "jpg", "jpeg", "png"), "photo")
+        .when(mime.startswith("audio/") | ext.isin("mp3", "wav", "m4a", "aac", "flac", "ogg"), "audio").otherwise("other")
     )

@@ -1,4 +1,8 @@
-"""Aggregations: robust statistics, regressions, binned means, votes and profiles."""
+"""Aggregations: robust statistics, regressions, binned means, votes and profiles.
+
+Nulls in a value don't count; rows with a null key are a group of their own; ties are resolved as each docstring says; an
+empty table gives no groups.
+"""
 
 from __future__ import annotations
 
@@ -38,6 +42,19 @@ def theil_sen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return a.join(b, keys).where("xa < xb").groupBy(*keys).agg(F.median(F.expr("(yb - ya) / (xb - xa)")).alias("slope"), F.count("*").alias("pairs"))
 
 
+def robust_line(df: DataFrame, keys: list[str], x: str, y: str, spreads: float = 3.0, least: float = 1e-3) -> DataFrame:
+    """slope, intercept, error (of the slope) and n of a least-squares line through the points within ``spreads`` scaled median deviations (``least`` at least) of the line of median slope and median rest. For small groups, as ``theil_sen``."""
+    slope = theil_sen(df, keys, x, y).select(*keys, F.col("slope").alias("_s"))
+    rest = df.join(slope, keys).withColumn("_e", F.col(y) - F.col("_s") * F.col(x))
+    centre = rest.groupBy(*keys).agg(F.median("_e").alias("_i"))
+    away = rest.join(centre, keys).withColumn("_r", F.abs(F.col("_e") - F.col("_i")))
+    spread = away.groupBy(*keys).agg((1.4826 * F.median("_r")).alias("_d"))
+    near = away.join(spread, keys).where(F.col("_r") <= F.greatest(spreads * F.col("_d"), F.lit(least)))
+    fit = near.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("_xx"), F.regr_sxy(y, x).alias("_xy"), F.regr_syy(y, x).alias("_yy"), F.count("*").alias("n"))
+    left = F.greatest(F.col("_yy") - F.col("_xy") * F.col("_xy") / F.col("_xx"), F.lit(0.0))
+    return fit.withColumn("error", F.sqrt(left / F.greatest(F.lit(1), F.col("n") - 2) / F.col("_xx"))).drop("_xx", "_xy", "_yy")
+
+
 def duplicate_keys(df: DataFrame, key: str, item: str) -> DataFrame:
     """Keys found more than once: count and the first and last item."""
     return df.groupBy(key).agg(F.count("*").alias("n"), F.min(item).alias("first"), F.max(item).alias("last")).where("n > 1")
@@ -77,9 +94,3 @@ def top_classes(df: DataFrame, keys: list[str], label: str, value: str, k: int)
     """The k labels of highest mean, ranked."""
     per = df.groupBy(*keys, label).agg(F.avg(value).alias("mean"))
     return per.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("mean"), label))).where(F.col("rank") <= k)
-
-
-def z_scores(df: DataFrame, keys: list[str], value: str, name: str = "z") -> DataFrame:
-    """(value - mean) / population deviation within the key; 0 where nothing varies. Statistics are aggregated before they join back."""
-    stats = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
-    return df.join(stats, keys).withColumn(name, F.when(F.col("_s") > 0, (F.col(value) - F.col("_m")) / F.col("_s")).otherwise(0.0)).drop("_m", "_s")

@@ -34,7 +34,7 @@ def merge(df: DataFrame, keys: list[str], start: str, end: str, gap, closed: boo
 def islands(df: DataFrame, keys: list[str], t: str, flag: Column, width=0, gap=0, at_least=0, eps: float = 0) -> DataFrame:
     """Runs of true samples: sample t covers [t, t + width]; gaps under ``gap - eps`` are closed, runs under ``at_least - eps`` dropped.
 
-    Columns: keys, start, end, n (samples). The filter comes first, so only true samples are shuffled and sorted.
+    Columns: keys, start, end, n (samples). Runs are numbered over all samples of a key, true or not, in one sort; only runs are aggregated.
     """
     numbered = run_ids(df, keys, [t], F.coalesce(flag, F.lit(False)))
     runs = numbered.where(flag).groupBy(*keys, "run").agg(F.min(t).alias("start"), (F.max(t) + width).alias("end"), F.count("*").alias("samples"))
@@ -84,16 +84,6 @@ def peaks(df: DataFrame, keys: list[str], order: list[str], value: str, height)
     return df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.lead(value).over(w)).where((F.col(value) >= height) & (F.col(value) > F.col("_p")) & (F.col(value) >= F.col("_n"))).drop("_p", "_n")
 
 
-def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, name: str = "smooth") -> DataFrame:
-    """Centred mean over n rows; the first and last value are repeated beyond the edges."""
-    w, whole = _ordered(keys, *order), Window.partitionBy(*keys)
-    left, right = n // 2, n - 1 - n // 2
-    i, total = F.row_number().over(w), F.count("*").over(whole)
-    ends = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    missing_left, missing_right = F.greatest(F.lit(0), left + 1 - i), F.greatest(F.lit(0), right - (total - i))
-    return df.withColumn(name, (F.sum(value).over(w.rowsBetween(-left, right)) + missing_left * F.first(value).over(ends) + missing_right * F.last(value).over(ends)) / n)
-
-
 def numbered_scenes(df: DataFrame, keys: list[str], order: list[str], jump: Column, name: str = "scene") -> DataFrame:
     """Counts up at every row that is no jump."""
     return df.withColumn(name, F.sum(F.when(F.coalesce(jump, F.lit(False)), 0).otherwise(1)).over(_ordered(keys, *order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -3,6 +3,9 @@
 Range joins go through buckets: an interval stands in every bucket it touches, a point in one, and the join is an equi
 join on key and bucket with the exact predicate after it, so no plan holds a nested loop. The width is a parameter; an
 interval of length L makes L / width + 1 rows.
+
+Nulls: rows with a null key or time join with nothing (they stay in left and anti joins); intervals whose end is before
+their start are empty. Ties are resolved as each docstring says; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -17,11 +20,12 @@ def bucketed(df: DataFrame, start: Column, end: Column, width) -> DataFrame:
     return df.withColumn("_b", F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor(end / width).cast("long"))))
 
 
-def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str, end: str, width, slack=0, half_open: bool = False, how: str = "inner") -> DataFrame:
-    """Points with the intervals that hold them: start - slack <= t <= end + slack, or t < end + slack if half open."""
+def points_in_intervals(points: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str, end: str, width, slack=0, half_open: bool = False, how: str = "inner", strict: bool = False) -> DataFrame:
+    """Points with the intervals that hold them: start - slack <= t <= end + slack, or t < end + slack if half open, with neither end if strict."""
     p = points.withColumn("_b", F.floor(F.col(t) / width).cast("long"))
     i = bucketed(intervals.where(F.col(start) <= F.col(end)), F.col(start) - slack, F.col(end) + slack, width)
-    inside = (p[t] >= i[start] - slack) & ((p[t] < i[end] + slack) if half_open else (p[t] <= i[end] + slack))
+    after = (p[t] > i[start] - slack) if strict else (p[t] >= i[start] - slack)
+    inside = after & ((p[t] < i[end] + slack) if half_open or strict else (p[t] <= i[end] + slack))
     on = (p["_b"] == i["_b"]) & inside
     for k in keys:
         on = on & (p[k] == i[k])
@@ -84,6 +88,22 @@ def keyword_scores(texts: DataFrame, id_cols: list[str], tokens: Column, keyword
     return words.join(keywords.select(key_id, F.col(token).alias("_w")).distinct(), "_w").groupBy(*id_cols, key_id).agg(F.count("*").alias("hits"))
 
 
+def keyword_windows(words: DataFrame, keywords: DataFrame, keys: list[str], i: str, token: str, key_id: str, reach: int) -> DataFrame:
+    """Keyword sets met by a window of ``reach`` places from a word that they hold: keys, i, key_id and score, the distinct tokens of the set in the window plus a hundredth of the window's words.
+
+    Windows are laid over words by equal places (a row per place of a window), and words meet sets by equal tokens.
+    """
+    held = keywords.select(key_id, F.col(token).alias("_t")).distinct()
+    own = words.select(*keys, i, F.col(token).alias("_t"))
+    hits = own.join(held, "_t")
+    starts = hits.select(*keys, i, key_id).distinct()
+    places = lambda df: df.withColumn("_at", F.explode(F.sequence(F.col(i), F.col(i) + reach)))
+    inside = places(starts).join(hits.select(*keys, F.col(i).alias("_at"), key_id, "_t"), [*keys, "_at", key_id])
+    found = inside.groupBy(*keys, i, key_id).agg(F.count_distinct("_t").alias("_hits"))
+    crowd = places(starts.select(*keys, i).distinct()).join(own.select(*keys, F.col(i).alias("_at")), [*keys, "_at"]).groupBy(*keys, i).agg(F.count("*").alias("_n"))
+    return found.join(crowd, [*keys, i]).select(*keys, i, key_id, (F.col("_hits") + 0.01 * F.col("_n")).alias("score"))
+
+
 def resolve_keys(wanted: DataFrame, known: DataFrame, key: str, name: str, prefix: str = "IMG_") -> DataFrame:
     """Names for keys: equal, else prefix + key, else the one that ends in the key; key, name, candidates (of the best kind).
 
@@ -100,14 +120,23 @@ def resolve_keys(wanted: DataFrame, known: DataFrame, key: str, name: str, prefi
 
 
 def jaccard_pairs(sets: DataFrame, id_col: str, element: str, at_least: float) -> DataFrame:
-    """Pairs of ids (a < b) with their Jaccard similarity, from (id, element) rows, through shared elements and set sizes."""
-    own = sets.select(id_col, element).distinct()
-    n = own.groupBy(id_col).agg(F.count("*").alias("n"))
-    rows = own.join(n, id_col)
-    a, b = (rows.select(F.col(id_col).alias(x), F.col(element), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
-    # Sizes differ by the threshold at most.
-    shared = a.join(b, element).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= at_least * F.greatest("na", "nb"))).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return shared.withColumn("jaccard", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("jaccard") >= at_least).select("a", "b", "jaccard")
+    """Pairs of ids (a < b) with their Jaccard similarity, from (id, element) rows. Rows with a null id or element are left out.
+
+    Prefix filter: elements are ordered from the rarest on, and two sets that are alike enough share one of the first
+    n - ceil(at_least * n) + 1 elements of each; only those meet in a join, so a common element pairs few sets. Pairs found are
+    verified on the whole sets.
+    """
+    own = sets.where(F.col(id_col).isNotNull() & F.col(element).isNotNull()).select(F.col(id_col).alias("_id"), F.col(element).alias("_e")).distinct()
+    often = own.groupBy("_e").agg(F.count("*").alias("_f"))
+    rows = own.join(often, "_e").groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "_e"))), lambda x: x["_e"]).alias("_s"))
+    n = F.size("_s")
+    rows = rows.withColumn("_n", n)
+    first = rows.select("_id", "_n", F.explode(F.slice("_s", F.lit(1), (n - F.ceil(at_least * n - 1e-9) + 1).cast("int"))).alias("_e"))
+    a, b = (first.select("_e", F.col("_id").alias(x), F.col("_n").alias(f"n{x}")) for x in ("a", "b"))
+    near = a.join(b, "_e").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= at_least * F.greatest("na", "nb"))).select("a", "b").distinct()
+    whole = lambda x: rows.select(F.col("_id").alias(x), F.col("_s").alias(f"s{x}"))
+    both = near.join(whole("a"), "a").join(whole("b"), "b").withColumn("c", F.size(F.array_intersect("sa", "sb")))
+    return both.withColumn("jaccard", F.col("c") / (F.size("sa") + F.size("sb") - F.col("c"))).where(F.col("jaccard") >= at_least).select("a", "b", "jaccard")
 
 
 def hash_duplicates(items: DataFrame, id_col: str, length: str, bits: str, least_agreement: float = 0.9, slack: float = 0.3, share: float = 0.03) -> DataFrame:

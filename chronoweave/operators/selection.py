@@ -1,18 +1,25 @@
 """Ranked and sequential choice.
 
-Priority choice is a window. Where a choice depends on the choices before it (spacing, budgets, limiters, label paths),
-the recurrence runs over the sorted rows of one key as a grouped function; keys are independent.
+Priority choice is a window. Where a choice depends on the choices before it (spacing, limiters, followers, label paths,
+groups of words), rows are dealt by key, sorted inside the partition and read as a stream by ``scan``: the state of one key
+is carried from batch to batch and is of bounded size, so a key of any length needs no memory of its own, and one
+shuffle serves any number of passes over the same keys.
+
+Nulls: rows with a null key form a key of their own; a null value is given to the step as None, and each operator says
+what it does with it. Ties in the order are for the caller to end with a unique column. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+Step = Callable[..., tuple[Any, tuple]]
+
 
 def first_by_priority(df: DataFrame, keys: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The k first rows of each key; end the order with a unique column."""
@@ -25,133 +32,196 @@ def first_level(df: DataFrame, keys: list[str], levels: list[Column], order: lis
     return first_by_priority(df.withColumn("level", level).where("level is not null"), keys, [F.col("level"), *order])
 
 
-def _grouped(df: DataFrame, keys: list[str], order: list[str], schema: str, step: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return step(rows.sort_values(order, kind="stable", ignore_index=True))
+def scan(df: DataFrame, keys: list[str], order: list[Column | str], values: list[str], out: str, step: Step, dealt: bool = False) -> DataFrame:
+    """Rows with further columns ``out`` (a DDL list) that ``step(state, *values)`` gives along the order of each key.
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    The state is None at a key's first row; a step returns the new state and the values of the new columns. ``dealt`` says
+    that the rows lie together by these keys already (from an earlier scan over them), which saves the shuffle.
+    """
+    if not dealt:
+        df = df.repartition(*keys)
+    rows = df.sortWithinPartitions(*keys, *order)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), out])
+    new = df.sparkSession.createDataFrame([], out).schema
+    names, kinds = df.columns, [(f.name, pa_type(f.dataType.simpleString())) for f in new.fields]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: Any = None
+        state = None
+        for batch in batches:
+            columns = [batch.column(names.index(v)).to_pylist() for v in values]
+            found: list[tuple] = []
+            for k, key in enumerate(zip(*(batch.column(names.index(c)).to_pylist() for c in keys), strict=True)):
+                if key != at:
+                    at, state = key, None
+                state, row = step(state, *(c[k] for c in columns))
+                found.append(row)
+            made = [pa.array([r[n] for r in found], t) for n, (_, t) in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*names, *(n for n, _ in kinds)])
 
-def spaced_indices(t: np.ndarray, score: np.ndarray, spacing: float, n: int, enough: int = 0, share: float = 0.0) -> list[int]:
-    """Greedy by score, then time: skip what is nearer than ``spacing`` to a pick; stop at n, or when ``enough`` are picked and the score is under ``share`` of the best."""
-    picked: list[int] = []
-    for i in np.lexsort((t, -score)):
-        if len(picked) == n or (enough and len(picked) >= enough and score[i] < share * score[picked[0]]):
-            break
-        if all(abs(t[i] - t[j]) >= spacing for j in picked):
-            picked.append(int(i))
-    return picked
+    return rows.mapInArrow(run, schema)
 
 
-def spaced_top(df: DataFrame, keys: list[str], t: str, score: str, spacing: float, n: int, enough: int = 3, share: float = 0.5) -> DataFrame:
-    """Highest scores that keep their distance: keys, t, score, rank from 1."""
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, t, score]) + ", rank int"
+def pa_type(ddl: str) -> pa.DataType:
+    """Arrow type of the few types that scans return."""
+    plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    return pa.list_(plain[ddl[6:-1]]) if ddl.startswith("array<") else plain[ddl]
 
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        picked = spaced_indices(rows[t].to_numpy(), rows[score].to_numpy(), spacing, n, enough, share)
-        return rows.loc[picked, [*keys, t, score]].assign(rank=range(1, len(picked) + 1))
 
-    return _grouped(df.select(*keys, t, score), keys, [t], schema, step)
+def spaced_top(df: DataFrame, keys: list[str], t: str, score: str, spacing: float, n: int, enough: int = 3, share: float = 0.5) -> DataFrame:
+    """Highest scores that keep ``spacing`` from one another: keys, t, score, rank from 1. It ends at n, or with ``enough`` picked once a score is under ``share`` of the best. Rows without a time or score are no candidates; of equal scores the earlier comes first."""
 
+    def step(picked: list | None, at, value):
+        picked = picked if picked is not None else []
+        best = picked[0][1] if picked else value
+        ended = len(picked) >= n or (len(picked) >= enough and value < share * best)
+        if ended or any(abs(at - other) < spacing for other, _ in picked):
+            return picked, (None,)
+        picked.append((at, value))
+        return picked, (len(picked),)
 
-def fold_cuts(cuts: list[tuple[float, float, str]], near: float = 0.02, least: float = 0.03) -> list[tuple[float, float, str]]:
-    """Join cuts that start at most ``near`` after the last end, gathering reasons; one that doesn't join and is shorter than ``least`` is dropped."""
-    out: list[tuple[float, float, str]] = []
-    for start, end, why in sorted(cuts):
-        if out and start <= out[-1][1] + near:
-            out[-1] = (out[-1][0], max(out[-1][1], end), f"{out[-1][2]}+{why}")
-        elif end - start >= least:
-            out.append((start, end, why))
-    return out
+    rows = df.select(*keys, t, score).where(F.col(t).isNotNull() & F.col(score).isNotNull())
+    return scan(rows, keys, [F.desc(score), F.col(t)], [t, score], "rank int", step).where("rank is not null")
 
 
 def merged_cuts(df: DataFrame, keys: list[str], start: str, end: str, why: str, near: float = 0.02, least: float = 0.03) -> DataFrame:
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", {start} double, {end} double, {why} string"
-
-    def step(rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(fold_cuts(list(zip(rows[start], rows[end], rows[why], strict=True)), near, least), columns=[start, end, why])
-        return pd.concat([rows.loc[[0] * len(out), keys].reset_index(drop=True), out], axis=1)
-
-    return _grouped(df.select(*keys, start, end, why), keys, [start, end], schema, step)
-
-
-def limiter(target: np.ndarray, attack: float, release: float) -> np.ndarray:
-    """A curve that moves to the target by at most ``attack`` down and ``release`` up per sample, from 1."""
-    out, now = np.empty(len(target)), 1.0
-    for i, x in enumerate(target):
-        now += max(-attack, min(release, x - now))
-        out[i] = now
-    return out
-
-
-def follow(x: np.ndarray, dead: float, most: float) -> np.ndarray:
-    """A position that stays while the target is within ``dead`` and else moves by ``most`` at most."""
-    out = np.empty(len(x))
-    now = x[0] if len(x) else 0.0
-    for i, v in enumerate(x):
-        d = v - now
-        if abs(d) > dead:
-            now += max(-most, min(most, d - np.sign(d) * dead))
-        out[i] = now
-    return out
-
-
-def label_path(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """Labels (columns) that maximise the sum of scores less ``penalty`` per change; the smallest label on ties."""
-    if not len(scores):
-        return np.zeros(0, int)
-    best, back = scores[0].astype(float), np.zeros(scores.shape, int)
-    for i in range(1, len(scores)):
-        top = int(best.argmax())
-        stay = best >= best[top] - penalty
-        back[i] = np.where(stay, np.arange(scores.shape[1]), top)
-        best = np.where(stay, best, best[top] - penalty) + scores[i]
-    path = np.empty(len(scores), int)
-    path[-1] = best.argmax()
-    for i in range(len(scores) - 1, 0, -1):
-        path[i - 1] = back[i][path[i]]
-    return path
-
-
-def word_groups(widths: list[float], breaks: list[bool], most: int = 3, room: float = 18.0) -> list[int]:
-    """Group number per word: groups of up to ``most`` words within ``room``, never across a break, least sum of squared free room; a word wider than the room stands alone."""
-    n = len(widths)
-    cost, cut = [0.0] + [float("inf")] * n, [0] * (n + 1)
-    for j in range(1, n + 1):
-        for i in range(j - 1, max(-1, j - most - 1), -1):
-            if i < j - 1 and breaks[i]:
-                break
-            width = sum(widths[i:j]) + (j - i - 1)
-            if width > room and j - i > 1:
-                break
-            c = cost[i] + max(0.0, room - width) ** 2
-            if c < cost[j]:
-                cost[j], cut[j] = c, i
-    groups, j, ends = [0] * n, n, []
-    while j:
-        ends.append((cut[j], j))
-        j = cut[j]
-    for g, (a, b) in enumerate(reversed(ends)):
-        groups[a:b] = [g] * (b - a)
-    return groups
-
-
-def along(df: DataFrame, keys: list[str], order: list[str], values: list[str], name: str, kind: str, curve: Callable[..., np.ndarray]) -> DataFrame:
-    """Rows with ``curve(values...)`` over the ordered rows of a key as a further column."""
-    kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in df.columns) + f", {name} {kind}"
-    return _grouped(df, keys, order, schema, lambda rows: rows.assign(**{name: curve(*[rows[v].to_numpy() for v in values])}))
-
-
-def assign_once(slots: pd.DataFrame, pool: pd.DataFrame, fits: Callable[[pd.Series, pd.Series], bool], order: list[str], ascending: list[bool]) -> pd.DataFrame:
-    """Slots in order, each with the first fitting candidate that no slot before took (null without any). For edit lists, which fit on the driver."""
-    ranked = pool.sort_values(order, ascending=ascending, kind="stable")
-    used: set = set()
-    out = []
-    for _, slot in slots.iterrows():
-        choice = next((c for c, row in ranked.iterrows() if c not in used and fits(slot, row)), None)
-        used.add(choice)
-        out.append(None if choice is None else ranked.loc[choice, "clip"])
-    return slots.assign(clip=out)
+    """Cuts that begin at most ``near`` after the end reached are one cut with all reasons, joined by +; a cut that joins none and is shorter than ``least`` is dropped and bridges nothing.
+
+    The scan only numbers the cuts; the numbers are then grouped.
+    """
+
+    def step(state: tuple | None, a, b):
+        number, reached = state or (0, float("-inf"))
+        if a > reached + near:
+            if b - a < least:
+                return (number, reached), (None,)
+            number, reached = number + 1, b
+        return (number, max(reached, b)), (number,)
+
+    rows = scan(df.select(*keys, start, end, why).where(F.col(start).isNotNull() & F.col(end).isNotNull()), keys, [start, end, why], [start, end], "cut bigint", step)
+    reasons = F.array_sort(F.collect_list(F.struct(start, end, why)))
+    return rows.where("cut is not null").groupBy(*keys, "cut").agg(F.min(start).alias(start), F.max(end).alias(end), F.array_join(F.transform(reasons, lambda r: r[why]), "+").alias(why)).drop("cut")
+
+
+def limited(df: DataFrame, keys: list[str], order: list[str], target: str, attack: float, release: float, name: str = "level") -> DataFrame:
+    """A curve that begins at its first target and then moves towards each by at most ``attack`` down and ``release`` up a row; a null target moves nothing."""
+
+    def step(level, aim):
+        if level is None:
+            level = aim
+        elif aim is not None:
+            level += min(max(aim - level, -attack), release)
+        return level, (level,)
+
+    return scan(df, keys, order, [target], f"{name} double", step)
+
+
+def followed(df: DataFrame, keys: list[str], order: list[str], target: str, dead: float, most: float, name: str = "position") -> DataFrame:
+    """A position that begins at its first target, rests while the target is within ``dead`` of it, and else makes good what is beyond by at most ``most`` a row; a null target moves nothing."""
+
+    def step(position, aim):
+        if position is None or aim is None:
+            position = aim if position is None else position
+        else:
+            beyond = max(abs(aim - position) - dead, 0.0)
+            position += min(beyond, most) * (1 if aim > position else -1)
+        return position, (position,)
+
+    return scan(df, keys, order, [target], f"{name} double", step)
+
+
+def label_path(df: DataFrame, keys: list[str], order: list[str], scores: str, penalty: float, name: str = "label") -> DataFrame:
+    """The label (place in the array ``scores``) of every row that makes the sum of scores less ``penalty`` per change of label largest. On ties a label is kept rather than changed, and the first label wins.
+
+    Two scans over one dealing of the rows: forward with the best sum per label and the label each came from, then
+    backward from the best last label. Rows must have scores of one length.
+    """
+
+    def forward(sums: list | None, own: list):
+        if sums is None:
+            sums, came = [0.0] * len(own), list(range(len(own)))
+        else:
+            top = sums.index(max(sums))
+            came = [k if s >= sums[top] - penalty else top for k, s in enumerate(sums)]
+            sums = [sums[c] - (penalty if c != k else 0.0) for k, c in enumerate(came)]
+        sums = [s + x for s, x in zip(sums, own, strict=True)]
+        return sums, (came, sums.index(max(sums)))
+
+    def backward(label, came: list, best: int):
+        label = best if label is None else label
+        return came[label], (label,)
+
+    there = scan(df, keys, order, [scores], "_came array<bigint>, _best bigint", forward)
+    back = scan(there, keys, [F.desc(o) for o in order], ["_came", "_best"], f"{name} bigint", backward, dealt=True)
+    return back.drop("_came", "_best")
+
+
+#: Words that a group should not end on (fixed values).
+BINDING_WORDS = frozenset(
+    "der die das den dem des ein eine einen einem einer und oder aber auf mit von vom zu zum zur für in im an am aus bei nach über unter vor dass weil wenn wie als".split()
+)
+#: Price of a group of one, two or three words, and of one that ends on a binding word (fixed values).
+GROUP_PRICES, BINDING_PRICE = (2.0, 0.15, 0.10), 1.5
+
+
+def word_groups(df: DataFrame, keys: list[str], order: list[str], word: str, width: str, hard: str, room: float, name: str = "grp") -> DataFrame:
+    """Number, from 0 within a key, of the group of up to three words that each word stands in, for the least sum of prices.
+
+    No group reaches over a row where ``hard`` is true (the word begins anew after a pause, a full stop or a comma), and
+    none of two words or more is wider than ``room`` (widths and single spaces). Of equal sums the longer last group wins.
+    Forward, a row keeps the best sums that end at it and at the two words before; backward, the groups are read off.
+    """
+
+    def cheapest(before: list[tuple[float, float]], binding: bool) -> tuple[float, int]:
+        """Least sum of prices up to the last of these words, and the size of the group that it ends; entries are (sum before the word, its width)."""
+        best = (float("inf"), 1)
+        for k in range(len(before), 0, -1):
+            if k > 1 and sum(x for _, x in before[-k:]) + k - 1 > room:
+                continue
+            price = before[-k][0] + GROUP_PRICES[k - 1] + (BINDING_PRICE if binding and k > 1 else 0.0)
+            if price < best[0] - 1e-9:
+                best = (price, k)
+        return best
+
+    def forward(state, binding, x, begins):
+        total, before = state or (0.0, [])
+        before = [*([] if begins else before), (total, x)][-len(GROUP_PRICES) :]
+        # A group may end on a binding word at a hard bound; the row after this one tells, so both answers are kept.
+        (total, inner), (_, last) = cheapest(before, binding), cheapest(before, False)
+        return (total, before), (inner, last)
+
+    def backward(state, inner, last, begins):
+        left, ends_block = state or (0, True)
+        if not left:
+            left = last if ends_block else inner
+        return (left - 1, bool(begins)), (left == 1,)
+
+    binding = F.lower(F.regexp_replace(word, r"[^\p{L}]", "")).isin(*sorted(BINDING_WORDS))
+    rows = df.withColumn("_binding", F.coalesce(binding, F.lit(False))).withColumn("_hard", F.coalesce(F.col(hard), F.lit(False)))
+    there = scan(rows, keys, order, ["_binding", width, "_hard"], "_inner bigint, _last bigint", forward)
+    back = scan(there, keys, [F.desc(o) for o in order], ["_inner", "_last", "_hard"], "_first boolean", backward, dealt=True)
+    starts = F.sum(F.col("_first").cast("long")).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return back.withColumn(name, starts - 1).drop("_binding", "_hard", "_inner", "_last", "_first")
+
+
+def assigned_once(slots: DataFrame, pool: DataFrame, keys: list[str], slot_order: list[str], fits: Column, order: list[Column], slot: str, clip: str) -> DataFrame:
+    """Each slot's clip: keys, slot, clip. Slots of a key choose one after the other; each takes the first clip, by ``order``, that ``fits`` and that none before took; null without any.
+
+    Slots (a unique number within their keys) and clips are joined by their keys and ranked as rows. A slot needs no more
+    candidates than its keys have slots, as those before it take one each; that bounds what the scan reads and carries.
+    """
+    own = list(dict.fromkeys([*slot_order, slot]))
+    n = slots.groupBy(*keys).agg(F.count("*").alias("_slots"))
+    pairs = slots.join(n, keys).join(pool, keys).where(fits)
+    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, slot).orderBy(*order))).where("_rank <= _slots")
+    wanted = F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.col(clip).alias("c")))), lambda x: x["c"].cast("string"))
+    rows = slots.select(*keys, *own).join(ranked.groupBy(*keys, slot).agg(wanted.alias("_wanted")), [*keys, slot], "left")
+
+    def step(taken: set | None, wanted):
+        taken = taken if taken is not None else set()
+        choice = next((c for c in wanted or () if c not in taken), None)
+        if choice is not None:
+            taken.add(choice)
+        return taken, (choice,)
+
+    return scan(rows, keys, slot_order, ["_wanted"], f"{clip} string", step).select(*keys, slot, clip)

@@ -28,13 +28,16 @@ def ordered_union(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 
 
 def manifest_union(files: DataFrame) -> DataFrame:
-    """One row per id, then per (stem, size), the smallest ``ord`` first; a stem already taken by another size gets ``~`` and six characters of its id.
+    """One row per id, the smallest ``ord`` first; of those with a stem, the first owns it. A further file with the stem is left out if its
+    size is the owner's and known (not null or 0), and else named ``stem~`` and six characters of its id.
 
-    files: ord, id, stem, bytes.
+    files: ord, id, stem, bytes. Renamed stems are not looked up again: an id's part makes them its own.
     """
-    rows = one_per_key(one_per_key(files, ["id"], F.col("ord")), ["stem", "bytes"], F.col("ord"))
+    rows = one_per_key(files, ["id"], F.col("ord"))
     w = Window.partitionBy("stem").orderBy("ord")
-    return rows.withColumn("name", F.when(F.row_number().over(w) == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("~"), F.substring("id", 1, 6)))).select("ord", "id", "stem", "bytes", "name")
+    rows = rows.withColumn("_owner", F.first("bytes").over(w)).withColumn("_at", F.row_number().over(w))
+    kept = rows.where((F.col("_at") == 1) | ~F.coalesce((F.col("bytes") == F.col("_owner")) & (F.col("bytes") != 0), F.lit(False)))
+    return kept.withColumn("name", F.when(F.col("_at") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("~"), F.substring("id", 1, 6)))).select("ord", "id", "stem", "bytes", "name")
 
 
 def layered(maps: list[Column]) -> Column:

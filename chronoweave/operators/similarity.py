@@ -15,20 +15,24 @@ def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def assign(df: DataFrame, id_col: str, vector: str, centres: DataFrame, label: str, limit: int = 10_000) -> DataFrame:
-    """The centroid of highest cosine for every row, the smallest label on a tie: id, label, similarity. Centres are few by nature; more than ``limit`` is an error."""
+    """The centroid of highest cosine for every row, the smallest label on a tie: id, label, similarity; both null for a null vector or without centres. Centres are few by nature; more than ``limit`` is an error."""
     rows = centres.orderBy(label).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"over {limit} centres")
-    names, matrix = [r[label] for r in rows], np.array([r["centroid"] for r in rows], dtype=float)
+    names, matrix = [r[label] for r in rows], np.array([r["centroid"] for r in rows], dtype=float).reshape(len(rows), -1)
     matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
     kind = dict(centres.dtypes)[label]
 
     def run(batches):
         for b in batches:
-            x = np.stack(b[vector].to_numpy()).astype(float) if len(b) else np.zeros((0, matrix.shape[1]))
-            s = x @ matrix.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            best = s.argmax(1)
-            yield pd.DataFrame({id_col: b[id_col], label: [names[k] for k in best], "similarity": s[np.arange(len(s)), best]})
+            known = b[vector].notna().to_numpy() & bool(names)
+            found, near = np.full(len(b), None, object), np.full(len(b), None, object)
+            if known.any():
+                x = np.stack(b[vector].to_numpy()[known]).astype(float)
+                s = x @ matrix.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                best = s.argmax(1)
+                found[known], near[known] = np.array(names, object)[best], s[np.arange(len(s)), best]
+            yield pd.DataFrame({id_col: b[id_col], label: found, "similarity": pd.Series(near, dtype="Float64")})
 
     return df.select(id_col, vector).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, {label} {kind}, similarity double")
 

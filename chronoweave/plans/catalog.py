@@ -79,8 +79,8 @@ def gap_merge_sessions(spark, sf):
 def complement_gaps(spark, sf):
     """Time without a session, from the first to the last event of all."""
     e = _events(spark, sf)
-    low, high = e.agg(F.min("t"), F.max("t")).first()
-    return intervals.complement(_sessions(e), ["user_id"], "start", "end", F.min(F.lit(low)), F.max(F.lit(high)))
+    span = F.broadcast(e.agg(F.min("t").alias("lo"), F.max("t").alias("hi")))
+    return intervals.complement(_sessions(e).join(span), ["user_id"], "start", "end", F.min("lo"), F.max("hi"))
 
 
 @query(f"""with {_E}, s as (select *, case when value > 150 then true when value <= 40 then false end as x from e)
@@ -113,7 +113,7 @@ def local_peaks(spark, sf):
 
 @query(f"""with {_E} select event_id, sum(case when event_type = 'click' then 0 else 1 end) over (partition by user_id order by t rows unbounded preceding)::bigint as scene from e""")
 def scene_number(spark, sf):
-    """W21, A22."""
+    """W21."""
     return intervals.numbered_scenes(_events(spark, sf), ["user_id"], ["t"], F.col("event_type") == "click").select("event_id", "scene")
 
 
@@ -229,7 +229,7 @@ def grid_snap(spark, sf):
 @query("""with d as (select doc_id, string_split(lower(text), ' ') as w from documents), x as (select doc_id, w, unnest(range(1, len(w))) as i from d)
     select doc_id, min(i) - 1 as place from x where w[i] = 'of' and w[i + 1] = 'the' group by doc_id""")
 def phrase_match(spark, sf):
-    """First place of a phrase."""
+    """First place of a phrase."""
     d = _read(spark, sf, "documents")
     return matching.phrase_matches(d, "doc_id", F.split(F.lower("text"), " "), ["of", "the"])
 
@@ -238,7 +238,7 @@ def phrase_match(spark, sf):
     c as (select conv_id, turn, unnest(list_distinct(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}_ ]', '', 'g'), ' '))) as w from conversations)
     select conv_id, turn, item_id, count(*) as hits from c join k on c.w = k.w group by all""")
 def keyword_match(spark, sf):
-    """J15, P13, T8 scores: distinct long benchmark words in each turn."""
+    """J15, first half: distinct long benchmark words in each turn."""
     tokens = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_ ]", ""), " ")
     k = _read(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(tokens)).alias("w")).where(F.length("w") >= 6)
     return matching.keyword_scores(_read(spark, sf, "conversations"), ["conv_id", "turn"], tokens, k, "item_id", "w")
@@ -265,7 +265,7 @@ def bit_agreement(spark, sf):
 @query("""with k as (select c_custkey, c_custkey % 100 as key from customer), n as (select distinct 'c' || (c_custkey % 1000)::varchar as name from customer),
     w as (select distinct key::varchar as key from k), e as (select w.key, n.name from w join n on ends_with(n.name, w.key)) select key, min(name) as name, count(distinct name) as candidates from e group by key""")
 def fuzzy_keys(spark, sf):
-    """Names that end in a key, with the number of candidates."""
+    """Names that end in a key, with the number of candidates."""
     c = _read(spark, sf, "customer")
     wanted = c.select((F.col("c_custkey") % 100).cast("string").alias("key")).distinct()
     known = c.select(F.concat(F.lit("c"), (F.col("c_custkey") % 1000).cast("string")).alias("name")).distinct()
@@ -306,12 +306,12 @@ def duplicate_keys(spark, sf):
     return aggregates.duplicate_keys(_read(spark, sf, "documents").select(F.md5("text").alias("text"), "doc_id"), "text", "doc_id")
 
 
-@query("""with x as (select event_type, hour(ts) as bin, count(*) as n from events group by all), b as (select event_type, unnest(range(0, 26)) as bin from (select distinct event_type from events))
-    select b.event_type, b.bin, coalesce(n, 0) as n from b left join x on b.event_type = x.event_type and b.bin = x.bin""")
+@query("""with x as (select event_type, hour(ts) as bin, count(*) as n, avg(round(value * 100)::bigint) as m from events group by all), b as (select event_type, unnest(range(0, 26)) as bin from (select distinct event_type from events))
+    select b.event_type, b.bin, coalesce(n, 0) as n, round(coalesce(m, 0), 6) as mean from b left join x on b.event_type = x.event_type and b.bin = x.bin""")
 def time_bins(spark, sf):
-    """A5: samples per hour of day, empty bins with 0."""
-    e = _read(spark, sf, "events").select("event_type", F.hour("ts").alias("h"), "value")
-    return aggregates.binned_means(e, ["event_type"], "h", "value", 1, 0, 26).select("event_type", "bin", "n")
+    """A5: mean per hour of day, empty bins with 0."""
+    e = _read(spark, sf, "events").select("event_type", F.hour("ts").alias("h"), F.round(F.col("value") * 100).cast("long").alias("value"))
+    return aggregates.binned_means(e, ["event_type"], "h", "value", 1, 0, 26).select("event_type", "bin", "n", F.round("mean", 6).alias("mean"))
 
 
 @query("""with p as (select l_returnflag, l_linenumber % 4 as phase, avg(l_quantity) as m from lineitem group by all) select l_returnflag, (list(phase order by m desc, phase))[1] as phase from p group by l_returnflag""")
@@ -341,7 +341,7 @@ def items_in_groups(spark, sf):
 
 @query("""with r as (select l_suppkey, l_orderkey, l_linenumber, row_number() over (partition by l_suppkey order by l_quantity desc, l_discount, l_orderkey, l_linenumber) as rank from lineitem) select * from r where rank <= 3""")
 def priority_topk(spark, sf):
-    """Three best lines of a supplier."""
+    """Three best lines of a supplier."""
     l = _read(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", "l_discount")
     return selection.first_by_priority(l, ["l_suppkey"], [F.desc("l_quantity"), F.col("l_discount"), F.col("l_orderkey"), F.col("l_linenumber")], 3).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
 
@@ -373,10 +373,10 @@ def set_difference(spark, sf):
 
 
 @query("""with f as (select o_orderkey as ord, 'id' || (o_orderkey % 5000)::varchar as id, 's' || (o_custkey % 300)::varchar as stem, o_orderkey % 7 as bytes from orders),
-    a as (select * from f qualify row_number() over (partition by id order by ord) = 1), b as (select * from a qualify row_number() over (partition by stem, bytes order by ord) = 1)
-    select ord, id, stem, bytes, case when row_number() over (partition by stem order by ord) = 1 then stem else stem || '~' || substring(id, 1, 6) end as name from b""")
+    a as (select * from f qualify row_number() over (partition by id order by ord) = 1), b as (select *, first_value(bytes) over (partition by stem order by ord) as own, row_number() over (partition by stem order by ord) as r from a)
+    select ord, id, stem, bytes, case when r = 1 then stem else stem || '~' || substring(id, 1, 6) end as name from b where r = 1 or bytes = 0 or bytes <> own""")
 def manifest_union(spark, sf):
-    """Ids once, then stem and size once, and a new name where a stem returns with another size."""
+    """Ids once; a stem's further files are left out if of the owner's known size, else renamed."""
     f = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("ord"), F.concat(F.lit("id"), F.col("o_orderkey") % 5000).alias("id"), F.concat(F.lit("s"), F.col("o_custkey") % 300).alias("stem"), (F.col("o_orderkey") % 7).alias("bytes"))
     return sets.manifest_union(f)
 
@@ -396,10 +396,14 @@ def rule_rows(spark, sf):
     ])
 
 
-@query("""select page_id, case when regexp_matches(lower(url), '\\.(jpg|jpeg|png|heic)$') then 'photo' when regexp_matches(lower(url), '\\.(mp4|mov|m4v|avi|mkv)$') then 'video' when regexp_matches(lower(url), '\\.(mp3|wav|m4a|flac)$') then 'audio' else 'document' end as kind from pages""")
+@query("""with f as (select doc_id, ['video/mp4', 'image/png', '', 'application/vnd.google-apps.folder', 'application/vnd.google-apps.document', 'audio/ogg', 'text/plain'][1 + doc_id % 7] as mime, ['.mp4', '.jpg', '.MP3', '.txt', ''][1 + doc_id % 5] as ext from documents)
+    select doc_id, case when mime like '%.folder' then 'folder' when mime like '%google-apps%' then 'google' when mime like 'video/%' or ext = '.mp4' then 'video' when mime like 'image/%' or ext = '.jpg' then 'photo' when mime like 'audio/%' or ext = '.MP3' then 'audio' else 'other' end as kind from f""")
 def file_kind(spark, sf):
-    """Kind of a page by type, then extension."""
-    return _read(spark, sf, "pages").select("page_id", scalar.file_kind(F.lit("text/html"), F.col("url")).alias("kind"))
+    """Kind of a file by MIME type or ending, in order."""
+    mimes = F.array(*map(F.lit, ("video/mp4", "image/png", "", "application/vnd.google-apps.folder", "application/vnd.google-apps.document", "audio/ogg", "text/plain")))
+    ends = F.array(*map(F.lit, (".mp4", ".jpg", ".MP3", ".txt", "")))
+    d = _read(spark, sf, "documents").select("doc_id", F.get(mimes, (F.col("doc_id") % 7).cast("int")).alias("mime"), F.concat(F.lit("a"), F.get(ends, (F.col("doc_id") % 5).cast("int"))).alias("name"))
+    return d.select("doc_id", scalar.file_kind(F.col("mime"), F.col("name")).alias("kind"))
 
 
 @query("""select conv_id, turn, len(regexp_extract_all(text, '[.!?…](\\s|$)')) as ends from conversations""")
@@ -434,54 +438,12 @@ def session_extension(spark, sf):
     return s.select("user_id", "n", scalar.micros("start").alias("start"))
 
 
-@query()
-def greedy_topn_spaced(spark, sf):
-    """Best events of a user six hours apart."""
-    return selection.spaced_top(_events(spark, sf).withColumn("hours", F.col("t") / HOUR), ["user_id"], "hours", "value", 6.0, 5)
-
-
-@query()
-def merged_cuts(spark, sf):
-    """The cut fold."""
-    c = _events(spark, sf).select("user_id", (F.col("t") / HOUR).alias("start"), ((F.col("t") / HOUR) + F.col("value") / 1000).alias("end"), F.col("event_type").alias("why"))
-    return selection.merged_cuts(c, ["user_id"], "start", "end", "why")
-
-
-@query()
-def limiter_curve(spark, sf):
-    """W29."""
-    e = _events(spark, sf).select("user_id", "event_id", "t", (F.least(F.col("value"), F.lit(100.0)) / 100).alias("target"))
-    return selection.along(e, ["user_id"], ["t"], ["target"], "level", "double", lambda x: selection.limiter(x, 0.2, 0.05))
-
-
-@query()
-def dead_zone_follow(spark, sf):
-    """W30."""
-    e = _events(spark, sf).select("user_id", "event_id", "t", "value")
-    return selection.along(e, ["user_id"], ["t"], ["value"], "position", "double", lambda x: selection.follow(x, 20.0, 15.0))
-
-
-@query()
-def viterbi_labels(spark, sf):
-    """Two labels by distance to 20 and 200 with a price per change."""
-    import numpy as np
-
-    e = _events(spark, sf).select("user_id", "event_id", "t", "value")
-    return selection.along(e, ["user_id"], ["t"], ["value"], "label", "long", lambda x: selection.label_path(-np.abs(x[:, None] - np.array([[20.0, 200.0]])), 60.0))
-
-
-@query()
-def min_cost_groups(spark, sf):
-    """Words of the first document lines by the least-cost grouping."""
-    t = _read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("width", F.length("w").cast("double")).withColumn("stop", scalar.sentence_end(F.col("w")))
-    return selection.along(t, ["conv_id", "turn"], ["i"], ["width", "stop"], "line", "long", lambda a, b: selection.word_groups(list(a), list(b)))
-
-
-@query()
+@query("""with p as (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as v from embeddings), m as (select label, i, avg(v) as v from p group by all), c as (select label, list(v order by i) as c from m group by label),
+    x as (select vec_id, c.label, list_cosine_similarity(embedding::double[], c.c) as s from embeddings e, c) select vec_id, (list(label order by s desc, label))[1] as label, round(max(s), 6) as similarity from x group by vec_id""")
 def cosine_assign(spark, sf):
-    """Nearest label centroid of every vector."""
+    """C3, first half: nearest label centroid of every vector."""
     e = _read(spark, sf, "embeddings")
-    return similarity.assign(e, "vec_id", "embedding", similarity.centroids(e, "label", "embedding"), "label")
+    return similarity.assign(e, "vec_id", "embedding", similarity.centroids(e, "label", "embedding"), "label").withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
@@ -490,17 +452,22 @@ def average_linkage(spark, sf):
     return similarity.grouped(_read(spark, sf, "embeddings"), ["label"], "vec_id", "embedding", 0.7)
 
 
-@query()
+@query(f"""with {_E}, b as (select user_id, min(t) as a, max(t) as z from e group by user_id), g as (select user_id, unnest(range(a, z + 1, {6 * HOUR})) as t from b),
+    l as (select g.user_id, g.t, e.t as pt, e.value as pv from g asof left join e on g.user_id = e.user_id and g.t >= e.t), r as (select l.*, e.t as nt, e.value as nv from l asof left join e on l.user_id = e.user_id and l.t <= e.t)
+    select user_id, t, round(case when pt is null then nv when nt is null or nt = pt then pv else pv + (nv - pv) * (t - pt) / (nt - pt) end, 6) as value from r""")
 def resampled_signal(spark, sf):
-    """Hourly values between the events of a user."""
+    """Values every six hours between the events of a user."""
     e = _events(spark, sf)
     grid = e.groupBy("user_id").agg(F.min("t").alias("a"), F.max("t").alias("b")).select("user_id", F.explode(F.expr(f"sequence(a, b, {6 * HOUR}L)")).alias("t"))
-    return intervals.interpolate(e, grid, ["user_id"], "t", "value")
+    return intervals.interpolate(e, grid, ["user_id"], "t", "value").select("user_id", "t", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(_SESS + """, b as (select min(t)::double as lo, (max(t) - min(t)) / 60.0::double as step from e),
+    c as (select user_id, start, "end", unnest(range(greatest(0, least(59, floor((start - lo) / step)))::bigint, greatest(0, least(59, floor(("end" - lo) / step)))::bigint + 1)) as c, lo, step from sess, b),
+    m as (select user_id, c, sum(least("end", lo + (c + 1) * step) - greatest(start, lo + c * step)) as x, any_value(step) as step from c group by user_id, c), y as (select user_id, list(c) filter (x > 0.3 * step) as ks from m group by user_id)
+    select user_id, array_to_string(list_transform(range(60), lambda i: case when list_contains(coalesce(ks, []), i) then '#' else '.' end), '') as marks from y""")
 def timeline_marks(spark, sf):
-    """K5: coverage of sessions as text."""
+    """K5, the marks: coverage of sessions as text."""
     e = _events(spark, sf)
-    low, high = e.agg(F.min("t"), F.max("t")).first()
-    return manifest.timeline(_sessions(e), "user_id", "start", "end", low, high)
+    span = e.agg(F.min("t").cast("double").alias("low"), F.max("t").cast("double").alias("high"))
+    return manifest.timeline(_sessions(e), "user_id", "start", "end", span)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 from collections.abc import Iterator
 
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Fields of a connector page that hold further pages (fixed values).
+WRAPPERS = ("files", "content", "text", "result")
 FILE = "id string, name string, mime string, bytes long, parent string"
 
 
@@ -31,25 +34,22 @@ def write_manifest(files: DataFrame, path: str) -> None:
     files.select("id", "name", "bytes").repartitionByRange(1, "name").sortWithinPartitions("name").write.mode("overwrite").csv(path, sep="\t")
 
 
-def _found(value) -> Iterator[dict]:
-    """File objects anywhere inside a page: lists, files wrappers, and JSON inside text blocks."""
-    if isinstance(value, str):
-        try:
-            value = json.loads(value)
-        except ValueError:
-            return
-        if isinstance(value, str):
-            return
-    if isinstance(value, list):
-        for x in value:
-            yield from _found(x)
-    elif isinstance(value, dict):
-        if "id" in value and ("title" in value or "name" in value):
-            yield value
-        else:
-            for k in ("files", "content", "text", "result"):
-                if k in value:
-                    yield from _found(value[k])
+def _files_of(page: str) -> list[dict]:
+    """File objects of a connector page, in reading order: objects with an id and a title or name, wherever lists, wrappers or JSON inside text blocks hold them. Works off a list of what is still to be looked at, so any depth will do."""
+    files, ahead = [], [page]
+    while ahead:
+        item = ahead.pop()
+        if isinstance(item, str):
+            with contextlib.suppress(ValueError):
+                inner = json.loads(item)
+                ahead += [inner] if isinstance(inner, dict | list) else []
+        elif isinstance(item, list):
+            ahead += item[::-1]
+        elif isinstance(item, dict) and "id" in item and (item.keys() & {"title", "name"}):
+            files.append(item)
+        elif isinstance(item, dict):
+            ahead += [item[k] for k in WRAPPERS[::-1] if k in item]
+    return files
 
 
 def connector_files(pages: DataFrame, column: str = "value") -> DataFrame:
@@ -60,7 +60,7 @@ def connector_files(pages: DataFrame, column: str = "value") -> DataFrame:
             rows = [
                 (str(f["id"]), f.get("title") or f.get("name"), f.get("mimeType"), int(f["fileSize"]) if str(f.get("fileSize", "")).isdigit() else None, f.get("parentId"))
                 for page in b[column]
-                for f in _found(page)
+                for f in _files_of(page)
             ]
             yield pd.DataFrame(rows, columns=["id", "name", "mime", "bytes", "parent"]).astype({"bytes": "Int64"})
 
@@ -94,15 +94,87 @@ def markdown(df: DataFrame, limit: int = 1000) -> str:
     """A report table; a report shows ``limit`` rows at most and says how many there are if more."""
     rows = df.limit(limit + 1).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + " --- |" * len(df.columns) + "\n"
-    body = "".join("| " + " | ".join("" if v is None else str(v) for v in r) + " |\n" for r in rows[:limit])
+    body = "".join("| " + " | ".join("" if v is None else str(v).replace("|", "\\|").replace("\n", " ") for v in r) + " |\n" for r in rows[:limit])
     return head + body + (f"\nMore than {limit} rows.\n" if len(rows) > limit else "")
 
 
-def timeline(intervals: DataFrame, key: str, start: str, end: str, low: float, high: float, width: int = 60, share: float = 0.3) -> DataFrame:
-    """key and a text of ``width`` marks: # where intervals cover over ``share`` of the column, else a dot."""
-    step = (high - low) / width
-    first, last = (F.greatest(F.lit(0), F.least(F.lit(width - 1), F.floor((F.col(c) - low) / step))) for c in (start, end))
-    cells = intervals.select(key, start, end, F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("c"))
-    covered = F.least(F.col(end), low + (F.col("c") + 1) * step) - F.greatest(F.col(start), low + F.col("c") * step)
-    marks = cells.groupBy(key, "c").agg(F.sum(covered).alias("x")).where(F.col("x") > share * step).groupBy(key).agg(F.collect_set("c").alias("on"))
-    return intervals.select(key).distinct().join(marks, key, "left").select(key, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.when(F.coalesce(F.array_contains("on", c), F.lit(False)), "#").otherwise(".")), "").alias("marks"))
+def timeline(intervals: DataFrame, key: str, start: str, end: str, span: DataFrame, width: int = 60, share: float = 0.3) -> DataFrame:
+    """key and a text of ``width`` marks: # where intervals cover over ``share`` of the column, else a dot. ``span`` is one row of low and high."""
+    rows = intervals.join(F.broadcast(span)).withColumn("_step", (F.col("high") - F.col("low")) / width)
+    first, last = (F.greatest(F.lit(0), F.least(F.lit(width - 1), F.floor((F.col(c) - F.col("low")) / F.col("_step")))) for c in (start, end))
+    cells = rows.withColumn("_c", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    covered = F.least(F.col(end), F.col("low") + (F.col("_c") + 1) * F.col("_step")) - F.greatest(F.col(start), F.col("low") + F.col("_c") * F.col("_step"))
+    marks = cells.groupBy(key, "_c", "_step").agg(F.sum(covered).alias("_x")).groupBy(key).agg(F.collect_set(F.when(F.col("_x") > share * F.col("_step"), F.col("_c"))).alias("_on"))
+    return marks.select(key, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.when(F.array_contains("_on", c), "#").otherwise(".")), "").alias("marks"))
+
+
+def transcripts(spark: SparkSession, path: str, clips: DataFrame, schema: str) -> DataFrame:
+    """clip, name and the fields of the transcript of each clip: the file named like it, else IMG_ and its name, else the only one whose name holds it; clips without one are left out."""
+    from chronoweave.operators.matching import resolve_keys
+
+    docs = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("name"), F.from_json("value", schema).alias("_t"))
+    found = resolve_keys(clips.select(F.col("clip").cast("string").alias("clip")).distinct(), docs.select("name"), "clip", "name").where("candidates = 1")
+    return found.select("clip", "name").join(docs, "name").select("clip", "name", "_t.*")
+
+
+def packets(spark: SparkSession, path: str) -> DataFrame:
+    """pts, bytes and key of a packet listing (pts,bytes,flags; K for a key frame); damaged rows are left out."""
+    rows = spark.read.schema("pts double, bytes long, flags string").option("mode", "DROPMALFORMED").csv(path)
+    return rows.where("pts is not null and bytes is not null").select("pts", "bytes", F.coalesce(F.col("flags").contains("K"), F.lit(False)).alias("key"))
+
+
+def key_times(found: DataFrame) -> DataFrame:
+    return found.where("key").select("pts")
+
+
+def class_map(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("index int, mid string, display_name string").option("header", True).csv(path)
+
+
+def settings(layers: list[dict]) -> dict:
+    """Nested settings of the program in layers: a later layer overrides single fields, at any depth."""
+    out: dict = {}
+    for layer in layers:
+        for k, v in layer.items():
+            out[k] = settings([out.get(k) or {}, v]) if isinstance(v, dict) and isinstance(out.get(k, {}), dict) else v
+    return out
+
+
+def file_set(found: DataFrame, only: str = "") -> DataFrame:
+    """path and name of a listing (path, device, inode), each file once whatever links lead to it, those whose name holds ``only``, longest stem first."""
+    rows = found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "device", "inode")
+    one = rows.groupBy("device", "inode").agg(F.min_by(F.struct("path", "name"), "path").alias("f")).select("f.*")
+    stem = F.regexp_replace("name", r"\.[^.]*$", "")
+    return one.where(F.contains(F.lower(stem), F.lit(only.lower()))).orderBy(F.desc(F.length(stem)), "name", "path")
+
+
+def write_documents(df: DataFrame, path: str) -> None:
+    """JSON documents in place of what the folder held; Spark's committer shows them only once all are written."""
+    df.write.mode("overwrite").json(path)
+
+
+def sync_plan(own: DataFrame, copy: DataFrame, ignored: list[str], most_bytes: int) -> DataFrame:
+    """path and action (copy or delete) that make a backup equal to a project: both are listings of path, bytes and hash; ignored paths (patterns) and larger files are left alone."""
+    skip = F.lit(False)
+    for pattern in ignored:
+        skip = skip | F.col("path").rlike(pattern)
+    kept = own.where(~skip & (F.col("bytes") <= most_bytes))
+    new = kept.join(copy.select("path", "hash"), ["path", "hash"], "left_anti").select("path", F.lit("copy").alias("action"))
+    return new.unionByName(copy.where(~skip).join(own.select("path"), "path", "left_anti").select("path", F.lit("delete").alias("action")))
+
+
+def ranges_to_measure(need: DataFrame, have: DataFrame, key: str, start: str, end: str, slack: float = 0.05) -> DataFrame:
+    """Ranges whose key isn't measured from start to end (within ``slack``): the union of what is needed and what is there, to be measured anew."""
+    j = need.join(have.select(key, F.col(start).alias("_a"), F.col(end).alias("_z")), key, "left")
+    covered = (F.col("_a") <= F.col(start) + slack) & (F.col("_z") >= F.col(end) - slack)
+    return j.where(~F.coalesce(covered, F.lit(False))).select(key, F.least(start, "_a").alias(start), F.greatest(end, "_z").alias(end))
+
+
+def subtitle_lines(words: DataFrame, group: str, order: str, word: str, start: str, end: str, style: str = "Default") -> DataFrame:
+    """group and line: one dialogue line of a subtitle file per group of words, in capitals with SS for ß."""
+    from chronoweave.functions.scalar import clock, join_words
+
+    shown = F.upper(F.regexp_replace(word, "ß", "ss"))
+    g = words.groupBy(group).agg(F.min(start).alias("_s"), F.max(end).alias("_e"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), shown.alias("w")))).alias("_w"))
+    text = join_words(F.transform("_w", lambda x: x["w"]))
+    return g.select(group, F.concat(F.lit("Dialogue: 0,"), clock(F.col("_s")), F.lit(","), clock(F.col("_e")), F.lit(f",{style},,0,0,0,,"), text).alias("line"))
