@@ -1,12 +1,13 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test windows, one scan of every text.
 
 Normalised: A-Z in lower case, every other ASCII character that is not a letter or digit taken as a gap. A window is
-``width`` consecutive words of an item, or the whole of a shorter item with words. The automaton's symbols are words,
-numbered as they come up in the items (a word of no item is 0, which no window holds), so that it has one node a word and
-not one a letter. Matches are spans of word numbers, which ``original_spans`` maps back to offsets of the original text.
+``width`` consecutive words of an item, or the whole of a shorter item with words. The automaton's symbols are words: each
+word of the items is numbered as it comes up and spelt as three digits, each place with code points of its own (words of no
+item share a spelling that no window holds). So no match can begin inside a word, nodes have few branches, and the size
+follows from words, whatever their length. Matches are spans of word numbers, which ``original_spans`` maps back to offsets of the original text.
 
 The automaton is built in the executors from the items, which are broadcast. Its size is bounded by ``block_words``
-(about 900 bytes a word of an item): a larger benchmark is cut by a hash of the item and its text into blocks of about that
+(about 2 kB a word of an item): a larger benchmark is cut by a hash of the item and its text into blocks of about that
 size. Each block is a scan of its own that passes on only rows with matches, and those meet by id and text, so
 no task holds two automata.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from . import kernel, store
 
 WIDTH = 13
-BLOCK_WORDS = 1 << 18
+BLOCK_WORDS = 1 << 17
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _built: dict[str, object] = {}
 
@@ -44,20 +45,30 @@ def windows_of(words: list, width: int = WIDTH) -> list[tuple]:
     return list(dict.fromkeys(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))) if words else []
 
 
-def automaton(items: list[tuple[int, str]], width: int = WIDTH) -> tuple[dict[bytes, int], ahocorasick.Automaton | None]:
-    """The numbers of words, and an automaton whose keys are windows of such numbers and whose values are (number of words, items)."""
-    numbers: dict[bytes, int] = {}
-    of: dict[tuple, set[int]] = {}
+#: Spellings have three digits of base 64, so blocks have fewer words than 64 ** 3; a place has code points of its own.
+DIGITS, BASE, FIRST = 3, 64, 0x100
+UNKNOWN = chr(FIRST - 1) * DIGITS
+
+
+def spelling(number: int) -> str:
+    """The digits of a word's number."""
+    return "".join(chr(FIRST + place * BASE + number // BASE**place % BASE) for place in range(DIGITS))
+
+
+def automaton(items: list[tuple[int, str]], width: int = WIDTH) -> tuple[dict[bytes, str], ahocorasick.Automaton | None]:
+    """The spellings of words, and an automaton whose keys are windows of spellings and whose values are (number of words, items)."""
+    spelt: dict[bytes, str] = {}
+    of: dict[str, set[int]] = {}
     for item, text in items:
-        for window in windows_of([numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)], width):
-            of.setdefault(window, set()).add(item)
+        for window in windows_of([spelt.setdefault(w, spelling(len(spelt))) for w in words_of(text)], width):
+            of.setdefault("".join(window), set()).add(item)
     if not of:
         return {}, None
-    found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    found = ahocorasick.Automaton()
     for window, ids in of.items():
-        found.add_word(window, (len(window), tuple(sorted(ids))))
+        found.add_word(window, (len(window) // DIGITS, tuple(sorted(ids))))
     found.make_automaton()
-    return numbers, found
+    return spelt, found
 
 
 def _spans(shared, block: str, width: int) -> Callable[[str | None], tuple[int, list[tuple[int, int, int]]]]:
@@ -65,14 +76,15 @@ def _spans(shared, block: str, width: int) -> Callable[[str | None], tuple[int,
     if block not in _built:
         _built.clear()
         _built[block] = automaton(shared.value, width)
-    numbers, found = _built[block]
+    spelt, found = _built[block]
 
     def of(text: str | None) -> tuple[int, list[tuple[int, int, int]]]:
         words = words_of(text)
         if found is None or not words:
             return len(words), []
-        known = tuple([numbers.get(w, 0) for w in words])
-        return len(words), [(last + 1 - n, last + 1, item) for last, (n, ids) in found.iter(known) for item in ids]
+        line = "".join([spelt.get(w, UNKNOWN) for w in words])
+        # A match ends with the last digit of a word.
+        return len(words), [((last + 1) // DIGITS - n, (last + 1) // DIGITS, item) for last, (n, ids) in found.iter(line) for item in ids]
 
     return of
 
