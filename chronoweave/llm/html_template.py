@@ -16,8 +16,11 @@ Valid classes form the host's template. A page is then read against the template
 articles too, and what stands in the remaining slots is kept if the slot lies in the article (or, on a page without text in
 an article, in no container of menus, headers, footers, sidebars, notices, adverts, forms or comments).
 
+No host is gathered anywhere: tokens meet their classes by host and token, and come together again page by page.
+
 Defined results: null html is an empty page with empty text; a page of no host (null or odd URL) shares its template
-with all pages of no host; unclosed and misplaced tags end with the container around them; equal rows get equal texts.
+with all pages of no host; unclosed and misplaced tags end with the container around them; equal rows get equal texts; a
+page of any length is one row; null ids pass through; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,6 @@ import html as entities
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -114,28 +116,32 @@ def _id(path: str, text: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{path}\t{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, page (a hash of its main text), token, whether it is text, times on the page."""
+#: What a token is: a tag, or text in an article, in no container of menus and the like, or in one.
+TAG, ARTICLE, OPEN, OUTSIDE = range(4)
+_OCCURRENCES = "host string, page long, pk long, at int, token long, kind int, chars long, times int"
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every token of a page: host, page (a hash of its main text), pk (of the whole page), place, token, kind, characters, times on the page."""
+    names = [c.split()[0] for c in _OCCURRENCES.split(", ")]
+    types = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
+    kinds = [types[c.split()[1]] for c in _OCCURRENCES.split(", ")]
     for batch in batches:
-        host, page, token, is_text, times = [], [], [], [], []
-        for h, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
-            # the root, on every page, counts the pages of the host
-            seen: dict[tuple[str, str], int] = {("", ""): 1}
+        rows: list[tuple] = []
+        for h, pk, html in zip(batch["host"].to_pylist(), batch["pk"].to_pylist(), batch["html"].to_pylist(), strict=True):
+            # The root, on every page, counts the pages of the host.
+            found = [(_id("", ""), TAG, 0)]
             body = []
-            for path, text, outside, _ in scan(html):
-                seen[path, text] = seen.get((path, text), 0) + 1
+            for path, text, outside, article in scan(html):
+                found.append((_id(path, text), TAG if not text else OUTSIDE if outside else ARTICLE if article else OPEN, len(text)))
                 if text and not outside:
                     body.append(text)
+            times: dict[int, int] = {}
+            for token, _, _ in found:
+                times[token] = times.get(token, 0) + 1
             own = _id("", "\n".join(body))
-            for (path, text), n in seen.items():
-                host.append(h), page.append(own), token.append(_id(path, text)), is_text.append(bool(text)), times.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.int64()), pa.array(is_text, pa.bool_()), pa.array(times, pa.int64())], names=["host", "page", "token", "is_text", "times"])
-
-
-def _make_room(known: dict) -> None:
-    """Forget all hosts before there are too many tokens; they are read again where they come up."""
-    if sum(len(first) for first, _ in known.values()) > 200_000 or len(known) > 1000:
-        known.clear()
+            rows += [(h, own, pk, at, token, kind, chars, times[token]) for at, (token, kind, chars) in enumerate(found)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names=names)
 
 
 def _order(places: list[tuple[int, int]], tokens: int) -> tuple[int, ...] | None:
@@ -148,93 +154,87 @@ def _order(places: list[tuple[int, int]], tokens: int) -> tuple[int, ...] | None
 def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For every page and class on it: host, class, hash of the order, whether ordered and nested, characters of the class and of no class, in articles and elsewhere."""
     names = ["host", "class", "order", "fits", "class_in", "class_out", "own_in", "own_out"]
-    known: dict[str, tuple[dict, list]] = {}
     for batch in batches:
         rows: list[tuple] = []
-        for k, (h, html) in enumerate(zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True)):
-            if h not in known:
-                _make_room(known)
-                found = batch["classes"][k].as_py()
-                known[h] = ({t: c for c, x in enumerate(found) for t in x["members"]}, found)
-            of, found = known[h]
-            places: dict[int, list[tuple[int, int]]] = {}
-            chars: dict[int, list[int]] = {}
+        for h, tokens in zip(batch["host"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
+            places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            size: dict[tuple[int, int], int] = {}
+            chars: dict[tuple[int, int], list[int]] = {}
             own = [0, 0]
-            for at, (path, text, outside, article) in enumerate(scan(html)):
-                token = _id(path, text)
-                c = of.get(token)
+            for t in sorted(tokens, key=lambda t: t["at"]):
+                # Classes are told apart, and put in order, by falling number of pages and then by name.
+                c = (-t["pages"], t["class"]) if t["class"] is not None else None
                 if c is not None:
-                    places.setdefault(c, []).append((at, token))
-                if text and not outside:
-                    (own if c is None else chars.setdefault(c, [0, 0]))[0 if article else 1] += len(text)
+                    places.setdefault(c, []).append((t["at"], t["token"]))
+                    size[c] = t["size"]
+                if t["kind"] in (ARTICLE, OPEN):
+                    (own if c is None else chars.setdefault(c, [0, 0]))[t["kind"] - ARTICLE] += t["chars"]
             laid: list[int] = []
-            # classes come from the one on most pages down
             for c in sorted(places):
-                size = len(found[c]["members"])
-                order = _order(places[c], size)
+                order = _order(places[c], size[c])
                 fits = order is not None
                 if fits:
-                    for r in range(0, len(places[c]), size):
-                        fits = fits and bisect.bisect(laid, places[c][r][0]) == bisect.bisect(laid, places[c][r + size - 1][0])
+                    for r in range(0, len(places[c]), size[c]):
+                        fits = fits and bisect.bisect(laid, places[c][r][0]) == bisect.bisect(laid, places[c][r + size[c] - 1][0])
                 if fits:
                     laid = sorted(laid + [at for at, _ in places[c]])
-                rows.append((h, found[c]["class"], _id("", repr(order)), fits, *chars.get(c, (0, 0)), *own))
+                rows.append((h, c[1], _id("", repr(order)), fits, *chars.get(c, (0, 0)), *own))
         types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
 
 def _inputs(pages: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    return pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    return pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html")).withColumn("pk", F.xxhash64("html"))
+
+
+#: Rows of tokens or page keys (some 60 bytes each) that may be broadcast; beyond it the same join shuffles.
+BROADCAST_TOKENS = 300_000
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host and template: the text tokens (hashes) of its valid classes in articles and elsewhere; a host without any has no row."""
+def _side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_TOKENS else df.hint("merge")
+
+
+def templates(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens of pages, and the hosts' templates: host, token, and whether a valid class leaves it out of articles (inside) and of other pages (elsewhere)."""
     kernel.small_batches(pages.sparkSession, 256)
-    rows = _inputs(pages).select("host", "html")
-    found = rows.mapInArrow(_tokens, "host string, page long, token long, is_text boolean, times long")
-    found = found.groupBy("host", "token", "page").agg(F.max("times").alias("times"), F.first("is_text").alias("is_text"))
+    found = store.written(_inputs(pages).select("host", "pk", "html").mapInArrow(_occurrences, _OCCURRENCES), "occurrences")
+    on_page = found.groupBy("host", "token", "page").agg(F.max("times").alias("times"), F.max((F.col("kind") != TAG).cast("int")).alias("text"))
     vector = F.xxhash64("page", "times")
-    token = found.groupBy("host", "token").agg(
+    token = on_page.groupBy("host", "token").agg(
         F.count("*").alias("pages"),
         F.sum("times").alias("times"),
         F.sum(F.shiftright(vector, 24)).alias("v1"),
         F.sum(vector.bitwiseAND(F.lit((1 << 24) - 1))).alias("v2"),
-        F.first("is_text").alias("is_text"),
-    ).where("pages > 1")
-    token = store.written(token, "tokens")
+        F.max("text").alias("text"),
+    )
+    token = store.written(token.where("pages > 1").withColumn("class", F.xxhash64("pages", "times", "v1", "v2")), "tokens")
     root = F.col("token") == _id("", "")
-    classes = token.where(~root).groupBy("host", "pages", "times", "v1", "v2").agg(F.array_sort(F.collect_list("token")).alias("members"), F.max("is_text").alias("texts"), F.min("is_text").alias("no_tag"))
-    classes = classes.where("texts and size(members) > 1").select("host", F.xxhash64("pages", "times", "v1", "v2").alias("class"), "pages", "no_tag", "members")
-    classes = store.written(classes, "classes")
-    # Sorted by pages, then class: the order in which they are laid over a page.
-    laid = classes.groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.col("pages")).alias("less"), "class", "members"))).alias("classes"))
-    judged = rows.join(laid, "host").mapInArrow(_laid, "host string, class long, order long, fits boolean, class_in long, class_out long, own_in long, own_out long")
+    host_pages = token.where(root).select("host", F.col("pages").alias("host_pages"))
+    classes = token.where(~root).groupBy("host", "class").agg(F.first("pages").alias("pages"), F.count("*").cast("int").alias("size"), F.max("text").alias("texts"), F.min("text").alias("no_tag"))
+    classes = store.written(classes.where("texts = 1 and size > 1"), "classes")
+    member = store.written(token.where(~root).select("host", "token", "class").join(classes.select("host", "class", "pages", "size"), ["host", "class"]), "members")
+    # A page's tokens meet their classes, and the page is then one row: equal pages fall into one by the set.
+    placed = found.where(F.col("token") != _id("", "")).join(_side(member), ["host", "token"], "left")
+    laid = placed.groupBy("host", "pk").agg(F.collect_set(F.struct("at", "token", "kind", "chars", "class", "pages", "size")).alias("tokens"), F.max(F.col("class").isNotNull()).alias("any")).where("any")
+    judged = laid.select("host", "tokens").mapInArrow(_laid, "host string, class long, order long, fits boolean, class_in long, class_out long, own_in long, own_out long")
     judged = judged.groupBy("host", "class").agg(
         F.min("order").alias("o1"), F.max("order").alias("o2"), F.min("fits").alias("fits"), F.expr("sum(own_in) >= sum(class_in)").alias("own_in"), F.expr("sum(own_out) >= sum(class_out)").alias("own_out")
     ).where("fits and o1 = o2")
-    host_pages = token.where(root).select("host", F.col("pages").alias("host_pages"))
     valid = classes.join(judged, ["host", "class"]).join(host_pages, "host")
     common = F.col("pages") * 2 > F.col("host_pages")
-    valid = valid.where(common | ~F.col("no_tag"))
-    return valid.groupBy("host").agg(
-        F.array_sort(F.flatten(F.collect_list(F.when(F.col("own_in"), F.col("members"))))).alias("inside"),
-        F.array_sort(F.flatten(F.collect_list(F.when(F.col("own_out") | common, F.col("members"))))).alias("elsewhere"),
-    )
+    valid = valid.where(common | (F.col("no_tag") == 0)).select("host", "class", F.col("own_in").alias("inside"), (F.col("own_out") | common).alias("elsewhere"))
+    return found, store.written(member.join(valid, ["host", "class"]).where("inside or elsewhere").select("host", "token", "inside", "elsewhere"), "templates")
 
 
 def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[frozenset, frozenset]] = {}
     for batch in batches:
         texts = []
-        for k, (host, html) in enumerate(zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True)):
-            if host not in known:
-                _make_room(known)
-                known[host] = (frozenset(batch["inside"][k].as_py() or ()), frozenset(batch["elsewhere"][k].as_py() or ()))
-            inside, elsewhere = known[host]
+        for html, inside, elsewhere in zip(batch["html"].to_pylist(), batch["inside"].to_pylist(), batch["elsewhere"].to_pylist(), strict=True):
             blocks = [(path, text, article) for path, text, outside, article in scan(html) if text and not outside]
             has_article = any(article for _, _, article in blocks)
-            fixed = inside if has_article else elsewhere
+            fixed = frozenset((inside if has_article else elsewhere) or ())
             texts.append(" ".join(text for path, text, article in blocks if article == has_article and not (fixed and _id(path, text) in fixed)))
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
@@ -242,11 +242,9 @@ def _main(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page."""
     kernel.small_batches(pages.sparkSession, 256)
-    template = store.written(templates(pages), "templates")
-    joined = _inputs(pages).join(template, "host", "left").select("page_id", "url", "host", "html", "inside", "elsewhere")
+    found, template = templates(pages)
+    fixed = found.where(F.col("kind").isin(ARTICLE, OPEN)).select("host", "pk", "token").join(_side(template), ["host", "token"])
+    fixed = fixed.groupBy(F.col("host").alias("h"), F.col("pk").alias("p")).agg(F.collect_set(F.when(F.col("inside"), F.col("token"))).alias("inside"), F.collect_set(F.when(F.col("elsewhere"), F.col("token"))).alias("elsewhere"))
+    fixed = _side(store.written(fixed, "fixed"))
+    joined = _inputs(pages).join(fixed, F.expr("host = h and pk = p"), "left").select("page_id", "url", "html", "inside", "elsewhere")
     return joined.mapInArrow(_main, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
-
-
-def code_points(text: str) -> int:
-    """What ``n_chars`` counts."""
-    return int(np.frombuffer(text.encode("utf-32-le"), np.uint32).size)
