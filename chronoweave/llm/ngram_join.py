@@ -32,7 +32,7 @@ from . import graph, kernel, store
 RATIO = 1.5
 LEAST_BITS, MOST_BITS, PER_DIM = 9, 15, 2
 LEAF = 32
-TILE = 512
+TILE = 2048
 SALT = 4096
 PIVOTS = 4
 
