@@ -15,19 +15,28 @@ def _along(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def silence_runs(samples: DataFrame, parts: DataFrame, keys: list[str], part: str, i: str, level: str, start: str, end: str, limit, rate: int, least) -> DataFrame:
-    """Runs of samples at or under ``limit`` inside each part: keys, part, from, to (sample numbers, end exclusive).
+def silence_runs(samples: DataFrame, parts: DataFrame, keys: list[str], part: str | list[str], i: str, level: str, start: str, end: str, limit, rate: int, least) -> DataFrame:
+    """Runs of samples at or under ``limit`` (a number, or a column of the parts) inside each part: keys, part, from, to (sample numbers, end exclusive).
 
     A part covers the samples from trunc(start * rate) to trunc(end * rate), both included; runs of under ``least`` samples are left out.
     Parts are laid over the samples as equal keys, one row per sample of a part.
     """
-    at = F.explode(F.sequence(F.greatest(F.lit(0), (F.col(start) * rate).cast("long")), (F.col(end) * rate).cast("long")))
-    rows = parts.where(F.col(start) <= F.col(end)).select(*keys, part, at.alias(i)).join(samples.select(*keys, i, level), [*keys, i]).where(F.col(level) <= limit)
-    w = Window.partitionBy(*keys, part).orderBy(i)
-    runs = rows.withColumn("_run", F.col(i) - F.row_number().over(w)).groupBy(*keys, part, "_run").agg(F.min(i).alias("from"), (F.max(i) + 1).alias("to")).drop("_run")
+    part = [part] if isinstance(part, str) else part
+    at = F.explode(F.sequence(F.greatest(F.lit(0), (F.col(start) * rate).cast("long")), F.greatest(F.lit(0), (F.col(end) * rate).cast("long"))))
+    most = F.col(limit) if isinstance(limit, str) else F.lit(limit)
+    rows = parts.where(F.col(start) <= F.col(end)).select(*keys, *part, most.alias("_most"), at.alias(i)).join(samples.select(*keys, i, level), [*keys, i]).where(F.col(level) <= F.col("_most"))
+    w = Window.partitionBy(*keys, *part).orderBy(i)
+    runs = rows.withColumn("_run", F.col(i) - F.row_number().over(w)).groupBy(*keys, *part, "_run").agg(F.min(i).alias("from"), (F.max(i) + 1).alias("to")).drop("_run")
     return runs.where(F.col("to") - F.col("from") >= least)
 
 
+def quietest(samples: DataFrame, spans: DataFrame, keys: list[str], part: list[str], i: str, level: str, start: str, end: str, rate: int, name: str) -> DataFrame:
+    """keys, part and the number of the quietest sample (the first of equal ones) from trunc(start * rate) to trunc(end * rate)."""
+    at = F.explode(F.sequence(F.greatest(F.lit(0), (F.col(start) * rate).cast("long")), F.greatest(F.lit(0), (F.col(start) * rate).cast("long"), (F.col(end) * rate).cast("long"))))
+    rows = spans.select(*keys, *part, at.alias(i)).join(samples.select(*keys, i, level), [*keys, i]).where(F.col(level).isNotNull())
+    return rows.groupBy(*keys, *part).agg(F.min_by(i, F.struct(level, i)).alias(name))
+
+
 def rank_filtered(df: DataFrame, keys: list[str], order: str, value: str, reach: int, percent: int, name: str = "ranked") -> DataFrame:
     """The value of rank floor(n * percent / 100), from 0, among the n = 2 * reach + 1 values around a row; past an end the end's own value counts again. No interpolation."""
     w = _along(keys, order)
