@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions.scalar import cosine
+
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     """Mean vector per label; components are averaged as rows, so a label of any size is partially aggregated."""
@@ -38,29 +40,63 @@ def assign(df: DataFrame, id_col: str, vector: str, centres: DataFrame, label: s
 
 
 def average_linkage(x: np.ndarray, limit: float) -> np.ndarray:
-    """Cluster numbers by first member: the two clusters of least mean cosine distance are joined while it is at most ``limit``."""
+    """Cluster numbers by first member: clusters whose mean cosine distance is at most ``limit`` are joined, nearest first.
+
+    Chains of nearest neighbours: a cluster and its nearest are joined once each is the other's nearest. With mean distances no later join
+    brings anything nearer, so this gives the joins of always taking the nearest pair, in quadratic time.
+    """
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     d = 1 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, label = np.ones(len(x)), np.arange(len(x))
-    while len(x) > 1:
-        i, j = sorted(divmod(int(d.argmin()), len(x)))
+    size, root = np.ones(len(x)), np.arange(len(x))
+    alive, chain = np.ones(len(x), bool), []
+    while alive.sum() > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(alive)[0]))
+        i = chain[-1]
+        j = int(d[i].argmin())
+        if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+            j = chain[-2]
+        if len(chain) < 2 or j != chain[-2]:
+            chain.append(j)
+            continue
+        chain = chain[:-2]
+        i, j = min(i, j), max(i, j)
         if d[i, j] > limit:
-            break
+            # Nearest to each other and too far apart: neither will be joined, but both still count as others' distances.
+            alive[[i, j]] = False
+            d[i] = d[:, i] = d[j] = d[:, j] = np.inf
+            continue
         d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i, i] = np.inf
         d[j] = d[:, j] = np.inf
         size[i] += size[j]
-        label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+        alive[j] = False
+        root[root == j] = i
+    return np.unique(root, return_inverse=True)[1]
+
 
+def grouped(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: float, most: int = 1500) -> DataFrame:
+    """Average-linkage groups within a key: keys, id, cluster.
 
-def grouped(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: float) -> DataFrame:
-    """Average-linkage groups within a key (quadratic in its rows, meant for the windows of one recording): keys, id, cluster."""
+    A key of over ``most`` rows is grouped by every n-th of them (by id), ``most`` at most, and each of its rows then goes to the group whose mean
+    vector is nearest, the smallest number on a tie; so no group of rows is larger than ``most``. Rows without a vector have no cluster.
+    """
     kinds = dict(df.dtypes)
+    w = Window.partitionBy(*keys).orderBy(id_col)
+    known = df.select(*keys, id_col, vector).where(F.col(vector).isNotNull())
+    rows = known.withColumn("_at", F.row_number().over(w) - 1).withColumn("_step", F.ceil(F.count("*").over(Window.partitionBy(*keys)) / most))
+    drawn = rows.where("_at % _step = 0")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(id_col, ignore_index=True)
-        return rows[[*keys, id_col]].assign(cluster=average_linkage(np.stack(rows[vector].to_numpy()).astype(float), limit))
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(id_col, ignore_index=True)
+        return part.assign(cluster=average_linkage(np.stack(part[vector].to_numpy()).astype(float), limit))
 
-    return df.select(*keys, id_col, vector).groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, id_col]) + ", cluster long")
+    found = drawn.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, id_col, vector]) + ", _at int, _step long, cluster long")
+    means = found.where("_step > 1").select(*keys, "cluster", F.posexplode(vector).alias("i", "v")).groupBy(*keys, "cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    means = means.groupBy(*keys, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
+    means = means.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "m")).alias("_means"))
+    near = F.array_max(F.transform("_means", lambda c: F.struct(cosine(F.col(vector), c["m"]).alias("s"), (-c["cluster"]).alias("c"))))
+    large = rows.where("_step > 1").join(means, keys).select(*keys, id_col, (-near["c"]).alias("cluster"))
+    out = found.where("_step = 1").select(*keys, id_col, "cluster").unionByName(large)
+    return out.unionByName(df.where(F.col(vector).isNull()).select(*keys, id_col, F.lit(None).cast("long").alias("cluster")))

@@ -50,8 +50,29 @@ def test_nearest_and_intervals(spark):
     assert matching.points_in_intervals(a, i, ["g"], "t", "a", "z", 7).count() == 3
 
 
-def test_average_linkage():
-    assert similarity.average_linkage(np.array([[1.0, 0], [1, 0.01], [0, 1]]), 0.5).tolist() == [0, 0, 1]
+def test_average_linkage_takes_the_nearest_pair(spark):
+    def plain(x, limit):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        d, groups = 1 - unit @ unit.T, [[i] for i in range(len(x))]
+        while len(groups) > 1:
+            best, a, b = min((np.mean([d[i, j] for i in g for j in h]), k, m) for k, g in enumerate(groups) for m, h in enumerate(groups) if k < m)
+            if best > limit:
+                break
+            groups[a] += groups.pop(b)
+        return sorted(sorted(g) for g in groups)
+
+    rng = np.random.Generator(np.random.PCG64(3))
+    for n in (1, 2, 5, 30):
+        for limit in (0.05, 0.3, 0.7, 1.5):
+            x = rng.normal(size=(n, 3))
+            found = similarity.average_linkage(x, limit)
+            assert sorted([i for i in range(n) if found[i] == c] for c in set(found.tolist())) == plain(x, limit)
+            assert found[0] == 0
+    rows = [(1, i, [1.0, 0.01 * (i % 7)] if i // 4 % 2 else [0.01 * (i % 5), 1.0]) for i in range(40)] + [(2, 0, [1.0, 1.0]), (2, 1, None)]
+    df = spark.createDataFrame(rows, "g int, i int, v array<double>")
+    for most in (1500, 10):
+        got = {(r.g, r.i): r.cluster for r in similarity.grouped(df, ["g"], "i", "v", 0.5, most).collect()}
+        assert [got[1, i] for i in range(40)] == [i // 4 % 2 for i in range(40)] and got[2, 0] == 0 and got[2, 1] is None
 
 
 def test_one_per_key_and_resolution(spark):
