@@ -225,3 +225,19 @@ def assigned_once(slots: DataFrame, pool: DataFrame, keys: list[str], slot_order
         return taken, (choice,)
 
     return scan(rows, keys, slot_order, ["_wanted"], f"{clip} string", step).select(*keys, slot, clip)
+
+
+def spread_choice(df: DataFrame, keys: list[str], part: str, order: list[Column], at: str, clip: str, cap: int, spacing: float) -> DataFrame:
+    """Candidates chosen part by part, in the given order within a part: at most ``cap`` a part, ``spacing`` apart there, and each clip once in all parts of a key. The chosen rows, with their rank in the part."""
+
+    def step(state: tuple | None, own_part, place, name):
+        used, now, places = state or (set(), None, [])
+        if own_part != now:
+            now, places = own_part, []
+        chosen = name not in used and len(places) < cap and all(abs(place - other) >= spacing for other in places)
+        if chosen:
+            used.add(name)
+            places = [*places, place]
+        return (used, now, places), (len(places) if chosen else None,)
+
+    return scan(df, keys, [F.col(part), *order], [part, at, clip], "rank int", step).where("rank is not null")

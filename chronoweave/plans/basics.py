@@ -135,3 +135,24 @@ def smallest_first(spark, sf):
     """Work in order of size, by customer."""
     w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
     return _read(spark, sf, "orders").select("o_orderkey", F.row_number().over(w).alias("place"))
+
+
+@query(r"""with recursive c as (select conv_id, turn, string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_ ]', '', 'g'), ' ') as ws from conversations), w as (select conv_id, turn, unnest(ws) as w, generate_subscripts(ws, 1) - 1 as i from c),
+    k as (select distinct item_id, unnest(list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}_ ]', '', 'g'), ' '), lambda x: length(x) >= 6)) as w from benchmark), h as (select conv_id, turn, i, item_id, length(any_value(w.w)) as score from w join k on k.w = w.w group by all),
+    n as (select *, row_number() over (partition by conv_id order by turn, score desc, i, item_id) as r from h),
+    x as (select conv_id, r, turn, i, item_id, [item_id] as used, [i] as places, 1 as rank from n where r = 1
+      union all select n.conv_id, n.r, n.turn, n.i, n.item_id,
+        case when not list_contains(used, n.item_id) and (n.turn <> x.turn or len(places) < 2 and len(list_filter(places, lambda q: abs(n.i - q) < 12)) = 0) then list_append(used, n.item_id) else used end,
+        case when not list_contains(used, n.item_id) and (n.turn <> x.turn or len(places) < 2 and len(list_filter(places, lambda q: abs(n.i - q) < 12)) = 0) then case when n.turn <> x.turn then [n.i] else list_append(places, n.i) end when n.turn <> x.turn then [] else places end,
+        case when not list_contains(used, n.item_id) and (n.turn <> x.turn or len(places) < 2 and len(list_filter(places, lambda q: abs(n.i - q) < 12)) = 0) then case when n.turn <> x.turn then 1 else len(places) + 1 end end
+      from x join n on n.conv_id = x.conv_id and n.r = x.r + 1)
+    select conv_id, turn, i, item_id, rank::int as rank from x where rank is not null""")
+def spread_keywords(spark, sf):
+    """Keyword candidates chosen turn by turn with a cap, a spacing and each item once."""
+    from chronoweave.operators import selection
+
+    tokens = F.split(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_ ]", ""), " ")
+    words = _read(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(tokens).alias("i", "w")).withColumn("i", F.col("i").cast("long"))
+    keys = _read(spark, sf, "benchmark").select("item_id", F.explode(tokens).alias("w")).where(F.length("w") >= 6).distinct()
+    c = words.join(keys, "w").groupBy("conv_id", "turn", "i", "item_id").agg(F.max(F.length("w")).alias("score"))
+    return selection.spread_choice(c, ["conv_id"], "turn", [F.desc("score"), F.col("i"), F.col("item_id")], "i", "item_id", 2, 12).select("conv_id", "turn", "i", "item_id", "rank")

@@ -281,3 +281,45 @@ def assigned_clips(spark, sf):
     # Lists share pools, so a pool's clips are joined per list.
     pool = s.select("el", "g").distinct().join(pool, "g").select("el", "clip", "score")
     return selection.assigned_once(s.select("el", "slot"), pool, ["el"], ["slot"], (F.col("clip") + F.col("slot")) % 3 > 0, [F.desc("score"), F.col("clip")], "slot", "clip")
+
+
+_SHOT_SPANS = "h as (select l_orderkey as el, l_linenumber as n, min(l_partkey) % 60 as clip, (min(l_suppkey) % 50)::double as a, (min(l_suppkey) % 50)::double + 2 + min(l_partkey) % 4 as z from lineitem group by all)"
+
+
+def _shot_spans(spark, sf):
+    l = _read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("el"), F.col("l_linenumber").alias("n")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("u"))
+    return l.select("el", "n", (F.col("p") % 60).alias("clip"), (F.col("u") % 50).cast("double").alias("start"), ((F.col("u") % 50).cast("double") + 2 + F.col("p") % 4).alias("end"))
+
+
+@query(f"""with {_SHOT_SPANS}, t as (select s_suppkey % 60 as clip, (s_suppkey % 45)::double as a, (s_suppkey % 45)::double + 1.5 + s_suppkey % 4 as z, (s_suppkey % 45) + 0.5::double as c, (s_suppkey % 45)::double + 1.3 + s_suppkey % 4 as d from supplier),
+    b as (select clip, min(a) + 20 as a, min(a) + 23.0 as z from t group by clip), o as (select el, n, sum(least(h.z, b.z) - greatest(h.a, b.a)) as s, any_value(h.z - h.a) as len from h join b on h.clip = b.clip and least(h.z, b.z) > greatest(h.a, b.a) group by all)
+    select 'run_up_missing' as rule, el || '/' || n as subject, count(*)::varchar as detail from h join t on h.clip = t.clip and t.z - t.a <= 4 and h.a > c + 0.15 and h.a < d - 0.15 group by el, n
+    union all select 'landing_missing', el || '/' || n, count(*)::varchar from h join t on h.clip = t.clip and t.z - t.a <= 4 and h.z > c + 0.15 and h.z < d - 0.15 group by el, n
+    union all select 'unclean', el || '/' || n, round(100 * s / len)::bigint::varchar from o where s > 0.15 * len""")
+def cut_findings(spark, sf):
+    """V2, findings of run-up, landing and unclean share."""
+    v = F.col("s_suppkey")
+    s = _read(spark, sf, "supplier")
+    t = s.select((v % 60).alias("clip"), (v % 45).cast("double").alias("start"), ((v % 45).cast("double") + 1.5 + v % 4).alias("end"), ((v % 45) + F.lit(0.5)).alias("core_start"), ((v % 45).cast("double") + 1.3 + v % 4).alias("core_end"))
+    b = t.groupBy("clip").agg((F.min("start") + 20).alias("start"), (F.min("start") + 23.0).alias("end"))
+    return _found(edits.cut_findings(_shot_spans(spark, sf), t, b, 5))
+
+
+@query(f"""with {_SHOT_SPANS}, w as (select p_partkey % 60 as clip, p_partkey as w, (p_size % 50)::double - 0.3 as s, (p_size % 50)::double + 0.1 + (p_partkey % 5) / 10.0 as e from part)
+    select el, n, 'start' as side, w from h join w on h.clip = w.clip and h.a - 0.02 > s and h.a - 0.02 < e - 0.05 union all select el, n, 'end', w from h join w on h.clip = w.clip and h.z - 0.03 > s and h.z - 0.03 < e - 0.1""")
+def broken_words(spark, sf):
+    """Words that a cut falls into."""
+    p = F.col("p_partkey")
+    w = _read(spark, sf, "part").select((p % 60).alias("clip"), p.alias("w"), ((F.col("p_size") % 50).cast("double") - 0.3).alias("s"), ((F.col("p_size") % 50).cast("double") + 0.1 + p % 5 / F.lit(10.0)).alias("e"))
+    return edits.broken_words(_shot_spans(spark, sf), w, 2)
+
+
+@query(f"""with {_SHOT_SPANS}, f as (select distinct s_suppkey % 60 as clip, (s_suppkey % 48)::double as a, (s_suppkey % 48)::double + 1 as z, 'fx' || s_suppkey % 3 as fx from supplier)
+    select el, n, fx, f.a as since from h join f on h.clip = f.clip and h.a >= f.a - 0.000001 and h.a < f.z - 0.000001""")
+def active_effects(spark, sf):
+    """Effects active where a shot begins; half-open, with a small slack."""
+    v = F.col("s_suppkey")
+    f = _read(spark, sf, "supplier").select((v % 60).alias("clip"), ((v % 48).cast("double") - 1e-6).alias("a"), ((v % 48).cast("double") + 1 - 1e-6).alias("z"), F.concat(F.lit("fx"), v % 3).alias("fx"), (v % 48).cast("double").alias("since")).distinct()
+    from chronoweave.operators import matching
+
+    return matching.points_in_intervals(_shot_spans(spark, sf), f, ["clip"], "start", "a", "z", 4, half_open=True).select("el", "n", "fx", "since")
