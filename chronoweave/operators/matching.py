@@ -160,3 +160,18 @@ def map_time(df: DataFrame, maps: DataFrame, clip: str, to: str, t: str) -> Data
     j = df.join(a, F.col(clip) == F.col("a_clip"), "left").join(b, F.col(to) == F.col("b_clip"), "left")
     there = (F.col("a_offset") + F.col(t) * (1 + F.col("a_drift")) - F.col("b_offset")) / (1 + F.col("b_drift"))
     return j.withColumn("t_there", F.when(there.between(0, F.col("b_duration")), there)).select(*df.columns, "t_there")
+
+
+def find_in_folders(wanted: DataFrame, files: DataFrame, key: str, endings: list[str]) -> DataFrame:
+    """key, folder and name of the file of each key: in the first folder (files have folder, an order number, and name) that has any, the file named IMG_ and the key, else the key, else one whose name holds it; of several the first by name.
+
+    Names that hold a key are found through their parts: a name stands under every part as long as a key is.
+    """
+    ending = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
+    own = files.where(ending.isin(*endings)).select("folder", "name", F.regexp_replace("name", r"\.[^.]*$", "").alias("_stem"))
+    sizes = wanted.select(F.length(F.col(key)).alias("_n")).distinct()
+    parts = own.join(F.broadcast(sizes)).where("_n <= length(_stem)").select("folder", "name", "_stem", F.explode(F.expr("array_distinct(transform(sequence(1, length(_stem) - _n + 1), i -> substring(_stem, i, _n)))")).alias("_p"))
+    hits = wanted.select(key).distinct().join(parts, F.col(key) == F.col("_p"))
+    rank = F.when(F.col("_stem") == F.concat(F.lit("IMG_"), F.col(key)), 0).when(F.col("_stem") == F.col(key), 1).otherwise(2)
+    best = hits.groupBy(key).agg(F.min(F.struct("folder", rank.alias("rank"), "name")).alias("b"))
+    return best.select(key, "b.folder", "b.name")

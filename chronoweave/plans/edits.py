@@ -323,3 +323,29 @@ def active_effects(spark, sf):
     from chronoweave.operators import matching
 
     return matching.points_in_intervals(_shot_spans(spark, sf), f, ["clip"], "start", "a", "z", 4, half_open=True).select("el", "n", "fx", "since")
+
+
+@query("""with c as (select distinct (c_custkey % 90)::varchar as key from customer where c_custkey % 90 >= 10), f as (select p_partkey % 3 as folder, case when p_partkey % 5 = 0 then 'IMG_' when p_partkey % 5 = 1 then '' else 'x' end || (p_partkey % 700)::varchar || case when p_partkey % 4 = 0 then '.txt' else '.MOV' end as name from part),
+    h as (select key, folder, name, case when name = 'IMG_' || key || '.MOV' then 0 when name = key || '.MOV' then 1 else 2 end as rank from c join f on contains(regexp_replace(name, '[.][^.]*$', ''), key) and name like '%.MOV')
+    select key, folder, name from h qualify row_number() over (partition by key order by folder, rank, name) = 1""")
+def files_of_clips(spark, sf):
+    """A clip's file by ordered patterns in ordered folders."""
+    from chronoweave.operators import matching
+
+    c = _read(spark, sf, "customer").where("c_custkey % 90 >= 10").select((F.col("c_custkey") % 90).cast("string").alias("key"))
+    name = F.expr("concat(case when p_partkey % 5 = 0 then 'IMG_' when p_partkey % 5 = 1 then '' else 'x' end, p_partkey % 700, case when p_partkey % 4 = 0 then '.txt' else '.MOV' end)")
+    return matching.find_in_folders(c, _read(spark, sf, "part").select((F.col("p_partkey") % 3).alias("folder"), name.alias("name")), "key", ["mov", "mp4"])
+
+
+@query("""with s as (select o_orderkey as id, ['zoom', 'flash', 'bw', 'other'][1 + o_orderkey % 4] as fx, o_custkey % 6 as k, o_custkey % 7 as b from orders),
+    e as (select id, fx, k, b, unnest(case k when 0 then [b * 0.5, (b + 2) * 0.5] when 1 then [b * 1.0] when 2 then list_transform(range(greatest(0, ceil((case when b % 2 = 0 then 12.0 else 40.0 end - 0.000001 - b) / 4.0))::bigint), lambda j: (b + j * 4) * 0.5) when 3 then [b * 0.5] when 4 then [b / 3.0] else [0.0] end) as t from s where fx <> 'other')
+    select id, fx, round(round(t * 30) / 30.0, 6)::double as t, case when b = 3 then 1.0 when k = 5 and fx <> 'flash' then 20.0 end::double as length from e""")
+def expanded_effects(spark, sf):
+    """X-registry: events that specifications of registered effects stand for."""
+    o = _read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.get(F.array(*map(F.lit, ("zoom", "flash", "bw", "other"))), (F.col("o_orderkey") % 4).cast("int")).alias("fx"), (F.col("o_custkey") % 6).alias("k"), (F.col("o_custkey") % 7).cast("double").alias("b"))
+    k, b = F.col("k"), F.col("b")
+    s = o.select(
+        "id", "fx", F.when(k == 0, F.array(b, b + 2)).alias("at_beats"), F.when(k == 1, F.array(b)).alias("at"), F.when(k == 2, F.lit(4.0)).alias("every"), F.when(k.isin(2, 3), b).alias("beat"),
+        F.when((k == 2) & (b % 2 == 0), F.lit(12.0)).alias("until"), F.when(k == 4, b / 3).alias("t"), F.when(b == 3, F.lit(2.0)).alias("beats"), F.lit(None).cast("double").alias("length"),
+    )
+    return edits.expanded_effects(s, ["id"], 0.5, 20.0, 30, {"zoom": None, "flash": 0.2, "bw": None}).withColumn("t", F.round("t", 6))
