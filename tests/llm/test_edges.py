@@ -43,6 +43,67 @@ def reach(n, linked):
     return root
 
 
+def versions(spark, rows):
+    return {r.text: r.v for r in table(spark, rows).select("text", F.xxhash64("text").alias("v")).collect()}
+
+
+def plain_one_of_each(rows, version, width=5, percent=80):
+    """One (id, text) of each component, and all without words."""
+    sets = [shingles(t, width) for _, t in rows]
+    root = reach(len(rows), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 100 * len(a & b) >= percent * len(a | b)])
+    place = [(i is None, i or 0, version[t]) for i, t in rows]
+    best = {}
+    for k, c in enumerate(root):
+        best[c] = min(best.get(c, place[k]), place[k])
+    return [(i, t) for k, (i, t) in enumerate(rows) if not sets[k]] + sorted({(rows[k][0], rows[k][1]) for k, c in enumerate(root) if sets[k] and place[k] == best[c]}, key=str)
+
+
+def plain_windows(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def plain_contamination(docs, items):
+    """(id, words, hit words, items, contaminated) of every document."""
+    out = []
+    for i, t in docs:
+        w, hit, found = plain_windows(t), set(), set()
+        for item, text in items:
+            b = plain_windows(text)
+            n = min(13, len(b))
+            for window in {tuple(b[k : k + n]) for k in range(len(b) - n + 1)} if item is not None and b else ():
+                for k in range(len(w) - n + 1):
+                    if tuple(w[k : k + n]) == window:
+                        hit.update(range(k, k + n))
+                        found.add(item)
+        out.append((i, len(w), len(hit), len(found), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def plain_lines(docs, version):
+    """(id, text without removed lines, number of those) of every document, by comparing all pairs of lines."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    seen = sorted({((i is not None, i or 0, version[t]), k, line.encode()) for i, t in docs for k, line in enumerate((t or "").split("\n")) if len(line.encode()) >= 20 and line.strip()})
+    near = lambda x, y: x == y or (abs(len(x) - len(y)) <= 2 and distance(x, y) <= min(2, min(len(x), len(y)) // 20))
+    root = reach(len(seen), [(x, y) for x in range(len(seen)) for y in range(x + 1, len(seen)) if near(seen[x][2], seen[y][2])])
+    away = {}
+    for k, r in enumerate(root):
+        if r != k:
+            away.setdefault(seen[k][0], set()).add(seen[k][1])
+    out = []
+    for i, t in docs:
+        gone = away.get((i is not None, i or 0, version[t]), set())
+        out.append((i, t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone)))
+    return out
+
+
 def test_join_links_through_a_row_without_an_id(spark):
     base = [f"w{i}" for i in range(40)]
     first, middle, last = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(["y", *base[1:-1], "x"])
@@ -71,14 +132,7 @@ def test_one_of_each_matches_brute_force(spark):
                 t[rng.randrange(40)] = "z"
             rows.append((rng.choice((None, 100 + g * 10 + k)), " ".join(t)))
     rows += rows[-4:]
-    sets = [shingles(t, 5) for _, t in rows]
-    root = reach(len(rows), [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 100 * len(a & b) >= 80 * len(a | b)])
-    version = {r.text: r.v for r in table(spark, rows).select("text", F.xxhash64("text").alias("v")).collect()}
-    place = [(i is None, i or 0, version[t]) for i, t in rows]
-    best = {}
-    for k, c in enumerate(root):
-        best[c] = min(best.get(c, place[k]), place[k])
-    want = [(i, t) for k, (i, t) in enumerate(rows) if not sets[k]] + sorted({(rows[k][0], rows[k][1]) for k, c in enumerate(root) if sets[k] and place[k] == best[c]}, key=str)
+    want = plain_one_of_each(rows, versions(spark, rows))
     got = [(r.doc_id, r.text) for r in ngram_join.one_of_each(table(spark, rows), width=5, percent=80).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
@@ -104,19 +158,7 @@ def test_decontamination_matches_brute_force_for_any_block_size(spark):
     voc = [f"{c}{n}" for c in "abcdé" for n in range(6)]
     items = [(k, " ".join(rng.choice(voc) for _ in range(rng.choice((1, 2, 5, 20, 40))))) for k in range(30)] + [(3, "double id of its own"), (None, "a b"), (99, None), (98, "!?")]
     docs = [*ODD[:6], *((k, " ".join(rng.choice(voc) for _ in range(60)) + f", {rng.choice(items[:30])[1].upper()}!") for k in range(20, 60))]
-    norm = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
-    want = []
-    for i, t in docs:
-        w, hit, found = norm(t), set(), set()
-        for item, text in items:
-            b = norm(text)
-            n = min(13, len(b))
-            for window in {tuple(b[k : k + n]) for k in range(len(b) - n + 1)} if item is not None and b else ():
-                for k in range(len(w) - n + 1):
-                    if tuple(w[k : k + n]) == window:
-                        hit.update(range(k, k + n))
-                        found.add(item)
-        want.append((i, len(w), len(hit), len(found), bool(hit) and 20 * len(hit) >= len(w)))
+    want = plain_contamination(docs, items)
     bench = spark.createDataFrame([(i, t, "extra") for i, t in items], "item_id long, text string, doc_id string")
     for block in (1 << 18, 60):
         got = decontam.contamination(table(spark, docs), bench, block_words=block).select("doc_id", "n_words", "n_hit", "n_items", "contaminated").collect()
@@ -137,25 +179,7 @@ def test_line_dedup_matches_all_pairs(spark):
 
     docs = [(i, "\n".join(near(rng.choice(pool)) for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(None, pool[0]), (5, None), (70, ""), *[(71, f"{pool[1]}\n{pool[2]}")] * 2]
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    version = {r.text: r.v for r in table(spark, docs).select("text", F.xxhash64("text").alias("v")).collect()}
-    seen = sorted({((i is not None, i or 0, version[t]), k, line.encode()) for i, t in docs for k, line in enumerate((t or "").split("\n")) if len(line.encode()) >= 20 and line.strip()})
-    root = reach(len(seen), [(x, y) for x in range(len(seen)) for y in range(x + 1, len(seen)) if seen[x][2] == seen[y][2] or abs(len(seen[x][2]) - len(seen[y][2])) <= 2 and distance(seen[x][2], seen[y][2]) <= min(2, min(len(seen[x][2]), len(seen[y][2])) // 20)])
-    away = {}
-    for k, r in enumerate(root):
-        if r != k:
-            away.setdefault(seen[k][0], set()).add(seen[k][1])
-    want = []
-    for i, t in docs:
-        gone = away.get((i is not None, i or 0, version[t]), set())
-        want.append((i, t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone)))
+    want = plain_lines(docs, versions(spark, docs))
     got = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup(table(spark, docs)).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     kept = line_dedup.rewritten(table(spark, docs)).collect()
@@ -341,3 +365,47 @@ def test_pipeline_on_odd_and_empty_documents(spark, tmp_path):
         got = corpus_pipeline.run(spark, at).collect()
         assert {r.doc_id for r in got} == {i for i, _ in rows}
         assert all(zlib.crc32(b"\0\0\0\0") == r.ids_crc32 for r in got if r.doc_tokens == 1)
+
+
+def test_pipeline_matches_plain_stages(spark, tmp_path):
+    """Each stage in plain Python on what the one before kept; of the classifier only the scores are taken from the operator."""
+    rng = random.Random(21)
+    voc = [f"{a}{b}{c}" for a in "bdgklm" for b in "aeiou" for c in "nrst"]
+    line = lambda n: " ".join(rng.choice(voc) for _ in range(n))
+    items = [(k, line(20)) for k in range(4)] + [(9, "vile"), (10, None)]
+    shared = [line(8) for _ in range(5)]
+    rows = []
+    for i in range(120):
+        body = [line(rng.randint(3, 12)) for _ in range(rng.randint(1, 5))]
+        if i % 10 == 0:
+            body.append("vile words of a vile kind, vile and vile again")
+        if i % 7 == 0:
+            body.insert(0, rng.choice(shared)[: -1 if i % 2 else None])
+        if i % 9 == 0:
+            body.append(rng.choice(items[:4])[1])
+        rows.append((i, "\n".join(body)))
+    rows += [(200 + i, " ".join(rows[i][1].replace("\n", " ").split()[:-1]) + " x") for i in range(1, 30, 3)] + [(None, rows[4][1]), (300, rows[5][1]), (300, rows[5][1]), (301, None), (302, "")]
+    at = str(tmp_path)
+    table(spark, rows).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    docs, labels = (spark.read.parquet(f"{at}/{n}.parquet") for n in ("documents", "labels"))
+    toxic = {(r.doc_id, r.version) for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("score >= 0.3").collect()}
+    version = versions(spark, rows)
+    kept = [(i, t) for i, t in rows if (i, version[t]) not in toxic]
+    assert 10 <= len(rows) - len(kept) <= 25
+    lines = [(i, t) for i, t, n in plain_lines(kept, version) if not n or t.strip()]
+    one = plain_one_of_each(lines, versions(spark, lines))
+    clean = [d for d, c in zip(one, plain_contamination(one, items), strict=True) if not c[4]]
+    assert len(kept) > len(lines) - 1 > len(one) > len(clean) > 20
+    encode = packing.encoder("byte_bpe_50k.json")
+    want = sorted((str(i), zlib.crc32(np.array([*ids, 0], "<u4").tobytes()), len(ids) + 1) for (i, _), ids in zip(clean, encode([t or "" for _, t in clean]), strict=True) if len(ids) < 1024)
+    pieces = {}
+    for r in corpus_pipeline.run(spark, at).collect():
+        pieces.setdefault((str(r.doc_id), r.doc_tokens), []).append((r.start, r.length, r.ids_crc32))
+    # Documents that lie in one piece have the plain version's ids; those that were cut add up to its length.
+    sizes = sorted((i, n) for i, _, n in want)
+    assert sorted(pieces) == sorted(set(sizes))
+    whole = {(i, c, n) for (i, n), ps in pieces.items() for start, length, c in ps if (start, length) == (0, n)}
+    assert whole <= set(want) and len(whole) > 10
+    assert all(sum(p[1] for p in ps) == n * sizes.count((i, n)) for (i, n), ps in pieces.items())
