@@ -1,7 +1,8 @@
 """Quality rules: a table of thresholds compiled into one projection of built-in functions.
 
-Counts follow from one array of words and one of lines; windows of three words are sorted with their places, so that a
-window found again stands beside its equal, and the words that such windows cover are counted from the sorted places.
+Counts follow from one array of words and one of lines. Windows of three words are hashed; only where a hash repeats are they
+sorted with their places, so that a window found again stands beside its equal, and the words that such windows cover are
+counted from the sorted places.
 
 Defined results: a null text has no words and fails; equal texts get equal results; columns beside the id and the text
 are not read. A ratio with nothing below the line is null, and a null ratio breaks no rule.
@@ -48,7 +49,7 @@ def _with(value: Column, then) -> Column:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Number of words inside windows of three words that the array holds twice or more."""
+    """Number of words inside windows of three words that the array holds twice or more. Windows are compared by 64-bit hashes; places are sorted only if any repeats."""
     size = F.size(words)
 
     def covered(places: Column) -> Column:
@@ -61,34 +62,30 @@ def _repeat_words(words: Column) -> Column:
         )
 
     def places(sorted_windows: Column) -> Column:
-        same = F.filter(
-            F.transform(
-                sorted_windows,
-                lambda w, i: F.when(
-                    F.coalesce(F.get(sorted_windows, i - 1)["w"] == w["w"], F.lit(False)) | F.coalesce(F.get(sorted_windows, i + 1)["w"] == w["w"], F.lit(False)), w["i"]
-                ),
-            ),
-            lambda p: p.isNotNull(),
-        )
-        return _with(F.sort_array(same), covered)
+        same = F.filter(sorted_windows, lambda w, i: F.get(sorted_windows, i - 1)["w"].eqNullSafe(w["w"]) | F.get(sorted_windows, i + 1)["w"].eqNullSafe(w["w"]))
+        return _with(F.sort_array(F.transform(same, lambda w: w["i"])), covered)
+
+    def repeated(hashes: Column) -> Column:
+        placed = F.transform(hashes, lambda h, i: F.struct(h.alias("w"), i.alias("i")))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(_with(F.sort_array(placed), places))
 
-    windows = F.transform(F.slice(words, 1, size - 2), lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i")))
-    return F.when(size < 4, F.lit(0).cast("long")).otherwise(_with(F.sort_array(windows), places))
+    windows = F.transform(F.slice(words, 1, size - 2), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    return F.when(size < 4, F.lit(0).cast("long")).otherwise(_with(windows, repeated))
 
 
 def metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stop_words: tuple = STOP_WORDS) -> DataFrame:
     """doc_id, the base counts and the ratios that rules may name."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", "t", F.filter(F.split("t", SPACE), lambda w: w != "").alias("w"))
+    base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t")).select("doc_id", "t", F.array_remove(F.split("t", SPACE), "").alias("w"))
     lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = base.select(
         "doc_id",
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         _with(lines, lambda a: F.struct(F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("d"))).alias("lines"),
         _with(F.col("w"), _repeat_words).alias("n_repeat_words"),
-        F.size(F.filter("w", lambda w: F.lower(w).isin(*stop_words))).cast("long").alias("n_stop_words"),
+        F.size(F.filter(F.split(F.lower("t"), SPACE), lambda w: w.isin(*stop_words))).cast("long").alias("n_stop_words"),
         F.size(F.filter("w", lambda w: (w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 1))).cast("long").alias("n_upper"),
     )
     words = F.nullif(F.col("n_words"), F.lit(0))
