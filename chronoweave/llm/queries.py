@@ -1,11 +1,11 @@
-"""Queries of the ten operators over the driver's tables, and their SQL where SQL can express them."""
+"""Queries of the thirteen operators over the driver's tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_template, licenses, line_dedup, nbsvm, ngram_join, packing, quality_rules, toxicity, warc
+from . import conversations, decontam, html_template, licenses, line_dedup, nbsvm, ngram_join, packing, quality_rules, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,78 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, keep=("doc_id",))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality_rules, op4_html, op5_ngram_join, op6_packing, op7_decontamination, op8_line_dedup, op9_quality_classifier, op10_licenses)}
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audits(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality_rules, op4_html, op5_ngram_join, op6_packing, op7_decontamination, op8_line_dedup, op9_quality_classifier, op10_licenses, op13_conversations)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+#: The table of a byte-wise CRC-32, from its rule, and the sum of a text.
+_CRC_TABLE = """tab as (select list_transform(range(0, 256), lambda n: list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+                        lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t)"""
+
+
+def _crc(text: str) -> str:
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::bigint)), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+_TRIM = "rtrim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+
+
+def _step(target: str, ways: list[tuple[str, str, str]]) -> str:
+    """The cheapest way into a state, then the ASCII-least: (state before, inserted letters, what the row does)."""
+    place = {"e": 0, "s": 1, "u": 2, "a": 3}
+    out = []
+    for before, inserted, act in ways:
+        lines, at = [], before
+        for _ in inserted:
+            at = "a" if at == "u" else "u"
+            lines.append("'assistant:'" if at == "a" else "'user:'")
+        price, when = {"D": ("2", "true"), "K": ("more", f"not must and initial = '{target}'"), "R": ("1 + more", "not must")}[act]
+        if act == "K":
+            lines.append("role || ':' || text")
+        elif act == "R":
+            lines.append(f"'{'assistant' if target == 'a' else 'user'}:' || text")
+        p = f"p[{place[before] + 1}]"
+        out.append(f"case when {when} then {{'c': {p}.c + {5 * len(inserted)} + {price}, 's': {p}.s || '{inserted}{act}', 'r': list_concat({p}.r, [{', '.join(lines)}]::varchar[])}} end")
+    return f"list_sort(list_filter([{', '.join(out)}], lambda x: x is not null))[1]"
+
+
+_BEFORE = {"e": [("e", "")], "s": [("s", "")], "u": [("u", ""), ("e", "I"), ("s", "I"), ("a", "I")], "a": [("a", ""), ("u", "I"), ("e", "II"), ("s", "II")]}
+_STEPS = {t: [(b, i, "D") for b, i in _BEFORE[t]] for t in "esua"}
+_STEPS["s"] += [("e", "", "K")]
+_STEPS["u"] += [(b, i, act) for at in "esa" for b, i in _BEFORE[at] for act in "KR"]
+_STEPS["a"] += [(b, i, act) for b, i in _BEFORE["u"] for act in "KR"]
+
 ORACLE_SQL = {
+    "op13_conversations": rf"""
+        with recursive {_CRC_TABLE},
+        given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as d from conversations, tab),
+        rows_ as (select conv_id, turn, case when d = 4 then 'user' else role end as role, case when d = 1 then '' when d = 2 then translate(text, '.!?', '') else text end as text,
+                         unnest(case when d = 3 then [0, 1] else [0] end) as copy from given where d <> 0),
+        n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, left(role, 1) as initial, {_TRIM.format("text")} as own from rows_),
+        f as (select *, case when own = '' then 'blank' when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+                             when right(own, 1) not in ('.', '!', '?') then 'truncated' end as fault,
+                     lag(initial) over (partition by conv_id order by i) || initial as two from n),
+        m as (select *, coalesce(fault, '') in ('blank', 'duplicate') as must, case when fault = 'truncated' then 5 else 0 end as more from f),
+        path as (
+            select conv_id, 0::bigint as i, [{{'c': 0, 's': '', 'r': []::varchar[]}}, {", ".join(["{'c': 1000000, 's': '', 'r': []::varchar[]}"] * 3)}] as p from (select distinct conv_id from conversations)
+            union all
+            select path.conv_id, m.i, [{", ".join(_step(t, _STEPS[t]) for t in "esua")}]
+            from path join m on m.conv_id is not distinct from path.conv_id and m.i = path.i + 1),
+        last_ as (select conv_id, list_sort([p[1], p[4], {{'c': p[3].c + 5, 's': p[3].s || 'I', 'r': list_append(p[3].r, 'assistant:')}},
+                                             {{'c': p[2].c + 10, 's': p[2].s || 'II', 'r': list_concat(p[2].r, ['user:', 'assistant:'])}}])[1] as best
+                  from (select conv_id, arg_max(p, i) as p from path group by conv_id)),
+        t as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+                     count(*) filter (fault = 'truncated') as truncated, count(*) filter (two not in ('su', 'ua', 'au')) as illegal from m group by conv_id)
+        select l.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal,
+               best.c::bigint as cost, best.s as audit, sha256(array_to_string(best.r, chr(10))) as repaired_sha256
+        from last_ l left join t on t.conv_id is not distinct from l.conv_id""",
     "op2_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
         g as (select payload_digest, max(page_id) as original from p where payload_bytes >= 1000 group by payload_digest)
