@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, html_template, licenses, line_dedup, nbsvm, ngram_join, packing, quality_rules, toxicity, warc
+from . import conversations, decontam, html_template, licenses, line_dedup, nbsvm, ngram_join, packing, quality_rules, resampling, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,11 +55,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, keep=("doc_id",))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audits(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality_rules, op4_html, op5_ngram_join, op6_packing, op7_decontamination, op8_line_dedup, op9_quality_classifier, op10_licenses, op13_conversations)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality_rules, op4_html, op5_ngram_join, op6_packing, op7_decontamination, op8_line_dedup, op9_quality_classifier, op10_licenses, op11_resampling, op13_conversations)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -103,7 +107,25 @@ _STEPS["s"] += [("e", "", "K")]
 _STEPS["u"] += [(b, i, act) for at in "esa" for b, i in _BEFORE[at] for act in "KR"]
 _STEPS["a"] += [(b, i, act) for b, i in _BEFORE["u"] for act in "KR"]
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE_SQL = {
+    "op11_resampling": rf"""
+        with {_CRC_TABLE},
+        both_ as (select 'd' as k, doc_id, row_number() over () as r, text from documents union all select 'b', null, row_number() over (), text from benchmark),
+        w as (select k, doc_id, r, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from both_),
+        g as (select k, r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as g from w),
+        c as (select k, r, g, count(*) as n from g group by all),
+        b as (select g, {_crc("g")} % 10000 as bucket from (select distinct g from c), tab),
+        s as (select bucket, coalesce(sum(n) filter (k = 'd'), 0)::double as s, coalesce(sum(n) filter (k = 'b'), 0)::double as t from c join b using (g) group by bucket),
+        a as (select coalesce(sum(s), 0) as s_all, coalesce(sum(t), 0) as t_all from s),
+        gain as (select bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::bigint as gain from s, a),
+        f as (select r, sum(n)::bigint as n_features, floor(sum(n * gain)::double / sum(n))::bigint as weight from c join b using (g) join gain using (bucket) where k = 'd' group by r),
+        d as (select doc_id, r, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+                     ('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint as h from w left join f using (r) where k = 'd'),
+        e as (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from d),
+        o as (select r, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from e where n_words >= 20)
+        select doc_id, n_features, weight, score, case when place <= 25 * n // 100 then place end as rank from e left join o using (r)""",
     "op13_conversations": rf"""
         with recursive {_CRC_TABLE},
         given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as d from conversations, tab),
