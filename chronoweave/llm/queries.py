@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontam, html_template, licenses, line_dedup, nbsvm, ngram_join, packing, quality_rules, resampling, toxicity, warc
+from . import conversations, decontam, html_template, licenses, line_dedup, nbsvm, ngram_join, packing, quality_rules, resampling, toxicity, vector_graph, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,11 +59,15 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audits(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality_rules, op4_html, op5_ngram_join, op6_packing, op7_decontamination, op8_line_dedup, op9_quality_classifier, op10_licenses, op11_resampling, op13_conversations)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_quality_rules, op4_html, op5_ngram_join, op6_packing, op7_decontamination, op8_line_dedup, op9_quality_classifier, op10_licenses, op11_resampling, op12_vectors, op13_conversations)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -126,6 +130,18 @@ ORACLE_SQL = {
         e as (select *, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296)))::bigint as score from d),
         o as (select r, row_number() over (order by score desc, doc_id) as place, count(*) over () as n from e where n_words >= 20)
         select doc_id, n_features, weight, score, case when place <= 25 * n // 100 then place end as rank from e left join o using (r)""",
+    "op12_vectors": """
+        with recursive v as (select row_number() over () as r, vec_id, label, embedding::double[] as x from embeddings where label is not null and len(embedding) > 0
+                             and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        n as (select *, sqrt(list_inner_product(x, x)) as size from v),
+        link as (select a.r as a, b.r as b from n a join n b on a.label = b.label and len(a.x) = len(b.x) and a.r <> b.r where list_inner_product(a.x, b.x) / (a.size * b.size) >= 0.93),
+        reach(a, b) as (select a, b from link union select reach.a, link.b from reach join link on reach.b = link.a),
+        c as (select reach.a as r, min(v.vec_id) as least from reach join v on v.r = reach.b group by reach.a),
+        d as (select a as r, count(*) as n from link group by a)
+        select v.vec_id, coalesce(d.n, 0) as n_links, least(v.vec_id, coalesce(c.least, v.vec_id)) as component_id, coalesce(v.vec_id <= coalesce(c.least, v.vec_id), false) as kept
+        from v left join c using (r) left join d using (r)
+        union all select vec_id, 0, vec_id, vec_id is not null from embeddings where label is null or coalesce(len(embedding), 0) = 0
+                             or len(list_filter(embedding, lambda c: c is null or not isfinite(c))) > 0 or len(list_filter(embedding, lambda c: c <> 0)) = 0""",
     "op13_conversations": rf"""
         with recursive {_CRC_TABLE},
         given as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {_crc("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as d from conversations, tab),
