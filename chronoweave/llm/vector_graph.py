@@ -38,6 +38,8 @@ SHARD, FAN, PER_PIVOT, LEVELS = 2048, 256, 512, 12
 CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 8
 #: Rows of a cell, or visitors of one, that a task takes at a time.
 BLOCK, VISITORS = 512, 4096
+#: Pairs of a query and a node that are looked at together.
+STEP = 1 << 13
 AUDITED = 500
 
 
@@ -223,20 +225,21 @@ def _found(x: np.ndarray, out: np.ndarray, query: np.ndarray, starts: np.ndarray
         every, ids_of = np.concatenate([score[live], more], 1), np.concatenate([ids[live], np.where(fresh, near, -1)], 1)
         top = np.argpartition(-every, beam - 1, 1)[:, :beam]
         score[live], ids[live] = np.take_along_axis(every, top, 1), np.take_along_axis(ids_of, top, 1)
-    at, node = np.nonzero(hit & ~done)
-    while len(at):
-        done[at, node] = True
+    waiting = [np.stack(np.nonzero(hit & ~done), 1)]
+    while waiting:
+        pairs = waiting.pop()
+        if len(pairs) > STEP:
+            waiting.append(pairs[STEP:])
+        at, node = pairs[:STEP].T
         near = out[node]
         pick, col = np.nonzero((near >= 0) & ~seen[at[:, None], near])
         pair = np.unique(at[pick] * n + near[pick, col])
-        a, b = pair // n, pair % n
-        seen[a, b] = True
-        at, node = [], []
-        for k in range(0, len(a), 1 << 16):
-            near_by = np.einsum("nd,nd->n", query[a[k : k + (1 << 16)]], x[b[k : k + (1 << 16)]]) >= threshold
-            at.append(a[k : k + (1 << 16)][near_by]), node.append(b[k : k + (1 << 16)][near_by])
-        at, node = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (at, node))
-        hit[at, node] = True
+        at, node = pair // n, pair % n
+        seen[at, node] = True
+        close = np.concatenate([np.zeros(0, bool), *(np.einsum("nd,nd->n", query[at[k : k + STEP]], x[node[k : k + STEP]]) >= threshold for k in range(0, len(at), STEP))])
+        hit[at[close], node[close]] = True
+        if close.any():
+            waiting.append(np.stack([at[close], node[close]], 1))
     return hit
 
 
