@@ -39,16 +39,16 @@ def assign(df: DataFrame, id_col: str, vector: str, centres: DataFrame, label: s
     return df.select(id_col, vector).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, {label} {kind}, similarity double")
 
 
-def average_linkage(x: np.ndarray, limit: float) -> np.ndarray:
-    """Cluster numbers by first member: clusters whose mean cosine distance is at most ``limit`` are joined, nearest first.
+def average_linkage(x: np.ndarray, limit: float, number: int | None = None) -> np.ndarray:
+    """Cluster numbers by first member: clusters whose mean cosine distance is at most ``limit`` are joined, nearest first; with a ``number``, joins go on until so many are left (or fewer, where joins are of one distance), whatever the limit.
 
     Chains of nearest neighbours: a cluster and its nearest are joined once each is the other's nearest. With mean distances no later join
-    brings anything nearer, so this gives the joins of always taking the nearest pair, in quadratic time.
+    brings anything nearer, so these are the joins of always taking the nearest pair, in quadratic time; they are then taken by distance.
     """
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     d = 1 - unit @ unit.T
     np.fill_diagonal(d, np.inf)
-    size, root = np.ones(len(x)), np.arange(len(x))
+    size, joins = np.ones(len(x)), []
     alive, chain = np.ones(len(x), bool), []
     while alive.sum() > 1:
         if not chain:
@@ -62,25 +62,33 @@ def average_linkage(x: np.ndarray, limit: float) -> np.ndarray:
             continue
         chain = chain[:-2]
         i, j = min(i, j), max(i, j)
-        if d[i, j] > limit:
+        if number is None and d[i, j] > limit:
             # Nearest to each other and too far apart: neither will be joined, but both still count as others' distances.
             alive[[i, j]] = False
             d[i] = d[:, i] = d[j] = d[:, j] = np.inf
             continue
+        joins.append((float(d[i, j]), i, j))
         d[i] = d[:, i] = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i, i] = np.inf
         d[j] = d[:, j] = np.inf
         size[i] += size[j]
         alive[j] = False
+    root, left, reached = np.arange(len(x)), len(x), -np.inf
+    for far, i, j in sorted(joins):
+        if number is not None and left <= number and far > reached:
+            break
+        i, j = sorted((root[i], root[j]))
         root[root == j] = i
+        left, reached = left - 1, far
     return np.unique(root, return_inverse=True)[1]
 
 
-def grouped(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: float, most: int = 1500) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: float, most: int = 1500, number: int | None = None, means: str = "all") -> DataFrame:
     """Average-linkage groups within a key: keys, id, cluster.
 
     A key of over ``most`` rows is grouped by every n-th of them (by id), ``most`` at most, and each of its rows then goes to the group whose mean
-    vector is nearest, the smallest number on a tie; so no group of rows is larger than ``most``. Rows without a vector have no cluster.
+    vector is nearest, the smallest number on a tie; so no group of rows is larger than ``most``. Rows without a vector have no cluster. With a
+    ``number``, that many groups instead of a ``limit``. With ``means`` "sample" only the rows that were grouped are returned.
     """
     kinds = dict(df.dtypes)
     w = Window.partitionBy(*keys).orderBy(id_col)
@@ -90,9 +98,11 @@ def grouped(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: flo
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(id_col, ignore_index=True)
-        return part.assign(cluster=average_linkage(np.stack(part[vector].to_numpy()).astype(float), limit))
+        return part.assign(cluster=average_linkage(np.stack(part[vector].to_numpy()).astype(float), limit, number))
 
     found = drawn.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, id_col, vector]) + ", _at int, _step long, cluster long")
+    if means == "sample":
+        return found.select(*keys, id_col, "cluster")
     means = found.where("_step > 1").select(*keys, "cluster", F.posexplode(vector).alias("i", "v")).groupBy(*keys, "cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     means = means.groupBy(*keys, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
     means = means.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "m")).alias("_means"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators import trees
+from chronoweave.operators import sections, speakers, trees
 from chronoweave.plans.catalog import _read, query
 
 _IN = "list_contains(list_transform(r, lambda z: z.clip), {})"
@@ -52,3 +53,61 @@ def triangle_check(spark, sf):
     """Alignments outside the tree that disagree with it."""
     _, off = trees.synchronised(*_alignments(spark, sf), ["pr"])
     return off.select("pr", "a", "b", F.round("off", 6).alias("off"))
+
+
+#: Bars of a user: eight events each in order of time; a bar's vector is of the counts of event types, a constant, and its energy the mean value.
+_BARS = """b as (select *, (row_number() over (partition by user_id order by ts) - 1) // 8 as bar from events),
+    f as (select user_id, bar, [0.5 + count(*) filter (event_type = 'click') * 2, count(*) filter (event_type = 'view'), count(*) filter (event_type = 'purchase') * 3.0, count(*) filter (event_type = 'error'), (bar // 4 % 3) * 4.0]::double[] as c,
+            floor(avg(value)) / 10 as energy, count(*) filter (event_type = 'click') / 2.0 as low, count(*) filter (event_type = 'purchase') / 2.0 as clap from b group by user_id, bar),
+    v as (select user_id, bar, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) as v, energy, low, clap from f)"""
+
+
+def _bars(spark, sf):
+    from pyspark.sql import Window
+
+    e = _read(spark, sf, "events").withColumn("bar", F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1) / 8).cast("long"))
+    n = lambda kind: F.sum((F.col("event_type") == kind).cast("double"))
+    f = e.groupBy("user_id", "bar").agg(
+        F.array(0.5 + n("click") * 2, n("view"), n("purchase") * 3.0, n("error"), F.floor(F.col("bar") / 4) % 3 * 4.0).cast("array<double>").alias("c"),
+        (F.floor(F.avg("value")) / 10).alias("energy"), (n("click") / 2.0).alias("low"), (n("purchase") / 2.0).alias("clap"),
+    )
+    return f.select("user_id", "bar", F.transform("c", lambda x: x / F.sqrt(sections.dot(F.col("c"), F.col("c")))).alias("v"), "energy", "low", "clap")
+
+
+@query(f"""with recursive {_BARS},
+    n as (select *, count(*) over (partition by user_id) as n, list(v) over (partition by user_id order by bar rows between 4 preceding and 3 following) as w from v),
+    nov as (select *, case when bar >= 4 and bar < n - 4 then list_aggregate(list_transform(range(1, 6), lambda d: pow((w[5][d] + w[6][d] + w[7][d] + w[8][d]) - (w[1][d] + w[2][d] + w[3][d] + w[4][d]), 2)), 'sum') else 0.0 end as nov from n),
+    ph as (select user_id, bar % 4 as r, sum(nov) as s, max(nov) filter (bar > 0) as top from nov group by user_id, bar % 4 qualify row_number() over (partition by user_id order by round(s, 9) desc, r) = 1),
+    sec as (select nov.*, sum(case when bar = 0 or bar % 4 = r and nov >= 0.3 * greatest(coalesce(top, 1), 1e-9) then 1 else 0 end) over (partition by user_id order by bar)::bigint - 1 as section from nov join ph using (user_id)),
+    at_ as (select user_id, section, v, bar - min(bar) over (partition by user_id, section) as a from sec),
+    sim as (select x.user_id, x.section as i, y.section as j, avg(list_inner_product(x.v, y.v)) as sim from at_ x join at_ y on x.user_id = y.user_id and x.a = y.a and x.section <> y.section group by all),
+    s as (select user_id, section, min(bar) as start, max(bar) + 1 as "end", avg(energy) as energy, avg(low) as low, avg(clap) as clap from sec group by all),
+    like_ as (select s.*, coalesce((select max(sim) from sim where sim.user_id = s.user_id and i = section), 0) as rep, coalesce((select list(j order by j) from sim where sim.user_id = s.user_id and i = section and j < section and sim >= 0.9), []) as l from s),
+    g as (select *, [0::bigint] as founders, 0::bigint as grp from like_ where section = 0
+      union all select q.user_id, q.section, q.start, q."end", q.energy, q.low, q.clap, q.rep, q.l, case when len(list_intersect(q.l, g.founders)) = 0 then list_append(g.founders, q.section) else g.founders end,
+        case when len(list_intersect(q.l, g.founders)) = 0 then len(g.founders) else list_position(g.founders, list_min(list_intersect(q.l, g.founders))) - 1 end from g join like_ q on q.user_id = g.user_id and q.section = g.section + 1),
+    h as (select user_id, grp, count(*) as n, avg(energy + 2 * low) as force, avg(energy) as mean from g group by user_id, grp having count(*) > 1 qualify row_number() over (partition by user_id order by round(force, 9) desc, grp) = 1),
+    p as (select user_id, max(energy) as loudest, max(section) as last_ from g group by user_id),
+    q as (select p.user_id, last_, case when h.mean >= loudest - 4 then h.grp end as hook, case when h.mean >= loudest - 4 then h.mean else loudest end as level from p left join h using (user_id))
+    select user_id, section, start, "end", grp, round(rep, 6) as repetition, case when grp is not distinct from hook then 'hook' when low < 0.3 and clap < 0.3 then case when section = 0 then 'intro' when section = last_ then 'outro' else 'break' end
+        when section = 0 then 'intro' when energy < level - 2.5 and "end" - start <= 8 and section < last_ then 'break' when section = last_ and "end" - start <= 8 then 'outro' else 'verse' end as label from g join q using (user_id)""")
+def song_sections(spark, sf):
+    """Sections of each user's bars of events, their repetitions and names."""
+    out = sections.sections(_bars(spark, sf), ["user_id"], "bar", "v", "energy", "low", "clap")
+    return out.select("user_id", "section", "start", "end", "grp", F.round("repetition", 6).alias("repetition"), "label")
+
+
+def _voices(spark, sf):
+    return _bars(spark, sf).select("user_id", "bar", "v", F.floor(F.col("bar") / 6).alias("region"))
+
+
+@query()
+def speaker_rounds(spark, sf):
+    """Bars of a user as windows of a recording, labelled by groups that are refined in rounds."""
+    return speakers.speakers(_voices(spark, sf), ["user_id"], "region", "bar", "v", apart=0.08, price=0.05, hop=0.5).select("user_id", "bar", "speaker")
+
+
+@query()
+def fixed_speakers(spark, sf):
+    """The same for two speakers."""
+    return speakers.speakers(_voices(spark, sf), ["user_id"], "region", "bar", "v", number=2, price=0.05).select("user_id", "bar", "speaker")
