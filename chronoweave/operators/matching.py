@@ -119,30 +119,72 @@ def resolve_keys(wanted: DataFrame, known: DataFrame, key: str, name: str, prefi
     return best
 
 
+#: Elements that are kept as bits of a set's words, and sets of one element that meet in one task.
+WORDS, MEETING = 4, 2048
+
+
 def jaccard_pairs(sets: DataFrame, id_col: str, element: str, at_least: float) -> DataFrame:
-    """Pairs of ids (a < b) with their Jaccard similarity, from (id, element) rows, through shared elements and set sizes."""
-    own = sets.select(id_col, element).distinct()
-    n = own.groupBy(id_col).agg(F.count("*").alias("n"))
-    rows = own.join(n, id_col)
-    a, b = (rows.select(F.col(id_col).alias(x), F.col(element), F.col("n").alias(f"n{x}")) for x in ("a", "b"))
-    # Sizes differ by the threshold at most.
-    shared = a.join(b, element).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= at_least * F.greatest("na", "nb"))).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
-    return shared.withColumn("jaccard", F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).where(F.col("jaccard") >= at_least).select("a", "b", "jaccard")
+    """Pairs of ids (a < b) with their Jaccard similarity, from (id, element) rows.
+
+    Elements are put in order by how many sets hold them. Two sets as alike as asked share one of their first few elements (the longer the set,
+    the more), so sets meet at those only, and only with sets of like size; a pair counts where it meets first, which its own rows
+    tell, so pairs are neither grouped nor made distinct. The most frequent elements of all are bits of words, whose overlap is counted at
+    once; where a pair meets, what is left of both sets bounds the overlap before it is counted. The sets of a frequent element are dealt
+    by size and by hash, so that none of its pairs' tasks is large. Null ids and elements are ignored; without a shared element there is no pair.
+    """
+    own = sets.select(F.col(id_col).alias("id"), F.col(element).alias("e")).where("id is not null and e is not null").distinct()
+    freq = own.groupBy("e").agg(F.count("*").alias("m"))
+    top = freq.orderBy(F.desc("m"), F.desc("e")).limit(64 * WORDS).withColumn("pos", F.row_number().over(Window.orderBy("m", "e")) - 1)
+    held = own.join(freq, "e").join(F.broadcast(top.select("e", "pos")), "e", "left")
+    bit = F.when(F.col("pos").isNotNull(), F.expr("shiftleft(1L, pos % 64)"))
+    words = [F.coalesce(F.bit_or(F.when(F.floor(F.col("pos") / 64) == w, bit)), F.lit(0).cast("long")).alias(f"w{w}") for w in range(WORDS)]
+    per = held.groupBy("id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("m", "e", "pos"))).alias("all"), *words)
+    first = (F.col("n") - F.ceil(F.lit(at_least) * F.col("n") - 1e-9) + 1).cast("int")
+    rare = F.transform(F.filter("all", lambda x: x["pos"].isNull()), lambda x: x["e"])
+    bucket = F.floor(F.log("n") / F.log(F.lit(1 / at_least)) + 1e-9).cast("int") if 0 < at_least < 1 else F.col("n").cast("int")
+    rows = per.select("id", "n", *(f"w{w}" for w in range(WORDS)), rare.alias("rare"), bucket.alias("size"), F.posexplode(F.slice("all", 1, first)).alias("i", "x")).select("*", "x.*").drop("x")
+    salts = F.ceil(F.col("m") / MEETING).cast("int")
+    names = ["id", "n", "i", "rare", *(f"w{w}" for w in range(WORDS))]
+    one = rows.select("e", "pos", "size", F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"), *(F.col(c).alias(f"{c}_a") for c in names))
+    reach = F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1) if 0 < at_least < 1 else F.array("size")
+    two = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).withColumn("size", F.explode(reach)).select("e", "size", "salt", *(F.col(c).alias(f"{c}_b") for c in names))
+    least = F.ceil(F.lit(at_least / (1 + at_least)) * (F.col("n_a") + F.col("n_b")) - 1e-9)
+    shared = [F.col(f"w{w}_a").bitwiseAND(F.col(f"w{w}_b")) for w in range(WORDS)]
+    both = F.array_intersect("rare_a", "rare_b")
+    before = [F.when(F.col("pos") >= 64 * (w + 1), shared[w]).when(F.col("pos") >= 64 * w, shared[w].bitwiseAND(F.expr("~shiftleft(-1L, pos % 64)"))).otherwise(0) == 0 for w in range(WORDS)]
+    frequent_first = reduce(lambda x, y: x & y, before) & (F.size(both) == 0)
+    here = F.when(F.col("pos").isNotNull(), frequent_first).otherwise(F.get(both, F.lit(0)) == F.col("e"))
+    may = F.lit(1) + F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) - 1 >= least
+    met = one.join(two, ["e", "size", "salt"]).where((F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= at_least * F.greatest("n_a", "n_b")) & may & here)
+    c = F.size(both) + reduce(lambda x, y: x + y, [F.bit_count(s) for s in shared])
+    found = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (c / (F.col("n_a") + F.col("n_b") - c)).alias("jaccard"))
+    return found.where(F.col("jaccard") >= at_least)
+
+
+#: Bits of a band at least; bands of fewer hardly tell hashes apart, so then all of a length meet.
+BAND_BITS = 6
 
 
 def hash_duplicates(items: DataFrame, id_col: str, length: str, bits: str, least_agreement: float = 0.9, slack: float = 0.3, share: float = 0.03) -> DataFrame:
     """Pairs (a < b) whose lengths differ by max(slack, share of the longer) at most and whose 64-bit hashes agree enough.
 
-    Blocks: logarithmic length buckets and their neighbours for long items, buckets of the slack for short ones.
+    Blocks: logarithmic length buckets and their neighbours for long items, buckets of the slack for short ones; within them the content of a band of bits.
+    Hashes that may differ in r bits are cut into r + 1 bands, of which one is the same in both; a pair is looked at in the first such band only.
     """
     cut = slack / share
+    differ = max(0, int(64 - least_agreement * 64 + 1e-9))
+    edges = [64 * k // (differ + 1) for k in range(differ + 2)] if 64 // (differ + 1) >= BAND_BITS else []
+    part = lambda h, k: F.shiftrightunsigned(h, edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1 if edges[k + 1] - edges[k] < 64 else -1).cast("long"))
+    bands = F.array(*(F.struct(F.lit(k).alias("k"), part(F.col(bits), k).alias("v")) for k in range(len(edges) - 1))) if edges else F.array(F.struct(F.lit(0).alias("k"), F.lit(0).cast("long").alias("v")))
     bucket = F.when(F.col(length) <= cut, F.floor(F.col(length) / slack)).otherwise(1_000_000 + F.floor(F.log(F.col(length)) / F.log(F.lit(1 / (1 - share)))))
     both = F.array(bucket, F.when(F.col(length) <= cut / (1 - share), 1_000_000 + F.floor(F.log(F.greatest(F.col(length), F.lit(1e-9))) / F.log(F.lit(1 / (1 - share))))))
-    one = items.select(F.col(id_col).alias("a"), F.col(length).alias("la"), F.col(bits).alias("ha"), F.explode(F.array_distinct(F.array_compact(both))).alias("_b"))
-    two = items.select(F.col(id_col).alias("b"), F.col(length).alias("lb"), F.col(bits).alias("hb"), F.explode(F.array_distinct(F.array_compact(both))).alias("_c")).withColumn("_b", F.explode(F.expr("array(_c - 1, _c, _c + 1)"))).drop("_c")
-    near = one.join(two, "_b").where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= F.greatest(F.lit(slack), share * F.greatest("la", "lb"))))
-    same = F.bit_count(F.col("ha").bitwiseXOR(F.col("hb")))
-    return near.where(64 - same >= least_agreement * 64).select("a", "b", (64 - same).alias("equal_bits")).distinct()
+    rows = items.where(F.col(bits).isNotNull()).withColumn("_band", F.explode(bands)).withColumn("_c", F.explode(F.array_distinct(F.array_compact(both))))
+    one = rows.select(F.col(id_col).alias("a"), F.col(length).alias("la"), F.col(bits).alias("ha"), "_band", F.col("_c").alias("_b"))
+    two = rows.select(F.col(id_col).alias("b"), F.col(length).alias("lb"), F.col(bits).alias("hb"), "_band", F.explode(F.expr("array(_c - 1, _c, _c + 1)")).alias("_b"))
+    away = F.col("ha").bitwiseXOR(F.col("hb"))
+    first = F.coalesce(*(F.when(part(away, k) == 0, k) for k in range(len(edges) - 1))) if edges else F.lit(0)
+    near = one.join(two, ["_b", "_band"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= F.greatest(F.lit(slack), share * F.greatest("la", "lb"))) & (64 - F.bit_count(away) >= least_agreement * 64) & (first == F.col("_band.k")))
+    return near.select("a", "b", (64 - F.bit_count(away)).alias("equal_bits")).distinct()
 
 
 def map_time(df: DataFrame, maps: DataFrame, clip: str, to: str, t: str) -> DataFrame:

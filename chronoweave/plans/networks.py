@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators import sections, speakers, trees
+from chronoweave.operators import matching, sections, speakers, trees
 from chronoweave.plans.catalog import _read, query
 
 _IN = "list_contains(list_transform(r, lambda z: z.clip), {})"
@@ -111,3 +111,14 @@ def speaker_rounds(spark, sf):
 def fixed_speakers(spark, sf):
     """The same for two speakers."""
     return speakers.speakers(_voices(spark, sf), ["user_id"], "region", "bar", "v", number=2, price=0.05).select("user_id", "bar", "speaker")
+
+
+@query("""with p as (select p_partkey as id, p_size / 10.0 as len, xor(((p_partkey // 4 * 2654435761) & 4294967295) * 2147483648 + ((p_partkey // 4 * 2246822519) & 2147483647), 1::bigint << (p_partkey * 7 % 62)::int) as h from part),
+    x as (select a.id as a, b.id as b, 64 - bit_count(xor(a.h, b.h)) as equal_bits from p a join p b on a.id < b.id and abs(a.len - b.len) <= greatest(0.3, 0.03 * greatest(a.len, b.len)))
+    select a, b, equal_bits::bigint as equal_bits from x where equal_bits >= 0.9 * 64""")
+def near_codes(spark, sf):
+    """Parts of like size whose 64-bit codes agree in nine tenths of their bits, met by bands of bits."""
+    k = F.expr("p_partkey div 4")
+    code = ((k * F.lit(2654435761)).bitwiseAND(F.lit(4294967295)) * F.lit(2147483648) + (k * F.lit(2246822519)).bitwiseAND(F.lit(2147483647))).bitwiseXOR(F.expr("shiftleft(1L, int(p_partkey * 7 % 62))"))
+    p = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 10.0).alias("len"), code.alias("h"))
+    return matching.hash_duplicates(p, "id", "len", "h").select("a", "b", F.col("equal_bits").cast("long").alias("equal_bits"))
