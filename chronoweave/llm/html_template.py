@@ -20,7 +20,7 @@ No host is gathered anywhere: tokens meet their classes by host and token, and c
 
 Defined results: null html is an empty page with empty text; a page of no host (null or odd URL) shares its template
 with all pages of no host; unclosed and misplaced tags end with the container around them; equal rows get equal texts; a
-page of any length is one row; null ids pass through; an empty table gives no row; other columns are not read.
+page of any length is one row, read in time linear in its length; null ids pass through; an empty table gives no row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import bisect
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,11 +38,12 @@ from pyspark.sql import functions as F
 
 from . import kernel, store
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|button)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: What ends, breaks off or quotes a part of a tag.
+_MARK = re.compile(r"[\"'<>]")
+#: Elements whose content is no text.
+RAW = frozenset("script style noscript template textarea svg iframe select button".split())
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WHITE = re.compile(r"[ \t\n\x0b\f\r]+")
 CONTAINERS = frozenset("html head body div section article main nav header footer aside form ul ol dl table tbody thead tfoot tr td th figure fieldset dialog menu title".split())
@@ -68,48 +70,85 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
     return label, outside, article and not outside
 
 
+def _markup(page: str) -> Iterator[tuple[str, str, str, str]]:
+    """(text before, slash, tag, attributes) of every tag, and the text after the last one with an empty tag.
+
+    It only ever goes forward: a tag ends at the first > outside quotes, and is dropped up to a < outside quotes that comes before it; a quote that nothing
+    closes is a character like others. Comments and the content of ``RAW`` elements are left out.
+    """
+    at, size = 0, len(page)
+    last = {c: page.rfind(c) for c in "\"'>"}
+    held: list[str] = []
+    while (begin := page.find("<", at)) >= 0:
+        held.append(page[at:begin])
+        at = begin + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = size if end < 0 else end + 3
+            continue
+        if page.startswith(("!", "?"), at):
+            if at > last[">"]:
+                held.append("<")
+            else:
+                at = page.find(">", at) + 1
+            continue
+        m = _TAG.match(page, at)
+        if m is None or m.end() > last[">"]:
+            held.append("<")
+            continue
+        place = m.end()
+        while (mark := _MARK.search(page, place)) is not None:
+            place = mark.end()
+            if (c := mark.group()) in "<>":
+                break
+            if place <= last[c]:
+                place = page.index(c, place) + 1
+        if mark is None or mark.group() == "<":
+            at = size if mark is None else mark.start()
+            continue
+        at = place
+        tag = m.group(2).lower()
+        if tag in RAW and not m.group(1):
+            end = _END[tag].search(page, at)
+            at = size if end is None else end.end()
+            continue
+        yield "".join(held), m.group(1), tag, page[m.end() : place - 1]
+        held = []
+    held.append(page[at:])
+    yield "".join(held), "", "", ""
+
+
 def scan(page: str) -> Iterator[tuple[str, str, bool, bool]]:
-    """(path, text, outside, article) of every opened container (text "") and every block of text."""
+    """(path, text, outside, article) of every opened container (text "") and every block of text; a path is a hash of the containers' labels. Linear in the page, whatever is left open or closed twice."""
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    opened: Counter[str] = Counter()
     held: list[str] = []
-
-    def flush():
-        text = _WHITE.sub(" ", entities.unescape("".join(held))).strip(" ") if held else ""
-        held.clear()
+    for before, slash, tag, attributes in _markup(page):
+        held.append(before)
+        if tag and tag not in BLOCKS:
+            continue
+        text = _WHITE.sub(" ", entities.unescape("".join(held))).strip(" ")
+        held = []
         if text:
             yield stack[-1][1], text, stack[-1][2], stack[-1][3]
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            held.append(page[at : m.start()])
-        at = m.end()
-        tag = m.group(3)
-        if tag is None:
-            continue
-        tag = tag.lower()
-        if tag not in BLOCKS:
-            continue
-        yield from flush()
         if tag not in CONTAINERS:
             continue
-        if m.group(2):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+        if slash:
+            while opened[tag]:
+                name = stack.pop()[0]
+                opened[name] -= 1
+                if name == tag:
                     break
-        elif not m.group(4).endswith("/"):
-            label, outside, article = _label(tag, m.group(4))
+        elif not attributes.endswith("/"):
+            label, outside, article = _label(tag, attributes)
             _, path, out, art = stack[-1]
             if tag == "header" and not art:
                 outside = True
             if article and out:
                 article = False
-            stack.append((tag, f"{path}/{label}", out or outside, art or article))
+            stack.append((tag, hashlib.blake2b(f"{path}/{label}".encode("utf-8", "surrogatepass"), digest_size=8).hexdigest(), out or outside, art or article))
+            opened[tag] += 1
             yield stack[-1][1], "", stack[-1][2], stack[-1][3]
-    if at < len(page):
-        held.append(page[at:])
-    yield from flush()
 
 
 def _id(path: str, text: str) -> int:
@@ -177,7 +216,8 @@ def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for r in range(0, len(places[c]), size[c]):
                         fits = fits and bisect.bisect(laid, places[c][r][0]) == bisect.bisect(laid, places[c][r + size[c] - 1][0])
                 if fits:
-                    laid = sorted(laid + [at for at, _ in places[c]])
+                    for at, _ in places[c]:
+                        bisect.insort(laid, at)
                 rows.append((h, c[1], _id("", repr(order)), fits, *chars.get(c, (0, 0)), *own))
         types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)

@@ -8,7 +8,7 @@ order by hashes, so that the model doesn't depend on the layout of the tables),
 
 Defined results: a null or empty text scores as a text without features; a null id is scored and counted as not held
 out; labels that are null, of another value than 0 or 1, or repeated in contradiction are ignored; repeated rows are
-learned from as often as they stand; without rows of both classes every score is the share of toxic rows (0 without any).
+learned from by their number; without rows of both classes every score is the share of toxic rows (0 without any).
 Columns beside the id and the text are not read.
 """
 
@@ -106,6 +106,8 @@ def _terms(kinds: tuple) -> tuple[np.ndarray, list[np.ndarray], list[list[int]]]
     return np.array(hashes, dtype=np.uint64), features, swaps
 
 
+#: Swaps of a row that are learned from; of more, every so many-th is.
+MAX_SWAPS = 64
 SWAPS = pa.list_(pa.struct([("lost", pa.list_(pa.int32())), ("gained", pa.list_(pa.int32()))]))
 
 
@@ -133,6 +135,7 @@ def _extract(kinds: tuple):
                         for o in others[term]:
                             new = set(features[o].tolist())
                             swaps[r].append({"lost": sorted(lost - new), "gained": sorted(x for x in new if x not in had)})
+                swaps = [own[:: -(-len(own) // MAX_SWAPS)] if own else own for own in swaps]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch[c].slice(part.first, part.rows) for c in ("o1", "o2", "label", "weight")),
@@ -146,7 +149,11 @@ def _extract(kinds: tuple):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(o1, o2, text, label, weight) of about ``max_rows`` labelled ids at most, half from each class, by a hash of the id; weight undoes the drawing, and o1, o2 (hashes of id and text) put rows in an order."""
+    """(o1, o2, text, label, weight) of ``max_rows`` rows at most: of about so many labelled ids, half from each class, by a hash of the id, each different text once.
+
+    Weight undoes the drawing and counts repeated rows; o1, o2 (hashes of id and text) put rows in an order, and the first of that order are taken where ids have
+    more texts than fit.
+    """
     truth = (
         labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("_id").isNotNull() & usable(F.col("_id")))
@@ -162,7 +169,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, usable, max_ro
     if some.count() <= 2 * max_rows:  # ids of some 20 bytes
         some = F.broadcast(some)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(some, "_id")
-    return rows.select(F.xxhash64(F.lit(78), "_id").alias("o1"), F.xxhash64("text").alias("o2"), "text", "label", "weight")
+    rows = rows.select(F.xxhash64(F.lit(78), "_id").alias("o1"), F.xxhash64("text").alias("o2"), "text", "label", "weight")
+    once = rows.groupBy("o1", "o2", "label").agg(F.first("text").alias("text"), F.sum("weight").alias("weight"))
+    return once.select("o1", "o2", "text", "label", "weight").orderBy(F.xxhash64("o1", "o2"), "o1", "o2", "label").limit(max_rows).repartition(16, "o1")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=lambda i: F.lit(True), max_rows: int = MAX_ROWS, kinds: tuple = IDENTITY_TERMS, l1: float = 5e-5, invariance: float = 5.0, steps: int = 200) -> tuple[np.ndarray, float]:

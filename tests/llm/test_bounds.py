@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.llm import html_template, licenses, store
+from chronoweave.llm import html_template, licenses, store, toxicity
 
 
 def plan(df):
@@ -59,3 +59,22 @@ def test_text_stays_where_the_template_is_empty(spark, monkeypatch):
     real = html_template.templates
     monkeypatch.setattr(html_template, "templates", lambda p: (lambda found, template: (found, template.limit(0)))(*real(p)))
     assert [r.text for r in html_template.extract(pages).orderBy("page_id").collect()] == [f"{t} Sent from our desk" for t in own]
+
+
+def test_training_rows_are_bounded(spark):
+    """Two labelled ids with 40,000 rows of 2 texts give 4 rows; ids with many texts give max_rows; a weight counts the rows."""
+    docs = spark.range(40_000).select((F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 4).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(0, 0, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = toxicity.training_rows(docs, labels, "toxic", lambda i: F.lit(True), 100).collect()
+    assert len(rows) == 4 and sum(r.weight for r in rows) == 40_000
+    many = docs.withColumn("text", F.concat("text", F.rand(1).cast("string")))
+    rows = toxicity.training_rows(many, labels, "toxic", lambda i: F.lit(True), 100).collect()
+    assert len(rows) == 100 and {r.label for r in rows} == {0, 1}
+
+
+def test_swaps_of_a_row_are_bounded(spark):
+    kinds = tuple(tuple(f"w{k}x{j}" for j in range(9)) for k in range(9))
+    docs = spark.createDataFrame([(1, " ".join(w for kind in kinds for w in kind)), (2, "w0x0 alone")], "doc_id long, text string")
+    rows = docs.select(F.lit(1).cast("long").alias("o1"), F.lit(1).cast("long").alias("o2"), F.lit(1).alias("label"), F.lit(1.0).alias("weight"), "text")
+    got = rows.mapInArrow(toxicity._extract(kinds), "o1 long, o2 long, label int, weight double, features array<int>, swaps array<struct<lost:array<int>,gained:array<int>>>").collect()
+    assert [len(r.swaps) for r in got] == [59, 8]  # every eleventh of 648
