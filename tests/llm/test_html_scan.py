@@ -27,7 +27,7 @@ def texts(page):
         ("<!no end", ["<!no end"]),
         ("<script>if (a < b) '</p>'</SCRIPT ><p>x<style>y", ["x"]),
         ("<p>&lt;b&gt; &#228;&nbsp;x", ["<b> ä\xa0x"]),
-        ("</div></ul><div>a</ul>b</div>c", ["ab", "c"]),
+        ("</div></ul><div>a</ul>b</div>c", ["a", "b", "c"]),  # a stray end tag ends a block
         ("", []),
     ],
 )
@@ -37,7 +37,7 @@ def test_texts(page, want):
 
 def test_end_tags_close_what_is_open():
     page = "<nav><ul><li>menu</nav><article><div>x</section>y</article><footer>z"
-    assert [(t, outside, article) for _, t, outside, article in html_template.scan(page) if t] == [("menu", True, False), ("x", False, True), ("y", False, True), ("z", True, False)] or texts(page) == ["menu", "xy", "z"]
+    assert [(t, outside, article) for _, t, outside, article in html_template.scan(page) if t] == [("menu", True, False), ("x", False, True), ("y", False, True), ("z", True, False)]
 
 
 @pytest.mark.parametrize("page", ["<a " * 350_000, "<div>" * 50_000 + "</ul>" * 150_000, "<div>" * 180_000, '<a "' * 250_000, "<a '\"" * 200_000, "<!-" * 300_000, "<!" * 500_000, '<a x="' * 160_000 + ">", "</div" * 200_000], ids=range(9))
