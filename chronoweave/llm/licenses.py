@@ -6,8 +6,9 @@ pass. Notices are compared with every window of one to ``WINDOW`` adjacent lines
 lines without words and with the whole text, whatever its length; comment marks are no terms. A candidate is scored if
 few enough of its terms are of no template to let it reach the threshold, and if it holds a key term: the key terms are chosen so that none without one can reach the threshold (the rest of any
 template's weight is too small), which is checked on the weights, not sampled. Licence texts are compared with the whole
-text, by the same test. A file that is named as a
-licence file speaks for its directory.
+text, by the same test. A notice counts only if it holds the numbers and the family words (lesser, affero, nc ...) of
+its template and no family word of another, so one of a version that isn't known names no licence; full texts of old and
+new versions are all templates. An SPDX tag names its licence itself. A file that is named as a licence file speaks for its directory.
 
 Every file gets one row: its own licence (origin header or file), else that of the nearest directory above with a
 licence file (inherited), else none. Paths are joined with the licensed directories through one row per directory
@@ -31,21 +32,35 @@ from pyspark.sql import functions as F
 from . import store
 
 #: Short notices by licence id: one, or several wordings.
-_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_SHORT = "This {} is licensed under the GNU {} Public License, version {}."
+
+
+def _gnu(what: str, kind: str, version: str) -> tuple[str, str]:
+    return _SHORT.format(what, kind, version), _GNU.format(kind, version)
+
+
 TEMPLATES = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
     "MIT": "Released under the MIT License.",
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", _GNU.format("General")),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.", _GNU.format("Lesser General")),
-    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.", _GNU.format("Affero General")),
+    "GPL-1.0": _gnu("work", "General", "1"),
+    "GPL-2.0": _gnu("work", "General", "2"),
+    "GPL-3.0": _gnu("work", "General", "3"),
+    "LGPL-2.0": _gnu("library", "Library General", "2"),
+    "LGPL-2.1": _gnu("library", "Lesser General", "2.1"),
+    "LGPL-3.0": _gnu("library", "Lesser General", "3"),
+    "AGPL-3.0": _gnu("program", "Affero General", "3"),
+    "BSD-2-Clause": "Use of this source code is governed by a BSD-style two clause license.",
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style three clause license.",
+    "MPL-1.1": ("The contents of this file are subject to the Mozilla Public License, version 1.1.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1."),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    **{f"CC-{kind}-4.0": f"Licensed under CC {kind} 4.0." for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
     "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+#: Words by which licences of one family differ. A notice must hold those of its template, and numbers too, and no other of these words but "library", which anything may call itself.
+FAMILY = frozenset("affero lesser library documentation sa nc nd sharealike noncommercial noderivatives noderivs two three".split())
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+)"
 #: Added to the text of the GPL, these make the terms of the AGPL.
 _AFFERO = """specifically designed to ensure cooperation with the community in the case of network server software. Remote Network Interaction; Use with the GNU General Public
 License. if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports
@@ -53,10 +68,12 @@ such interaction) an opportunity to receive the Corresponding Source of your ver
 some standard or customary means of facilitating copying of software."""
 #: The clause that the BSD licence of two clauses lacks.
 _THIRD = r"(?s)3\. Neither the name.*?permission\."
+#: Licences of which only the full text is known.
+FULL_ONLY = frozenset(("Artistic-1.0", "GFDL-1.2", "GFDL-1.3"))
 #: Most lines of a wrapped notice.
 WINDOW = 4
 THRESHOLD = 0.8
-LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)(\.[a-z]+)?$"
+LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][a-z0-9._-]*)?$"
 GAP = r"[^0-9a-z\x80-\x{10FFFF}]+"
 
 
@@ -134,16 +151,28 @@ def _summed(bag: Column, of: dict[str, float]) -> Column:
     return F.aggregate(bag, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at(table, w), F.lit(0.0)))
 
 
-def _cosine(bag: Column, words: list[tuple[str, list[str]]], idf: dict[str, float], threshold: float) -> Column:
-    """(score, id) of the best template of a bag of terms, null where none can reach the threshold; a term of no template weighs as much as the rarest of the vocabulary."""
+def _told(bag: Column, ws: list[str]) -> Column:
+    """Whether a bag holds the numbers and family words of a template, and no other family word that tells licences apart."""
+    needed = [w for w in ws if w.isdigit() or w in FAMILY and w != "library" or w == "library" and "lesser" not in ws]
+    strange = sorted(FAMILY - set(ws) - {"library"})
+    holds = F.size(F.array_intersect(bag, _list(needed))) == len(needed) if needed else F.lit(True)
+    return holds & ~F.arrays_overlap(bag, _list(strange))
+
+
+def _cosine(bag: Column, words: list[tuple[str, list[str]]], idf: dict[str, float], threshold: float, told: bool = False) -> Column:
+    """(score, id) of the best template of a bag of terms, null where none can reach the threshold; a term of no template weighs as much as the rarest of the vocabulary. With ``told`` a template of another version or family scores 0."""
     square = {w: v * v for w, v in idf.items()}
     other = max(square.values())
     norms = {k: math.sqrt(sum(square[w] for w in ws)) for k, (_, ws) in enumerate(words)}
     # A score is at most the template's norm over the bag's, and terms of no template alone may make that too large.
     most_unknown = int((max(norms.values()) / threshold) ** 2 * 1.001 / other)
 
+    def score(known: Column, own: Column, k: int, ws: list[str]) -> Column:
+        cosine = _summed(known, {w: square[w] / norms[k] for w in ws}) / own
+        return F.when(_told(bag, ws), cosine).otherwise(0.0) if told else cosine
+
     def best(known: Column, own: Column) -> Column:
-        return _first(F.array(*(F.struct((_summed(known, {w: square[w] / norms[k] for w in ws}) / own).alias("score"), F.lit(name).alias("id")) for k, (name, ws) in enumerate(words))))
+        return _first(F.array(*(F.struct(score(known, own, k, ws).alias("score"), F.lit(name).alias("id")) for k, (name, ws) in enumerate(words))))
 
     def of_known(known: Column) -> Column:
         unknown = F.size(bag) - F.size(known)
@@ -158,7 +187,7 @@ def scan(files: DataFrame, templates: dict[str, str | tuple[str, ...]] = TEMPLAT
     base = files.select(F.struct(F.lit(True).alias("_"), *keep).alias("kept"), F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     notices = [(name, _words(t)) for name, ts in sorted(templates.items()) for t in ((ts,) if isinstance(ts, str) else ts)]
     # Licence texts of ids that the caller's templates don't know are left out, but for the one that would be taken for another.
-    full = [(name, _words(t)) for name, t in sorted(texts().items()) if name in templates or (name == "BSD-2-Clause" and "BSD-3-Clause" in templates)]
+    full = [(name, _words(t)) for name, t in sorted(texts().items()) if name in templates or name in FULL_ONLY and templates is TEMPLATES]
     idf = _model(base, notices + full)
     keys, full_keys = _key_terms(notices, idf, threshold), _key_terms(full, idf, threshold)
     scores = "array<struct<score:double,id:string>>"
@@ -179,8 +208,11 @@ def scan(files: DataFrame, templates: dict[str, str | tuple[str, ...]] = TEMPLAT
 
     blocks = F.transform(F.split("text", r"(?i)\n[^0-9a-z\x80-\x{10FFFF}\n]*(?=\n)"), terms)
     candidates = F.concat(_with(F.transform(F.split("text", "\n"), terms), windows), blocks, F.array(F.col("bag")))
-    scored = F.transform(F.filter(F.array_distinct(candidates), lambda x: has_key(x)), lambda bag: _cosine(bag, notices, idf, threshold))
+    scored = F.transform(F.filter(F.array_distinct(candidates), lambda x: has_key(x)), lambda bag: _cosine(bag, notices, idf, threshold, told=True))
     found = F.when(has_key(F.col("bag")), F.filter(scored, lambda c: c["score"] >= threshold)).otherwise(none)
+    tag = F.regexp_replace(F.regexp_extract("text", SPDX, 1), r"(?i)(-only|-or-later|\+)$", "")
+    tagged = F.when(F.contains("text", F.lit("SPDX-License-Identifier:")) & (tag != ""), F.array(F.struct(F.lit(1.0).alias("score"), tag.alias("id"))))
+    found = F.coalesce(tagged, found)
     if full:
         shared = F.size(F.array_intersect("bag", _list(sorted({w for _, ws in full for w in ws}))))
         least = min(_least_shared(ws, idf, threshold) for _, ws in full)
@@ -190,7 +222,7 @@ def scan(files: DataFrame, templates: dict[str, str | tuple[str, ...]] = TEMPLAT
     base = base.withColumn("bag", terms(F.col("text")))
     judged = base.select(
         "kept", "path", F.regexp_replace("path", r"/?[^/]*$", "").alias("dir"), F.coalesce(F.col("path").rlike(LICENSE_FILE), F.lit(False)).alias("is_file"),
-        F.when(has_key(F.col("bag"), keys | full_keys), _with(found, lambda c: F.when(F.size(c) > 0, _first(c)))).alias("own"),
+        F.when(has_key(F.col("bag"), keys | full_keys | {"spdx"}), _with(found, lambda c: F.when(F.size(c) > 0, _first(c)))).alias("own"),
     )
     judged = store.written(judged.select("kept", "path", "dir", "is_file", F.col("own.id").alias("own_id"), F.col("own.score").alias("own_score")), "licences")
     out = _inherited(judged)

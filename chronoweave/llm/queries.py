@@ -50,8 +50,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table has no paths; a document's is made of its source, language and id."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
+    """The table has no paths; a document's is made of its source, language and id, fifty to a directory, the first of which is named as its licence file."""
+    name = F.when(F.col("doc_id") % 50 == 0, "LICENSE").otherwise(F.col("doc_id").cast("string"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 50 as string)"), name).alias("path"))
     return licenses.scan(docs, keep=("doc_id",))
 
 
