@@ -6,21 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: What files of an ending begin with: endings, and (place, bytes as patterns of hexadecimal digits) that must all be there; fixed values of the formats.
+HEADS = (
+    ((".mov", ".mp4", ".m4v", ".heic", ".heif", ".m4a"), ((4, "66747970|6D6F6F76|6D646174|77696465|66726565|736B6970|706E6F74"),)),
+    ((".jpg", ".jpeg"), ((0, "FFD8FF"),)),
+    ((".png",), ((0, "89504E47"),)),
+    ((".mp3",), ((0, "494433|FF[EF]"),)),
+    ((".wav",), ((0, "52494646"), (8, "57415645"))),
+    ((".flac",), ((0, "664C6143"),)),
+    ((".ogg",), ((0, "4F676753"),)),
+)
+
+
 def head_fits(head: Column, ending: Column) -> Column:
-    """Whether the first bytes of a file are what its ending (with the dot) says; unknown endings fit. The bytes are fixed values of the formats."""
-    e, hexed = F.lower(ending), F.hex(head)
-    starts = lambda text: hexed.startswith(text.hex().upper())
-    box = F.substring(hexed, 9, 8).isin(*(b.hex().upper() for b in (b"ftyp", b"moov", b"mdat", b"wide", b"free", b"skip", b"pnot")))
-    return (
-        F.when(e.isin(".mov", ".mp4", ".m4v", ".heic", ".heif", ".m4a"), box)
-        .when(e.isin(".jpg", ".jpeg"), hexed.startswith("FFD8FF"))
-        .when(e == ".png", starts(b"\x89PNG"))
-        .when(e == ".mp3", starts(b"ID3") | hexed.rlike("^FF[EF]"))
-        .when(e == ".wav", starts(b"RIFF") & (F.substring(hexed, 17, 8) == b"WAVE".hex().upper()))
-        .when(e == ".flac", starts(b"fLaC"))
-        .when(e == ".ogg", starts(b"OggS"))
-        .otherwise(F.lit(True))
-    )
+    """Whether the first bytes of a file are what its ending (with the dot) says, by ``HEADS``; unknown endings fit."""
+    found, digits = F, F.hex(head)
+    for endings, parts in HEADS:
+        pattern = "".join(f"(?=.{{{2 * place}}}({marks}))" for place, marks in parts)
+        found = found.when(F.lower(ending).isin(*endings), digits.rlike(f"^{pattern}"))
+    return found.otherwise(F.lit(True))
 
 
 #: What a page instead of a file says, by words in it, in order (fixed values).
@@ -45,8 +49,8 @@ def page_reason(text: Column) -> Column:
 
 
 def is_page(text: Column) -> Column:
-    """Whether the beginning of a text is that of a page."""
-    return F.lower(F.ltrim(F.substring(text, 1, 2048))).rlike("^(<!doctype|<html|<[?]xml|<head|<body)")
+    """Whether the beginning of a text, after any white space, is that of a page."""
+    return F.lower(F.substring(text, 1, 2048)).rlike(r"^\s*(<!doctype|<html|<[?]xml|<head|<body)")
 
 
 def capped_end(s: Column, e: Column, word: Column) -> Column:

@@ -299,9 +299,9 @@ def plan_against_cuts(spark, sf):
     return sync.compared_cuts(plan, cuts, trans, ["user_id"], "t", 600).select("user_id", "t", "state", "away")
 
 
-@query("""select page_id, case when regexp_matches(lower(html), 'quota|too many users|zu viele nutzer') then 'quota' when regexp_matches(lower(html), 'accounts[.]google[.]com|sign in|anmelden') then 'not_shared'
+@query(r"""select page_id, case when regexp_matches(lower(html), 'quota|too many users|zu viele nutzer') then 'quota' when regexp_matches(lower(html), 'accounts[.]google[.]com|sign in|anmelden') then 'not_shared'
     when regexp_matches(lower(html), 'not found|nicht gefunden|error 404') then 'unknown_id' when regexp_matches(lower(html), 'error 500|server error') then 'server_error' else 'page' end as reason,
-    starts_with(lower(html), '<!doctype') or starts_with(lower(html), '<html') as is_page, not starts_with(lower(html), '<') as png from pages""")
+    regexp_matches(lower(substr(html, 1, 2048)), '^[ \t\n\r\f\x0b]*(<!doctype|<html|<[?]xml|<head|<body)') as is_page, not starts_with(lower(html), '<') as png from pages""")
 def page_reasons(spark, sf):
     """What a page instead of a file means, and whether its head could be that of a picture."""
     p = _read(spark, sf, "pages")

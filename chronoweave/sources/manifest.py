@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import contextlib
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fields of a connector page that hold further pages (fixed values).
-WRAPPERS = ("files", "content", "text", "result")
+#: Fields of a connector page that hold further pages; what ``files`` holds comes before anything else an object says (fixed values).
+FILES, WRAPPERS = "files", ("text", "content", "result")
 FILE = "id string, name string, mime string, bytes long, parent string"
 
 
 def read_manifest(spark: SparkSession, path: str, only: list[str] | None = None) -> DataFrame:
     """Tab-separated id, name, bytes: blank lines, # comments and rows of under two fields are skipped, further fields ignored,
-    a size that is no number is null; of equal stems the last line wins. ``only`` keeps ids, names or stems in it, any case."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    a size that is no number is null; of equal stems the last line wins, in order of files by name and of lines. ``only`` keeps ids, names or stems in it, any case."""
+    place = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("ord"))
     parts = F.split("value", "\t")
     rows = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#") & (F.size(parts) >= 2)).select("ord", parts[0].alias("id"), parts[1].alias("name"), F.get(parts, F.lit(2)).try_cast("long").alias("bytes"))
     rows = rows.withColumn("stem", F.regexp_replace("name", r"\.[^.]*$", ""))
@@ -29,13 +31,42 @@ def read_manifest(spark: SparkSession, path: str, only: list[str] | None = None)
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def write_manifest(files: DataFrame, path: str) -> None:
-    """Sorted by name, one file, no header."""
-    files.select("id", "name", "bytes").repartitionByRange(1, "name").sortWithinPartitions("name").write.mode("overwrite").csv(path, sep="\t")
+def replaced(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Put what ``write`` writes to the folder it is given in place of ``path``. It writes beside; only when it is done is the old folder renamed, the new one renamed to ``path``, and the old one deleted, so a failed job leaves the old folder as it was."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    new, old = (f"{path.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(new)
+    except BaseException:
+        fs.delete(fs_path(new), True)
+        raise
+    had = fs.exists(fs_path(path))
+    if had and not fs.rename(fs_path(path), fs_path(old)):
+        raise OSError(f"cannot rename {path}")
+    if not fs.rename(fs_path(new), fs_path(path)):
+        if had:
+            fs.rename(fs_path(old), fs_path(path))
+        raise OSError(f"cannot rename {new}")
+    if had:
+        fs.delete(fs_path(old), True)
+
+
+def write_manifest(files: DataFrame, path: str, parts: int = 1) -> None:
+    """Lines that ``read_manifest`` reads back as they were, sorted by name and id over ``parts`` files, in place of what the folder held.
+
+    A size may be null. An id or name that no line can hold is an error: null or empty, with a tab or line end, an id that begins as a comment does.
+    """
+    name, i = F.col("name"), F.col("id").cast("string")
+    bad = name.isNull() | i.isNull() | (F.trim(i) == "") | (name == "") | F.concat(i, name).rlike("[\t\n\r]") | F.ltrim(i).startswith("#")
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("no manifest line can hold "), F.coalesce(i, F.lit("null")), F.lit(" "), F.coalesce(name, F.lit("null"))))).otherwise(F.concat_ws("\t", i, name, F.col("bytes").cast("string")))
+    rows = files.select(F.col("name").alias("_n"), i.alias("_i"), checked.alias("value"))
+    rows = rows.repartitionByRange(parts, "_n", "_i").sortWithinPartitions("_n", "_i").select("value")
+    replaced(files.sparkSession, path, lambda new: rows.write.text(new))
 
 
 def _files_of(page: str) -> list[dict]:
-    """File objects of a connector page, in reading order: objects with an id and a title or name, wherever lists, wrappers or JSON inside text blocks hold them. Works off a list of what is still to be looked at, so any depth will do."""
+    """File objects of a connector page, in reading order: what ``files`` holds, else objects with an id and a title or name, wherever lists, wrappers or JSON inside text blocks hold them. Works off a list of what is still to be looked at, so any depth will do."""
     files, ahead = [], [page]
     while ahead:
         item = ahead.pop()
@@ -45,6 +76,8 @@ def _files_of(page: str) -> list[dict]:
                 ahead += [inner] if isinstance(inner, dict | list) else []
         elif isinstance(item, list):
             ahead += item[::-1]
+        elif isinstance(item, dict) and FILES in item:
+            ahead.append(item[FILES])
         elif isinstance(item, dict) and "id" in item and (item.keys() & {"title", "name"}):
             files.append(item)
         elif isinstance(item, dict):
@@ -67,9 +100,9 @@ def connector_files(pages: DataFrame, column: str = "value") -> DataFrame:
     return pages.select(column).mapInPandas(run, FILE)
 
 
-def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON documents of a folder with a fixed schema; damaged ones are left out."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+def read_documents(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """JSON documents of a folder with a fixed schema, one a file, or one a line as ``write_documents`` writes them; damaged ones are left out."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "DROPMALFORMED").json(path)
 
 
 def words(transcripts: DataFrame) -> DataFrame:
@@ -149,8 +182,8 @@ def file_set(found: DataFrame, only: str = "") -> DataFrame:
 
 
 def write_documents(df: DataFrame, path: str) -> None:
-    """JSON documents in place of what the folder held; Spark's committer shows them only once all are written."""
-    df.write.mode("overwrite").json(path)
+    """JSON documents in place of what the folder held, which stays as it was if the job fails."""
+    replaced(df.sparkSession, path, lambda new: df.write.json(new))
 
 
 def sync_plan(own: DataFrame, copy: DataFrame, ignored: list[str], most_bytes: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronoweave.functions import files
@@ -20,6 +21,33 @@ def test_manifest_round_trip(spark, tmp_path):
     assert text.splitlines() == ["y\ta\t1", "x\tb\t2"]
 
 
+def test_manifest_is_exact(spark, tmp_path):
+    """Quotes, spaces and backslashes come back as they were, over any number of files; of equal stems the last by name wins."""
+    rows = [("1", '7" clip.mp4', 5), ("2", " lead.mp4", None), ("3", "tail .mov", 7), ("4", "a\\b,c;'d'.mov", 8), (" 5 ", "é~.mp4", 9), ("6", "x.mov", 1), ("7", "x.mp4", 2), ("8", "no ending", 3)]
+    df = spark.createDataFrame(rows, "id string, name string, bytes long")
+    for parts in (1, 3):
+        manifest.write_manifest(df, str(tmp_path / "m"), parts)
+        got = {(r.id, r.name, r.bytes) for r in manifest.read_manifest(spark, str(tmp_path / "m")).collect()}
+        assert got == set(rows) - {("6", "x.mov", 1)}
+    for bad in ((None, "a", 1), ("1", None, 1), ("1", "a\tb", 1), ("1", "a\nb", 1), ("# 1", "a", 1), ("", "a", 1)):
+        with pytest.raises(Exception, match="no manifest line"):
+            manifest.write_manifest(spark.createDataFrame([bad], "id string, name string, bytes long"), str(tmp_path / "m"))
+    assert manifest.read_manifest(spark, str(tmp_path / "m")).count() == 7  # a failed job leaves what was there
+    assert [p.name for p in tmp_path.iterdir()] == ["m"]
+
+
+def test_files_before_all_else(spark):
+    pages = [{"id": "p", "name": "page", "files": [{"id": "1", "name": "a"}, {"id": "2", "title": "b", "files": []}]}, {"content": [{"id": "4", "name": "d"}], "text": json.dumps([{"id": "3", "name": "c"}])}]
+    got = [(r.id, r.name) for r in manifest.connector_files(spark.createDataFrame([(json.dumps(p),) for p in pages], "value string").coalesce(1)).collect()]
+    assert got == [("1", "a"), ("3", "c"), ("4", "d")]
+
+
+def test_pages_after_white_space(spark):
+    texts = ["<!DOCTYPE html>", "\n\n<!doctype html>", "\t<head>", " \r\n<?xml", "\x0b\x0c<BODY", "x<html", "", "<p>", " " * 3000 + "<html>"]
+    got = [r.p for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(files.is_page(F.col("t")).alias("p")).collect()]
+    assert got == [True, True, True, True, True, False, False, False, False]
+
+
 def test_connector_pages(spark):
     one = {"files": [{"id": 1, "title": "a.mov", "mimeType": "video/quicktime", "fileSize": "12"}, [{"id": "2", "name": "b", "fileSize": "?"}]]}
     two = [{"content": [{"text": json.dumps({"result": {"files": [{"id": "3", "title": "c"}]}})}, {"text": "no json"}]}, 5, None, "12"]
