@@ -9,17 +9,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators import quantiles
+
 
 def series_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """n, least, greatest, exact median and 90th percentile (linear interpolation), mean and population deviation."""
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.percentile(v, 0.5).alias("p50"), F.percentile(v, 0.9).alias("p90"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"))
+    plain = df.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("least"), F.max(v).alias("greatest"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("deviation"))
+    ranks = quantiles.quantiles(df, keys, value, {"p50": 0.5, "p90": 0.9})
+    return quantiles.equal_join(plain, ranks, keys).select(*keys, "n", "least", "greatest", "p50", "p90", "mean", "deviation")
 
 
 def robust(df: DataFrame, keys: list[str], value: str, factor: float = 1.4826) -> DataFrame:
-    """Median and scaled median absolute deviation, in two passes."""
-    centre = df.groupBy(*keys).agg(F.median(value).alias("centre"))
-    return df.join(centre, keys).groupBy(*keys, "centre").agg((factor * F.median(F.abs(F.col(value) - F.col("centre")))).alias("spread"))
+    """centre (median) and spread (scaled median absolute deviation), in two passes."""
+    return quantiles.robust(df, keys, value, factor)
 
 
 def fit_line(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 2, limit: float = 2.5) -> DataFrame:
