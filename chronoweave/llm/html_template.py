@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from . import kernel, store
 
 _TAG = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A tag with neither < nor > in its quotes, which most tags are.
+_PLAIN = re.compile(r"""(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>"']++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 #: What ends, breaks off or quotes a part of a tag.
 _MARK = re.compile(r"[\"'<>]")
 #: Elements whose content is no text.
@@ -71,7 +73,7 @@ def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
 
 
 def _markup(page: str) -> Iterator[tuple[str, str, str, str]]:
-    """(text before, slash, tag, attributes) of every tag, and the text after the last one with an empty tag.
+    """(text before, slash, tag, attributes) of every tag of ``BLOCKS``, and the text after the last one with an empty tag.
 
     It only ever goes forward: a tag ends at the first > outside quotes, and is dropped up to a < outside quotes that comes before it; a quote that nothing
     closes is a character like others. Comments and the content of ``RAW`` elements are left out.
@@ -80,40 +82,45 @@ def _markup(page: str) -> Iterator[tuple[str, str, str, str]]:
     last = {c: page.rfind(c) for c in "\"'>"}
     held: list[str] = []
     while (begin := page.find("<", at)) >= 0:
-        held.append(page[at:begin])
+        if begin > at:
+            held.append(page[at:begin])
         at = begin + 1
-        if page.startswith("!--", at):
-            end = page.find("-->", at + 3)
-            at = size if end < 0 else end + 3
-            continue
-        if page.startswith(("!", "?"), at):
-            if at > last[">"]:
+        if m := _PLAIN.match(page, at):
+            slash, tag, attributes = m.groups()
+            at = m.end()
+        else:
+            if page.startswith("!--", at):
+                end = page.find("-->", at + 3)
+                at = size if end < 0 else end + 3
+                continue
+            if page.startswith(("!", "?"), at):
+                if at > last[">"]:
+                    held.append("<")
+                else:
+                    at = page.find(">", at) + 1
+                continue
+            m = _TAG.match(page, at)
+            if m is None or m.end() > last[">"]:
                 held.append("<")
-            else:
-                at = page.find(">", at) + 1
-            continue
-        m = _TAG.match(page, at)
-        if m is None or m.end() > last[">"]:
-            held.append("<")
-            continue
-        place = m.end()
-        while (mark := _MARK.search(page, place)) is not None:
-            place = mark.end()
-            if (c := mark.group()) in "<>":
-                break
-            if place <= last[c]:
-                place = page.index(c, place) + 1
-        if mark is None or mark.group() == "<":
-            at = size if mark is None else mark.start()
-            continue
-        at = place
-        tag = m.group(2).lower()
-        if tag in RAW and not m.group(1):
+                continue
+            place = m.end()
+            while (mark := _MARK.search(page, place)) is not None:
+                place = mark.end()
+                if (c := mark.group()) in "<>":
+                    break
+                if place <= last[c]:
+                    place = page.index(c, place) + 1
+            if mark is None or mark.group() == "<":
+                at = size if mark is None else mark.start()
+                continue
+            slash, tag, attributes, at = m.group(1), m.group(2), page[m.end() : place - 1], place
+        tag = tag.lower()
+        if tag in RAW and not slash:
             end = _END[tag].search(page, at)
             at = size if end is None else end.end()
-            continue
-        yield "".join(held), m.group(1), tag, page[m.end() : place - 1]
-        held = []
+        elif tag in BLOCKS:
+            yield "".join(held), slash, tag, attributes
+            held = []
     held.append(page[at:])
     yield "".join(held), "", "", ""
 
@@ -122,14 +129,8 @@ def scan(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(path, text, outside, article) of every opened container (text "") and every block of text; a path is a hash of the containers' labels. Linear in the page, whatever is left open or closed twice."""
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
     opened: Counter[str] = Counter()
-    held: list[str] = []
     for before, slash, tag, attributes in _markup(page):
-        held.append(before)
-        if tag and tag not in BLOCKS:
-            continue
-        text = _WHITE.sub(" ", entities.unescape("".join(held))).strip(" ")
-        held = []
-        if text:
+        if before and (text := _WHITE.sub(" ", entities.unescape(before)).strip(" ")):
             yield stack[-1][1], text, stack[-1][2], stack[-1][3]
         if tag not in CONTAINERS:
             continue
