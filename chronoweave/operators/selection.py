@@ -204,27 +204,38 @@ def word_groups(df: DataFrame, keys: list[str], order: list[str], word: str, wid
     return back.withColumn(name, starts - 1).drop("_binding", "_hard", "_inner", "_last", "_first")
 
 
-def assigned_once(slots: DataFrame, pool: DataFrame, keys: list[str], slot_order: list[str], fits: Column, order: list[Column], slot: str, clip: str) -> DataFrame:
-    """Each slot's clip: keys, slot, clip. Slots of a key choose one after the other; each takes the first clip, by ``order``, that ``fits`` and that none before took; null without any.
+def assigned_once(slots: DataFrame, pool: DataFrame, keys: list[str], slot_order: list[str], order: list[Column], slot: str, clip: str, kind: str) -> DataFrame:
+    """Each slot's clip: keys, slot, clip. Slots of a key choose one after the other; each takes the first clip, by ``order``, of its kind that none before took; null without any.
 
-    Slots (a unique number within their keys) and clips are joined by their keys and ranked as rows. A slot needs no more
-    candidates than its keys have slots, as those before it take one each; that bounds what the scan reads and carries.
+    ``kind`` is a column of both: a slot has one kind, and the pool a row for every kind that a clip fits. Clips of a kind are ranked once, and a slot moves a pointer over them, so what is read
+    is slots and clips, never their pairs. A kind needs no more clips than its key has slots, as each of those takes one at most; that bounds what the scan carries. Slots are told apart by ``slot`` within their keys;
+    null keys and kinds are keys and kinds of their own.
     """
     own = list(dict.fromkeys([*slot_order, slot]))
     n = slots.groupBy(*keys).agg(F.count("*").alias("_slots"))
-    pairs = slots.join(n, keys).join(pool, keys).where(fits)
-    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, slot).orderBy(*order))).where("_rank <= _slots")
-    wanted = F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.col(clip).alias("c")))), lambda x: x["c"].cast("string"))
-    rows = slots.select(*keys, *own).join(ranked.groupBy(*keys, slot).agg(wanted.alias("_wanted")), [*keys, slot], "left")
-
-    def step(taken: set | None, wanted):
-        taken = taken if taken is not None else set()
-        choice = next((c for c in wanted or () if c not in taken), None)
+    at = F.row_number().over(Window.partitionBy(*keys, kind).orderBy(*order))
+    ranked = pool.select(*keys, F.col(kind).alias("_kind"), F.col(clip).cast("string").alias("_clip"), at.alias("_rank"))
+    held = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    sized = ranked.join(n.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_slots"), held).where("_rank <= _slots").select(*keys, "_kind", "_clip", "_rank")
+    rows = slots.select(*keys, F.col(kind).alias("_kind"), *own).withColumn("_is_slot", F.lit(True))
+    both = rows.unionByName(sized.withColumn("_is_slot", F.lit(False)), allowMissingColumns=True)
+
+    def step(state: tuple | None, is_slot, kind_, clip_):
+        lists, places, taken = state or ({}, {}, set())
+        if not is_slot:
+            lists.setdefault(kind_, []).append(clip_)
+            return (lists, places, taken), (None,)
+        wanted, place = lists.get(kind_, ()), places.get(kind_, 0)
+        while place < len(wanted) and wanted[place] in taken:
+            place += 1
+        choice = wanted[place] if place < len(wanted) else None
         if choice is not None:
             taken.add(choice)
-        return taken, (choice,)
+        places[kind_] = place
+        return (lists, places, taken), (choice,)
 
-    return scan(rows, keys, slot_order, ["_wanted"], f"{clip} string", step).select(*keys, slot, clip)
+    out = scan(both, keys, ["_is_slot", *slot_order, "_kind", "_rank"], ["_is_slot", "_kind", "_clip"], f"`{clip}` string", step)
+    return out.where("_is_slot").select(*keys, slot, clip)
 
 
 def spread_choice(df: DataFrame, keys: list[str], part: str, order: list[Column], at: str, clip: str, cap: int, spacing: float) -> DataFrame:

@@ -91,10 +91,19 @@ def test_word_groups_are_the_cheapest_of_all(spark, small_batches):
 
 
 def test_assigned_once(spark):
-    slots = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 1)], "el int, slot int")
-    pool = spark.createDataFrame([(1, "a", 9), (1, "b", 5), (1, "c", 1)], "el int, clip string, score int")
-    got = {(r.el, r.slot): r.clip for r in selection.assigned_once(slots, pool, ["el"], ["slot"], (F.col("clip") != "b") | (F.col("slot") > 2), [F.desc("score")], "slot", "clip").collect()}
-    assert got == {(1, 1): "a", (1, 2): "c", (1, 3): "b", (2, 1): None}
+    """Against slots that look through all clips in turn; clips fit several kinds, keys and kinds may be null."""
+    rng = random.Random(12)
+    slots = [(el, k, rng.choice(["x", "y", None])) for el in [None, *range(20)] for k in range(rng.randint(1, 12))]
+    pool = [(el, f"c{k}", rng.randint(0, 5), kind) for el in [None, *range(19)] for k in range(rng.randint(0, 15)) for kind in rng.sample(["x", "y", "z", None], rng.randint(1, 3))]
+    got = {(r.el, r.slot): r.clip for r in selection.assigned_once(spark.createDataFrame(slots, "el int, slot int, kind string").repartition(3), spark.createDataFrame(pool, "el int, clip string, score int, kind string").repartition(3), ["el"], ["slot"], [F.desc("score"), F.col("clip")], "slot", "clip", "kind").collect()}
+    want, taken = {}, set()
+    for el, k, kind in slots:
+        free = sorted((-score, c) for e, c, score, own in pool if e == el and own == kind and (el, c) not in taken)
+        want[el, k] = free[0][1] if free else None
+        taken.add((el, want[el, k]))
+    assert got == want and None in want.values()
+    none = spark.createDataFrame([], "el int, slot int, kind string")
+    assert selection.assigned_once(none, spark.createDataFrame([], "el int, clip string, score int, kind string"), ["el"], ["slot"], [F.col("clip")], "slot", "clip", "kind").count() == 0
 
 
 def test_scans_of_empty_tables(spark):
