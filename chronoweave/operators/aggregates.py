@@ -6,10 +6,11 @@ empty table gives no groups.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators import quantiles
+from chronoweave.operators import quantiles, slopes
 
 
 def series_stats(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -39,14 +40,31 @@ def fit_line(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 2, li
     return rows
 
 
-def theil_sen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Median slope over pairs of points of different x, by key. For small groups: pairs are made within a key."""
-    a, b = df.select(*keys, F.col(x).alias("xa"), F.col(y).alias("ya")), df.select(*keys, F.col(x).alias("xb"), F.col(y).alias("yb"))
-    return a.join(b, keys).where("xa < xb").groupBy(*keys).agg(F.median(F.expr("(yb - ya) / (xb - xa)")).alias("slope"), F.count("*").alias("pairs"))
+#: Points of a key up to which its pairs are joined.
+FEW_POINTS = 64
+
+
+def theil_sen(df: DataFrame, keys: list[str], x: str, y: str, few: int = FEW_POINTS) -> DataFrame:
+    """Median slope over pairs of points of different x, and the number of pairs, by key (keys aren't null). Pairs of keys of ``few`` points are joined; of a larger key no pair is made but the few whose slopes may be the median (``slopes``), from its points in one task, 16 bytes each."""
+    points = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
+    n = points.groupBy(*keys).agg(F.count("*").alias("_n"))
+    sized = points.join(n, keys)
+    a, b = (sized.where(F.col("_n") <= few).select(*keys, F.col("_x").alias(f"x{s}"), F.col("_y").alias(f"y{s}")) for s in "ab")
+    small = a.join(b, keys).where("xa < xb").groupBy(*keys).agg(F.median(F.expr("(yb - ya) / (xb - xa)")).alias("slope"), F.count("*").alias("pairs"))
+    kinds = dict(df.dtypes)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        # The order of rows must not change which pairs are drawn.
+        part = part.sort_values(["_x", "_y"])
+        slope, pairs = slopes.median_slope(part["_x"].to_numpy(), part["_y"].to_numpy())
+        return part[keys].head(1).assign(slope=slope, pairs=pairs) if pairs else part[keys].head(0).assign(slope=0.0, pairs=0)
+
+    large = sized.where(F.col("_n") > few).drop("_n").groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "slope double", "pairs long"]))
+    return small.unionByName(large)
 
 
 def robust_line(df: DataFrame, keys: list[str], x: str, y: str, spreads: float = 3.0, least: float = 1e-3) -> DataFrame:
-    """slope, intercept, error (of the slope) and n of a least-squares line through the points within ``spreads`` scaled median deviations (``least`` at least) of the line of median slope and median rest. For small groups, as ``theil_sen``."""
+    """slope, intercept, error (of the slope) and n of a least-squares line through the points within ``spreads`` scaled median deviations (``least`` at least) of the line of median slope and median rest."""
     slope = theil_sen(df, keys, x, y).select(*keys, F.col("slope").alias("_s"))
     rest = df.join(slope, keys).withColumn("_e", F.col(y) - F.col("_s") * F.col(x))
     centre = rest.groupBy(*keys).agg(F.median("_e").alias("_i"))
