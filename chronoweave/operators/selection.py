@@ -11,6 +11,7 @@ what it does with it. Ties in the order are for the caller to end with a unique
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -130,6 +131,60 @@ def followed(df: DataFrame, keys: list[str], order: list[str], target: str, dead
     return scan(df, keys, order, [target], f"{name} double", step)
 
 
+#: Share of the window that the subject may move in, window widths a second, seconds that the window looks ahead, of the running median and of the smoothing's deviation.
+DEAD_SHARE, SPEED, AHEAD, MEDIAN_SECONDS, SMOOTH = 0.15, 0.5, 0.4, 0.8, 0.3
+
+
+def _around(value: str, keys: list[str], order: list[str], reach: int) -> Column:
+    """The values of ``reach`` rows to each side and of the row, with the first and last value of the key repeated beyond its ends."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    near = w.rowsBetween(-reach, reach)
+    ends = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.row_number().over(w) - 1
+    after = F.count(F.lit(1)).over(ends) - 1 - before
+    pad = lambda v, have: F.array_repeat(v, F.greatest(F.lit(0), F.lit(reach) - have).cast("int"))
+    return F.concat(pad(F.first(value).over(ends), before), F.collect_list(value).over(near), pad(F.last(value).over(ends), after))
+
+
+def filled(df: DataFrame, keys: list[str], t: str, value: str, default: Column, name: str = "filled") -> DataFrame:
+    """Rows with the value, linear in ``t`` between known ones, the nearest known one beyond them, and ``default`` where a key has none."""
+    w = Window.partitionBy(*keys).orderBy(t)
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v")))
+    rows = df.withColumn("_b", F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    between = F.when(F.col("_a.t") > F.col("_b.t"), F.col("_b.v") + (F.col("_a.v") - F.col("_b.v")) * (F.col(t) - F.col("_b.t")) / (F.col("_a.t") - F.col("_b.t"))).otherwise(F.col("_b.v"))
+    return rows.withColumn(name, F.coalesce(between, F.col("_b.v"), F.col("_a.v"), default)).drop("_a", "_b")
+
+
+def running_median(df: DataFrame, keys: list[str], order: list[str], value: str, size: int, name: str = "median") -> DataFrame:
+    """Rows with the median of the ``size`` (odd) rows around each, the ends repeated."""
+    return df.withColumn(name, F.element_at(F.array_sort(_around(value, keys, order, size // 2)), size // 2 + 1))
+
+
+def smoothed(df: DataFrame, keys: list[str], order: list[str], value: str, deviation: float, name: str = "smooth") -> DataFrame:
+    """Rows with the mean of the rows around each by a bell curve of so many rows' deviation, cut off at four of them, the ends repeated."""
+    reach = int(4 * deviation + 0.5)
+    weights = [math.exp(-0.5 * (k / deviation) ** 2) for k in range(-reach, reach + 1)]
+    weights = F.array(*(F.lit(x / sum(weights)) for x in weights))
+    return df.withColumn(name, F.aggregate(F.zip_with(_around(value, keys, order, reach), weights, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x))
+
+
+def reframed(df: DataFrame, keys: list[str], t: str, target: str, fps: float, width: float, window: float, dead: float = DEAD_SHARE, speed: float = SPEED, ahead: float = AHEAD, smooth: float = SMOOTH, name: str = "position") -> DataFrame:
+    """Rows, one a frame in order of ``t`` (not null, unique in its key), with the place of a window of ``window`` in a picture of ``width`` that follows the targets (null where nothing is seen).
+
+    Gaps are bridged (the middle of the picture where a key has no target), outliers taken out by a running median, and the window looks ahead; it then rests while the target
+    is near, goes after it at a bounded speed, and its way is smoothed.
+    """
+    rows = filled(df, keys, t, target, F.lit((width - window) / 2.0), "_z")
+    rows = running_median(rows, keys, [t], "_z", max(3, int(fps * MEDIAN_SECONDS) | 1), "_m")
+    lead = round(ahead * fps)
+    w = Window.partitionBy(*keys).orderBy(t)
+    last = F.last("_m").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.withColumn("_l", F.coalesce(F.lead("_m", lead).over(w), last) if lead else F.col("_m"))
+    rows = followed(rows, keys, [t], "_l", dead * window, speed * window / fps, "_p")
+    rows = smoothed(rows, keys, [t], "_p", smooth * fps, "_s")
+    return rows.withColumn(name, F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(float(width - window)))).drop("_z", "_m", "_l", "_p", "_s")
+
+
 def label_path(df: DataFrame, keys: list[str], order: list[str], scores: str, penalty: float, name: str = "label") -> DataFrame:
     """The label (place in the array ``scores``) of every row that makes the sum of scores less ``penalty`` per change of label largest. On ties a label is kept rather than changed, and the first label wins.
 

@@ -36,6 +36,23 @@ def dead_zone_follow(spark, sf):
     return selection.followed(e, ["user_id"], ["t"], "value", 20.0, 15.0).select("event_id", F.round("position", 6).alias("position"))
 
 
+@query(f"""with recursive {_N}, z0 as (select *, i / 5.0::double as tt, case when event_type <> 'error' then value end as x from n),
+    z1 as (select *, max(case when x is not null then i end) over (partition by user_id order by i) as b, min(case when x is not null then i end) over (partition by user_id order by i rows between current row and unbounded following) as a from z0),
+    z2 as (select z1.*, coalesce(case when z1.a > z1.b then p.x + (q.x - p.x) * (z1.tt - p.tt) / (q.tt - p.tt) else p.x end, p.x, q.x, 200.0) as z from z1 left join z0 p on p.user_id = z1.user_id and p.i = z1.b left join z0 q on q.user_id = z1.user_id and q.i = z1.a),
+    l as (select user_id, max(i) as last_ from n group by user_id),
+    m as (select o.user_id, o.i, o.event_id, median(y.z) as m from z2 o join l using (user_id) cross join (select unnest(range(-2, 3)) as d) k join z2 y on y.user_id = o.user_id and y.i = least(greatest(o.i + d, 0), last_) group by all),
+    f as (select m.user_id, m.i, m.event_id, y.m as aim from m join l using (user_id) join m y on y.user_id = m.user_id and y.i = least(m.i + 2, last_)),
+    r as (select user_id, i, event_id, aim as p from f where i = 0
+      union all select f.user_id, f.i, f.event_id, r.p + sign(f.aim - r.p) * least(10.0::double, greatest(0.0::double, abs(f.aim - r.p) - 15)) from r join f on f.user_id = r.user_id and f.i = r.i + 1),
+    w as (select unnest(range(-6, 7)) as d), ww as (select d, exp(-0.5 * pow(d / 1.5, 2)) / (select sum(exp(-0.5 * pow(d / 1.5, 2))) from w) as g from w),
+    s as (select r.event_id, sum(y.p * g) as s from r join l using (user_id) cross join ww join r y on y.user_id = r.user_id and y.i = least(greatest(r.i + d, 0), last_) group by r.event_id)
+    select event_id, round(least(greatest(s, 0.0), 400.0), 6) as position from s""")
+def reframed_window(spark, sf):
+    """Gaps bridged, running median, look-ahead, the recurrence and smoothing; errors are frames without a target."""
+    e = _samples(spark, sf).select("user_id", "event_id", (F.col("i") / 5.0).alias("t"), F.when(F.col("event_type") != "error", F.col("value")).alias("x"))
+    return selection.reframed(e, ["user_id"], "t", "x", fps=5.0, width=500, window=100).select("event_id", F.round("position", 6).alias("position"))
+
+
 @query(f"""with recursive {_N}, m as (select *, -abs(v - 2000) as x0, -abs(v - 20000) as x1 from n),
     f(user_id, i, event_id, s0, s1, c0, c1) as (select user_id, i, event_id, x0, x1, 0, 1 from m where i = 0
       union all select m.user_id, m.i, m.event_id, case when f.s0 >= f.s1 - 6000 then f.s0 else f.s1 - 6000 end + x0, case when f.s1 >= f.s0 - 6000 then f.s1 else f.s0 - 6000 end + x1,

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,53 @@ def test_word_groups_are_the_cheapest_of_all(spark, small_batches):
         assert got[g][0] == 0 and abs(price(ws, got[g]) - min(price(ws, w) for w in ways)) < 1e-6, (ws, got[g])
 
 
+def plain_reframed(ts, targets, fps, width, window):
+    """Frame by frame, with lists that repeat their ends."""
+    known = [(t, z) for t, z in zip(ts, targets) if z is not None]
+    if not known:
+        z = [(width - window) / 2] * len(ts)
+    else:
+        z = np.interp(ts, *zip(*known)).tolist()
+
+    def near(values, k, reach):
+        return [values[min(max(j, 0), len(values) - 1)] for j in range(k - reach, k + reach + 1)]
+
+    h = max(3, int(fps * 0.8) | 1) // 2
+    m = [sorted(near(z, k, h))[h] for k in range(len(z))]
+    lead = round(0.4 * fps)
+    aim = [m[min(k + lead, len(m) - 1)] for k in range(len(m))]
+    p, out = aim[0], []
+    for a in aim:
+        d = a - p
+        if abs(d) > 0.15 * window:
+            p += (1 if d > 0 else -1) * min(abs(d) - 0.15 * window, 0.5 * window / fps)
+        out.append(p)
+    r = int(4 * 0.3 * fps + 0.5)
+    bell = np.exp(-0.5 * (np.arange(-r, r + 1) / (0.3 * fps)) ** 2)
+    bell /= bell.sum()
+    return [min(max(float(np.dot(near(out, k, r), bell)), 0.0), width - window) for k in range(len(out))]
+
+
+def test_reframed(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for clip in range(12):
+        n = int(rng.integers(1, 120))
+        ts = np.cumsum(rng.choice([0.1, 0.1, 0.1, 0.3], n)).tolist()
+        level = np.repeat(rng.uniform(0, 600, 1 + n // 20), 20)[:n] + rng.normal(size=n) * 40
+        targets = [None if clip == 3 or rng.random() < 0.3 else float(min(max(x, 0), 640)) for x in level]
+        want[clip] = plain_reframed(ts, targets, 10.0, 1000, 360)
+        rows += [(clip, t, z, None) for t, z in zip(ts, targets)]
+    df = spark.createDataFrame(rows, "clip int, t double, x double, filled double").repartition(4)
+    got = {}
+    for r in selection.reframed(df, ["clip"], "t", "x", 10.0, 1000, 360).orderBy("t").collect():
+        got.setdefault(r.clip, []).append(r.position)
+    assert set(got) == set(want)
+    for clip, places in want.items():
+        assert got[clip] == pytest.approx(places, abs=1e-9), clip
+    assert selection.reframed(df.limit(0), ["clip"], "t", "x", 10.0, 1000, 360).count() == 0
+
+
 def test_assigned_once(spark):
     """Against slots that look through all clips in turn; clips fit several kinds, keys and kinds may be null."""
     rng = random.Random(12)
