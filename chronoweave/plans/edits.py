@@ -302,7 +302,43 @@ def cut_findings(spark, sf):
     s = _read(spark, sf, "supplier")
     t = s.select((v % 60).alias("clip"), (v % 45).cast("double").alias("start"), ((v % 45).cast("double") + 1.5 + v % 4).alias("end"), ((v % 45) + F.lit(0.5)).alias("core_start"), ((v % 45).cast("double") + 1.3 + v % 4).alias("core_end"))
     b = t.groupBy("clip").agg((F.min("start") + 20).alias("start"), (F.min("start") + 23.0).alias("end"))
-    return _found(edits.cut_findings(_shot_spans(spark, sf), t, b, 5))
+    return _found(edits.cut_findings(_shot_spans(spark, sf), t, b, 5, depth=0.15, longest=4.0, most_unclean=0.15))
+
+
+_MEASURED = """t as (select s_suppkey % 60 as clip, (s_suppkey % 45)::double as a, (s_suppkey % 45)::double + 1.5 + s_suppkey % 4 as z, (s_suppkey % 45) + 0.5::double as c, (s_suppkey % 45)::double + 1.3 + s_suppkey % 4 as d from supplier),
+    b as (select clip, min(a) + 20 as a, min(a) + 23.0 as z from t group by clip), g as (select clip, min(a) - clip % 3 as low, max(z) + clip % 3 as high from t group by clip), k as (select t.* from t join g using (clip) where z - a <= 2.5 and a > low + 0.05 and z < high - 0.05)"""
+
+
+def _measured(spark, sf):
+    v, s = F.col("s_suppkey"), _read(spark, sf, "supplier")
+    t = s.select((v % 60).alias("clip"), (v % 45).cast("double").alias("start"), ((v % 45).cast("double") + 1.5 + v % 4).alias("end"), ((v % 45) + F.lit(0.5)).alias("core_start"), ((v % 45).cast("double") + 1.3 + v % 4).alias("core_end"))
+    b = t.groupBy("clip").agg((F.min("start") + 20).alias("start"), (F.min("start") + 23.0).alias("end"))
+    return t, b, t.groupBy("clip").agg((F.min("start") - F.col("clip") % 3).alias("low"), (F.max("end") + F.col("clip") % 3).alias("high"))
+
+
+@query(f"""with {_SHOT_SPANS}, {_MEASURED} select 'run_up_missing' as rule, el || '/' || n as subject, count(*)::varchar as detail from h join k on h.clip = k.clip and h.a > c + 0.1 and h.a < d - 0.1 group by el, n
+    union all select 'landing_missing', el || '/' || n, count(*)::varchar from h join k on h.clip = k.clip and h.z > c + 0.1 and h.z < d - 0.1 group by el, n""")
+def cut_findings_in_range(spark, sf):
+    """V2: findings of run-up and landing, without actions at the edge of what was measured."""
+    t, b, g = _measured(spark, sf)
+    return _found(edits.cut_findings(_shot_spans(spark, sf), t, b, 5, ranges=g)[:2])
+
+
+@query(f"""with {_SHOT_SPANS}, {_MEASURED}, o as (select distinct h.clip, h.a as s0, h.z - h.a as len, g.low, g.high from h join g on h.clip = g.clip where h.z - h.a <= high - low + 1e-6),
+    f as (select *, greatest(low, s0 - 2) as f, least(high - len, s0 + 2) + 1e-6 as l from o), p as (select clip, s0, len, f + unnest(range(0, ceil((l - f) / 0.25)::int)) * 0.25 as s from f where l > f), q as (select *, s + len as e from p),
+    u as (select q.*, (select count(*) from k where k.clip = q.clip and q.s > c + 0.1 and q.s < d - 0.1) + (select count(*) from k where k.clip = q.clip and q.e > c + 0.1 and q.e < d - 0.1) as cut,
+        (select count(*) from t where t.clip = q.clip and c >= q.s - 0.05 and d <= q.e + 0.05) as whole, coalesce((select sum(greatest(0, least(b.z, q.e) - greatest(b.a, q.s))) from b where b.clip = q.clip), 0) as dirty,
+        coalesce((select sum(greatest(0, least(b.z, q.s + 0.3) - greatest(b.a, q.s))) from b where b.clip = q.clip), 0) as d1, coalesce((select sum(greatest(0, least(b.z, q.e) - greatest(b.a, q.e - 0.3))) from b where b.clip = q.clip), 0) as d2 from q),
+    r as (select clip, s0, len, round(s, 2) as s, round(4.0 * cut + 10.0 * greatest(0, dirty / len - 0.1) + 2.0 * ((d1 >= 0.15)::int + (d2 >= 0.15)::int) - 0.8 * least(2, whole) + 0.05 * abs(s - s0), 9) as cost from u),
+    r1 as (select clip, s0, len, arg_min({{'s': s, 'c': cost}}, {{'c': cost, 's': s}}) as x from r group by all), r2 as (select r.clip, r.s0, r.len, arg_min({{'s': s, 'c': cost}}, {{'c': cost, 's': s}}) as x from r join r1 on r.clip = r1.clip and r.s0 = r1.s0 and r.len = r1.len and abs(r.s - r1.x.s) >= 0.4 group by all),
+    r3 as (select r.clip, r.s0, r.len, arg_min({{'s': s, 'c': cost}}, {{'c': cost, 's': s}}) as x from r join r1 on r.clip = r1.clip and r.s0 = r1.s0 and r.len = r1.len and abs(r.s - r1.x.s) >= 0.4 join r2 on r.clip = r2.clip and r.s0 = r2.s0 and r.len = r2.len and abs(r.s - r2.x.s) >= 0.4 group by all),
+    every as (select *, 1 as rank from r1 union all select *, 2 from r2 union all select *, 3 from r3)
+    select el, n, rank::int as rank, x.s as start, round(x.s + len, 2) as "end", round(x.c, 6) as cost from h join every on h.clip = every.clip and h.a = s0 and h.z - h.a = len""")
+def cut_suggestions(spark, sf):
+    """V2, the suggestions: cheapest places of a shot near where it is."""
+    t, b, g = _measured(spark, sf)
+    shots = _shot_spans(spark, sf).withColumn("moment", F.lit(None).cast("double"))
+    return edits.cut_suggestions(shots, t, b, g, 5, step=0.25, search=2.0).withColumn("cost", F.round("cost", 6))
 
 
 @query(f"""with {_SHOT_SPANS}, w as (select p_partkey % 60 as clip, p_partkey as w, (p_size % 50)::double - 0.3 as s, (p_size % 50)::double + 0.1 + (p_partkey % 5) / 10.0 as e from part)
