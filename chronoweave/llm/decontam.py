@@ -12,7 +12,7 @@ size. Each block is a scan of its own that passes on only rows with matches, and
 no task holds two automata.
 
 Defined results: a null text has no words; a text or an item without words has no window; equal windows of several items count for each
-item; repeated rows are judged alike; null item ids are ignored; an empty benchmark contaminates nothing. Other columns of
+item; repeated rows are judged alike; item ids are taken as text, whatever their type, and null ones are ignored; an empty benchmark contaminates nothing. Other columns of
 the inputs are not read.
 """
 
@@ -55,10 +55,10 @@ def spelling(number: int) -> str:
     return "".join(chr(FIRST + place * BASE + number // BASE**place % BASE) for place in range(DIGITS))
 
 
-def automaton(items: list[tuple[int, str]], width: int = WIDTH) -> tuple[dict[bytes, str], ahocorasick.Automaton | None]:
+def automaton(items: list[tuple[str, str]], width: int = WIDTH) -> tuple[dict[bytes, str], ahocorasick.Automaton | None]:
     """The spellings of words, and an automaton whose keys are windows of spellings and whose values are (number of words, items)."""
     spelt: dict[bytes, str] = {}
-    of: dict[str, set[int]] = {}
+    of: dict[str, set[str]] = {}
     for item, text in items:
         for window in windows_of([spelt.setdefault(w, spelling(len(spelt))) for w in words_of(text)], width):
             of.setdefault("".join(window), set()).add(item)
@@ -71,7 +71,7 @@ def automaton(items: list[tuple[int, str]], width: int = WIDTH) -> tuple[dict[by
     return spelt, found
 
 
-def _spans(shared, block: str, width: int) -> Callable[[str | None], tuple[int, list[tuple[int, int, int]]]]:
+def _spans(shared, block: str, width: int) -> Callable[[str | None], tuple[int, list[tuple[int, int, str]]]]:
     """text -> number of words and its (start, end, item); a worker holds one automaton at a time."""
     if block not in _built:
         _built.clear()
@@ -89,13 +89,13 @@ def _spans(shared, block: str, width: int) -> Callable[[str | None], tuple[int,
     return of
 
 
-SPANS = "array<struct<start:int,end:int,item:long>>"
-_SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.int64())]))
+SPANS = "array<struct<start:int,end:int,item:string>>"
+_SPANS_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("item", pa.string())]))
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[str, str]]]:
     """The items, each block of them on the driver for itself; there is one block at least."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("item_id is not null and text is not null").distinct()
     # Of n bytes, (n + 1) / 2 are words at most.
     total = items.agg(F.sum((F.octet_length("text") + 1) / 2)).first()[0] or 0
     n = max(1, int(-(-total // block_words)))
@@ -133,14 +133,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_wor
 JUDGED = "doc_id long, version long, n_words long, n_hit long, n_items long, items_sha256 string"
 
 
-def _judged(n: int, spans: list[tuple[int, int, int]]) -> tuple[int, int, int, str]:
+def _judged(n: int, spans: list[tuple[int, int, str]]) -> tuple[int, int, int, str]:
     hit = 0
     if spans:
         step = np.zeros(n + 1, np.int32)
         np.add.at(step, [s[0] for s in spans], 1)
         np.add.at(step, [s[1] for s in spans], -1)
         hit = int((np.cumsum(step[:-1]) > 0).sum())
-    ids = sorted({str(s[2]) for s in spans})
+    ids = sorted({s[2] for s in spans})
     return n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest()
 
 

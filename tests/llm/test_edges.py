@@ -1,5 +1,6 @@
 """Nulls in any column, empty tables, very long texts, ties, repeated rows and clashing columns, against plain versions."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -409,3 +410,13 @@ def test_pipeline_matches_plain_stages(spark, tmp_path):
     whole = {(i, c, n) for (i, n), ps in pieces.items() for start, length, c in ps if (start, length) == (0, n)}
     assert whole <= set(want) and len(whole) > 10
     assert all(sum(p[1] for p in ps) == n * sizes.count((i, n)) for (i, n), ps in pieces.items())
+
+
+def test_items_with_names(spark):
+    """Item ids that are no numbers, and order by their text."""
+    docs = table(spark, [(1, "one two three four five and more words of its own"), (2, "other words")])
+    items = spark.createDataFrame([("b", "one two three"), ("a-10", "four five"), (None, "other words")], "item_id string, text string")
+    got = {r.doc_id: r for r in decontam.contamination(docs, items).collect()}
+    assert (got[1].n_hit, got[1].n_items, got[1].items_sha256) == (5, 2, hashlib.sha256(b"a-10,b").hexdigest()) and not got[2].contaminated
+    spans = decontam.matches(docs, items).collect()
+    assert [sorted((s.start, s.end, s.item) for s in r.spans) for r in spans] == [[(0, 3, "b"), (3, 5, "a-10")]]
