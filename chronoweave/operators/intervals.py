@@ -84,6 +84,60 @@ def peaks(df: DataFrame, keys: list[str], order: list[str], value: str, height)
     return df.withColumn("_p", F.lag(value).over(w)).withColumn("_n", F.lead(value).over(w)).where((F.col(value) >= height) & (F.col(value) > F.col("_p")) & (F.col(value) >= F.col("_n"))).drop("_p", "_n")
 
 
+def spaced_peaks(df: DataFrame, keys: list[str], t: str, value: str, height, distance) -> DataFrame:
+    """keys, t and value of the ``peaks`` that are left when, from the highest down, each takes away those less than ``distance`` from it; of equal heights the earlier comes first. What was kept is looked up by place, so a key of any length is read once."""
+    from chronoweave.operators import selection
+
+    def step(kept: dict | None, at, _):
+        kept = kept if kept is not None else {}
+        cell = int(at // distance)
+        free = all(abs(at - kept[c]) >= distance for c in (cell - 1, cell, cell + 1) if c in kept)
+        if free:
+            kept[cell] = at
+        return kept, (free,)
+
+    found = peaks(df.select(*keys, t, value), keys, [t], value, height)
+    return selection.scan(found, keys, [F.desc(value), F.col(t)], [t, value], "kept boolean", step).where("kept").drop("kept")
+
+
+#: Score of a frame that may be in a transition, frames bridged, frames around a run in which its cut is looked for, least frames of a blend, what its shares may fall back, its rest, and where it begins and ends; the leap of brightness of a flash and what must come back.
+HOT, BRIDGE, AROUND, BLEND, FALL, REST, BEGINS, ENDS, LEAP, BACK = 0.5, 2, 2, 3, 0.15, 0.6, 0.6, 0.4, 0.1, 0.5
+
+
+def transitions(df: DataFrame, keys: list[str], i: str) -> DataFrame:
+    """keys, first, last, peak, score and label (blend, cut or flash) of each transition of numbered frames.
+
+    Frames have: single and many (scores), change (to the frame before), luma, share (of the new picture in the mixture, null if unknown), rest (of the mixture that shares don't explain) and back
+    (difference of the picture five frames on and the one before). A run of hot frames bridges two cold ones at most. It is a blend if it has ``BLEND`` frames and shares that rise from
+    the old to the new picture, with its highest score as its peak; else a cut at the largest change near it; and a flash if brightness leaps up at the peak and the picture before comes back. Of equal values the earlier frame is taken.
+    """
+    from chronoweave.operators import matching
+
+    w = Window.partitionBy(*keys).orderBy(i)
+    end = F.max(i).over(Window.partitionBy(*keys))
+    frames = df.withColumn("_before", F.lag("luma").over(w)).withColumn("_end", end)
+    hot = F.coalesce((F.col("many") > HOT) | (F.col("single") > HOT), F.lit(False))
+    gap = F.col(i) - F.lag(i).over(w)
+    # Cold frames are bridged only where a whole bridge and a frame fit before the end.
+    anew = (gap > BRIDGE + 1) | ((gap > 1) & (F.lag(i).over(w) + BRIDGE + 1 > F.col("_end")))
+    runs = frames.where(hot).withColumn("_new", F.coalesce(anew.cast("int"), F.lit(1)))
+    runs = runs.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "_run").agg(F.min(i).alias("first"), F.max(i).alias("last"))
+    spans = runs.select(*keys, "first", "last", (F.col("first") - AROUND).alias("_a"), (F.col("last") + AROUND).alias("_z"))
+    met = matching.points_in_intervals(frames, spans, keys, i, "_a", "_z", 64)
+    own = F.col(i).between(F.col("first"), F.col("last"))
+    frame = F.struct(F.col(i).alias("i"), "single", "change", "luma", F.col("_before").alias("before"), "back", F.col("_end").alias("end"))
+    top = lambda column, inside: F.max_by(frame, F.when(inside & F.col(column).isNotNull(), F.struct(F.col(column), -F.col(i))))
+    shares = F.transform(F.array_sort(F.collect_list(F.when(own & F.col("share").isNotNull(), F.struct(i, "share")))), lambda x: x["share"])
+    got = met.groupBy(*keys, "first", "last").agg(top("single", own).alias("_s"), top("change", F.col(i) >= 1).alias("_c"), shares.alias("_shares"), F.max(F.when(own, F.col("rest"))).alias("_rest"))
+    falls = F.exists(F.zip_with(F.slice("_shares", 2, F.greatest(F.size("_shares") - 1, F.lit(0))), "_shares", lambda x, y: x - y), lambda d: F.coalesce(d <= -FALL, F.lit(False)))
+    long = (F.col("last") - F.col("first") + 1 >= BLEND) & (F.size("_shares") > 2)
+    blend = F.coalesce(long & ~falls & (F.col("_rest") < REST) & (F.get("_shares", F.lit(0)) < BEGINS) & (F.get("_shares", F.size("_shares") - 1) > ENDS), F.lit(False))
+    out = got.withColumn("_blend", blend).withColumn("_p", F.when(F.col("_blend"), F.col("_s")).otherwise(F.col("_c")))
+    flash = (F.col("_p.i") >= 1) & (F.col("_p.i") + 5 <= F.col("_p.end")) & (F.col("_p.luma") - F.col("_p.before") > LEAP) & (F.col("_p.back") < BACK * F.greatest(F.col("_p.change"), F.lit(1e-3)))
+    label = F.when(F.coalesce(flash, F.lit(False)), "flash").when(F.col("_blend"), "blend").otherwise("cut")
+    return out.select(*keys, "first", "last", F.col("_p.i").alias("peak"), F.col("_s.single").alias("score"), label.alias("label"))
+
+
 def numbered_scenes(df: DataFrame, keys: list[str], order: list[str], jump: Column, name: str = "scene") -> DataFrame:
     """Counts up at every row that is no jump."""
     return df.withColumn(name, F.sum(F.when(F.coalesce(jump, F.lit(False)), 0).otherwise(1)).over(_ordered(keys, *order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators import quantiles
+
 
 def _along(keys: list[str], order: list[str]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -93,3 +95,30 @@ def scored(df: DataFrame, penalties: dict[str, tuple[Column, float]], out: str =
     for when, times in penalties.values():
         factor = factor * F.when(when, times).otherwise(1.0)
     return df.withColumn(out, factor).withColumn("flags", F.concat_ws(",", *(F.when(when, F.lit(name)) for name, (when, _) in penalties.items())))
+
+
+#: Movement of a good sample, sharpness that is enough, shaking and camera movement that take a good part away.
+MOVEMENT, SHARP, SHAKING, PANNING = 120.0, 500.0, 80.0, 500.0
+
+
+def sample_quality(motion: Column, sharp: Column, luma: Column, bright: Column, dark: Column, shake: Column, camera: Column | None = None) -> Column:
+    """Quality of a sample, from 0 to 1: the product of terms for movement of the subject, sharpness, exposure (mean brightness and the shares burnt out and black), shaking and, if given, the camera's movement, each within its bounds (fixed values)."""
+    clip = lambda x, low: F.greatest(F.lit(low), F.least(F.lit(1.0), x))
+    over = lambda x, limit: F.greatest(F.lit(0.0), x - limit)
+    exposure = clip(1.0 - F.greatest(F.lit(0.0), 45 - luma) / 45 - over(luma, 215) / 40 - over(bright, 0.15) - over(dark, 0.35), 0.2)
+    out = (1.0 - F.exp(-motion / MOVEMENT)) * clip(sharp / SHARP, 0.35) * exposure * F.exp(-shake / SHAKING)
+    return out if camera is None else out / (1.0 + camera / PANNING)
+
+
+def reel_report(shots: DataFrame, keys: list[str], scene: str, beats: str, seconds: str, jump: str, away: str, order: str, near: float = 45.0) -> DataFrame:
+    """keys, shots, scenes, jumps, median beats and seconds of a shot, median beats of a scene, and how many shots after the first begin within ``near`` (fixed value, milliseconds) of a beat. Scenes without a number are one scene; null flags are false."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    rows = shots.withColumn("_first", F.row_number().over(w) == 1)
+    close = ~F.col("_first") & (F.abs(F.col(away)) <= near)
+    plain = rows.groupBy(*keys).agg(F.count("*").alias("shots"), F.sum(F.coalesce(F.col(jump), F.lit(False)).cast("long")).alias("jumps"), F.sum(F.coalesce(close, F.lit(False)).cast("long")).alias("on_beat"))
+    per = shots.groupBy(*keys, scene).agg(F.sum(beats).alias("_b"))
+    scenes = per.groupBy(*keys).agg(F.count("*").alias("scenes"))
+    out = plain.join(scenes, keys)
+    for df, column, name in ((shots, beats, "shot_beats"), (shots, seconds, "shot_seconds"), (per, "_b", "scene_beats")):
+        out = out.join(quantiles.quantiles(df, keys, column, {name: 0.5}), keys)
+    return out

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronoweave.operators import matching, sections, speakers, trees
+from chronoweave.operators import intervals, matching, sections, speakers, tracks, trees
 from chronoweave.plans.catalog import _read, query
+from chronoweave.sources import manifest
 
 _IN = "list_contains(list_transform(r, lambda z: z.clip), {})"
 #: Alignments of eight recordings of a customer, of which recording 0 is the reference, out of orders.
@@ -122,3 +123,66 @@ def near_codes(spark, sf):
     code = ((k * F.lit(2654435761)).bitwiseAND(F.lit(4294967295)) * F.lit(2147483648) + (k * F.lit(2246822519)).bitwiseAND(F.lit(2147483647))).bitwiseXOR(F.expr("shiftleft(1L, int(p_partkey * 7 % 62))"))
     p = _read(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") / 10.0).alias("len"), code.alias("h"))
     return matching.hash_duplicates(p, "id", "len", "h").select("a", "b", F.col("equal_bits").cast("long").alias("equal_bits"))
+
+
+_N = "n as (select *, row_number() over (partition by user_id order by ts) - 1 as i from events)"
+
+
+def _numbered(spark, sf):
+    return _read(spark, sf, "events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts")) - 1).withColumn("i", F.col("i").cast("long"))
+
+
+@query(f"""with recursive {_N}, p as (select user_id, i, value from (select *, lag(value) over (partition by user_id order by i) as a, lead(value) over (partition by user_id order by i) as b from n) where value >= 60 and value > a and value >= b),
+    o as (select *, row_number() over (partition by user_id order by value desc, i) as k from p),
+    r as (select user_id, k, i, value, [i] as kept, true as ok from o where k = 1
+      union all select o.user_id, o.k, o.i, o.value, case when len(list_filter(kept, lambda x: abs(x - o.i) < 9)) = 0 then list_append(kept, o.i) else kept end, len(list_filter(kept, lambda x: abs(x - o.i) < 9)) = 0 from r join o on o.user_id = r.user_id and o.k = r.k + 1)
+    select user_id, i, value from r where ok""")
+def peaks_apart(spark, sf):
+    """Peaks of a user's values at least nine events apart, the highest first."""
+    return intervals.spaced_peaks(_numbered(spark, sf), ["user_id"], "i", "value", 60.0, 9)
+
+
+@query()
+def labelled_transitions(spark, sf):
+    """Runs of high values as transitions between pictures, each with its peak and label."""
+    n, v = _numbered(spark, sf), F.col("value")
+    lag = F.lag("value").over(Window.partitionBy("user_id").orderBy("i"))
+    f = n.select(
+        "user_id", "i", (v / 400).alias("single"), (v / 300).alias("many"), F.coalesce(F.abs(v - lag) / 400, F.lit(0.0)).alias("change"), (v / 500).alias("luma"),
+        F.when(F.col("event_type") != "error", F.pmod(F.col("event_id"), F.lit(7)) / 7.0).alias("share"), F.lit(0.2).alias("rest"), (F.pmod(F.col("event_id"), F.lit(5)) / 20.0).alias("back"),
+    )
+    return intervals.transitions(f, ["user_id"], "i")
+
+
+@query("""select l_orderkey, l_linenumber, round((1 - exp(-l_quantity / 120.0::double)) * least(1.0::double, greatest(0.35::double, l_extendedprice / 100.0::double / 500.0::double)) * least(1.0::double, greatest(0.2::double, 1 - greatest(0.0::double, 45 - l_partkey % 256) / 45.0::double
+      - greatest(0.0::double, l_partkey % 256 - 215) / 40.0::double - greatest(0.0::double, l_discount * 3 - 0.15::double) - greatest(0.0::double, l_tax * 6 - 0.35::double))) * exp(-(l_suppkey % 90) / 80.0::double) / (1 + (l_orderkey % 700) / 500.0::double), 6) as quality from lineitem""")
+def sample_qualities(spark, sf):
+    """Quality of samples as a product of bounded terms."""
+    c = lambda name: F.col(name).cast("double")
+    q = tracks.sample_quality(c("l_quantity"), c("l_extendedprice") / 100.0, (F.col("l_partkey") % 256).cast("double"), c("l_discount") * 3, c("l_tax") * 6, (F.col("l_suppkey") % 90).cast("double"), (F.col("l_orderkey") % 700).cast("double"))
+    return _read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(q, 6).alias("quality"))
+
+
+@query("""with s as (select l_orderkey % 500 as el, l_orderkey, l_linenumber, l_suppkey, l_partkey, l_orderkey * 10 + l_linenumber as o, l_quantity::double as beats, l_partkey % 40 / 8.0::double as secs from lineitem),
+    d as (select *, row_number() over (partition by el order by o, l_partkey, l_suppkey) as k from s), sc as (select el, l_orderkey, sum(beats) as b from s group by all),
+    m as (select el, count(*) as scenes, median(b) as scene_beats from sc group by el)
+    select d.el, count(*) as shots, sum((l_suppkey % 3 = 0)::int)::bigint as jumps, sum((k > 1 and abs(l_partkey % 181 - 90) <= 45)::int)::bigint as on_beat, any_value(scenes) as scenes, median(beats) as shot_beats, median(secs) as shot_seconds, any_value(scene_beats) as scene_beats
+    from d join m using (el) group by d.el""")
+def reel_reports(spark, sf):
+    """Key figures of edit lists, with medians by shot and by scene."""
+    l = _read(spark, sf, "lineitem")
+    p, u = F.col("l_partkey"), F.col("l_suppkey")
+    shots = l.select((F.col("l_orderkey") % 500).alias("el"), F.col("l_orderkey").alias("scene"), F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"), p.alias("p"), u.alias("u")).alias("order"), F.col("l_quantity").cast("double").alias("beats"), (p % 40 / 8.0).alias("secs"), (u % 3 == 0).alias("jump"), (p % 181 - 90).cast("double").alias("away"))
+    return tracks.reel_report(shots, ["el"], "scene", "beats", "secs", "jump", "away", "order")
+
+
+@query("""with c as (select o_custkey % 300 as p, o_orderkey as clip, case when o_orderkey % 9 > 0 then (o_orderkey % 101)::double / 4 end as start, (o_orderkey % 37)::double / 2 + 0.5 as dur, o_orderkey % 4 > 0 as ok from orders),
+    s as (select p, min(start) as low, greatest(max(start + dur) - min(start), 1e-6) / 40 as step from c group by p),
+    x as (select c.*, k, coalesce(start is not null and least(low + (k + 1) * step, start + dur) - greatest(low + k * step, start) > 0.3 * step, false) as is_on from c join s using (p) cross join (select unnest(range(40)) as k))
+    select p, clip, case when any_value(start) is null then repeat('-', 40) else string_agg(case when not is_on then '.' when ok then '#' else '?' end, '' order by k) end as marks from x group by p, clip
+    union all select p, null, string_agg(case when n > 0 then least(n, 9)::varchar else '.' end, '' order by k) from (select p, k, sum(is_on::int) as n from x group by p, k) group by p""")
+def camera_overview(spark, sf):
+    """K5: text time lines of projects, with unsure clips and the number of cameras."""
+    k = F.col("o_orderkey")
+    c = _read(spark, sf, "orders").select((F.col("o_custkey") % 300).alias("p"), k.alias("clip"), F.when(k % 9 > 0, (k % 101).cast("double") / 4).alias("start"), ((k % 37).cast("double") / 2 + 0.5).alias("duration"), (k % 4 > 0).alias("usable"))
+    return manifest.overview(c, ["p"])

@@ -141,6 +141,27 @@ def timeline(intervals: DataFrame, key: str, start: str, end: str, span: DataFra
     return marks.select(key, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.when(F.array_contains("_on", c), "#").otherwise(".")), "").alias("marks"))
 
 
+def overview(clips: DataFrame, keys: list[str], width: int = 40, share: float = 0.3) -> DataFrame:
+    """keys, clip and ``marks``: a text time line of each project, ``width`` columns from its first start to its last end, with a last row (clip null) of how many clips run.
+
+    ``clips``: keys, clip, start, duration, usable. A column is # where a clip covers over ``share`` of it, ? if its place isn't sure (not usable), else a dot; a clip without a place has dashes only. The
+    last row has digits, 9 for more, and dots for none.
+    """
+    placed = F.col("start").isNotNull()
+    span = clips.groupBy(*keys).agg(F.min("start").alias("_low"), F.max(F.col("start") + F.col("duration")).alias("_high"))
+    span = span.withColumn("_step", F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-6)) / width)
+    rows = clips.select(*keys, "clip", "start", "duration", F.coalesce("usable", F.lit(False)).alias("usable")).join(span, keys)
+    on = lambda c: F.least(F.col("_low") + (c + 1) * F.col("_step"), F.col("start") + F.col("duration")) - F.greatest(F.col("_low") + c * F.col("_step"), F.col("start")) > share * F.col("_step")
+    columns = F.sequence(F.lit(0), F.lit(width - 1))
+    rows = rows.withColumn("_on", F.transform(columns, lambda c: F.coalesce(placed & on(c), F.lit(False))))
+    sign = F.when(F.col("usable"), "#").otherwise("?")
+    lines = rows.select(*keys, "clip", F.when(placed, F.array_join(F.transform("_on", lambda x: F.when(x, sign).otherwise(".")), "")).otherwise("-" * width).alias("marks"))
+    # Columns are counted one by one, so that no project's clips come together.
+    sums = rows.groupBy(*keys).agg(F.array(*(F.sum(F.col("_on")[c].cast("int")) for c in range(width))).alias("_n"))
+    total = F.array_join(F.transform("_n", lambda n: F.when(n > 0, F.least(n, F.lit(9)).cast("string")).otherwise(".")), "")
+    return lines.unionByName(sums.select(*keys, F.lit(None).cast(dict(clips.dtypes)["clip"]).alias("clip"), total.alias("marks")))
+
+
 def transcripts(spark: SparkSession, path: str, clips: DataFrame, schema: str) -> DataFrame:
     """clip, name and the fields of the transcript of each clip: the file named like it, else IMG_ and its name, else the only one whose name holds it; clips without one are left out."""
     from chronoweave.operators.matching import resolve_keys
