@@ -80,7 +80,7 @@ def plain_contamination(docs, items):
     return out
 
 
-def plain_lines(docs, version):
+def plain_lines(docs, version, edits=2):
     """(id, text without removed lines, number of those) of every document, by comparing all pairs of lines."""
 
     def distance(a, b):
@@ -92,7 +92,7 @@ def plain_lines(docs, version):
         return row[-1]
 
     seen = sorted({((i is not None, i or 0, version[t]), k, line.encode()) for i, t in docs for k, line in enumerate((t or "").split("\n")) if len(line.encode()) >= 20 and line.strip()})
-    near = lambda x, y: x == y or (abs(len(x) - len(y)) <= 2 and distance(x, y) <= min(2, min(len(x), len(y)) // 20))
+    near = lambda x, y: x == y or (abs(len(x) - len(y)) <= edits and distance(x, y) <= min(edits, min(len(x), len(y)) // 20))
     root = reach(len(seen), [(x, y) for x in range(len(seen)) for y in range(x + 1, len(seen)) if near(seen[x][2], seen[y][2])])
     away = {}
     for k, r in enumerate(root):
@@ -187,6 +187,26 @@ def test_line_dedup_matches_all_pairs(spark):
     assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(((i, t) for i, t, n in want if not n or t.strip()), key=str) and kept[0].gone == "g"
 
 
+@pytest.mark.parametrize("edits", [3, 4])
+def test_line_dedup_with_more_edits_matches_all_pairs(spark, edits):
+    """Long lines with up to six edits, among them whole words."""
+    rng = random.Random(16)
+    pool = [" ".join(rng.choice(("alpha", "beta", "gamma", "delta", "ü", "omega", "pi")) for _ in range(rng.randint(4, 30))) for _ in range(12)]
+
+    def near(line):
+        t = list(line)
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randint(0, 1)] = rng.choice(("", "q", "rs"))
+        return "".join(t).replace("beta", "zeta", rng.randint(0, 1))
+
+    docs = [(i, "\n".join(near(rng.choice(pool)) for _ in range(rng.randint(0, 4)))) for i in range(40)]
+    want = plain_lines(docs, versions(spark, docs), edits)
+    got = [(r.doc_id, r.text, r.n_removed) for r in line_dedup.dedup(table(spark, docs), edits=edits).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(n for _, _, n in want) > sum(n for _, _, n in plain_lines(docs, versions(spark, docs), 2))
+
+
 def test_packing_places_by_least_squares():
     for seed in range(3):
         rng = random.Random(seed)
