@@ -31,7 +31,8 @@ from . import graph, kernel, store
 
 RATIO = 1.5
 LEAST_BITS, MOST_BITS, PER_DIM = 9, 15, 2
-LEAF = 32
+#: Points of a leaf of the tree, and boxes of a box.
+LEAF, FANOUT = 32, 8
 TILE = 2048
 SALT = 4096
 PIVOTS = 4
@@ -284,36 +285,61 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(_compare(percent), "a long, b long")
 
 
+def _boxes(vec: np.ndarray, n: np.ndarray, beyond: np.ndarray, comp: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Levels of a tree from its leaves up, each as arrays by box: largest coordinates, smallest and largest n, largest ``beyond``, smallest and largest component. A box holds FANOUT of the level below."""
+    cuts = np.arange(0, len(n), LEAF)
+    level = (np.maximum.reduceat(vec, cuts), np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts), np.maximum.reduceat(beyond, cuts), np.minimum.reduceat(comp, cuts), np.maximum.reduceat(comp, cuts))
+    levels = [level]
+    while len(level[1]) > 1:
+        cuts = np.arange(0, len(level[1]), FANOUT)
+        level = tuple((np.minimum if k in (1, 4) else np.maximum).reduceat(x, cuts) for k, x in enumerate(level))
+        levels.append(level)
+    return levels
+
+
 def tree_pairs(node: np.ndarray, comp: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of different components whose bound reaches the least overlap, by an R-tree: leaves packed by size and the widest coordinates, boxes first.
+    """Pairs of different components whose bound reaches the least overlap, by an R-tree: leaves packed by size and the widest coordinates, boxes of boxes above them.
 
-    With ``side``, only pairs between side 0 and side 1.
+    Pairs of boxes are followed from the root down, all of a level at once; only those go on whose summed minima of largest coordinates may reach the least overlap of their
+    smallest members, whose sizes may fit and which don't lie in one component as a whole. With ``side``, only pairs between side 0 and side 1.
     """
-    wide = np.argsort(-vec.var(0))[:2] if len(vec) else [0, 0]
+    if not len(node):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    wide = np.argsort(-vec.var(0))[:2]
     order = np.lexsort((vec[:, wide[1]], vec[:, wide[0]] // 4, n))
     node, comp, n, vec = node[order], comp[order], n[order], vec[order]
     beyond = n - vec.sum(1, dtype=np.int64)
     side = side[order] if side is not None else None
-    cuts = np.arange(0, len(node), LEAF)
-    top, low, high, most = np.maximum.reduceat(vec, cuts), np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts), np.maximum.reduceat(beyond, cuts)
+    levels = _boxes(vec, n, beyond, comp)
+    i = j = np.zeros(1, np.int64)
+    for depth, (top, low, high, most, first, last) in zip(range(len(levels) - 1, -1, -1), reversed(levels), strict=True):
+        if depth < len(levels) - 1:
+            # Children of each pair; of a box with itself each pair of children once.
+            x = (i[:, None] * FANOUT + np.repeat(np.arange(FANOUT), FANOUT)).ravel()
+            y = (j[:, None] * FANOUT + np.tile(np.arange(FANOUT), FANOUT)).ravel()
+            there = (x < len(low)) & (y < len(low)) & (x <= y)
+            i, j = x[there], y[there]
+        keep = np.zeros(len(i), bool)
+        for k in range(0, len(i), 4096):
+            a, b = i[k : k + 4096], j[k : k + 4096]
+            bound = np.minimum(top[a], top[b]).sum(1, dtype=np.int64) + np.minimum(most[a], most[b])
+            fits = (bound >= least_overlap(low[a], low[b], percent)) & (percent * low[b] <= 100 * high[a]) & (percent * low[a] <= 100 * high[b])
+            keep[k : k + 4096] = fits & ((first[a] != last[a]) | (first[b] != last[b]) | (first[a] != first[b]))
+        i, j = i[keep], j[keep]
     found = []
-    for i, start in enumerate(cuts):
-        a = slice(start, start + LEAF)
-        bound = np.minimum(top[i], top[i:]).sum(1, dtype=np.int64) + np.minimum(most[i], most[i:])
-        near = i + np.flatnonzero((bound >= least_overlap(low[i], low[i:], percent)) & (percent * low[i:] <= 100 * high[i]))
-        for j in near:
-            b = slice(cuts[j], cuts[j] + LEAF)
-            ok = comp[a][:, None] != comp[b][None]
-            if side is not None:
-                ok &= side[a][:, None] != side[b][None]
-            if i == j:
-                ok &= np.triu(np.ones(ok.shape, bool), 1)
-            x, y = np.nonzero(ok)
-            if not len(x):
-                continue
-            x, y = x + start, y + cuts[j]
-            fits = np.minimum(vec[x], vec[y]).sum(1, dtype=np.int64) + np.minimum(beyond[x], beyond[y]) >= least_overlap(n[x], n[y], percent)
-            found.append((node[x[fits]], node[y[fits]]))
+    for p, q in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = slice(p * LEAF, (p + 1) * LEAF), slice(q * LEAF, (q + 1) * LEAF)
+        ok = comp[a][:, None] != comp[b][None]
+        if side is not None:
+            ok &= side[a][:, None] != side[b][None]
+        if p == q:
+            ok &= np.triu(np.ones(ok.shape, bool), 1)
+        x, y = np.nonzero(ok)
+        if not len(x):
+            continue
+        x, y = x + p * LEAF, y + q * LEAF
+        fits = np.minimum(vec[x], vec[y]).sum(1, dtype=np.int64) + np.minimum(beyond[x], beyond[y]) >= least_overlap(n[x], n[y], percent)
+        found.append((node[x[fits]], node[y[fits]]))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     x, y = (np.concatenate(f) for f in zip(*found, strict=True))
