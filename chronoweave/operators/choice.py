@@ -44,12 +44,16 @@ def in_point(moment: Column, peaks: Column, length: Column, need: Column, lead:
     return F.struct(F.round(start, 3).alias("start"), F.round(F.coalesce(chosen, first), 3).alias("peak"))
 
 
+#: Price of an action that a cut breaks, of a share beyond what may be unclean, of an unclean end, of a moment left out (which must keep ``MARGIN`` seconds from the ends) and of a second away; reward of a whole action, for two at most, and of motion, for so much at most.
+CUT, UNCLEAN, UNCLEAN_END, LEFT_OUT, MARGIN, AWAY, WHOLE, WHOLES, MOTION, MOST_MOTION = 4.0, 10.0, 2.0, 6.0, 0.05, 0.05, 0.8, 2, 0.5, 1.2
+
+
 def window_cost(cut: Column, unclean: Column, edges: Column, whole: Column, mean: Column, high: Column, start: Column, end: Column, moment: Column, wanted: Column, most_unclean: float = 0.15) -> Column:
-    """Cost of a window: cut actions, unclean share and edges, less whole actions and motion, more where the moment lies outside and by distance from the wanted start."""
-    cost = 4.0 * cut + 10.0 * F.greatest(F.lit(0.0), unclean - most_unclean) + 2.0 * edges - 0.8 * F.least(F.lit(2), whole)
-    cost = cost - F.coalesce(0.5 * F.least(F.lit(1.2), mean / F.greatest(high, F.lit(1e-6))), F.lit(0.0))
-    cost = cost + F.when(moment.isNotNull() & ~moment.between(start + 0.05, end - 0.05), 6.0).otherwise(0.0)
-    return cost + F.coalesce(0.05 * F.abs(start - wanted), F.lit(0.0))
+    """Cost of a window: cut actions, unclean share and edges, less whole actions and motion (if both its mean and its high value are known), more where the moment lies outside and by distance from the wanted start."""
+    cost = CUT * cut + UNCLEAN * F.greatest(F.lit(0.0), unclean - most_unclean) + UNCLEAN_END * edges - WHOLE * F.least(F.lit(WHOLES), whole)
+    cost = cost - F.when(mean.isNotNull() & high.isNotNull(), MOTION * F.least(F.lit(MOST_MOTION), mean / F.greatest(high, F.lit(1e-6)))).otherwise(0.0)
+    cost = cost + F.when(moment.isNotNull() & ~moment.between(start + MARGIN, end - MARGIN), LEFT_OUT).otherwise(0.0)
+    return cost + F.coalesce(AWAY * F.abs(start - wanted), F.lit(0.0))
 
 
 def fewest_beats(windows: DataFrame, keys: list[str], beats: str, now: str, cost: str, more: int = 4, limit: float = 0.5) -> DataFrame:

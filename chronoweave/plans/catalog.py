@@ -386,7 +386,7 @@ def manifest_union(spark, sf):
     union all select 'many_lines', 'WARNING', l_orderkey::varchar, n::varchar from l where n > 6
     union all select 'price_nothing', 'ERROR', o_orderkey::varchar, o_custkey::varchar from x where o_totalprice <= 0""")
 def rule_rows(spark, sf):
-    """The pattern of rules as data (V7 and V8 are not built): findings of three rules over orders and lines."""
+    """The pattern of rules as data: findings of three rules over orders and lines."""
     o, l = _read(spark, sf, "orders"), _read(spark, sf, "lineitem").select("l_orderkey")
     none = sets.difference(o.select(F.col("o_orderkey").alias("l_orderkey")), l, "l_orderkey").select(F.col("l_orderkey").alias("subject"), F.lit(None).cast("string").alias("detail"))
     return rules.findings([
