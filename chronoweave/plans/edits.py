@@ -278,9 +278,9 @@ def assigned_clips(spark, sf):
     """T3, with T1: slots of an edit list that choose one after the other, each clip once."""
     s = _read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("el"), F.col("l_linenumber").alias("slot")).distinct().withColumn("g", F.col("el") % 25)
     pool = _read(spark, sf, "supplier").select((F.col("s_suppkey") % 25).alias("g"), F.col("s_suppkey").alias("clip"), (F.col("s_suppkey") % 13).alias("score"))
-    # Lists share pools, so a pool's clips are joined per list.
-    pool = s.select("el", "g").distinct().join(pool, "g").select("el", "clip", "score", F.explode(F.expr("filter(array(0, 1, 2), r -> (clip + r) % 3 > 0)")).alias("kind"))
-    return selection.assigned_once(s.select("el", "slot", (F.col("slot") % 3).cast("int").alias("kind")), pool, ["el"], ["slot"], [F.desc("score"), F.col("clip")], "slot", "clip", "kind")
+    # Lists share pools, so a pool is ranked once for all of its lists.
+    pool = pool.select("g", "clip", "score", F.explode(F.expr("filter(array(0, 1, 2), r -> (clip + r) % 3 > 0)")).alias("kind"))
+    return selection.assigned_once(s.select("el", "g", "slot", (F.col("slot") % 3).cast("int").alias("kind")), pool, ["el"], ["slot"], [F.desc("score"), F.col("clip")], "slot", "clip", "kind", ["g"])
 
 
 _SHOT_SPANS = "h as (select l_orderkey as el, l_linenumber as n, min(l_partkey) % 60 as clip, (min(l_suppkey) % 50)::double as a, (min(l_suppkey) % 50)::double + 2 + min(l_partkey) % 4 as z from lineitem group by all)"

@@ -158,3 +158,18 @@ def test_scans_of_empty_tables(spark):
     none = spark.createDataFrame([], "g int, i int, x double, w string, h boolean, s array<double>")
     assert selection.limited(none, ["g"], ["i"], "x", 1, 1).count() == selection.label_path(none, ["g"], ["i"], "s", 1.0).count() == 0
     assert selection.word_groups(none, ["g"], ["i"], "w", "x", "h", 1.0).count() == 0
+
+
+def test_shared_pools_are_ranked_once(spark):
+    rng = random.Random(8)
+    slots = [(el, el % 3 if el % 7 else None, s, rng.choice([0, 1, None])) for el in range(60) for s in range(rng.randint(1, 5))]
+    clips = [(g, f"c{k}", rng.randrange(4), kind) for g in (0, 1, None) for k in range(6) for kind in (0, 1, None) if rng.random() < 0.6]
+    want = {}
+    for el in range(60):
+        taken = set()
+        for _, g, s, kind in [x for x in slots if x[0] == el]:
+            free = [c for _, _, c in sorted((-score, name, name) for pg, name, score, k in clips if pg == g and k == kind and name not in taken)]
+            want[el, s] = free[0] if free else None
+            taken.update(free[:1])
+    out = selection.assigned_once(spark.createDataFrame(slots, "el int, g int, slot int, kind int").repartition(3), spark.createDataFrame(clips, "g int, clip string, score int, kind int").repartition(3), ["el"], ["slot"], [F.desc("score"), F.col("clip")], "slot", "clip", "kind", ["g"])
+    assert {(r.el, r.slot): r.clip for r in out.collect()} == want
