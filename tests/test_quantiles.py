@@ -40,3 +40,21 @@ def test_one_group_of_nearly_all_rows_uses_all_tasks(spark):
     xs = np.arange(400_000) * 7919 % 400_009
     got = quantiles.quantiles(df, ["g"], "x", {"mid": 0.5}).first()
     assert got.mid == np.median(xs)
+
+
+def test_interpolated_with_one_rounding(spark):
+    """The weighed sum of two values is rounded once, as whole fractions tell."""
+    import math
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(4)
+    groups = {g: sorted(rng.choice([round(rng.random() * 490, 2), 7.13]) for _ in range(rng.choice([1, 2, 23, 25, 66]))) for g in range(300)}
+    df = spark.createDataFrame([*((g, v) for g, vs in groups.items() for v in vs), (0, None), (999, None)], "g int, v double")
+    for share in (0.05, 0.8, 0.9):
+        want = {}
+        for g, vs in groups.items():
+            at = (len(vs) - 1) * share
+            low, part = math.floor(at), at - math.floor(at)
+            want[g] = vs[low] if part == 0 else float(Fraction(vs[low]) * Fraction(1 - part) + Fraction(vs[low + 1] * part))
+        assert {r.g: r.q for r in quantiles.interpolated(df, ["g"], "v", share, "q").collect()} == want
