@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from chronoweave.operators import matching
 
 
-def vote_offset(events: DataFrame, reference: DataFrame, keys: list[str], t: str, ord_: str, tolerance, width, first: int = 6) -> DataFrame:
+def vote_offset(events: DataFrame, reference: DataFrame, keys: list[str], t: str, ord_: str, tolerance, first: int = 6) -> DataFrame:
     """The offset, among those of the first events to every reference time, at which most events fall within less than ``tolerance`` of one: keys, offset, hits.
 
-    On a tie the earliest event's offset, then the smallest. Events are met with the reference by buckets of ``width``.
+    On a tie the earliest event's offset, then the smallest. An event falls near a reference time if their own distance is near the offset, so the votes
+    are the events in a range of distances in order: only events and reference times are shuffled, and no event is moved by every offset.
     """
-    few = events.where(F.col(ord_) < first).select(*keys, F.col(ord_).alias("_a"), F.col(t).alias("_t"))
-    offsets = few.join(reference.select(*keys, F.col(t).alias("_r")), keys).select(*keys, "_a", (F.col("_r") - F.col("_t")).alias("offset"))
-    moved = offsets.join(events.select(*keys, ord_, F.col(t).alias("_t")), keys).withColumn("_at", F.col("_t") + F.col("offset"))
-    marks = reference.select(*keys, (F.col(t) - tolerance).alias("_lo"), (F.col(t) + tolerance).alias("_hi"))
-    met = matching.points_in_intervals(moved, marks, keys, "_at", "_lo", "_hi", width, strict=True, how="left_semi")
-    counted = met.groupBy(*keys, "_a", "offset").agg(F.count_distinct(ord_).alias("hits"))
+    own, marks = events.select(*keys, F.col(ord_).alias("_a"), F.col(t).alias("_t")), reference.select(*keys, F.col(t).alias("_r"))
+    away = own.hint("merge").join(marks, keys).select(*keys, "_a", (F.col("_r") - F.col("_t")).alias("offset"))
+    near = F.expr(f"collect_list(struct(_a, offset)) over (partition by {', '.join(f'`{k}`' for k in keys)} order by offset range between {tolerance} preceding and {tolerance} following)")
+    # The range holds both its ends, which are not near.
+    voted = away.withColumn("_near", near).where(F.col("_a") < first)
+    voters = F.array_distinct(F.transform(F.filter("_near", lambda x: F.abs(x["offset"] - F.col("offset")) < tolerance), lambda x: x["_a"]))
+    counted = voted.select(*keys, "_a", "offset", F.size(F.array_compact(voters)).cast("long").alias("hits")).where("hits > 0")
     best = counted.groupBy(*keys).agg(F.min_by(F.struct("offset", "hits"), F.struct(-F.col("hits"), F.col("_a"), F.col("offset"))).alias("b"))
     return best.select(*keys, "b.offset", "b.hits")
 
