@@ -68,16 +68,16 @@ def song_windows(bars: DataFrame, keys: list[str], bar: str, energy: str, hits:
 
     A score is the mean energy over the song's, plus one and a half of the hits a bar, two more if the last bar has none.
     """
-    w = Window.partitionBy(*keys).orderBy(bar)
-    mean = F.avg(energy).over(Window.partitionBy(*keys))
-    rows = bars.withColumn("_mean", mean)
-    parts = []
+    w = Window.partitionBy(*keys).orderBy("start")
+    mean = F.avg("_e").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = bars.select(*keys, F.col(bar).alias("start"), F.col(energy).alias("_e"), F.col(hits).alias("_h")).withColumn("_mean", mean)
+    windows = []
     for n in lengths:
         inside = w.rowsBetween(0, n - 1)
-        score = F.avg(energy).over(inside) - F.col("_mean") + 1.5 * F.sum(hits).over(inside) / n + F.when(F.last(hits).over(inside) == 0, 2.0).otherwise(0.0)
-        parts.append(rows.select(*keys, F.lit(n).alias("length"), F.col(bar).alias("start"), score.alias("score"), F.count("*").over(inside).alias("_n")).where(F.col("_n") == n).drop("_n"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        score = F.avg("_e").over(inside) - F.col("_mean") + 1.5 * F.sum("_h").over(inside) / n + F.when(F.last("_h").over(inside) == 0, 2.0).otherwise(0.0)
+        rows = rows.withColumn(f"_s{n}", F.when(F.count("*").over(inside) == n, F.struct(score.alias("score"))))
+        windows.append(F.struct(F.lit(n).alias("length"), F.col(f"_s{n}").alias("s")))
+    # All lengths come out of one sorting of the bars.
+    out = rows.select(*keys, "start", F.explode(F.filter(F.array(*windows), lambda x: x["s"].isNotNull())).alias("_x")).select(*keys, "_x.length", "start", "_x.s.score")
     order = Window.partitionBy(*keys).orderBy(F.desc(F.col("length") >= 16), F.desc("score"), "start", "length")
     return out.withColumn("rank", F.row_number().over(order))

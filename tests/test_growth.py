@@ -35,3 +35,21 @@ def test_votes_shuffle_only_events_and_marks(large, tolerance, kind):
         rated = [(-len({o2 for o2, t2 in own if o2 is not None and any(abs(r2 - t2 - (r - t)) < tolerance for r2 in there)}), o, r - t) for o, t in own if o is not None and o < 4 for r in there]
         want[g] = (min(rated)[2], -min(rated)[0])
     assert {r.g: (r.offset, r.hits) for r in got.collect()} == want
+
+
+def test_windows_of_all_lengths_from_one_sorting(large):
+    rng = random.Random(5)
+    songs = {s: [(rng.randrange(50), rng.randrange(3)) for _ in range(s)] for s in range(1, 9)}
+    df = large.createDataFrame([(s, b, e, h) for s, bars in songs.items() for b, (e, h) in enumerate(bars)], "s int, b int, e long, h long").repartition(3)
+    got = choice.song_windows(df, ["s"], "b", "e", "h", (4, 2))
+    p = plan(got.drop("rank"))
+    assert p.count("Exchange hashpartitioning") == 1 and p.count("Sort [") == 1
+    want = {}
+    for s, bars in songs.items():
+        mean = sum(e for e, _ in bars) / len(bars)
+        for n in (4, 2):
+            for b in range(len(bars) - n + 1):
+                part = bars[b : b + n]
+                want[s, n, b] = sum(e for e, _ in part) / n - mean + 1.5 * sum(h for _, h in part) / n + (2.0 if part[-1][1] == 0 else 0.0)
+    found = {(r.s, r.length, r.start): r.score for r in got.collect()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
