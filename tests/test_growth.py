@@ -53,3 +53,23 @@ def test_windows_of_all_lengths_from_one_sorting(large):
                 want[s, n, b] = sum(e for e, _ in part) / n - mean + 1.5 * sum(h for _, h in part) / n + (2.0 if part[-1][1] == 0 else 0.0)
     found = {(r.s, r.length, r.start): r.score for r in got.collect()}
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_speed_curves_need_no_shuffle(large):
+    shots = [(1, "normal", 4.0, None, 0.0), (2, "fast", 6.0, None, 0.0), (3, "freeze", 4.0, None, 1.0), (4, "ramp", 8.0, None, 0.0), (5, "speed", 3.0, 0.25, 0.0), (6, "ramp_hold", 5.0, None, None), (7, "slow", None, None, None)]
+    df = large.createDataFrame(shots, "k int, mode string, beats double, v double, stop double").repartition(3)
+    got = signals.speed_curve(df, ["k"], "mode", "beats", "v", "stop", 0.5, 8)
+    assert plan(got).count("Exchange") == 1 and "Window" not in plan(got)  # the exchange is the test's own
+    places = df.select("k", "mode", "v", "stop", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("i"), (F.col("i") * F.col("beats") / 8).alias("b"))
+    speeds = {(r.k, r.i): (r.b, r.s) for r in places.select("k", "i", "b", signals.speed(F.col("mode"), F.col("b"), F.col("v"), F.col("stop")).alias("s")).collect()}
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.k, []).append((r.b, r.offset))
+    for k, *_ in shots:
+        total, want = 0.0, []
+        for i in range(9):
+            b, v = speeds[k, i]
+            if i and b is not None:
+                total += (v + speeds[k, i - 1][1]) / 2 * (b - speeds[k, i - 1][0])
+            want.append((b, total * 0.5))
+        assert sorted(found[k], key=lambda x: (x[0] or 0, x[1])) == sorted(want, key=lambda x: (x[0] or 0, x[1]))
