@@ -6,6 +6,8 @@ empty table gives no groups.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,17 +42,19 @@ def fit_line(df: DataFrame, keys: list[str], x: str, y: str, rounds: int = 2, li
     return rows
 
 
-#: Points of a key up to which its pairs are joined.
+#: Points of a key up to which its pairs are made.
 FEW_POINTS = 64
 
 
 def theil_sen(df: DataFrame, keys: list[str], x: str, y: str, few: int = FEW_POINTS) -> DataFrame:
-    """Median slope over pairs of points of different x, and the number of pairs, by key (keys aren't null). Pairs of keys of ``few`` points are joined; of a larger key no pair is made but the few whose slopes may be the median (``slopes``), from its points in one task, 16 bytes each."""
+    """Median slope over pairs of points of different x, and the number of pairs, by key (keys aren't null). Pairs of keys of ``few`` points are made inside their row; of a larger key no pair is made but the few whose slopes may be the median (``slopes``), from its points in one task, 16 bytes each."""
     points = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null")
-    n = points.groupBy(*keys).agg(F.count("*").alias("_n"))
-    sized = points.join(n, keys)
-    a, b = (sized.where(F.col("_n") <= few).select(*keys, F.col("_x").alias(f"x{s}"), F.col("_y").alias(f"y{s}")) for s in "ab")
-    small = a.join(b, keys).where("xa < xb").groupBy(*keys).agg(F.median(F.expr("(yb - ya) / (xb - xa)")).alias("slope"), F.count("*").alias("pairs"))
+    points = points.where(reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+    sized = points.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    # Few points travel as one array; its pairs are never rows.
+    packed = sized.where(F.col("_n") <= few).groupBy(*keys).agg(F.collect_list(F.struct("_x", "_y")).alias("_p"))
+    steps = F.expr("sort_array(flatten(transform(_p, a -> transform(filter(_p, b -> a._x < b._x), b -> (b._y - a._y) / (b._x - a._x)))))")
+    small = packed.select(*keys, steps.alias("_s")).where("size(_s) > 0").select(*keys, F.expr("0.5D * get(_s, (size(_s) - 1) div 2) + 0.5D * get(_s, size(_s) div 2)").alias("slope"), F.size("_s").cast("long").alias("pairs"))
     kinds = dict(df.dtypes)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -67,10 +71,10 @@ def robust_line(df: DataFrame, keys: list[str], x: str, y: str, spreads: float =
     """slope, intercept, error (of the slope) and n of a least-squares line through the points within ``spreads`` scaled median deviations (``least`` at least) of the line of median slope and median rest."""
     slope = theil_sen(df, keys, x, y).select(*keys, F.col("slope").alias("_s"))
     rest = df.join(slope, keys).withColumn("_e", F.col(y) - F.col("_s") * F.col(x))
-    centre = rest.groupBy(*keys).agg(F.median("_e").alias("_i"))
-    away = rest.join(centre, keys).withColumn("_r", F.abs(F.col("_e") - F.col("_i")))
-    spread = away.groupBy(*keys).agg((1.4826 * F.median("_r")).alias("_d"))
-    near = away.join(spread, keys).where(F.col("_r") <= F.greatest(spreads * F.col("_d"), F.lit(least)))
+    # Medians over a key's rows where they lie: they are not shuffled again.
+    whole = Window.partitionBy(*keys)
+    away = rest.withColumn("_i", F.median("_e").over(whole)).withColumn("_r", F.abs(F.col("_e") - F.col("_i")))
+    near = away.withColumn("_d", 1.4826 * F.median("_r").over(whole)).where(F.col("_r") <= F.greatest(spreads * F.col("_d"), F.lit(least)))
     fit = near.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_sxx(y, x).alias("_xx"), F.regr_sxy(y, x).alias("_xy"), F.regr_syy(y, x).alias("_yy"), F.count("*").alias("n"))
     left = F.greatest(F.col("_yy") - F.col("_xy") * F.col("_xy") / F.col("_xx"), F.lit(0.0))
     return fit.withColumn("error", F.sqrt(left / F.greatest(F.lit(1), F.col("n") - 2) / F.col("_xx"))).drop("_xx", "_xy", "_yy")

@@ -73,3 +73,13 @@ def test_speed_curves_need_no_shuffle(large):
                 total += (v + speeds[k, i - 1][1]) / 2 * (b - speeds[k, i - 1][0])
             want.append((b, total * 0.5))
         assert sorted(found[k], key=lambda x: (x[0] or 0, x[1])) == sorted(want, key=lambda x: (x[0] or 0, x[1]))
+
+
+def test_robust_lines_join_no_pairs(large):
+    """Pairs of points are made inside their key's row, and the medians of a key's rows where they lie."""
+    rng = random.Random(7)
+    df = large.createDataFrame([(k % 9, float(rng.randrange(12)), rng.random()) for k in range(300)] + [(None, 1.0, 1.0), (None, 2.0, 2.0)], "k int, x double, y double")
+    slopes = aggregates.theil_sen(df, ["k"], "x", "y")
+    assert "Join" not in plan(slopes) and slopes.where("k is null").count() == 0
+    assert plan(aggregates.robust_line(df, ["k"], "x", "y")).count("Join") == 1
+    assert {r.k: r.n for r in aggregates.robust_line(df, ["k"], "x", "y").collect()}.keys() == set(range(9))
