@@ -83,3 +83,21 @@ def test_robust_lines_join_no_pairs(large):
     assert "Join" not in plan(slopes) and slopes.where("k is null").count() == 0
     assert plan(aggregates.robust_line(df, ["k"], "x", "y")).count("Join") == 1
     assert {r.k: r.n for r in aggregates.robust_line(df, ["k"], "x", "y").collect()}.keys() == set(range(9))
+
+
+def test_keyword_windows_make_no_row_a_place(large):
+    rng = random.Random(6)
+    words = sorted({(c, rng.randrange(30), rng.choice("abcdef")) for c in range(6) for _ in range(25)}) + [(None, 1, "a"), (1, None, "a"), (1, 2, None)]
+    sets = {1: {"a", "b"}, 2: {"c"}, 3: {"a", "c", "f"}, 4: {"z"}}
+    w = large.createDataFrame(words, "c int, i int, t string").repartition(3)
+    k = large.createDataFrame([(s, t) for s, ts in sets.items() for t in ts] + [(1, "a"), (None, "b"), (2, None)], "s int, t string")
+    got = matching.keyword_windows(w, k, ["c"], "i", "t", "s", 8)
+    assert "Generate" not in plan(got) and plan(got).count("Join") == 1
+    want = {}
+    for c, i, t in words:
+        for s, ts in sets.items():
+            if c is not None and i is not None and t in ts:
+                inside = [u for d, j, u in words if d == c and j is not None and i <= j <= i + 8]
+                want[c, i, s] = len(ts & set(inside)) + 0.01 * len(inside)
+    rows = got.collect()
+    assert {(r.c, r.i, r.s): r.score for r in rows} == pytest.approx(want) and len(rows) == len(want)
