@@ -101,3 +101,14 @@ def test_keyword_windows_make_no_row_a_place(large):
                 want[c, i, s] = len(ts & set(inside)) + 0.01 * len(inside)
     rows = got.collect()
     assert {(r.c, r.i, r.s): r.score for r in rows} == pytest.approx(want) and len(rows) == len(want)
+
+
+def test_edit_rules_join_shots_once(large):
+    """Shots come with their list's figures from one table, whatever the number of rules."""
+    from chronoweave.operators import rules
+    from chronoweave.plans import edits as queries
+
+    shots, lists = queries._lists(large, "/root/testdata/sf0.001")
+    assert "Join" not in plan(shots) and plan(lists).count("Exchange") == 1
+    for named, joins in ((edits.part_rules, 1), (edits.sound_rules, 3), (edits.effect_rules, 0)):
+        assert plan(rules.findings(named(shots, lists))).count("Join") <= joins
