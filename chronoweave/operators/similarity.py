@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.functions.scalar import cosine
-
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     """Mean vector per label; components are averaged as rows, so a label of any size is partially aggregated."""
@@ -105,8 +103,23 @@ def grouped(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: flo
         return found.select(*keys, id_col, "cluster")
     means = found.where("_step > 1").select(*keys, "cluster", F.posexplode(vector).alias("i", "v")).groupBy(*keys, "cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
     means = means.groupBy(*keys, "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("m"))
-    means = means.groupBy(*keys).agg(F.collect_list(F.struct("cluster", "m")).alias("_means"))
-    near = F.array_max(F.transform("_means", lambda c: F.struct(cosine(F.col(vector), c["m"]).alias("s"), (-c["cluster"]).alias("c"))))
-    large = rows.where("_step > 1").join(means, keys).select(*keys, id_col, (-near["c"]).alias("cluster"))
+
+    def nearest(part: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+        # By cluster, so that the first best is the smallest number.
+        groups = groups.sort_values("cluster", ignore_index=True)
+        if not len(part) or not len(groups):
+            return part[[*keys, id_col]].head(0).assign(cluster=0)
+        x, m = (np.stack(v.to_numpy()).astype(float) for v in (part[vector], groups["m"]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            s = np.einsum("ik,jk->ij", x, m) / np.sqrt(np.einsum("ik,ik->i", x, x)[:, None] * np.einsum("jk,jk->j", m, m))
+        return part[[*keys, id_col]].assign(cluster=groups["cluster"].to_numpy()[s.argmax(1)])
+
+    # A large key is dealt into parts of ``most`` rows, each of which meets the key's means in a task of its own.
+    deal = (F.col("_at") % F.col("_step")).cast("long").alias("_deal")
+    parts = rows.where("_step > 1").select(*keys, id_col, vector, deal)
+    steps = found.where("_step > 1").groupBy(*keys).agg(F.max("_step").alias("_step"))
+    dealt = means.join(steps, keys).select(*keys, "cluster", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_step") - 1)).alias("_deal"))
+    at = [*keys, "_deal"]
+    large = parts.groupBy(*at).cogroup(dealt.groupBy(*at)).applyInPandas(nearest, ", ".join(f"{c} {kinds[c]}" for c in [*keys, id_col]) + ", cluster long")
     out = found.where("_step = 1").select(*keys, id_col, "cluster").unionByName(large)
     return out.unionByName(df.where(F.col(vector).isNull()).select(*keys, id_col, F.lit(None).cast("long").alias("cluster")))

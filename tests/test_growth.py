@@ -112,3 +112,24 @@ def test_edit_rules_join_shots_once(large):
     assert "Join" not in plan(shots) and plan(lists).count("Exchange") == 1
     for named, joins in ((edits.part_rules, 1), (edits.sound_rules, 3), (edits.effect_rules, 0)):
         assert plan(rules.findings(named(shots, lists))).count("Join") <= joins
+
+
+def test_large_label_is_dealt(large):
+    """Rows of a large key go to the group of nearest mean in parts of ``most`` rows, not all in the key's task."""
+    rng = random.Random(8)
+    rows = [(k % 2, k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(400)] + [(0, 1000, None), (2, 1001, [1.0, 0.0, 0.0, 0.0])]
+    df = large.createDataFrame(rows, "g int, i int, v array<double>")
+    found = similarity.grouped(df, ["g"], "i", "v", 0.5, 50)
+    assert "FlatMapCoGroupsInPandas" in plan(found)
+    got, drawn = {r.i: r.cluster for r in found.collect()}, {r.i: r.cluster for r in similarity.grouped(df, ["g"], "i", "v", 0.5, 50, means="sample").collect()}
+    assert len(got) == 402 and got[1000] is None and got[1001] == 0
+    for g in (0, 1):
+        means = {}
+        for k, i, v in rows:
+            if k == g and i in drawn:
+                means.setdefault(drawn[i], []).append(v)
+        means = {c: [sum(x) / len(x) for x in zip(*vs)] for c, vs in means.items()}
+        cosine = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+        for k, i, v in rows:
+            if k == g and v:
+                assert cosine(v, means[got[i]]) >= max(cosine(v, m) for m in means.values()) - 1e-12
