@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,11 +98,32 @@ def grouped(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: flo
     rows = known.withColumn("_at", F.row_number().over(w) - 1).withColumn("_step", F.ceil(F.count("*").over(Window.partitionBy(*keys)) / most))
     drawn = rows.where("_at % _step = 0")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(id_col, ignore_index=True)
-        return part.assign(cluster=average_linkage(np.stack(part[vector].to_numpy()).astype(float), limit, number))
-
-    found = drawn.groupBy(*keys).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in [*keys, id_col, vector]) + ", _at int, _step long, cluster long")
+    def clusters(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(rows).combine_chunks()
+        if not whole.num_rows:
+            return
+        x = whole.column(vector).chunk(0)
+        ends = np.cumsum(x.value_lengths().to_numpy())
+        vectors = np.split(x.flatten().to_numpy(zero_copy_only=False).astype(float), ends[:-1])
+        firsts = [*np.flatnonzero(whole.column("_at").to_numpy() == 0).tolist(), len(vectors)]
+        found = [average_linkage(np.stack(vectors[a:z]), limit, number) for a, z in itertools.pairwise(firsts)]
+        yield from whole.append_column("cluster", pa.array(np.concatenate(found).astype("int64"))).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Many keys a batch, as most are small; the key that a batch ends in waits for the next batch. A key's first row is always drawn."""
+        waiting: list[pa.RecordBatch] = []
+        for batch in batches:
+            firsts = np.flatnonzero(batch.column("_at").to_numpy() == 0)
+            if len(firsts):
+                last = int(firsts[-1])
+                yield from clusters([*waiting, batch.slice(0, last)])
+                waiting, batch = [], batch.slice(last)
+            waiting.append(batch)
+        if waiting:
+            yield from clusters(waiting)
+
+    # The windows have dealt the rows by their keys.
+    found = drawn.sortWithinPartitions(*keys, id_col).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, id_col, vector]) + ", _at int, _step long, cluster long")
     if means == "sample":
         return found.select(*keys, id_col, "cluster")
     means = found.where("_step > 1").select(*keys, "cluster", F.posexplode(vector).alias("i", "v")).groupBy(*keys, "cluster", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))

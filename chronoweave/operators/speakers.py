@@ -59,7 +59,8 @@ def speakers(df: DataFrame, keys: list[str], region: str, order: str, vector: st
 
     With a ``number``, that many groups are made and labelled once; else groups ``apart`` are refined for ``rounds`` rounds at most.
     """
-    own = df.where(F.col(vector).isNotNull()).withColumn("_x", F.col(vector).cast("array<double>"))
+    # Read by the groups, the first voices and the first round: made once.
+    own = tables.written(df.where(F.col(vector).isNotNull()).withColumn("_x", F.col(vector).cast("array<double>")), "windows")
     first = similarity.grouped(own, keys, order, "_x", apart, most, number, means="sample")
     voices = tables.written(mean_voices(first.join(own.select(*keys, order, "_x"), [*keys, order]), keys, "cluster", "_x"), "voices")
     done: list[DataFrame] = []

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,24 @@ def test_large_label_is_dealt(large):
         for k, i, v in rows:
             if k == g and v:
                 assert cosine(v, means[got[i]]) >= max(cosine(v, m) for m in means.values()) - 1e-12
+
+
+def test_small_keys_are_grouped_many_a_batch(spark):
+    """No call for each key; keys of one to nine rows, one with a null name, lie across batches of four rows."""
+    rng = np.random.default_rng(3)
+    rows = [(None if k == 11 else k, i, rng.normal(size=3 + k % 2).tolist()) for k in range(40) for i in range(1 + k % 9)]
+    df = spark.createDataFrame([*rows, (5, 99, None)], "g int, i int, v array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        found = similarity.grouped(df, ["g"], "i", "v", 0.5, 50)
+        got = {(r.g, r.i): r.cluster for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(5, 99): None}
+    for g in {g for g, _, _ in rows}:
+        own = [(i, v) for h, i, v in rows if h == g]
+        want |= {(g, i): int(c) for (i, _), c in zip(own, similarity.average_linkage(np.array([v for _, v in own]), 0.5))}
+    assert got == want
+    assert similarity.grouped(df.limit(0), ["g"], "i", "v", 0.5, 50).count() == 0
+    small = similarity.grouped(df, ["g"], "i", "v", 0.5, 50, means="sample")
+    assert "FlatMapGroupsInPandas" not in plan(small)
