@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.sources import tables
+
+#: Clusters of a key that are dealt into one block, and distances that are looked at together.
+BLOCK, DISTANCES = 8192, 1 << 20
+
 
 def centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
     """Mean vector per label; components are averaged as rows, so a label of any size is partially aggregated."""
@@ -48,9 +54,14 @@ def average_linkage(x: np.ndarray, limit: float, number: int | None = None) -> n
     brings anything nearer, so these are the joins of always taking the nearest pair, in quadratic time; they are then taken by distance.
     """
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    d = 1 - unit @ unit.T
+    return _joined(unit, np.ones(len(x)), limit, number)
+
+
+def _joined(x: np.ndarray, size: np.ndarray, limit: float, number: int | None = None) -> np.ndarray:
+    """``average_linkage`` of clusters, each with the mean of its rows of unit length and its size, which this changes."""
+    d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
-    size, joins = np.ones(len(x)), []
+    joins: list[tuple[float, int, int]] = []
     alive, chain = np.ones(len(x), bool), []
     while alive.sum() > 1:
         if not chain:
@@ -148,3 +159,114 @@ def grouped(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: flo
     large = parts.groupBy(*at).cogroup(dealt.groupBy(*at)).applyInPandas(nearest, ", ".join(f"{c} {kinds[c]}" for c in [*keys, id_col]) + ", cluster long")
     out = found.where("_step = 1").select(*keys, id_col, "cluster").unionByName(large)
     return out.unionByName(df.where(F.col(vector).isNull()).select(*keys, id_col, F.lit(None).cast("long").alias("cluster")))
+
+
+def linked(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: float, most: int = 1500) -> DataFrame:
+    """Average-linkage groups of all rows within a key of any size: keys, id, cluster, as ``average_linkage`` numbers them. Rows without a vector have no cluster.
+
+    Keys of up to ``most`` rows are grouped in one task each. In a larger one clusters are joined in rounds: all look for their nearest at once,
+    and every two that are each other's nearest are joined. With mean distances no later join brings anything nearer, so these are the joins of
+    always taking the nearest pair, and a cluster with nothing within ``limit`` is done. Once ``most`` are left they are grouped in one task.
+    The mean distance of two clusters is told by the means of their rows of unit length, so a cluster is one vector and a size; no rows or distances are gathered.
+    """
+    sizes = df.where(F.col(vector).isNotNull()).groupBy(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    large = tables.written(sizes.select(*(f"_k{i}" for i in range(len(keys))), F.monotonically_increasing_id().alias("_g")), "large")
+    if large.isEmpty():
+        return grouped(df, keys, id_col, vector, limit, most)
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)))
+    rest = grouped(df.join(large, same, "left_anti"), keys, id_col, vector, limit, most)
+    rows = df.select(*keys, id_col, vector).join(large, same).select("_g", *keys, id_col, vector)
+    at = F.row_number().over(Window.partitionBy("_g").orderBy(id_col)) - 1
+    own = tables.written(rows.where(F.col(vector).isNotNull()).withColumn("_at", at.cast("long")).withColumn("_x", F.col(vector).cast("array<double>")).drop(vector), "rows")
+    # Copies are at no distance of each other, which nothing is nearer than; vectors of no length are at that of all others.
+    length = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v))
+    own_place = F.when((length > 1e-9) & F.lit(limit >= 0), F.lit(-1).cast("long")).otherwise(F.col("_at")).alias("_own")
+    copies = own.select("_g", "_at", "_x", own_place).groupBy("_g", "_x", "_own").agg(F.min("_at").alias("_c"), F.count("*").cast("double").alias("_n"))
+    copies = tables.written(copies, "copies")
+    members = tables.written(own.select("_g", "_at", "_x", own_place).join(copies, ["_g", "_x", "_own"]).select("_g", "_at", "_c"), "members")
+    active = tables.written(copies.select("_g", "_c", "_n", "_x").mapInArrow(_units, "_g long, _c long, _n double, _s array<double>"), "clusters")
+    few: list[DataFrame] = []
+    while True:
+        counted = active.join(active.groupBy("_g").agg(F.count("*").alias("_m")), "_g")
+        few.append(counted.where(F.col("_m") <= most).select(*active.columns))
+        many = counted.where(F.col("_m") > most)
+        if many.isEmpty():
+            break
+        near = tables.written(_nearest(many, limit), "nearest")
+        joined = near.where("_both").select("_g", "_c", "_to")
+        pair = near.select("_g", "_c", F.when(F.col("_both"), F.col("_to")).otherwise(F.col("_c")).alias("_to")).join(many, ["_g", "_c"]).groupBy("_g", "_to").agg(F.sum("_n").alias("_n"), F.collect_list("_s").alias("_s"))
+        total = F.when(F.size("_s") > 1, F.zip_with(F.get("_s", F.lit(0)), F.get("_s", F.lit(1)), lambda a, b: a + b)).otherwise(F.get("_s", F.lit(0)))
+        active = tables.written(pair.select("_g", F.col("_to").alias("_c"), "_n", total.alias("_s")), "clusters")
+        members = tables.written(members.join(joined, ["_g", "_c"], "left").select("_g", "_at", F.coalesce("_to", "_c").alias("_c")), "members")
+
+    def ended(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_c").combine_chunks()
+        size, c = part["_n"].to_numpy().copy(), part["_c"].to_numpy()
+        found = _joined(_stacked(part["_s"]) / size[:, None], size, limit)
+        return pa.table({"_g": part["_g"], "_c": c, "_to": c[np.unique(found, return_index=True)[1]][found]})
+
+    ends = reduce(lambda a, b: a.unionByName(b), few).groupBy("_g").applyInArrow(ended, "_g long, _c long, _to long")
+    members = tables.written(members.join(ends, ["_g", "_c"], "left").select("_g", "_at", F.coalesce("_to", "_c").alias("_c")), "members")
+    # A cluster is named by its first row.
+    numbers = members.where("_at = _c").select("_g", "_c", (F.row_number().over(Window.partitionBy("_g").orderBy("_c")) - 1).cast("long").alias("cluster"))
+    out = own.join(members.join(numbers, ["_g", "_c"]), ["_g", "_at"]).select(*keys, id_col, "cluster")
+    return rest.unionByName(out).unionByName(rows.where(F.col(vector).isNull()).select(*keys, id_col, F.lit(None).cast("long").alias("cluster")))
+
+
+def _stacked(vectors: pa.ChunkedArray) -> np.ndarray:
+    return vectors.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums ``_s`` of ``_n`` equal vectors of unit length."""
+    for batch in batches:
+        x = batch.column("_x")
+        row, v = np.repeat(np.arange(len(batch)), x.value_lengths().to_numpy()), x.flatten().to_numpy(zero_copy_only=False)
+        scale = batch.column("_n").to_numpy() / np.maximum(np.sqrt(np.bincount(row, v * v, len(batch))), 1e-12)
+        s = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(x.value_lengths().to_numpy())), pa.int32()), pa.array(v * scale[row]))
+        yield pa.RecordBatch.from_arrays([batch.column("_g"), batch.column("_c"), batch.column("_n"), s], ["_g", "_c", "_n", "_s"])
+
+
+def _nearest(clusters: DataFrame, limit: float) -> DataFrame:
+    """The clusters (_g, _c, _n, _s, _m: how many of its key there are) that have another within ``limit``: _g, _c, the smaller name _to of the two and whether both are each other's nearest. Blocks of a key meet in a triangle; of equal distances one counts that a hash of both names tells, so that copies and lattices don't all look to one."""
+    deals = clusters.withColumn("_deals", F.ceil(F.col("_m") / BLOCK)).withColumn("_d", F.pmod(F.xxhash64("_c"), F.col("_deals"))).withColumn("_e", F.explode(F.expr("sequence(0L, _deals - 1)")))
+    met = deals.select("_g", F.least("_d", "_e").alias("_i"), F.greatest("_d", "_e").alias("_j"), (F.col("_e") < F.col("_d")).alias("_second"), "_c", "_n", "_s")
+
+    def nearest(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_c").combine_chunks()
+        c, second = part["_c"].to_numpy(), part["_second"].to_numpy()
+        x = _stacked(part["_s"]) / part["_n"].to_numpy()[:, None]
+        known = np.isfinite(x).all(1)
+        diagonal = part["_i"][0] == part["_j"][0]
+        one, two = np.flatnonzero(known & ~second), np.flatnonzero(known & (second | diagonal))
+        far, order, other = np.full(len(c), np.inf), np.zeros(len(c), np.int64), np.zeros(len(c), np.int64)
+
+        def take(at: np.ndarray, to: np.ndarray, d: np.ndarray) -> None:
+            """Of the pairs of each row ``at`` the first by distance and hash, if before what it has."""
+            mixed = np.minimum(c[at], c[to]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.maximum(c[at], c[to]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            mixed = ((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(1)).astype(np.int64)
+            first = np.lexsort((mixed, d, at))
+            first = first[np.append(True, at[first][1:] != at[first][:-1])] if len(first) else first
+            at, to, d, mixed = at[first], to[first], d[first], mixed[first]
+            new = (d < far[at]) | ((d == far[at]) & (mixed < order[at]))
+            far[at[new]], order[at[new]], other[at[new]] = d[new], mixed[new], c[to[new]]
+
+        step = max(1, DISTANCES // max(1, len(two)))
+        for k in range(0, len(one), step):
+            a, b = one[k : k + step], two[k:] if diagonal else two
+            if not len(b):
+                break
+            d = 1 - x[a] @ x[b].T
+            if diagonal:
+                d[np.tri(len(a), len(b), dtype=bool)] = np.inf
+            for axis in (1, 0):
+                least = d.min(axis)
+                i, j = np.nonzero((d == np.expand_dims(least, axis)) & (d <= limit))
+                take(*((a[i], b[j]) if axis else (b[j], a[i])), d[i, j])
+        found = far <= limit
+        return pa.table({"_g": part["_g"].filter(pa.array(found)), "_c": c[found], "_far": far[found], "_order": order[found], "_other": other[found]})
+
+    each = met.groupBy("_g", "_i", "_j").applyInArrow(nearest, "_g long, _c long, _far double, _order long, _other long")
+    best = each.groupBy("_g", "_c").agg(F.min(F.struct("_far", "_order", "_other"))["_other"].alias("_other"))
+    ends = [F.least("_c", "_other").alias("_to"), F.greatest("_c", "_other").alias("_end")]
+    return best.select("_g", "_c", *ends).select("_g", "_c", "_to", (F.count("*").over(Window.partitionBy("_g", "_to", "_end")) > 1).alias("_both"))

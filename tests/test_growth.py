@@ -155,3 +155,32 @@ def test_small_keys_are_grouped_many_a_batch(spark):
     assert similarity.grouped(df.limit(0), ["g"], "i", "v", 0.5, 50).count() == 0
     small = similarity.grouped(df, ["g"], "i", "v", 0.5, 50, means="sample")
     assert "FlatMapGroupsInPandas" not in plan(small)
+
+
+def test_large_keys_are_linked_row_by_row(spark, monkeypatch):
+    """All rows of large keys take part, one key null, in blocks of some sixty clusters: with copies, multiples, vectors of no length and rows without one."""
+    monkeypatch.setattr(similarity, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, n in ((None, 220), (1, 130), (2, 5), (3, 40)):
+        x = rng.normal(size=(12, 6))[rng.integers(0, 12, n)] + rng.normal(size=(n, 6)) * 0.3
+        x[::17], x[20:60], x[60:70] = 0, x[3], 3 * x[4]
+        rows += [(g, int(i), x[i].tolist()) for i in rng.permutation(n)]
+    df = spark.createDataFrame([*rows, (None, 1000, None), (2, 1000, None)], "g int, i int, v array<double>")
+    got = {(r.g, r.i): r.cluster for r in similarity.linked(df, ["g"], "i", "v", 0.3, 40).collect()}
+    want = {(None, 1000): None, (2, 1000): None}
+    for g in (None, 1, 2, 3):
+        own = sorted((i, v) for h, i, v in rows if h == g)
+        want |= {(g, i): int(c) for (i, _), c in zip(own, similarity.average_linkage(np.array([v for _, v in own]), 0.3))}
+    assert got == want and 20 < len({(g, c) for (g, _), c in got.items()}) < 250
+    assert similarity.linked(df.limit(0), ["g"], "i", "v", 0.3, 40).count() == 0
+
+
+def test_average_linkage_takes_all_rows(spark, tmp_path):
+    """A label of over 1500 rows is not grouped by a sample of them."""
+    from chronoweave.plans import catalog
+
+    x = np.random.default_rng(6).normal(size=(1700, 8)).astype("float32")
+    spark.createDataFrame([(i, v, 7) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.cluster for r in catalog.average_linkage(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(similarity.average_linkage(x.astype(float), 0.7).tolist()))
