@@ -177,18 +177,17 @@ def linked(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: floa
     rest = grouped(df.join(large, same, "left_anti"), keys, id_col, vector, limit, most)
     rows = df.select(*keys, id_col, vector).join(large, same).select("_g", *keys, id_col, vector)
     at = F.row_number().over(Window.partitionBy("_g").orderBy(id_col)) - 1
-    own = tables.written(rows.where(F.col(vector).isNotNull()).withColumn("_at", at.cast("long")).withColumn("_x", F.col(vector).cast("array<double>")).drop(vector), "rows")
+    own = tables.written(rows.where(F.col(vector).isNotNull()).withColumn("_at", at.cast("long")).withColumnRenamed(vector, "_x"), "rows")
     # Copies are at no distance of each other, which nothing is nearer than; vectors of no length are at that of all others.
-    length = F.sqrt(F.aggregate("_x", F.lit(0.0), lambda a, v: a + v * v))
+    length = F.sqrt(F.aggregate(F.col("_x").cast("array<double>"), F.lit(0.0), lambda a, v: a + v * v))
     own_place = F.when((length > 1e-9) & F.lit(limit >= 0), F.lit(-1).cast("long")).otherwise(F.col("_at")).alias("_own")
     copies = own.select("_g", "_at", "_x", own_place).groupBy("_g", "_x", "_own").agg(F.min("_at").alias("_c"), F.count("*").cast("double").alias("_n"))
     copies = tables.written(copies, "copies")
     members = tables.written(own.select("_g", "_at", "_x", own_place).join(copies, ["_g", "_x", "_own"]).select("_g", "_at", "_c"), "members")
-    active = tables.written(copies.select("_g", "_c", "_n", "_x").mapInArrow(_units, "_g long, _c long, _n double, _s array<double>"), "clusters")
-    few: list[DataFrame] = []
+    active = tables.written(copies.select("_g", "_c", "_n", F.col("_x").cast("array<double>").alias("_x")).mapInArrow(_units, "_g long, _c long, _n double, _s array<double>"), "clusters")
+    tables.drop(copies)
     while True:
         counted = active.join(active.groupBy("_g").agg(F.count("*").alias("_m")), "_g")
-        few.append(counted.where(F.col("_m") <= most).select(*active.columns))
         many = counted.where(F.col("_m") > most)
         if many.isEmpty():
             break
@@ -196,8 +195,12 @@ def linked(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: floa
         joined = near.where("_both").select("_g", "_c", "_to")
         pair = near.select("_g", "_c", F.when(F.col("_both"), F.col("_to")).otherwise(F.col("_c")).alias("_to")).join(many, ["_g", "_c"]).groupBy("_g", "_to").agg(F.sum("_n").alias("_n"), F.collect_list("_s").alias("_s"))
         total = F.when(F.size("_s") > 1, F.zip_with(F.get("_s", F.lit(0)), F.get("_s", F.lit(1)), lambda a, b: a + b)).otherwise(F.get("_s", F.lit(0)))
-        active = tables.written(pair.select("_g", F.col("_to").alias("_c"), "_n", total.alias("_s")), "clusters")
+        few = counted.where(F.col("_m") <= most).select(*active.columns)
+        past = [active, members, near]
+        active = tables.written(pair.select("_g", F.col("_to").alias("_c"), "_n", total.alias("_s")).unionByName(few), "clusters")
         members = tables.written(members.join(joined, ["_g", "_c"], "left").select("_g", "_at", F.coalesce("_to", "_c").alias("_c")), "members")
+        for table in past:
+            tables.drop(table)
 
     def ended(part: pa.Table) -> pa.Table:
         part = part.sort_by("_c").combine_chunks()
@@ -205,7 +208,7 @@ def linked(df: DataFrame, keys: list[str], id_col: str, vector: str, limit: floa
         found = _joined(_stacked(part["_s"]) / size[:, None], size, limit)
         return pa.table({"_g": part["_g"], "_c": c, "_to": c[np.unique(found, return_index=True)[1]][found]})
 
-    ends = reduce(lambda a, b: a.unionByName(b), few).groupBy("_g").applyInArrow(ended, "_g long, _c long, _to long")
+    ends = active.groupBy("_g").applyInArrow(ended, "_g long, _c long, _to long")
     members = tables.written(members.join(ends, ["_g", "_c"], "left").select("_g", "_at", F.coalesce("_to", "_c").alias("_c")), "members")
     # A cluster is named by its first row.
     numbers = members.where("_at = _c").select("_g", "_c", (F.row_number().over(Window.partitionBy("_g").orderBy("_c")) - 1).cast("long").alias("cluster"))
